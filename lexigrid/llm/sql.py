@@ -4,19 +4,19 @@ OP7_LINE_DEDUP = r"""
 WITH split_lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
 ), windows AS (
-  SELECT doc_id, at, array_to_string(ls[at + 1 : at + 3], chr(10)) AS body
-  FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS at FROM split_lines)
+  SELECT doc_id, pos, array_to_string(ls[pos + 1 : pos + 3], chr(10)) AS body
+  FROM (SELECT doc_id, ls, unnest(range(0, len(ls) - 2)) AS pos FROM split_lines)
 ), ranked AS (
-  SELECT doc_id, at, row_number() OVER (PARTITION BY body ORDER BY doc_id, at) AS nth
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS nth
   FROM windows WHERE regexp_matches(body, '[^\x20\x09-\x0D]')
 ), cut AS (
-  SELECT DISTINCT doc_id, at + d AS at FROM ranked, (SELECT unnest(range(0, 3)) AS d) WHERE nth > 1
+  SELECT DISTINCT doc_id, pos + d AS pos FROM ranked, (SELECT unnest(range(0, 3)) AS d) WHERE nth > 1
 ), lines AS (
-  SELECT doc_id, i AS at, ls[i + 1] AS line
+  SELECT doc_id, i AS pos, ls[i + 1] AS line
   FROM (SELECT doc_id, ls, unnest(range(0, len(ls))) AS i FROM split_lines)
 )
-SELECT doc_id, count(*) AS n_lines, count(cut.at) AS n_removed,
-       coalesce(string_agg(line, chr(10) ORDER BY lines.at) FILTER (WHERE cut.at IS NULL), '') AS text
-FROM lines LEFT JOIN cut USING (doc_id, at)
+SELECT doc_id, count(*) AS n_lines, count(cut.pos) AS n_removed,
+       coalesce(string_agg(line, chr(10) ORDER BY lines.pos) FILTER (WHERE cut.pos IS NULL), '') AS text
+FROM lines LEFT JOIN cut USING (doc_id, pos)
 GROUP BY doc_id
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import line_dedup, quality_rules, simhash, sql
+from lexigrid.llm import line_dedup, quality_rules, simhash, sql, substring_dedup
 from lexigrid.llm._shared import documents
 
 
@@ -27,8 +27,15 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 20-word windows that start earlier."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return substring_dedup.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 QUERIES = {
     "op7_line_dedup": op7_line_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }

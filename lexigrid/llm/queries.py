@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import line_dedup, quality_rules, simhash, sql, substring_dedup
-from lexigrid.llm._shared import documents
+from lexigrid.llm import byte_bpe, line_dedup, packing, quality_rules, simhash, sql, substring_dedup
+from lexigrid.llm._shared import documents, fold_rows
+
+
+def _bpe_digests():
+    def run(batches):
+        decimal = [b"%d" % i for i in range(1 << 16)]
+        for batch in batches:
+            ids, decoded = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array(map(len, ids), pa.int64()),
+                    pa.array([hashlib.sha256(b" ".join(map(decimal.__getitem__, x))).hexdigest() for x in ids], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
+                ],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return run
+
+
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded to ids and decoded again."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    encoded = byte_bpe.encode_texts(docs, path, pattern).select("doc_id", "ids")
+    return byte_bpe.decode_ids(encoded, path, pattern).mapInArrow(fold_rows(_bpe_digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of at most 2048 tokens, piece by piece."""
+    pieces = packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +70,8 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_byte_bpe": op5_byte_bpe,
+    "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
     "op2_substring_dedup": op2_substring_dedup,
     "op9_quality_rules": op9_quality_rules,

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import byte_bpe, line_dedup, packing, quality_rules, simhash, sql, substring_dedup
+from lexigrid.llm import byte_bpe, line_dedup, packing, quality_rules, simhash, sql, substring_dedup, token_files
 from lexigrid.llm._shared import documents, fold_rows
 
 
@@ -31,6 +31,13 @@ def _bpe_digests():
     return run
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents written to coded files, and read back."""
+    manifest = token_files.write_ids(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    ids = token_files.read_ids(spark, manifest)
+    return ids.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to ids and decoded again."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
@@ -70,6 +77,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_token_files": op4_token_files,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,

@@ -8,15 +8,16 @@ one of the libraries); all other texts go through ``tokenizers`` whole:
 * a byte-level file without a normalizer is encoded by ``tiktoken`` with the same merges;
 * a file that drops white space is encoded word by word: a word between white space has
   the same ids wherever it stands, so they are remembered, up to ``REMEMBERED`` words.
+  Characters below U+0250 have no other composed form, and lower-case alike in both.
 """
 
 from __future__ import annotations
 
 import json
 import re
-import unicodedata
 
 import numpy as np
+import regex
 import tiktoken
 from tokenizers import Tokenizer
 
@@ -42,7 +43,25 @@ class Ids:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.fast = self._ranked(spec) if not spec["normalizer"] and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"] else None
-        self.words: dict[str, bytes] | None = {} if spec["model"].get("end_of_word_suffix") and spec["normalizer"] else None
+        self.words: dict[str, bytes] | None = None
+        if spec["model"].get("end_of_word_suffix") and self._drops_space(spec):
+            self.words, self.pieces = {}, {}
+            self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            self.letters = {b: letter for letter, b in _byte_letters().items()}
+
+    @staticmethod
+    def _drops_space(spec: dict) -> bool:
+        """Composed, white space made one space, lower-cased; matches split off, then bytes as letters."""
+        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", ())]
+        split = (spec["pre_tokenizer"] or {}).get("pretokenizers", ())
+        return (
+            normal == ["NFC", "Replace", "Lowercase"]
+            and [p["type"] for p in split] == ["Split", "ByteLevel"]
+            and split[0]["behavior"] == "Removed"
+            and split[0]["invert"]
+            and "Regex" in split[0]["pattern"]
+            and not split[1]["add_prefix_space"]
+        )
 
     @staticmethod
     def _ranked(spec: dict) -> tiktoken.Encoding | None:
@@ -70,19 +89,25 @@ class Ids:
         return out
 
     def _by_words(self, texts: list[str]) -> list[np.ndarray]:
-        split = [unicodedata.normalize("NFC", t).lower().split() for t in texts]
+        split = [t.lower().split() for t in texts]
         if len(self.words) > REMEMBERED:
             self.words.clear()
-        fresh = list(set().union(*split) - self.words.keys())
-        for at in range(0, len(fresh), 4096):
-            self._learn(fresh[at : at + 4096])
-        return [np.frombuffer(b"".join(map(self.words.__getitem__, w)), np.uint32) for w in split]
-
-    def _learn(self, words: list[str]) -> None:
-        made = self.library.encode(" ".join(words), add_special_tokens=False)
-        ids = np.array(made.ids, np.uint32)
-        begins = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words])))
-        firsts = np.fromiter((a for a, _ in made.offsets), np.int64, len(ids))
-        edges = np.searchsorted(firsts, begins).tolist()
-        for word, a, b in zip(words, edges, edges[1:], strict=False):
-            self.words[word] = ids[a:b].tobytes()
+            self.pieces.clear()
+        out = []
+        for words in split:
+            ids = list(map(self.words.get, words))
+            if None in ids:
+                self._learn({w for w, known in zip(words, ids, strict=True) if known is None})
+                ids = map(self.words.__getitem__, words)
+            out.append(np.frombuffer(b"".join(ids), np.uint32))
+        return out
+
+    def _learn(self, words: set[str]) -> None:
+        pieces = self.pieces
+        for word in words:
+            parts = self.split.findall(word)
+            for part in parts:
+                if part not in pieces:
+                    letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
+                    pieces[part] = np.array([t.id for t in self.library.model.tokenize(letters)], np.uint32).tobytes()
+            self.words[word] = pieces[parts[0]] if len(parts) == 1 else b"".join(map(pieces.__getitem__, parts))

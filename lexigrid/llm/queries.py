@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import byte_bpe, line_dedup, packing, quality_rules, simhash, sql, substring_dedup, token_files
+from lexigrid.llm import byte_bpe, line_dedup, packing, quality_classifier, quality_rules, simhash, sql, substring_dedup, token_files, toxicity
 from lexigrid.llm._shared import documents, fold_rows
 
 
@@ -58,6 +58,15 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", F.coalesce("text", F.lit("")).alias("text"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learnt from rows that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    held = quality_classifier.held_out(F.col("doc_id"))
+    model = quality_classifier.train(docs, labels, where=~held)
+    return quality_classifier.score(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, rule verdict and posterior of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -70,6 +79,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of each toxicity category of every document, by a classifier chain."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, chain).select("doc_id", *[f"p_{n}" for n in chain.names], F.col("predicted").alias("toxic"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the words of 20-word windows that start earlier."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
@@ -81,7 +97,9 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
+    "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
 }

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import byte_bpe, line_dedup, packing, quality_classifier, quality_rules, simhash, sql, substring_dedup, token_files, toxicity
+from lexigrid.llm import byte_bpe, line_dedup, media_source, packing, quality_classifier, quality_rules, simhash, sql, substring_dedup, token_files, toxicity
 from lexigrid.llm._shared import documents, fold_rows
 
 
@@ -31,6 +31,22 @@ def _bpe_digests():
     return run
 
 
+def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as audio in archives, read back, with features of the samples."""
+    folder, manifest = media_source.write_media(documents(spark, sf_dir))
+    stored = media_source.read_media(spark, folder, manifest).select("doc_id", "media")
+    return media_source.decode_media(stored).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of all documents written to coded files, and read back."""
     manifest = token_files.write_ids(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -93,6 +109,7 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_media": op3_media,
     "op4_token_files": op4_token_files,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,

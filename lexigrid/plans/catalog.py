@@ -1,6 +1,427 @@
-"""The registered queries: name -> (spark, sf_dir) -> DataFrame, and their SQL."""
+"""The registered queries: name -> (spark, sf_dir) -> DataFrame, and their SQL.
+
+``documents`` stand in for pages (name: the id, page 1, corpus order: the id), raw answers
+and legal texts are made of columns of the tables, the same way on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexigrid.functions import answers as A
+from lexigrid.functions import citations as C
+from lexigrid.functions import text as X
+from lexigrid.operators import chunking, clauses, fusion, graph, lexical, reports, vector
+from lexigrid.plans import engine
+from lexigrid.plans.catalog_sql import BOOLEAN, ORACLE_SQL, QUESTIONS  # noqa: F401  (ORACLE_SQL is read from here)
+from lexigrid.sources import files, questions, store
+from lexigrid.streaming import ingest
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+
+
+def query(run: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    QUERIES[run.__name__] = run
+    return run
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").cast("string").alias("doc_name"), F.lit(1).alias("page_number"), "text", F.col("doc_id").alias("corpus_ord"))
+
+
+def tokens(spark: SparkSession, sf_dir: str, stopwords=()) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("corpus_ord"), "text")
+    return lexical.token_table(docs, stopwords)
+
+
+def asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(QUESTIONS, 1)), "question_id int, question string")
+
+
+def raw_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations as if generated: with a good fence, a bad one, none, or no source."""
+    talk = table(spark, sf_dir, "conversations")
+    doc = F.concat(F.lit("file"), (F.col("conv_id") % 7).cast("string"), F.lit(".pdf"))
+    page = (F.col("turn") + 1).cast("string")
+    inline = F.concat(F.lit(" (see "), doc, F.lit(", p."), page, F.lit(") and (other, p. 3)"))
+    block = F.concat(F.lit('{"sources": [{"document": "'), doc, F.lit('", "page": '), page, F.lit(', "evidence": "words"}]}'))
+    kind = F.col("conv_id") % 4
+    fence = (
+        F.when(kind == 0, F.concat(F.lit("\n```json\n"), block, F.lit("\n```\n")))
+        .when(kind == 1, F.lit('\n```json\n{"sources": [broken}\n```'))
+        .when(kind == 2, F.lit('\n```json {"sources": []} ```'))
+        .otherwise(F.lit(""))
+    )
+    return talk.select("conv_id", "turn", F.concat(F.coalesce("text", F.lit("")), inline, fence).alias("raw"))
+
+
+def legal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sentence with citations for each order line."""
+    lines = table(spark, sf_dir, "lineitem")
+    part, supplier, line = (F.col(c).cast("string") for c in ("l_partkey", "l_suppkey", "l_linenumber"))
+    text = F.concat(
+        F.lit("Under "), line, F.lit(" U.S.C. § "), supplier, F.lit(" and § "), part, F.lit("(b), Smith v. Jones, "), line, F.lit(" F. "), supplier, F.lit(" held; see Rule "), line, F.lit(" and "), line, F.lit(" U.S.C. § "), supplier, F.lit("."),
+    )
+    return lines.select("l_orderkey", "l_linenumber", text.alias("text"))
+
+
+def legal_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as documents: their customer is a party, parts appear on pages, orders cite orders."""
+    orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("doc"), F.concat(F.lit("Customer#"), F.col("o_custkey").cast("string")).alias("party"), F.concat(F.lit("o"), (F.col("o_orderkey") % 100).cast("string")).alias("cited"))
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("doc"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("entity"), F.col("l_linenumber").alias("number")
+    )
+    party_nodes, party_edges = graph.add_parties(orders)
+    page_nodes, page_edges = graph.add_pages(lines.where("number <= 3"))
+    nodes = graph.add_documents(orders, "doc").unionByName(party_nodes).unionByName(page_nodes)
+    edges = party_edges.unionByName(page_edges).unionByName(graph.add_document_citations(orders)).unionByName(graph.add_references(lines, number=F.col("number")))
+    return nodes, graph.merge_edges(edges)
+
+
+# Sources
+
+
+@query
+def detect_type(spark, sf_dir):
+    kinds = (".html", ".HTM", ".pdf", ".docx", ".doc", ".txt", ".csv", ".xlsx", ".bin", "")
+    rows = table(spark, sf_dir, "pages")
+    name = F.concat("url", F.element_at(F.array(*[F.lit(k) for k in kinds]), (F.col("page_id") % len(kinds) + 1).cast("int")))
+    return rows.select("page_id", files.detect_type(F.concat(F.lit("/x/"), F.regexp_replace(name, "[/.](?=.*[.])", "_"))).alias("type"))
+
+
+@query
+def list_documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(
+        F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("name"), F.round(F.col("n_chars") / 1024, 1).alias("size_kb"), F.lit("txt").alias("type")
+    )
+
+
+@query
+def questions_load(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.when(F.col("item_id") % 3 != 0, F.col("text")).alias("Question"))
+    return questions.load_questions(rows, order="item_id")
+
+
+@query
+def paragraph_pages(spark, sf_dir):
+    return files.paragraph_pages(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query
+def html_extract(spark, sf_dir):
+    return files.html_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def embedding_cache_miss(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"), "text", "lang", "source")
+    cached = docs.where("lang <> 'de'").select(F.col("id").alias("chunk_id"), F.sha2(F.when(F.col("source") == "src3", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("text_sha"), F.when(F.col("source") == "src5", "old").otherwise("hashed").alias("model"))
+    return store.embedding_misses(docs, cached, "hashed").select("id", "lang", "source", "text_sha")
+
+
+# Text
+
+
+@query
+def clean_text(spark, sf_dir):
+    messy = F.concat(F.lit("\n\t "), F.regexp_replace("text", "\n", "\r\n\n \t\n\n"), F.lit("\r "))
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean_text(messy).alias("text"))
+
+
+@query
+def tokenize(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(X.tokenize(F.col("text")), " ").alias("tokens"))
+
+
+@query
+def tokenize_stop(spark, sf_dir):
+    words = X.tokenize(F.col("text"), ("the", "of", "and", "in", "to"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("tokens"), F.size(words).alias("n"))
+
+
+@query
+def token_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.token_count(F.col("text")).alias("token_count"))
+
+
+@query
+def preview(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"), X.preview(F.col("text"), 200, "…").alias("short"))
+
+
+# Chunks
+
+
+@query
+def chunk_page(spark, sf_dir):
+    return chunking.page_chunks(pages(spark, sf_dir))
+
+
+@query
+def chunk_stride(spark, sf_dir):
+    return chunking.stride_chunks(pages(spark, sf_dir))
+
+
+@query
+def chunk_sentence(spark, sf_dir):
+    return chunking.sentence_chunks(pages(spark, sf_dir))
+
+
+@query
+def chunk_token(spark, sf_dir):
+    return chunking.token_chunks(pages(spark, sf_dir))
+
+
+@query
+def chunk_dedupe(spark, sf_dir):
+    once = pages(spark, sf_dir)
+    again = once.withColumn("text", F.concat("text", F.lit(" again"))).withColumn("corpus_ord", F.col("corpus_ord") + 1_000_000_000)
+    return chunking.first_by_id(chunking.page_chunks(once.unionByName(again))).select("id", "corpus_ord", "end_offset", "token_count")
+
+
+# Lexical search
+
+
+@query
+def bm25_stats(spark, sf_dir):
+    found = lexical.corpus_stats(tokens(spark, sf_dir))
+    return found.select("n", F.round("avgdl", 6).alias("avgdl"), F.round("avg_idf", 6).alias("avg_idf"), "n_terms")
+
+
+@query
+def term_stats(spark, sf_dir):
+    return lexical.term_stats(tokens(spark, sf_dir)).select("term", "df", F.round("raw_idf", 6).alias("raw_idf"))
+
+
+@query
+def postings(spark, sf_dir):
+    found = lexical.postings(tokens(spark, sf_dir))
+    return found.select("term", "chunk_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query
+def bm25_topk(spark, sf_dir):
+    return lexical.bm25_search(tokens(spark, sf_dir), asked(spark), 30, digits=6).select("question_id", "chunk_id", "score", "rank")
+
+
+@query
+def bm25_topk_stop(spark, sf_dir):
+    stop = ("the", "of", "and", "in", "to")
+    return lexical.bm25_search(tokens(spark, sf_dir, stop), asked(spark), 30, stop, digits=6).select("question_id", "chunk_id", "score", "rank")
+
+
+def _boolean(name: str, text: str) -> None:
+    def run(spark, sf_dir):
+        return lexical.boolean_search(tokens(spark, sf_dir), text)
+
+    run.__name__ = name
+    query(run)
+
+
+for _name, (_text, _) in BOOLEAN.items():
+    _boolean(_name, _text)
+
+
+@query
+def proximity(spark, sf_dir):
+    return lexical.proximity_search(tokens(spark, sf_dir), "under", "licensed text", 2)
+
+
+# Vectors and fusion
+
+
+def _dense(spark, sf_dir, k: int = 30) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    of_question = rows.where(F.col("vec_id").between(1, len(QUESTIONS))).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query_vec"))
+    return vector.vector_search(rows, of_question, k).withColumnRenamed("vec_id", "chunk_id")
+
+
+@query
+def l2_normalize(spark, sf_dir):
+    doubled = F.transform("embedding", lambda x: x.cast("double") * F.when(F.col("vec_id") % 7 == 0, 0.0).otherwise(3.0))
+    made = F.transform(vector.l2_normalize(doubled), lambda x: F.round(x, 6) + 0.0)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(made, F.lit(0.0), lambda s, x: s + x), 4).alias("total"), F.round(F.get(made, 0), 6).alias("first"), F.round(F.get(made, 63), 6).alias("last"))
+
+
+@query
+def embed_hash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    return vector.embed_texts(docs)
+
+
+@query
+def vector_topk(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    wanted = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query_vec"))
+    return vector.vector_search(rows, wanted, 30).select("question_id", "vec_id", "score", "rank")
+
+
+def _sparse(spark, sf_dir, k: int = 30) -> DataFrame:
+    return lexical.bm25_search(tokens(spark, sf_dir), asked(spark), k, digits=6)
+
+
+@query
+def rrf_fuse(spark, sf_dir):
+    found = fusion.rrf_fuse(_sparse(spark, sf_dir), _dense(spark, sf_dir))
+    return found.select("question_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
+
+
+def _hybrid(spark, sf_dir) -> DataFrame:
+    docs = pages(spark, sf_dir).select(F.col("corpus_ord").alias("id"), F.col("doc_name").alias("doc"), F.col("page_number").alias("page"), "text")
+    return fusion.hybrid_retrieve(_sparse(spark, sf_dir), _dense(spark, sf_dir), docs)
+
+
+@query
+def hybrid_topk(spark, sf_dir):
+    return _hybrid(spark, sf_dir).select("question_id", "chunk_id", "rank", F.length("text").alias("n_chars"))
+
+
+@query
+def fast_topk(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source")
+    return fusion.fetch_chunks(_sparse(spark, sf_dir, 10), docs).select("question_id", "chunk_id", "score", "rank", "source")
+
+
+@query
+def rerank_overlap(spark, sf_dir):
+    return fusion.rerank(_hybrid(spark, sf_dir), asked(spark)).select("question_id", "chunk_id", "rerank_score", "rank")
+
+
+@query
+def topk_per_query(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("question_id"), F.col("o_orderkey").alias("chunk_id"), F.col("o_totalprice").alias("score"))
+    return fusion.top_per_query(orders, 3)
+
+
+# Answers
+
+
+@query
+def build_context(spark, sf_dir):
+    return A.build_context(_hybrid(spark, sf_dir))
+
+
+@query
+def build_prompt(spark, sf_dir):
+    context = A.build_context(_hybrid(spark, sf_dir))
+    return asked(spark).join(context, "question_id").select("question_id", A.build_prompt(F.col("context"), F.col("question")).alias("prompt"))
+
+
+def _sources(found: DataFrame) -> DataFrame:
+    return found.select("conv_id", "turn", F.size("s").alias("n"), F.array_join(F.transform("s", lambda x: F.concat_ws("|", x["document"], x["page"].cast("string"), x["evidence"])), ";").alias("sources"))
+
+
+@query
+def parse_sources(spark, sf_dir):
+    return _sources(raw_answers(spark, sf_dir).withColumn("s", A.parse_sources(F.col("raw"))))
+
+
+@query
+def parse_sources_v1(spark, sf_dir):
+    return _sources(raw_answers(spark, sf_dir).withColumn("s", A.parse_sources(F.col("raw"), "v1")))
+
+
+@query
+def inline_citations(spark, sf_dir):
+    return _sources(raw_answers(spark, sf_dir).withColumn("s", A.inline_citations(F.col("raw"))))
+
+
+@query
+def strip_json(spark, sf_dir):
+    return raw_answers(spark, sf_dir).select("conv_id", "turn", A.strip_json(F.col("raw")).alias("answer"))
+
+
+@query
+def flatten_answer(spark, sf_dir):
+    return raw_answers(spark, sf_dir).select("conv_id", "turn", *A.flatten_answer(A.parse_sources(F.col("raw"))))
+
+
+@query
+def pretty_answer(spark, sf_dir):
+    rows = raw_answers(spark, sf_dir)
+    return rows.select("conv_id", "turn", A.pretty(F.col("turn"), F.lit("what?"), A.strip_json(F.col("raw")), A.parse_sources(F.col("raw"))).alias("shown"))
+
+
+@query
+def answers(spark, sf_dir):
+    contexts = asked(spark).join(A.build_context(_hybrid(spark, sf_dir)), "question_id", "left")
+    found = engine.generate_answers(contexts)
+    return found.select("question_id", "answer", *A.flatten_answer(F.col("sources")), "error")
+
+
+# Citations, clauses, graph
+
+
+@query
+def citations(spark, sf_dir):
+    return legal_texts(spark, sf_dir).select("l_orderkey", "l_linenumber", F.array_join(C.distinct_citations(F.col("text")), ";").alias("citations"))
+
+
+@query
+def citations_raw(spark, sf_dir):
+    return legal_texts(spark, sf_dir).select("l_orderkey", "l_linenumber", F.posexplode(C.raw_citations(F.col("text"))).alias("seq", "citation"))
+
+
+@query
+def clause_rows(spark, sf_dir):
+    return clauses.extract_clauses(table(spark, sf_dir, "documents"), "doc_id")
+
+
+@query
+def graph_edges(spark, sf_dir):
+    return legal_graph(spark, sf_dir)[1].select("src", "dst", "relation")
+
+
+@query
+def documents_citing(spark, sf_dir):
+    return graph.documents_citing(legal_graph(spark, sf_dir)[1])
+
+
+@query
+def co_parties(spark, sf_dir):
+    return graph.co_parties(legal_graph(spark, sf_dir)[1])
+
+
+@query
+def entity_pages(spark, sf_dir):
+    nodes, edges = legal_graph(spark, sf_dir)
+    return graph.entity_pages(edges, nodes)
+
+
+@query
+def graph_summary(spark, sf_dir):
+    return graph.summary(*legal_graph(spark, sf_dir))
+
+
+# Reports, order, streams
+
+
+@query
+def corpus_counts(spark, sf_dir):
+    return reports.corpus_counts(chunking.stride_chunks(pages(spark, sf_dir)))
+
+
+@query
+def bottleneck_report(spark, sf_dir):
+    timings = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.col("value").alias("seconds"))
+    return reports.bottleneck_report(timings)
+
+
+@query
+def pages_sorted(spark, sf_dir):
+    listed = table(spark, sf_dir, "documents").select(F.col("source").alias("doc_name"), F.col("doc_id").alias("page_number"), "text")
+    return files.with_corpus_order(listed).select("doc_name", "page_number", "corpus_ord").orderBy("corpus_ord").select("doc_name", "page_number")
+
+
+@query
+def event_counts(spark, sf_dir):
+    found = ingest.event_counts(table(spark, sf_dir, "events"))
+    return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))

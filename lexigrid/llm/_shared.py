@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch to Python: whole texts travel, so batches stay small.
 BATCH_ROWS = 256
 
+_CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
+
 #: Scratch folders made so far, in order; ``drop_scratch`` removes them.
 _made: list[str] = []
 
@@ -56,10 +58,18 @@ def delete_path(spark: SparkSession, where: str) -> None:
 
 
 def cut(df: DataFrame, tag: str, where: str | None = None) -> DataFrame:
-    """Write ``df`` to a table in the shared folder and read it back: lineage ends here."""
+    """Write ``df`` to a table in the shared folder and read it back: lineage ends here.
+
+    So do its shuffles: their files are removed when the write has ended.
+    """
     spark = df.sparkSession
     where = where or scratch_dir(spark, tag)
-    df.write.option("compression", "zstd").parquet(where)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(where)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(where)
 
 

@@ -506,14 +506,6 @@ class SubstringIndex:
         return out
 
 
-def _free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner see that earlier shuffles have no reader any more."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3) -> DataFrame:
     """``docs`` through a new index in ``batches`` ranges of ids, in their order."""
     spark = docs.sparkSession
@@ -528,7 +520,6 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         mine = F.lit(True) if low is None else key > low
         part = docs.where(mine & (F.lit(True) if high is None else key <= high))
         outs.append(index.dedup_batch(part, None if low is None else docs.where(key <= low), id_col, text_col))
-        _free_shuffles(spark)
     done = outs[0]
     for out in outs[1:]:
         done = done.unionByName(out)

@@ -2,7 +2,7 @@
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all rows that the one before kept,
 and returns a DataFrame that is written as Parquet and read again by the next. All but
-the last return the columns of ``documents``; ``n_chars`` follows the text.
+the last return the columns of ``documents``; ``n_chars`` follows the text (0 if it is null).
 
 Defined results, besides those of the operators
 * null texts are empty to every stage; a stage that leaves a text alone leaves it null.
@@ -24,7 +24,7 @@ from lexigrid.llm._shared import cut, delete_path, documents, scratch_dir
 
 def _with_text(docs: DataFrame, changed: DataFrame) -> DataFrame:
     """The columns of ``docs`` from ``changed``, with ``n_chars`` of the new text."""
-    columns = [F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    columns = [F.length(F.coalesce("text", F.lit(""))).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return changed.select(*columns)
 
 

@@ -160,7 +160,9 @@ class MediaReader(DataSourceReader):
             archives = sorted((f.base_name, f.size) for f in found if f.is_file and f.extension == "zip")
         return [ByteRange(name, at, min(at + self.range_bytes, size)) for name, size in archives for at in range(0, size, self.range_bytes)]
 
-    def read(self, partition: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # there is no archive
+            return
         store, root = pafs.FileSystem.from_uri(self.folder)
         where, rows, size = f"{root}/{partition.archive}", [], 0
         for offset, name, packed, crc, method in self._again(lambda: directory(store, where)):

@@ -95,11 +95,11 @@ def _regress(rows: _Rows, extra: np.ndarray, y: np.ndarray, size: int) -> tuple[
     if y.sum() in (0, len(y)):
         return w, v, b
     seen_w, seen_v = np.full(size, 1e-8), np.full(len(v), 1e-8)
-    random = np.random.default_rng(7)
+    random, batch = np.random.default_rng(7), max(16, min(BATCH, len(y) // 16))
     for _ in range(EPOCHS):
         order = random.permutation(len(y))
-        for at in range(0, len(y), BATCH):
-            mine = order[at : at + BATCH]
+        for at in range(0, len(y), batch):
+            mine = order[at : at + batch]
             part = rows.take(mine)
             wrong = (_logistic(part.dot(w) + extra[mine] @ v + b) - y[mine]) / len(mine)
             g = np.bincount(part.ids, weights=np.repeat(wrong, np.diff(part.ends)), minlength=size)

@@ -39,4 +39,5 @@ def _fit(fit: Callable, args: tuple):
 def fit_in_task(rows: DataFrame, fit: Callable[..., Any], *args) -> Any:
     """``fit(list of (text, label), *args)`` of a sample, as pickled by the task."""
     small_batches(rows.sparkSession)
-    return pickle.loads(rows.coalesce(1).mapInArrow(fold_rows(_fit, fit, args), "model binary").collect()[0]["model"])
+    made = rows.repartition(1).mapInArrow(fold_rows(_fit, fit, args), "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else fit([], *args)

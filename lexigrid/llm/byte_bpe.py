@@ -25,6 +25,7 @@ one text's pieces; the memo of pieces is bounded.
 from __future__ import annotations
 
 import base64
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -48,6 +49,12 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+@lru_cache(maxsize=2)
+def codec_of(path: str, pattern: str) -> Codec:
+    """The codec of a file, kept by the worker process from task to task."""
+    return Codec(path, pattern)
+
+
 class Codec:
     """Encoder and decoder of one rank file."""
 
@@ -65,7 +72,7 @@ class Codec:
         memo = self.memo
         if len(memo) > REMEMBERED:
             memo.clear()
-        for piece in set(pieces) - memo.keys():
+        for piece in [p for p in set(pieces) if p not in memo]:
             memo[piece] = self.library._core_bpe.encode_single_piece(piece.encode())
         return list(chain.from_iterable(map(memo.__getitem__, pieces)))
 
@@ -129,7 +136,7 @@ def _with_ids(schema: pa.Schema, batch: pa.RecordBatch, ids: list[list[int]]) ->
 
 def _encode_short(path: str, pattern: str, text_index: int, schema: pa.Schema):
     def run(batches):
-        codec = Codec(path, pattern)
+        codec = codec_of(path, pattern)
         for batch in batches:
             yield _with_ids(schema, batch, [codec.encode(t or "") for t in batch.column(text_index).to_pylist()])
 
@@ -140,7 +147,7 @@ def _encode_chunks(path: str, pattern: str, text_col: str, schema: pa.Schema):
     """Rows (row key, chunk number, start, chunk, last, other columns) in order."""
 
     def run(batches):
-        codec, stitch, parts, row = Codec(path, pattern), None, [], None
+        codec, stitch, parts, row = codec_of(path, pattern), None, [], None
         for batch in batches:
             starts, texts, lasts = (batch.column(i).to_pylist() for i in (2, 3, 4))
             for i, (start, text, last) in enumerate(zip(starts, texts, lasts, strict=True)):
@@ -191,7 +198,7 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
 
 def _decode(path: str, pattern: str, ids_index: int, schema: pa.Schema):
     def run(batches):
-        codec = Codec(path, pattern)
+        codec = codec_of(path, pattern)
         for batch in batches:
             made = pa.array([None if ids is None else codec.decode(ids) for ids in batch.column(ids_index).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([made if n == "decoded" else batch.column(batch.schema.get_field_index(n)) for n in schema.names], schema=schema)

@@ -1,7 +1,7 @@
 """Dense vectors: embedding, normalisation and exact inner-product search.
 
 Search goes over all rows in one pass for each block of queries: a block is sent along
-with the pass (``QUERY_BYTES`` bound it), each Arrow batch keeps its best ``k`` a query, and
+with the pass (``QUERY_BYTES`` bound it), each task keeps its best ``k`` a query, and
 the best of those are ranked by a window. Nothing but these partial results is shuffled.
 """
 
@@ -27,21 +27,11 @@ def l2_normalize(vector: Column) -> Column:
     return F.transform(vector, lambda x: x.cast("double") / F.when(norm == 0, 1.0).otherwise(norm))
 
 
-def hashed_embedding(text: Column, dim: int = 384) -> Column:
-    """Offline embedding: signed term counts hashed to ``dim`` places, of length 1.
+def _hashed(dim: int):
+    """Offline embedding: signed token counts hashed to ``dim`` places, of length 1.
 
-    No model is behind it; it stands in where none is configured.
+    No model is behind it; it stands in where none is given.
     """
-    hashes = F.transform(tokenize(text), lambda t: F.xxhash64(t))
-
-    def place(i: Column) -> Column:
-        mine = F.filter(hashes, lambda h: F.pmod(h, F.lit(dim)) == i)
-        return F.aggregate(mine, F.lit(0.0), lambda s, h: s + F.when(F.shiftright(h, 32) % 2 == 0, 1.0).otherwise(-1.0))
-
-    return l2_normalize(F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), place))
-
-
-def _hashed(dim: int):
     from pyspark.sql.pandas.functions import pandas_udf
 
     @pandas_udf("array<float>")
@@ -69,25 +59,35 @@ def embed_texts(rows: DataFrame, id_col: str = "id", text_col: str = "text", dim
 
 
 def _best(query_ids: list, queries: np.ndarray, k: int, digits: int | None):
+    """The partition's best ``k`` a query, kept from batch to batch and sent at its end."""
+
     def run(batches):
+        held_names = [np.empty(0, object)] * len(query_ids)
+        held_scores = [np.empty(0)] * len(query_ids)
+        id_type = None
         for batch in batches:
-            ids = batch.column(0)
-            vectors = batch.column(1)
-            known = np.flatnonzero(~np.asarray(vectors.is_null()))
-            if not len(known):
+            id_type = batch.schema.field(0).type
+            whole = batch.filter(batch.column(1).is_valid())
+            if not whole.num_rows:
                 continue
-            matrix = np.array([vectors[int(i)].as_py() for i in known], np.float64)
+            matrix = np.asarray(whole.column(1).flatten(), np.float64).reshape(whole.num_rows, -1)
             scores = matrix @ queries.T
             if digits is not None:
                 scores = np.round(scores, digits)
-            names = np.array(ids.take(pa.array(known)).to_pylist())
-            out_q, out_v, out_s = [], [], []
-            for q, qid in enumerate(query_ids):
-                order = np.lexsort((names, -scores[:, q]))[:k]
-                out_q += [qid] * len(order)
-                out_v += names[order].tolist()
-                out_s += scores[order, q].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_v, ids.type), pa.array(out_s, pa.float64())], ["question_id", "vec_id", "score"])
+            names = np.array(whole.column(0).to_pylist(), object)
+            for q in range(len(query_ids)):
+                every, mine = np.concatenate((held_names[q], names)), np.concatenate((held_scores[q], scores[:, q]))
+                if len(mine) > k:  # only what can be among the best is sorted
+                    least = np.partition(mine, len(mine) - k)[len(mine) - k]
+                    every, mine = every[mine >= least], mine[mine >= least]
+                order = np.lexsort((every, -mine))[:k]
+                held_names[q], held_scores[q] = every[order], mine[order]
+        if id_type is not None:
+            sizes = [len(x) for x in held_names]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(query_ids, sizes), pa.int64()), pa.array(np.concatenate(held_names).tolist(), id_type), pa.array(np.concatenate(held_scores), pa.float64())],
+                ["question_id", "vec_id", "score"],
+            )
 
     return run
 

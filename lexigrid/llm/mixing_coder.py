@@ -46,6 +46,7 @@ class _Model:
         self.first, self.second = np.zeros(top, np.int64), np.zeros(1 << 18, np.int64)
         # Of predictions by order and confidence: how many were wrong and right.
         self.seen = np.tile(np.array([1, 0], np.int64), (2, LEVELS))
+        self.masses: tuple[np.ndarray, np.ndarray] | None = None  # of order 1, of both
         self.step = 0
         self._rebuild()
 
@@ -72,12 +73,14 @@ class _Model:
         self.entry1, self.entry2 = self.first.take(last), self.second.take(self.slot2)
         self.id1, self.id2 = self.entry1 >> 4, self.entry2 >> 4
         self.conf1, self.conf2 = self.entry1 & 15, self.entry2 & 15
-        odds = np.minimum((self.seen[:, 1::2] << 10) // self.seen[:, ::2], 1 << 16)
-        odds[:, 0] = 0
-        self.mass1 = np.minimum((odds[0] * self.total) >> 10, self.total << 4).take(self.conf1)
-        base = self.mass1 + self.total
-        self.mass2 = np.minimum((odds[1].take(self.conf2) * base) >> 10, self.total << 6)
-        self.sum = base + self.mass2
+        if self.masses is None:
+            odds = np.minimum((self.seen[:, 1::2] << 10) // self.seen[:, ::2], 1 << 16)
+            odds[:, 0] = 0
+            mass1 = np.minimum((odds[0] * self.total) >> 10, self.total << 4)
+            self.masses = mass1, np.minimum((odds[1][:, None] * (mass1 + self.total)) >> 10, self.total << 6).ravel()
+        self.mass1 = self.masses[0].take(self.conf1)
+        self.mass2 = self.masses[1].take(self.conf2 * LEVELS + self.conf1)
+        self.sum = self.mass1 + self.mass2 + self.total
 
     def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(cumulative mass below, mass) of each id; notes which predictions are right."""
@@ -111,13 +114,15 @@ class _Model:
         return np.where(inside_a & ~low_a, a, found)
 
     def learn(self, ids: np.ndarray) -> None:
-        """Order 2 is judged on all ids, order 1 where order 2 was wrong."""
+        """Order 2 is judged on all ids, order 1 where order 2 was wrong; later on in every fourth step."""
         self.waiting.append(ids)
         hit1, hit2 = self.hit1, self.hit2
-        self.seen[1] += np.bincount(2 * self.conf2 + hit2, minlength=2 * LEVELS)
-        key = 2 * self.conf1 + hit1
-        key[hit2 & (self.conf2 > 0)] = 0
-        self.seen[0] += np.bincount(key, minlength=2 * LEVELS)
+        if self.step < 16 or self.step % 4 == 0:
+            self.seen[1] += np.bincount(2 * self.conf2 + hit2, minlength=2 * LEVELS)
+            key = 2 * self.conf1 + hit1
+            key[hit2 & (self.conf2 > 0)] = 0
+            self.seen[0] += np.bincount(key, minlength=2 * LEVELS)
+            self.masses = None
         fresh = (ids << 4) + 1
         for slot, entry, conf, hit, table in ((self.slot1, self.entry1, self.conf1, hit1, self.first), (self.slot2, self.entry2, self.conf2, hit2, self.second)):
             kept = np.where(conf > 1, entry - conf + (conf >> 1), fresh)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrid.llm._shared import cut, fold_rows, small_batches
-from lexigrid.llm.tokenizers_io import Ids
+from lexigrid.llm.tokenizers_io import ids_of
 
 LENGTH, OPEN, SLACK, END_ID = 2048, 64, 8, 1
 #: Tasks of the first merging round.
@@ -114,7 +114,7 @@ class Packer:
 
 def _pack(path: str, length: int, most_open: int, slack: int, end_id: int):
     def run(batches):
-        ids, out = Ids(path), _Out(1, TaskContext.get().partitionId())
+        ids, out = ids_of(path), _Out(1, TaskContext.get().partitionId())
         packer = Packer(out, length, most_open, slack)
         for batch in batches:
             for doc, made in zip(batch.column(0).to_pylist(), ids.of([t or "" for t in batch.column(1).to_pylist()]), strict=True):

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.llm._shared import cut, fold_rows, scratch_dir, small_batches
 from lexigrid.llm.mixing_coder import decode_block, encode_block
-from lexigrid.llm.tokenizers_io import Ids
+from lexigrid.llm.tokenizers_io import ids_of
 
 BLOCK_IDS, END_ID = 1 << 20, 1
 MANIFEST = "part int, file string, at long, bytes long, before long, n_ids long, n_docs long"
@@ -41,7 +41,7 @@ IDS = "doc_id long, start long, ids binary"
 
 def _write(folder: str, path: str, end_id: int, block_ids: int):
     def blocks(batches) -> Iterator[tuple[list, list]]:
-        ids, docs, parts, n = Ids(path), [], [], 0
+        ids, docs, parts, n = ids_of(path), [], [], 0
         end = np.array([end_id], np.uint32)
         for batch in batches:
             for doc, made in zip(batch.column(0).to_pylist(), ids.of([t or "" for t in batch.column(1).to_pylist()]), strict=True):

@@ -7,22 +7,24 @@ one of the libraries); all other texts go through ``tokenizers`` whole:
 
 * a byte-level file without a normalizer is encoded by ``tiktoken`` with the same merges;
 * a file that drops white space is encoded word by word: a word between white space has
-  the same ids wherever it stands, so they are remembered, up to ``REMEMBERED`` words.
-  Characters below U+0250 have no other composed form, and lower-case alike in both.
+  the same ids wherever it stands, so words are remembered by a 64-bit hash, about
+  ``REMEMBERED`` at most. Characters below U+0250 have no other composed form, and are
+  lower-cased alike by both.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from functools import lru_cache
 
 import numpy as np
 import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-REMEMBERED = 3 << 17
-_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\x9fİɐ-\U0010ffff]")
+REMEMBERED = 1 << 20
+_ODD = re.compile("[\x00-\x08\x0e-\x1f\x7f-\xa0İɐ-\U0010ffff]")
 #: Fixed value: how byte-level files of this kind split a text before merging.
 _BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -34,8 +36,14 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=2)
+def ids_of(path: str) -> Ids:
+    """The encoder of a file, kept by the worker process from task to task."""
+    return Ids(path)
+
+
 class Ids:
-    """Encoder of one file; one instance serves a task."""
+    """Encoder of one file."""
 
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
@@ -43,11 +51,32 @@ class Ids:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.fast = self._ranked(spec) if not spec["normalizer"] and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"] else None
-        self.words: dict[str, bytes] | None = None
+        self.words: WordTable | None = None
         if spec["model"].get("end_of_word_suffix") and self._drops_space(spec):
-            self.words, self.pieces = {}, {}
+            self.words = WordTable()
             self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
             self.letters = {b: letter for letter, b in _byte_letters().items()}
+            self.ends = self._with_ends(spec)
+
+    @staticmethod
+    def _with_ends(spec: dict) -> tiktoken.CoreBPE | None:
+        """The same merges on bytes, with a zero byte for a word's end.
+
+        Holds for files whose ids are bytes, bytes at an end, then merges in their order;
+        texts with a zero byte don't come here.
+        """
+        letters, vocab, end = _byte_letters(), spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
+        joined = [a + b for a, b in merges]
+        if any(vocab[t] != 512 + i for i, t in enumerate(joined)) or any(vocab[c] > 255 or not 255 < vocab[c + end] < 512 for c in letters):
+            return None
+
+        def raw(token: str) -> bytes:
+            body, tail = (token[: -len(end)], b"\0") if token.endswith(end) else (token, b"")
+            return bytes(letters[c] for c in body) + tail
+
+        ranks = {raw(t): vocab[t] for c in letters for t in (c, c + end)} | {raw(t): 512 + i for i, t in enumerate(joined)}
+        return tiktoken.Encoding("ends", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
@@ -89,25 +118,127 @@ class Ids:
         return out
 
     def _by_words(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.lower().split() for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words.clear()
-            self.pieces.clear()
-        out = []
-        for words in split:
-            ids = list(map(self.words.get, words))
-            if None in ids:
-                self._learn({w for w, known in zip(words, ids, strict=True) if known is None})
-                ids = map(self.words.__getitem__, words)
-            out.append(np.frombuffer(b"".join(ids), np.uint32))
+        blobs = [t.lower().encode() for t in texts]
+        blob = b"\n".join(blobs) + b"\n"
+        begins, ends, keys = word_hashes(blob)
+        table = self.words
+        if table.n > REMEMBERED:
+            table.clear()
+        slots = table.find(keys)
+        missing = np.flatnonzero(slots < 0)
+        if len(missing):
+            fresh, first = np.unique(keys[missing], return_index=True)
+            at = missing[first]
+            table.add(fresh, [self._ids_of(blob[a:b].decode()) for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
+            slots = table.find(keys)
+        ids, sizes = table.ids(slots)
+        limits = np.cumsum([len(b) + 1 for b in blobs])
+        stops = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(begins, limits)]
+        return np.split(ids, stops[:-1])
+
+    def _ids_of(self, word: str) -> list[int]:
+        made = []
+        for part in self.split.findall(word):
+            raw = part.encode()
+            if self.ends:
+                made += self.ends.encode_single_piece(raw + b"\0")
+            else:
+                made += [t.id for t in self.library.model.tokenize(raw.decode("latin-1").translate(self.letters))]
+        return made
+
+
+#: Odd multiplier of the word hash, and its inverse modulo 2**64.
+_P = 0x9E3779B97F4A7C15
+_INVERSE = pow(_P, -1, 1 << 64)
+_BYTE_KEYS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+@lru_cache(maxsize=2)
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))))
+
+
+def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, end, 64-bit hash) of each word of a blob that ends in white space.
+
+    A polynomial of random byte values; prefix sums give all words' hashes at once.
+    """
+    raw = np.frombuffer(blob, np.uint8)
+    space = _IS_SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edge = edge if space[0] else np.concatenate(([0], edge))
+    begins, ends = edge[::2], edge[1::2]
+    size = 1 << max(16, (len(raw) - 1).bit_length())
+    sums = _BYTE_KEYS[raw]
+    sums *= _powers(_P, size)[: len(raw)]
+    np.cumsum(sums, out=sums)
+    keys = sums[ends - 1] - np.where(begins > 0, sums[begins - 1], np.uint64(0))
+    keys *= _powers(_INVERSE, size)[begins]
+    keys ^= keys >> np.uint64(32)
+    keys *= np.uint64(0xD6E8FEB86659FD93)
+    keys ^= keys >> np.uint64(29)
+    return begins, ends, np.maximum(keys, np.uint64(1))
+
+
+class WordTable:
+    """Word hash -> ids, as an open-addressed table of arrays."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.bits = 16
+        self.keys, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self.store, self.starts, self.sizes = np.zeros(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32)
+        self.n, self.used = 0, 0
+
+    def _grow(self) -> None:
+        held = np.flatnonzero(self.keys)
+        keys, place = self.keys[held], self.place[held]
+        self.bits += 2
+        self.keys, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self._put(keys, place)
+
+    def _put(self, keys: np.ndarray, place: np.ndarray) -> None:
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(keys):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = keys[free]
+            won = self.keys[slot] == keys  # of several keys for one slot the last is in
+            self.place[slot[won]] = place[won]
+            keys, place, slot = keys[~won], place[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each key, or -1."""
+        slot, out = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.full(len(keys), -1, np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            held = self.keys[slot]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.place[slot[hit]]
+            on = ~hit & (held != 0)
+            open_, slot = open_[on], (slot[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def _learn(self, words: set[str]) -> None:
-        pieces = self.pieces
-        for word in words:
-            parts = self.split.findall(word)
-            for part in parts:
-                if part not in pieces:
-                    letters = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-                    pieces[part] = np.array([t.id for t in self.library.model.tokenize(letters)], np.uint32).tobytes()
-            self.words[word] = pieces[parts[0]] if len(parts) == 1 else b"".join(map(pieces.__getitem__, parts))
+    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
+        """New distinct keys, with their ids."""
+        while self.n + len(keys) > 1 << (self.bits - 1):
+            self._grow()
+        counts = np.fromiter(map(len, ids), np.int64, len(ids))
+        total = int(counts.sum())
+        while self.used + total > len(self.store):
+            self.store = np.concatenate((self.store, np.zeros_like(self.store)))
+        while self.n + len(ids) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
+        self.store[self.used : self.used + total] = [i for x in ids for i in x]
+        self.starts[self.n : self.n + len(ids)] = self.used + np.cumsum(counts) - counts
+        self.sizes[self.n : self.n + len(ids)] = counts
+        self._put(keys, np.arange(self.n, self.n + len(ids)))
+        self.n, self.used = self.n + len(ids), self.used + total
+
+    def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all entries in a row, how many each has)."""
+        sizes, starts = self.sizes[entries], self.starts[entries]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        return self.store[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes

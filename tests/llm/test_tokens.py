@@ -36,7 +36,7 @@ def reference_bpe():
 TEXTS = st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \n\t'sSéßİ\x1c\x85\xa0́ǅ09.,"))).filter(lambda t: "\x00" not in t)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=60, deadline=None)
 @given(st.lists(TEXTS, max_size=6))
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_ids_equal_the_library(path, texts):
@@ -143,7 +143,7 @@ def test_token_files_of_odd_rows(spark, odd, none):
     assert token_files.read_ids(spark, token_files.write_ids(none, WORDS)).count() == 0
 
 
-@settings(max_examples=40, deadline=None)
+@settings(max_examples=25, deadline=None)
 @given(st.integers(0, 2000), st.integers(1, 70000), st.integers(0, 99))
 def test_coder_round_trip(n, top, seed):
     random_ = np.random.default_rng(seed)

@@ -49,6 +49,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+class Strings:
+    """Numbered byte strings; rows of numbers are joined by array operations."""
+
+    def __init__(self, strings: list[bytes]) -> None:
+        self.sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.store = np.frombuffer(b"".join(strings), np.uint8)
+
+    def joined(self, numbers: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        return self.store[np.repeat(self.begins[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def joined_rows(self, numbers: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+        """One byte string for each row; row i has the numbers from offset i to the next."""
+        ends = np.concatenate(([0], np.cumsum(self.sizes[numbers])))[offsets]
+        whole = self.joined(numbers).tobytes()
+        return [whole[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+
+
 @lru_cache(maxsize=2)
 def codec_of(path: str, pattern: str) -> Codec:
     """The codec of a file, kept by the worker process from task to task."""
@@ -62,7 +82,9 @@ class Codec:
         ranks = load_ranks(path)
         self.find = regex.compile(pattern)
         self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.bytes_of = {i: token for token, i in ranks.items()}
+        self.tokens = Strings([token for _, token in sorted((i, token) for token, i in ranks.items())])
+        if sorted(ranks.values()) != list(range(len(ranks))):
+            raise ValueError("ranks are not 0, 1, 2 ...")
         self.memo: dict[str, list[int]] = {}
 
     def pieces(self, text: str, at: int = 0) -> list[str]:
@@ -76,11 +98,12 @@ class Codec:
             memo[piece] = self.library._core_bpe.encode_single_piece(piece.encode())
         return list(chain.from_iterable(map(memo.__getitem__, pieces)))
 
-    def encode(self, text: str) -> list[int]:
-        return self.encode_pieces(self.pieces(text))
+    def encode(self, text: str) -> np.ndarray:
+        """A text that is one chunk: the library splits it and encodes the pieces."""
+        return self.library.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.tokens.joined(np.asarray(ids, np.int64)).tobytes()
 
 
 class Stitcher:
@@ -127,9 +150,9 @@ class Stitcher:
         self.at = at + len(text) - size
 
 
-def _with_ids(schema: pa.Schema, batch: pa.RecordBatch, ids: list[list[int]]) -> pa.RecordBatch:
+def _with_ids(schema: pa.Schema, batch: pa.RecordBatch, ids: list[np.ndarray]) -> pa.RecordBatch:
     counts = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum()))
+    flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
     made = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(flat))
     return pa.RecordBatch.from_arrays([made.cast(schema.field(n).type) if n == "ids" else batch.column(batch.schema.get_field_index(n)) for n in schema.names], schema=schema)
 
@@ -158,7 +181,7 @@ def _encode_chunks(path: str, pattern: str, text_col: str, schema: pa.Schema):
                 if last:
                     columns = {n: row.column(row.schema.get_field_index(f"_bb_col_{n}")) for n in schema.names if n not in ("ids", text_col)}
                     columns[text_col] = pa.array(["".join(parts)], pa.string())
-                    yield _with_ids(schema, pa.RecordBatch.from_arrays(list(columns.values()), list(columns)), [codec.encode_pieces(stitch.sure)])
+                    yield _with_ids(schema, pa.RecordBatch.from_arrays(list(columns.values()), list(columns)), [np.array(codec.encode_pieces(stitch.sure), np.int32)])
 
     return run
 
@@ -196,11 +219,19 @@ def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text
     return short.unionByName(long)
 
 
+def id_rows(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(all ids in a row, where each row begins and the last ends); null rows are empty."""
+    sizes = np.asarray(column.value_lengths().fill_null(0)).astype(np.int64)
+    return np.asarray(column.flatten()).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
+
+
 def _decode(path: str, pattern: str, ids_index: int, schema: pa.Schema):
     def run(batches):
         codec = codec_of(path, pattern)
         for batch in batches:
-            made = pa.array([None if ids is None else codec.decode(ids) for ids in batch.column(ids_index).to_pylist()], pa.binary())
+            numbers, offsets = id_rows(batch.column(ids_index))
+            known = batch.column(ids_index).is_valid().to_pylist()
+            made = pa.array([b if k else None for b, k in zip(codec.tokens.joined_rows(numbers, offsets), known, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([made if n == "decoded" else batch.column(batch.schema.get_field_index(n)) for n in schema.names], schema=schema)
 
     return run

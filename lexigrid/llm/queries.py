@@ -15,14 +15,15 @@ from lexigrid.llm._shared import documents, fold_rows
 
 def _bpe_digests():
     def run(batches):
-        decimal = [b"%d" % i for i in range(1 << 16)]
+        decimal = byte_bpe.Strings([b"%d " % i for i in range(1 << 16)])
         for batch in batches:
-            ids, decoded = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            ids, offsets = byte_bpe.id_rows(batch.column(1))
+            texts, decoded = decimal.joined_rows(ids, offsets), batch.column(2).to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(map(len, ids), pa.int64()),
-                    pa.array([hashlib.sha256(b" ".join(map(decimal.__getitem__, x))).hexdigest() for x in ids], pa.string()),
+                    pa.array(offsets[1:] - offsets[:-1]),
+                    pa.array([hashlib.sha256(x[:-1]).hexdigest() for x in texts], pa.string()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
                 ],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -153,7 +153,21 @@ _STRIDE = f"""SELECT doc_id || '_p1_token_' || pos // 850 AS id, doc_id::VARCHAR
 
 _MESSY = r"chr(10) || chr(9) || ' ' || replace(text, chr(10), chr(13) || chr(10) || chr(10) || ' ' || chr(9) || chr(10) || chr(10)) || chr(13) || ' '"
 
+
+
+def _html_text() -> str:
+    """Text nodes by lines: skipped subtrees and comments are as tags, runs of tags are line ends."""
+    text = "html"
+    for tag in ("script", "style", "nav", "header", "footer"):
+        text = rf"regexp_replace({text}, '(?is)<{tag}[^>]*>.*?(</{tag}>|$)', '<x>', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '(?s)<!--.*?-->', '<x>', 'g'), '(<[^>]*>)+', chr(10), 'g')"
+    for name, sign in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{sign}')"
+    return _strip(rf"regexp_replace(regexp_replace({text}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
 ORACLE_SQL: dict[str, str] = {
+    "html_extract": f"SELECT * FROM (SELECT page_id, {_html_text()} AS text FROM pages) WHERE text <> ''",
     "detect_type": """SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'html' WHEN 1 THEN 'html' WHEN 2 THEN 'pdf' WHEN 3 THEN 'docx' WHEN 4 THEN 'docx' WHEN 5 THEN 'txt' WHEN 6 THEN 'csv' WHEN 7 THEN 'xlsx' WHEN 8 THEN 'unknown'
         ELSE coalesce(CASE regexp_extract(url, '\\.([a-z]+)$', 1) WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' WHEN 'txt' THEN 'txt' WHEN 'pdf' THEN 'pdf' END, 'unknown') END AS type FROM pages""",
     "list_documents": "SELECT 'doc' || doc_id || '.txt' AS name, round(n_chars / 1024, 1) AS size_kb, 'txt' AS type FROM documents",

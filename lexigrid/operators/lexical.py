@@ -6,8 +6,8 @@ mean idf of all distinct terms, taken before it is replaced.
 
 Scale: only postings of query terms are exploded into scores; document frequencies are
 partial aggregates over distinct terms of a chunk, so no (term, chunk) pair is shuffled
-for them. Corpus figures are one row. Query terms are joined by equality; AQE broadcasts
-them where their measured size allows.
+for them. Corpus figures are one row. Up to ``SENT_TERMS`` counted query terms are sent
+along and filter tokens before they are exploded; larger sets are joined by equality.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from lexigrid.functions.text import tokenize
 
 #: Fixed values of the formula.
 K1, B, EPSILON = 1.5, 0.75, 0.25
+#: Up to so many (question, term) pairs are sent to all tasks; more are joined by shuffles.
+SENT_TERMS = 10_000
 
 
 def token_table(chunks: DataFrame, stopwords: Sequence[str] = (), id_col: str = "id", order: str = "corpus_ord") -> DataFrame:
@@ -55,18 +57,29 @@ def bm25_scores(tokens: DataFrame, queries: DataFrame, stopwords: Sequence[str]
 
     ``queries``: ``question_id, question``; a repeated term counts as often as it occurs.
     """
-    wanted = (
-        queries.select("question_id", F.explode(tokenize(F.col("question"), stopwords)).alias("term")).groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    )
+    words = queries.select("question_id", F.explode(tokenize(F.col("question"), stopwords)).alias("term"))
+    wanted = words.groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    pairs = wanted.limit(SENT_TERMS + 1).collect()
+    few = len(pairs) <= SENT_TERMS
+    if few:
+        wanted = tokens.sparkSession.createDataFrame([tuple(r) for r in pairs], wanted.schema)
     terms = term_stats(tokens)
     corpus = corpus_stats(tokens, terms)
     idf = terms.join(F.broadcast(corpus)).select(
         "term", "avgdl", F.when(F.col("raw_idf") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw_idf")).alias("idf")
     )
-    weighted = wanted.join(idf, "term")
-    only = wanted.select("term").distinct()
-    hits = tokens.select("chunk_id", "corpus_ord", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(only, "term", "left_semi")
-    tf = hits.groupBy("term", "chunk_id", "corpus_ord", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    sized = tokens.select("chunk_id", "corpus_ord", F.size("tokens").alias("dl"), "tokens")
+    if few:
+        # The terms are known: other tokens go before anything is exploded, and counts need no shuffle.
+        names = sorted({r["term"] for r in pairs})
+        asked = F.filter("tokens", lambda t: t.isin(*names)) if names else F.slice("tokens", 1, 0)
+        weighted = F.broadcast(wanted.join(idf.where(F.col("term").isin(*names) if names else F.lit(False)), "term"))
+        mine = sized.withColumn("tokens", asked).where(F.size("tokens") > 0)
+        tf = mine.select("chunk_id", "corpus_ord", "dl", "tokens", F.explode(F.array_distinct("tokens")).alias("term")).withColumn("tf", F.size(F.filter("tokens", lambda t: t == F.col("term"))))
+    else:
+        weighted = wanted.join(idf, "term")
+        hits = sized.select("chunk_id", "corpus_ord", "dl", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
+        tf = hits.groupBy("term", "chunk_id", "corpus_ord", "dl").agg(F.count(F.lit(1)).alias("tf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return tf.join(weighted, "term").groupBy("question_id", "chunk_id", "corpus_ord").agg(F.sum(part).alias("score"))
 

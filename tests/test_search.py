@@ -38,8 +38,10 @@ def plain_bm25(query):
     return [sum(idf.get(w, 0) * d.count(w) * 2.5 / (d.count(w) + 1.5 * (0.25 + 0.75 * len(d) / avgdl)) for w in query.split()) for d in docs]
 
 
+@pytest.mark.parametrize("bound", [0, 10_000])
 @pytest.mark.parametrize("query", ["merger acquisition", "the the in", "patents", "the"])
-def test_bm25_equals_the_formula(spark, tokens, query):
+def test_bm25_equals_the_formula(spark, tokens, query, bound, monkeypatch):
+    monkeypatch.setattr(lexical, "SENT_TERMS", bound)
     want = {i: round(s, 6) for i, s in enumerate(plain_bm25(query)) if s > 0}
     got = {int(r.chunk_id.split("_")[1]): round(r.score, 6) for r in lexical.bm25_search(tokens, ask(spark, query)).collect()}
     assert got == want

@@ -14,9 +14,6 @@ BATCH_ROWS = 256
 
 _CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
 
-#: Scratch folders made so far, in order; ``drop_scratch`` removes them.
-_made: list[str] = []
-
 
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; set here only where the session has none."""
@@ -24,6 +21,9 @@ def shared_root(spark: SparkSession) -> str:
     if not root:
         sc = spark.sparkContext
         root = getattr(sc, "_lexigrid_scratch", None)
+        given = sc._jsc.sc().getCheckpointDir()
+        if not root and given.isDefined():
+            root = given.get()
         if not root:
             root = sc._lexigrid_scratch = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
             sc.setCheckpointDir(root)
@@ -36,22 +36,9 @@ def scratch_dir(spark: SparkSession, tag: str) -> str:
     made = f"{shared_root(spark)}/lexigrid-{tag}-{uuid.uuid4().hex}"
     path = spark._jvm.org.apache.hadoop.fs.Path(made)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
-    _made.append(made)
     return made
 
 
-def scratch_mark() -> int:
-    return len(_made)
-
-
-def drop_scratch(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
-    """Remove the scratch folders made from ``since`` on (their readers must be done)."""
-    for made in _made[since:until]:
-        delete_path(spark, made)
-    if until is None:
-        del _made[since:]
-
-
 def delete_path(spark: SparkSession, where: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -123,5 +123,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_substring_dedup": sql.OP2_SUBSTRING_DEDUP,
     "op7_line_dedup": sql.OP7_LINE_DEDUP,
 }

@@ -1,5 +1,25 @@
 """DuckDB SQL of the operators that SQL can express."""
 
+OP2_SUBSTRING_DEDUP = r"""
+WITH split_words AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents
+), bodies AS (
+  SELECT doc_id, list_transform(range(0, len(ws) - 19), lambda i: md5(array_to_string(ws[i + 1 : i + 20], ' '))) AS bs FROM split_words
+), ranked AS (
+  SELECT doc_id, pos, row_number() OVER (PARTITION BY body ORDER BY doc_id, pos) AS nth
+  FROM (SELECT doc_id, unnest(bs) AS body, generate_subscripts(bs, 1) AS pos FROM bodies)
+), cut AS (
+  SELECT DISTINCT doc_id, pos + d AS pos FROM ranked, (SELECT unnest(range(0, 20)) AS d) WHERE nth > 1
+), words AS (
+  SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM split_words
+), kept AS (
+  SELECT doc_id, count(*) AS n_words, count(cut.pos) AS n_removed, string_agg(word, ' ' ORDER BY words.pos) FILTER (WHERE cut.pos IS NULL) AS body
+  FROM words LEFT JOIN cut USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(body, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
 OP7_LINE_DEDUP = r"""
 WITH split_lines AS (
   SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents

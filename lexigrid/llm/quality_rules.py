@@ -133,14 +133,17 @@ def fit_votes(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 50) ->
     return {"base": math.log(prior) - math.log(1 - prior), "odds": odds}
 
 
-def judge(docs: DataFrame, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """``docs`` with the counts, ``votes``, ``p_good``, ``base_failed`` and ``kept``.
+def judge(docs: DataFrame, text_col: str = "text", threshold: float = 0.5, carry: tuple[str, ...] | None = None) -> DataFrame:
+    """``docs`` (of its columns those in ``carry``, all by default) with the counts, ``votes``, ``p_good``, ``base_failed`` and ``kept``.
 
     ``base_failed``: fewer than 50 words, or over half of the words in repeated windows;
     such texts are not kept whatever the posterior.
     """
     rules = rule_votes()
-    counted = cut(with_counts(docs, text_col), "rules")
+    counted = with_counts(docs, text_col)
+    if carry is not None:
+        counted = counted.select(*carry, *COUNTS)
+    counted = cut(counted, "rules")
     voted = counted.withColumn("votes", F.array(*rules.values()))
     patterns = sorted((tuple(r["votes"]), r["count"]) for r in voted.groupBy("votes").count().collect())
     model = fit_votes(patterns)

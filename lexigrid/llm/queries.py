@@ -87,7 +87,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, rule verdict and posterior of every document."""
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return quality_rules.judge(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+    return quality_rules.judge(docs, carry=("doc_id",)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,7 +41,7 @@ from lexigrid.llm._shared import fold_rows, small_batches
 
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 #: Pieces whose ids a task remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -57,10 +57,14 @@ class Strings:
         self.begins = np.cumsum(self.sizes) - self.sizes
         self.store = np.frombuffer(b"".join(strings), np.uint8)
 
-    def joined(self, numbers: np.ndarray) -> np.ndarray:
+    def joined(self, numbers: np.ndarray, step: int = 1 << 17) -> np.ndarray:
+        parts = [self._joined(numbers[i : i + step]) for i in range(0, len(numbers), step)]
+        return np.concatenate(parts) if parts else np.empty(0, np.uint8)
+
+    def _joined(self, numbers: np.ndarray) -> np.ndarray:
         sizes = self.sizes[numbers]
         ends = np.cumsum(sizes)
-        return self.store[np.repeat(self.begins[numbers] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        return self.store[np.repeat(self.begins[numbers] - (ends - sizes), sizes) + np.arange(ends[-1])]
 
     def joined_rows(self, numbers: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """One byte string for each row; row i has the numbers from offset i to the next."""

@@ -25,7 +25,7 @@ import numpy as np
 
 MAGIC = b"CMR1"
 _HEAD = struct.Struct("<4sIIIIIIII")  # magic, ids, documents, ids' top, lanes, directory bytes, body bytes, crc of rest, crc of ids
-MAX_LANES, LANE_IDS, LEVELS = 4096, 128, 16
+MAX_LANES, LANE_IDS, LEVELS = 8192, 128, 16
 _U = np.uint64
 _TOP, _LOW32 = _U(1) << _U(32), _U(0xFFFFFFFF)
 
@@ -171,9 +171,8 @@ def _encode_lanes(ids: np.ndarray, top: int) -> tuple[int, bytes]:
             small = small[grown < _TOP]
         model.learn(now)
         before, last = last, grid[t]
-    for shift in (32, 16, 0):
-        flat[used] = (low >> _U(shift)) & _U(0xFFFF)
-        used += 1
+    flat[used] = (low + _LOW32) >> _U(32)  # a value of the span that ends in zeros, which aren't kept
+    used += 1
     out, used = flat.reshape(lanes, -1), used - np.arange(lanes) * (len(flat) // lanes)
     for i in range(out.shape[1] - 1, 0, -1):
         out[:, i - 1] += out[:, i] >> 16
@@ -184,8 +183,9 @@ def _encode_lanes(ids: np.ndarray, top: int) -> tuple[int, bytes]:
 def _decode_lanes(body: bytes, n: int, lanes: int, top: int) -> np.ndarray:
     steps = _words(n)[1]
     used = np.frombuffer(body, "<u4", lanes).astype(np.int64)
-    words = np.concatenate((np.frombuffer(body, "<u2", -1, 4 * lanes).astype(_U), np.zeros(4, _U)))
-    at = np.concatenate(([0], np.cumsum(used)[:-1]))
+    ends = np.cumsum(used + 2)  # two zero words behind each lane
+    words, at = np.zeros(int(ends[-1]) + 4, _U), ends - used - 2
+    words[np.repeat(2 * np.arange(lanes), used) + np.arange(int(used.sum()))] = np.frombuffer(body, "<u2", -1, 4 * lanes)
     model = _Model(top)
     span = np.full(lanes, 1 << 48, _U)
     left = (words[at] << _U(32)) | (words[at + 1] << _U(16)) | words[at + 2]

@@ -6,7 +6,7 @@ they will be on new texts, earlier probabilities of a training row come from mod
 other folds (out-of-fold), never from one that has seen the row.
 
 Features: the distinct words of a text and the first ``PREFIX`` letters of each, among
-those that ``MIN_TEXTS`` training texts have at least; no other hashing, so rare words
+those that ``MIN_TEXTS`` training texts have at least and that tell toxic ones apart; rare words
 never share a weight. Models are logistic regressions by AdaGrad steps with an L1 step.
 
 Defined results
@@ -38,6 +38,8 @@ from lexigrid.llm.training import fit_in_task, sample
 
 SAMPLE, VOCABULARY, MIN_TEXTS, PREFIX, FOLDS, EPOCHS = 12_000, 1 << 16, 4, 4, 3, 12
 RATE, L1, BATCH = 0.3, 2e-4, 512
+#: Standard deviations by which a feature's toxic texts differ at least; start of AdaGrad's sums.
+LEAST_EXCESS, DAMPING = 4.0, 1e-3
 REMEMBERED = 1 << 18
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
@@ -94,7 +96,7 @@ def _regress(rows: _Rows, extra: np.ndarray, y: np.ndarray, size: int) -> tuple[
     w, v, b = np.zeros(size), np.zeros(extra.shape[1]), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     if y.sum() in (0, len(y)):
         return w, v, b
-    seen_w, seen_v = np.full(size, 1e-8), np.full(len(v), 1e-8)
+    seen_w, seen_v = np.full(size, DAMPING), np.full(len(v), DAMPING)
     random, batch = np.random.default_rng(7), max(16, min(BATCH, len(y) // 16))
     for _ in range(EPOCHS):
         order = random.permutation(len(y))
@@ -121,11 +123,10 @@ def fit(rows: list[tuple[str, int]], categories: dict[str, tuple[str, ...]] | No
     counts = Counter(name for f in features for name in f)
     kept = sorted((name for name, n in counts.items() if n >= MIN_TEXTS), key=lambda name: (-counts[name], name))
     toxic = np.array([y for _, y in rows], np.float64)
-    # Words that nearly every or no toxic text has tell least; the rest stay, up to the bound.
-    if len(kept) > VOCABULARY:
-        bad = Counter(name for f, y in zip(features, toxic, strict=True) if y for name in f)
-        share = toxic.mean()
-        kept = sorted(kept, key=lambda name: (-abs(bad[name] - share * counts[name]) / np.sqrt(counts[name]), name))[:VOCABULARY]
+    # Words that toxic texts have about as often as others only add noise, and go.
+    bad, share = Counter(name for f, y in zip(features, toxic, strict=True) if y for name in f), float(toxic.mean()) if len(toxic) else 0.0
+    excess = {name: (bad[name] - share * counts[name]) / np.sqrt(counts[name] * share * (1 - share) + 1e-9) for name in kept}
+    kept = sorted((name for name in kept if abs(excess[name]) >= LEAST_EXCESS), key=lambda name: (-abs(excess[name]), name))[:VOCABULARY]
     words = {name: i for i, name in enumerate(kept)}
     data = _Rows([np.array(sorted(words[n] for n in f if n in words), np.int64) for f in features])
     targets = [toxic * np.array([bool(f & set(listed)) for f in features], np.float64) for listed in categories.values()] + [toxic]

@@ -149,7 +149,7 @@ def test_odd_rows_and_empty_tables(spark, odd, none, kind):
 
 
 def test_toxic_texts_of_the_tables_are_found(spark):
-    sf = "/root/testdata/sf0.01"
+    sf = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     chain = toxicity.train(docs, labels.where("doc_id % 2 = 0"))
     rows = toxicity.score(docs, chain).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()

@@ -7,7 +7,8 @@ the last return the columns of ``documents``; ``n_chars`` follows the text (0 if
 Defined results, besides those of the operators
 * null texts are empty to every stage; a stage that leaves a text alone leaves it null.
 * documents that line or substring dedup empties stay, with an empty text.
-* of a group of near copies the least id stays; rows that repeat an id stay or go
+* near copies have a Jaccard similarity of 0.8 at least, of shingles of five words; of a
+  group the least id stays; rows that repeat an id stay or go
   together, and rows without an id stay.
 * an empty table goes through as an empty table.
 """
@@ -18,7 +19,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import line_dedup, packing, quality_classifier, simhash, substring_dedup
+from lexigrid.llm import line_dedup, near_copies, packing, quality_classifier, substring_dedup
 from lexigrid.llm._shared import cut, delete_path, documents, scratch_dir
 
 
@@ -41,8 +42,8 @@ def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup: one document of each group stays."""
-    found = simhash.near_groups(docs).where("doc_id <> component").select(F.col("doc_id").alias("_dropped")).distinct()
+    """SimHash near-dedup: one document of each group of verified near copies stays."""
+    found = near_copies.copy_groups(docs).where("doc_id <> component").select(F.col("doc_id").alias("_dropped")).distinct()
     return docs.join(found.hint("shuffle_hash"), docs["doc_id"] == found["_dropped"], "left_anti")
 
 

@@ -58,6 +58,14 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of shingles that are hashed already."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), _BLOCK):
+        ones += np.unpackbits(hashes[at : at + _BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def _fingerprints(shingle: int):
     def run(batches):
         for batch in batches:
@@ -219,9 +227,13 @@ def _links(bits: int):
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3) -> DataFrame:
     """``doc_id, fp, component``: the least id of the documents linked with each document."""
+    return link_fingerprints(cut(fingerprints(docs, id_col, text_col, shingle), "simhash"), bits)
+
+
+def link_fingerprints(fps: DataFrame, bits: int = 3) -> DataFrame:
+    """``near_groups`` of a written table ``doc_id, fp``."""
     if not 0 <= bits <= 3:
         raise ValueError("anchors cover links of at most 3 bits")
-    fps = cut(fingerprints(docs, id_col, text_col, shingle), "simhash")
     distinct = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     sent = distinct.mapInArrow(fold_rows(_replicate), "anchor long, fp long, rep long, home boolean")
     met = sent.repartition("anchor").sortWithinPartitions("anchor")

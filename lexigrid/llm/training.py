@@ -1,8 +1,9 @@
 """Fitting a model on a bounded, fixed sample of labelled documents, in one task.
 
 The sample is the ``limit`` labelled rows whose ids have the least hashes, so it is the
-same in every run and attempt. It is bounded before texts are joined to it, so both its
-broadcast and the task that fits see at most ``limit`` rows at any input size.
+same in every run and attempt. It is bounded before texts are joined to it, and of an id
+that documents repeat the text of least hash stays, so both its broadcast and the task that
+fits see at most ``limit`` rows at any input size.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ def sample(docs: DataFrame, labels: DataFrame, label: Column, limit: int, where:
     known = labels.where(label.isNotNull() & F.col("doc_id").isNotNull())
     known = known.where(where) if where is not None else known
     chosen = known.groupBy("doc_id").agg(F.max(label.cast("int")).alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    return texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    return one.select("doc_id", F.col("least.text").alias("text"), "label")
 
 
 def _fit(fit: Callable, args: tuple):

@@ -6,17 +6,25 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch to Python: whole texts travel, so batches stay small.
-BATCH_ROWS = 256
+#: Rows and bytes that a task takes from an Arrow batch at once; one larger row goes alone.
+BATCH_ROWS, BATCH_BYTES = 1024, 2 << 20
 
 _CLEANUP = "spark.sql.shuffleDependency.fileCleanup.enabled"
 
 
+def is_local(master: str) -> bool:
+    """Whether driver and tasks are one process, so that any folder is shared."""
+    return master == "local" or master.startswith("local[")
+
+
 def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; set here only where the session has none."""
+    """The folder of ``spark.checkpoint.dir``; set here only where a local session has none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         sc = spark.sparkContext
@@ -24,6 +32,8 @@ def shared_root(spark: SparkSession) -> str:
         given = sc._jsc.sc().getCheckpointDir()
         if not root and given.isDefined():
             root = given.get()
+        if not root and not is_local(sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not root:
             root = sc._lexigrid_scratch = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
             sc.setCheckpointDir(root)
@@ -60,9 +70,30 @@ def cut(df: DataFrame, tag: str, where: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(where)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Whole texts in Arrow batches: bound the rows of a batch by the texts' size."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def bounded(batches: Iterable[pa.RecordBatch], rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``rows`` rows and ``size`` bytes, if they have strings or lists."""
+    for batch in batches:
+        n, long = batch.num_rows, [c for c in batch.columns if _is_long(c.type)]
+        if n <= 1 or not long or (n <= rows and batch.nbytes <= size):
+            yield batch
+            continue
+        sums = np.cumsum(sum(map(_lengths, long), np.zeros(n, np.int64)))
+        at = 0
+        while at < n:
+            end = int(np.searchsorted(sums, (sums[at - 1] if at else 0) + size, side="right"))
+            end = min(max(end, at + 1), at + rows, n)
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def _is_long(kind: pa.DataType) -> bool:
+    return pa.types.is_string(kind) or pa.types.is_binary(kind) or pa.types.is_list(kind)
+
+
+def _lengths(column: pa.Array) -> np.ndarray:
+    sizes = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
+    sizes = pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return sizes * 8 if pa.types.is_list(column.type) else sizes
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -71,10 +102,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def fold_rows(make: Callable, *args) -> Callable[[Iterable], Iterator]:
-    """A ``mapInArrow`` function of ``make(*args)``, which is called once in each task."""
+    """A ``mapInArrow`` function of ``make(*args)``, which is called once in each task.
+
+    It sees bounded slices of Spark's batches, whatever the session's batch sizes are.
+    """
 
     def run(batches):
-        yield from make(*args)(batches)
+        yield from make(*args)(bounded(batches))
 
     return run
 

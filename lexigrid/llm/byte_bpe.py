@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexigrid.llm._shared import fold_rows, small_batches
+from lexigrid.llm._shared import fold_rows
 
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 #: Pieces whose ids a task remembers.
@@ -192,8 +192,6 @@ def _encode_chunks(path: str, pattern: str, text_col: str, schema: pa.Schema):
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``docs`` with ``ids array<int>`` of each text."""
-    spark = docs.sparkSession
-    small_batches(spark)
     fields = [f for f in docs.schema.fields if f.name != "ids"]
     docs = docs.select(*[f.name for f in fields])
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])

@@ -17,7 +17,8 @@ Scale: windows travel as two 64-bit hashes and a place, never as text. The first
 of each window is a partially aggregated minimum, so a line block shared by a third of
 all documents is summed before it is shuffled; going back from windows to places is a
 sort-merge join whose hot keys AQE can split, as the other side has one row a key.
-Covered lines are gathered by document, which bounds them by the document's own length.
+The distinct starts of covering windows are gathered by document, so they are bounded by the
+document's own length however often rows repeat it; each task adds up its own ones first.
 """
 
 from __future__ import annotations
@@ -66,7 +67,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         windows.join(first, ["_ld_h1", "_ld_h2"])
         .where(place > F.col("_ld_first"))
         .groupBy(F.col("_ld_id").alias("_ld_doc"), F.col("_ld_hash").alias("_ld_text"))
-        .agg(F.flatten(F.collect_list(F.sequence("_ld_at", F.col("_ld_at") + (width - 1)))).alias("_ld_cut"))
+        .agg(F.flatten(F.transform(F.collect_set("_ld_at"), lambda i: F.sequence(i, i + (width - 1)))).alias("_ld_cut"))
     )
     lines = _lines(F.col(text_col))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_ld_cut"))

@@ -42,7 +42,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexigrid.llm._shared import cut, fold_rows, scratch_dir, small_batches
+from lexigrid.llm._shared import cut, fold_rows, scratch_dir
 
 PAD, RATE = 64, 8000
 ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, RETRIES = 16 << 20, 8 << 20, 4 << 20, 3
@@ -118,7 +118,6 @@ def _write(folder: str, archive_bytes: int):
 def write_media(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> tuple[str, DataFrame]:
     """Store each text in archives under ``folder``; (folder, manifest of the archives)."""
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or scratch_dir(spark, "media")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return folder, cut(rows.mapInArrow(fold_rows(_write, folder, archive_bytes), MANIFEST), "archives")
@@ -244,7 +243,6 @@ def _decode(media_index: int, schema: pa.Schema):
 
 def decode_media(rows: DataFrame, media_col: str = "media") -> DataFrame:
     """``rows`` with ``payload`` (samples), ``n_bytes`` and ``feature`` of their media."""
-    small_batches(rows.sparkSession)
     fields = [f for f in rows.schema.fields if f.name not in ("payload", "n_bytes", "feature")]
     rows = rows.select(*[f.name for f in fields])
     schema = T.StructType([*fields, T.StructField("payload", T.BinaryType()), T.StructField("n_bytes", T.LongType()), T.StructField("feature", T.StringType())])

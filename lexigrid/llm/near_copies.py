@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest, xxh3_128_digest, xxh64_intdigest
 
 from lexigrid.llm import simhash
-from lexigrid.llm._shared import cut, fold_rows, small_batches
+from lexigrid.llm._shared import cut, fold_rows
 from lexigrid.llm.components import components
 
 WORDS, BANDS, ROWS = 5, 20, 5
@@ -164,7 +164,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, component``: the least id of the documents linked with each document."""
-    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(texts.mapInArrow(fold_rows(_describe), "doc_id long, fp long, sid binary, n long, bands array<long>"), "described")
     first = rows.where("doc_id is not null").groupBy("sid")

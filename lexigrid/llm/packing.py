@@ -5,9 +5,9 @@ ids, with an end id, are cut into whole windows as far as they go; the rest is p
 best-fit: in the open window with the least room that holds it. When none does and no
 window may be opened, the fullest is emitted: padded if at most ``slack`` tokens are
 missing, else filled with the head of the piece. What is left open at the end of all
-partitions is merged in two rounds: a few tasks fill windows in a row, then one task
-fills the last windows, at most one from each of those. The very last window, if not
-full, is emitted in parts whose lengths are powers of two, so it needs no padding.
+partitions is merged in rounds: each task fills windows from about ``FAN_IN`` of them and
+leaves at most one open, until one task can take what is left. The very last window, if
+not full, is emitted in parts whose lengths are powers of two, so it needs no padding.
 
 Defined results
 * null and empty texts are one end id. Rows are packed one by one: rows that repeat an
@@ -16,8 +16,10 @@ Defined results
 * each id lies in exactly one piece; offsets of a sequence have no gaps.
 
 Scale: the state of a task is its open windows; pieces are written once, and only
-leftovers, at most ``OPEN`` windows of a partition, are shuffled. Sequence numbers are
-made from round, partition and count, without coordination.
+leftovers, at most ``OPEN`` windows of a partition, are shuffled. A merging round has tasks
+in proportion to its windows, and each round has ``FAN_IN`` times fewer, so no task's share
+grows with the input. Sequence numbers are made from round, partition and count, without
+coordination.
 """
 
 from __future__ import annotations
@@ -30,12 +32,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import cut, fold_rows, small_batches
+from lexigrid.llm._shared import cut, fold_rows
 from lexigrid.llm.tokenizers_io import ids_of
 
 LENGTH, OPEN, SLACK, END_ID = 2048, 64, 8, 1
-#: Tasks of the first merging round.
-MERGERS = 64
+#: Windows that one task merges, on average; more are merged in rounds.
+FAN_IN = 256
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean"
 _NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
@@ -112,9 +114,9 @@ class Packer:
             self.out.emit(self.windows[window], True)
 
 
-def _pack(path: str, length: int, most_open: int, slack: int, end_id: int):
+def _pack(path: str, special: str, length: int, most_open: int, slack: int, end_id: int):
     def run(batches):
-        ids, out = ids_of(path), _Out(1, TaskContext.get().partitionId())
+        ids, out = ids_of(path, special), _Out(1, TaskContext.get().partitionId())
         packer = Packer(out, length, most_open, slack)
         for batch in batches:
             for doc, made in zip(batch.column(0).to_pylist(), ids.of([t or "" for t in batch.column(1).to_pylist()]), strict=True):
@@ -159,14 +161,20 @@ def _fill(level: int, length: int, last: bool):
     return run
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most_open: int = OPEN, slack: int = SLACK, end_id: int = END_ID) -> DataFrame:
-    """Pieces ``doc_id, start, length, ids (packed 32-bit), doc_tokens, sequence_id, offset``."""
-    spark = docs.sparkSession
-    small_batches(spark)
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, most_open: int = OPEN, slack: int = SLACK, end_id: int = END_ID, special: str = "tokens", fan_in: int = FAN_IN) -> DataFrame:
+    """Pieces ``doc_id, start, length, ids (packed 32-bit), doc_tokens, sequence_id, offset``.
+
+    ``special``: strings of added tokens are ``"tokens"``, or ordinary ``"text"``.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    packed = cut(rows.mapInArrow(fold_rows(_pack, path, length, most_open, slack, end_id), SCHEMA), "packed")
-    left = packed.where("open").repartition(MERGERS, "sequence_id").sortWithinPartitions("sequence_id", "offset")
-    merged = cut(left.mapInArrow(fold_rows(_fill, 2, length, False), SCHEMA), "merged")
-    rest = merged.where("open").repartition(1).sortWithinPartitions("sequence_id", "offset")
-    last = rest.mapInArrow(fold_rows(_fill, 3, length, True), SCHEMA)
-    return packed.where("not open").unionByName(merged.where("not open")).unionByName(last).drop("open")
+    packed = cut(rows.mapInArrow(fold_rows(_pack, path, special, length, most_open, slack, end_id), SCHEMA), "packed")
+    done, left, level = packed.where("not open"), packed.where("open"), 2
+    windows = left.select("sequence_id").distinct().count()
+    while windows > fan_in:
+        tasks = -(-windows // fan_in)
+        dealt = left.repartition(tasks, "sequence_id").sortWithinPartitions("sequence_id", "offset")
+        merged = cut(dealt.mapInArrow(fold_rows(_fill, level, length, False), SCHEMA), "merged")
+        done, left, level, windows = done.unionByName(merged.where("not open")), merged.where("open"), level + 1, tasks
+    rest = left.repartition(1).sortWithinPartitions("sequence_id", "offset")
+    last = rest.mapInArrow(fold_rows(_fill, level, length, True), SCHEMA)
+    return done.unionByName(last).drop("open")

@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_64_intdigest
 
-from lexigrid.llm._shared import fold_rows, small_batches
+from lexigrid.llm._shared import fold_rows
 from lexigrid.llm.training import fit_in_task, sample
 
 #: Labelled rows that are learnt from at most; weights; passes over the sample.
@@ -146,7 +146,6 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE, where: Column
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with ``score double`` and ``predicted int``."""
-    small_batches(docs.sparkSession)
     fields = [f for f in docs.schema.fields if f.name not in ("score", "predicted")]
     docs = docs.select(*[f.name for f in fields])
     schema = T.StructType([*fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])

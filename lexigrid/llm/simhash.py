@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from lexigrid.llm._shared import cut, fold_rows, small_batches
+from lexigrid.llm._shared import cut, fold_rows
 from lexigrid.llm.components import components
 
 #: Hashes unpacked to bits at a time.
@@ -77,7 +77,6 @@ def _fingerprints(shingle: int):
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """``doc_id, fp``: fingerprints as signed longs."""
-    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(fold_rows(_fingerprints, shingle), "doc_id long, fp long")
 

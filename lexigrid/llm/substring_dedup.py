@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from lexigrid.llm._shared import cut, delete_path, fold_rows, scratch_dir, small_batches
+from lexigrid.llm._shared import cut, delete_path, fold_rows, scratch_dir
 
 WINDOW, GRAM, FANOUT = 20, 10, 2
 #: Selected grams, or windows, that a task gathers before it sends sorted chunks.
@@ -478,7 +478,6 @@ class SubstringIndex:
 
         ``history``: the documents of all batches before, read again for woken places.
         """
-        small_batches(self.spark)
         if len(self.grams) >= self.fanout:
             self.compact()
         plain = batch.select(F.col(id_col).cast("long").alias("_sd_id"), F.col(text_col).alias("_sd_text"))

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import cut, fold_rows, scratch_dir, small_batches
+from lexigrid.llm._shared import cut, fold_rows, scratch_dir
 from lexigrid.llm.mixing_coder import decode_block, encode_block
 from lexigrid.llm.tokenizers_io import ids_of
 
@@ -39,9 +39,9 @@ _NAMES = [c.split()[0] for c in MANIFEST.split(", ")]
 IDS = "doc_id long, start long, ids binary"
 
 
-def _write(folder: str, path: str, end_id: int, block_ids: int):
+def _write(folder: str, path: str, special: str, end_id: int, block_ids: int):
     def blocks(batches) -> Iterator[tuple[list, list]]:
-        ids, docs, parts, n = ids_of(path), [], [], 0
+        ids, docs, parts, n = ids_of(path, special), [], [], 0
         end = np.array([end_id], np.uint32)
         for batch in batches:
             for doc, made in zip(batch.column(0).to_pylist(), ids.of([t or "" for t in batch.column(1).to_pylist()]), strict=True):
@@ -73,14 +73,16 @@ def _write(folder: str, path: str, end_id: int, block_ids: int):
     return run
 
 
-def write_ids(docs: DataFrame, path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """Write the ids of all documents; returns the manifest, with ``folder`` in each row."""
+def write_ids(docs: DataFrame, path: str, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block_ids: int = BLOCK_IDS, special: str = "tokens") -> DataFrame:
+    """Write the ids of all documents; returns the manifest, with ``folder`` in each row.
+
+    ``special``: strings of added tokens are ``"tokens"``, or ordinary ``"text"``.
+    """
     spark = docs.sparkSession
-    small_batches(spark)
     folder = folder or scratch_dir(spark, "ids")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    manifest = cut(dealt.mapInArrow(fold_rows(_write, folder, path, end_id, block_ids), MANIFEST), "manifest")
+    manifest = cut(dealt.mapInArrow(fold_rows(_write, folder, path, special, end_id, block_ids), MANIFEST), "manifest")
     return manifest.withColumn("folder", F.lit(folder))
 
 

@@ -1,21 +1,24 @@
 """Ids of a ``tokenizers`` file, by the library itself and by equal faster ways.
 
 ``Ids`` gives the ids that ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``
-gives with special strings taken as ordinary text. Two shortcuts serve texts of plain
-Latin characters (below U+0250, without control characters that are white space in only
-one of the libraries); all other texts go through ``tokenizers`` whole:
+gives: strings of the file's added tokens that stand in a text become those tokens, as the
+library does by default. With ``special="text"`` they are ordinary text (the library's
+``encode_special_tokens``). Two shortcuts serve texts of plain Latin characters (below
+U+0250, without control characters that are white space in only one of the libraries) that
+hold no such string; all other texts go through ``tokenizers`` whole:
 
 * a byte-level file without a normalizer is encoded by ``tiktoken`` with the same merges;
 * a file that drops white space is encoded word by word: a word between white space has
-  the same ids wherever it stands, so words are remembered by a 64-bit hash, about
-  ``REMEMBERED`` at most. Characters below U+0250 have no other composed form, and are
-  lower-cased alike by both.
+  the same ids wherever it stands, so words are remembered, about ``REMEMBERED`` at most,
+  and found again by all of their bytes. Characters below U+0250 have no other composed
+  form, and are lower-cased alike by both.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -37,19 +40,25 @@ def _byte_letters() -> dict[str, int]:
 
 
 @lru_cache(maxsize=2)
-def ids_of(path: str) -> Ids:
+def ids_of(path: str, special: str = "tokens") -> Ids:
     """The encoder of a file, kept by the worker process from task to task."""
-    return Ids(path)
+    return Ids(path, special)
 
 
 class Ids:
     """Encoder of one file."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: str = "tokens") -> None:
+        if special not in ("tokens", "text"):
+            raise ValueError("special strings are 'tokens' or 'text'")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.library.encode_special_tokens = special == "text"
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [t for t in spec["added_tokens"] if special == "tokens" or not t["special"]]
+        # Lower case too: a token may be looked for in the text that the normalizer made.
+        self.folded = any(t["normalized"] for t in added)
+        self.added = sorted({t["content"] for t in added} | {t["content"].lower() for t in added if t["normalized"]})
         self.fast = self._ranked(spec) if not spec["normalizer"] and spec["pre_tokenizer"]["type"] == "ByteLevel" and not spec["pre_tokenizer"]["add_prefix_space"] else None
         self.words: WordTable | None = None
         if spec["model"].get("end_of_word_suffix") and self._drops_space(spec):
@@ -105,7 +114,7 @@ class Ids:
     def of(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, as unsigned 32-bit arrays."""
         out: list[np.ndarray | None] = [None] * len(texts)
-        plain = [i for i, t in enumerate(texts) if (self.fast or self.words is not None) and not _ODD.search(t)]
+        plain = [i for i, t in enumerate(texts) if (self.fast or self.words is not None) and not self._needs_library(t)]
         if self.fast:
             for i in plain:
                 out[i] = np.array(self.fast.encode_ordinary(texts[i]), np.uint32)
@@ -117,21 +126,17 @@ class Ids:
             out[i] = np.array(made.ids, np.uint32)
         return out
 
+    def _needs_library(self, text: str) -> bool:
+        return bool(_ODD.search(text)) or any(s in text for s in self.added) or (self.folded and any(s in text.lower() for s in self.added))
+
     def _by_words(self, texts: list[str]) -> list[np.ndarray]:
         blobs = [t.lower().encode() for t in texts]
         blob = b"\n".join(blobs) + b"\n"
-        begins, ends, keys = word_hashes(blob)
-        table = self.words
-        if table.n > REMEMBERED:
-            table.clear()
-        slots = table.find(keys)
-        missing = np.flatnonzero(slots < 0)
-        if len(missing):
-            fresh, first = np.unique(keys[missing], return_index=True)
-            at = missing[first]
-            table.add(fresh, [self._ids_of(blob[a:b].decode()) for a, b in zip(begins[at].tolist(), ends[at].tolist(), strict=True)])
-            slots = table.find(keys)
-        ids, sizes = table.ids(slots)
+        begins, ends = word_spans(blob)
+        if self.words.n > REMEMBERED:
+            self.words.clear()
+        slots = self.words.entries(blob, begins, ends, self._ids_of)
+        ids, sizes = self.words.ids(slots)
         limits = np.cumsum([len(b) + 1 for b in blobs])
         stops = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(begins, limits)]
         return np.split(ids, stops[:-1])
@@ -147,95 +152,127 @@ class Ids:
         return made
 
 
-#: Odd multiplier of the word hash, and its inverse modulo 2**64.
-_P = 0x9E3779B97F4A7C15
-_INVERSE = pow(_P, -1, 1 << 64)
-_BYTE_KEYS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_U = np.uint64
+#: Bytes of a word that its key holds; longer words are found in a dictionary.
+_KEY = 16
+#: Masks of the first 0 to 8 bytes of a little-endian number.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], _U)
 
 
-@lru_cache(maxsize=2)
-def _powers(base: int, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(n - 1, base, np.uint64))))
-
-
-def word_hashes(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, end, 64-bit hash) of each word of a blob that ends in white space.
-
-    A polynomial of random byte values; prefix sums give all words' hashes at once.
-    """
-    raw = np.frombuffer(blob, np.uint8)
-    space = _IS_SPACE[raw]
+def word_spans(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of each word of a blob that ends in white space."""
+    space = _IS_SPACE[np.frombuffer(blob, np.uint8)]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     edge = edge if space[0] else np.concatenate(([0], edge))
-    begins, ends = edge[::2], edge[1::2]
-    size = 1 << max(16, (len(raw) - 1).bit_length())
-    sums = _BYTE_KEYS[raw]
-    sums *= _powers(_P, size)[: len(raw)]
-    np.cumsum(sums, out=sums)
-    keys = sums[ends - 1] - np.where(begins > 0, sums[begins - 1], np.uint64(0))
-    keys *= _powers(_INVERSE, size)[begins]
-    keys ^= keys >> np.uint64(32)
-    keys *= np.uint64(0xD6E8FEB86659FD93)
-    keys ^= keys >> np.uint64(29)
-    return begins, ends, np.maximum(keys, np.uint64(1))
+    return edge[::2], edge[1::2]
+
+
+def word_keys(blob: bytes, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first 16 bytes of each word, as two numbers; words have no zero byte."""
+    at_each = np.ndarray((len(blob) + 8,), "<u8", blob + bytes(_KEY), 0, (1,))  # the number at each byte
+    sizes = ends - begins
+    return at_each[begins] & _FIRST[np.minimum(sizes, 8)], at_each[begins + 8] & _FIRST[np.clip(sizes - 8, 0, 8)]
 
 
 class WordTable:
-    """Word hash -> ids, as an open-addressed table of arrays."""
+    """Word -> ids. Words of up to 16 bytes are their own keys, in an open-addressed table of
+    arrays; longer ones are keys of a dictionary. Either way equal keys are equal words."""
 
     def __init__(self) -> None:
         self.clear()
 
     def clear(self) -> None:
-        self.bits = 16
-        self.keys, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
+        self._size(16)
         self.store, self.starts, self.sizes = np.zeros(1 << 12, np.uint32), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int32)
-        self.n, self.used = 0, 0
-
-    def _grow(self) -> None:
-        held = np.flatnonzero(self.keys)
-        keys, place = self.keys[held], self.place[held]
-        self.bits += 2
-        self.keys, self.place = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
-        self._put(keys, place)
-
-    def _put(self, keys: np.ndarray, place: np.ndarray) -> None:
-        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
-        while len(keys):
-            free = self.keys[slot] == 0
-            self.keys[slot[free]] = keys[free]
-            won = self.keys[slot] == keys  # of several keys for one slot the last is in
-            self.place[slot[won]] = place[won]
-            keys, place, slot = keys[~won], place[~won], (slot[~won] + 1) & ((1 << self.bits) - 1)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Entry of each key, or -1."""
-        slot, out = (keys >> np.uint64(64 - self.bits)).astype(np.int64), np.full(len(keys), -1, np.int64)
-        open_ = np.arange(len(keys))
-        while len(open_):
-            held = self.keys[slot]
-            hit = held == keys[open_]
-            out[open_[hit]] = self.place[slot[hit]]
-            on = ~hit & (held != 0)
-            open_, slot = open_[on], (slot[on] + 1) & ((1 << self.bits) - 1)
+        self.long: dict[bytes, int] = {}
+        self.n, self.used, self.short = 0, 0, 0
+
+    def _size(self, bits: int) -> None:
+        self.bits = bits
+        self.low, self.high, self.place = np.zeros(1 << bits, _U), np.zeros(1 << bits, _U), np.zeros(1 << bits, np.int32)
+
+    def _slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        h = low * _U(0x9E3779B97F4A7C15)
+        h ^= h >> _U(32)
+        h = (h + high) * _U(0xD6E8FEB86659FD93)
+        h ^= h >> _U(29)
+        return ((h * _U(0x9E3779B97F4A7C15)) >> _U(64 - self.bits)).astype(np.int64)
+
+    def _put(self, low: np.ndarray, high: np.ndarray, place: np.ndarray) -> None:
+        slot = self._slots(low, high)
+        while len(low):
+            free = np.flatnonzero(self.low[slot] == 0)
+            # Of several words for one free slot the first has it.
+            free = free[np.unique(slot[free], return_index=True)[1]]
+            into = slot[free]
+            self.low[into], self.high[into], self.place[into] = low[free], high[free], place[free]
+            left = np.ones(len(low), bool)
+            left[free] = False
+            low, high, place, slot = low[left], high[left], place[left], (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Entry of each short word, or -1."""
+        slot, out = self._slots(low, high), np.full(len(low), -1, np.int64)
+        open_ = None  # all
+        while len(slot):
+            held = self.low[slot]
+            hit = (held == (low if open_ is None else low[open_])) & (self.high[slot] == (high if open_ is None else high[open_]))
+            on = np.flatnonzero(~hit & (held != 0))
+            found = np.flatnonzero(hit)
+            out[found if open_ is None else open_[found]] = self.place[slot[found]]
+            open_ = on if open_ is None else open_[on]
+            slot = (slot[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, keys: np.ndarray, ids: list[list[int]]) -> None:
-        """New distinct keys, with their ids."""
-        while self.n + len(keys) > 1 << (self.bits - 1):
-            self._grow()
+    def _store(self, ids: list[list[int]]) -> int:
+        """Keep the ids of new entries; the first one's number."""
         counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(counts.sum())
+        total, first = int(counts.sum()), self.n
         while self.used + total > len(self.store):
             self.store = np.concatenate((self.store, np.zeros_like(self.store)))
         while self.n + len(ids) > len(self.starts):
             self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
         self.store[self.used : self.used + total] = [i for x in ids for i in x]
-        self.starts[self.n : self.n + len(ids)] = self.used + np.cumsum(counts) - counts
-        self.sizes[self.n : self.n + len(ids)] = counts
-        self._put(keys, np.arange(self.n, self.n + len(ids)))
+        self.starts[first : first + len(ids)] = self.used + np.cumsum(counts) - counts
+        self.sizes[first : first + len(ids)] = counts
         self.n, self.used = self.n + len(ids), self.used + total
+        return first
+
+    def entries(self, blob: bytes, begins: np.ndarray, ends: np.ndarray, ids_of_word: Callable[[str], list[int]]) -> np.ndarray:
+        """Entry of each word of a blob; new words are added."""
+        out = np.empty(len(begins), np.int64)
+        is_long = ends - begins > _KEY
+        for i in np.flatnonzero(is_long).tolist():
+            word = blob[begins[i] : ends[i]]
+            if word not in self.long:
+                self.long[word] = self._store([ids_of_word(word.decode())])
+            out[i] = self.long[word]
+        some = np.flatnonzero(~is_long)
+        begins, ends = (begins, ends) if len(some) == len(begins) else (begins[some], ends[some])
+        low, high = word_keys(blob, begins, ends)
+        found = self.find(low, high)
+        missing = np.flatnonzero(found < 0)
+        if len(missing):
+            # One place of each new word: words are equal if both numbers are.
+            order = missing[np.lexsort((high[missing], low[missing]))]
+            head = np.ones(len(order), bool)
+            head[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
+            first = order[head]
+            made = self._store([ids_of_word(blob[a:b].decode()) for a, b in zip(begins[first].tolist(), ends[first].tolist(), strict=True)])
+            self._add(low[first], high[first], np.arange(made, made + len(first), dtype=np.int32))
+            found[order] = made + np.cumsum(head) - 1
+        out[some] = found
+        return out
+
+    def _add(self, low: np.ndarray, high: np.ndarray, place: np.ndarray) -> None:
+        self.short += len(low)
+        if self.short > 1 << (self.bits - 1):
+            held = np.flatnonzero(self.low)
+            old = self.low[held], self.high[held], self.place[held]
+            self._size(max(self.bits + 2, (2 * self.short - 1).bit_length()))
+            self._put(*old)
+        self._put(low, high, place)
 
     def ids(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all entries in a row, how many each has)."""

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexigrid.llm._shared import fold_rows, small_batches
+from lexigrid.llm._shared import fold_rows
 from lexigrid.llm.training import fit_in_task, sample
 
 SAMPLE, VOCABULARY, MIN_TEXTS, PREFIX, FOLDS, EPOCHS = 12_000, 1 << 16, 4, 4, 3, 12
@@ -186,7 +186,6 @@ def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Chain:
 
 def score(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with a probability ``p_<category>`` each, and ``predicted`` 1 where toxic."""
-    small_batches(docs.sparkSession)
     added = [f"p_{n}" for n in chain.names]
     fields = [f for f in docs.schema.fields if f.name not in (*added, "predicted")]
     docs = docs.select(*[f.name for f in fields])

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import fold_rows, small_batches
+from lexigrid.llm._shared import fold_rows
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: Column, limit: int, where: Column | None = None) -> DataFrame:
@@ -40,6 +40,5 @@ def _fit(fit: Callable, args: tuple):
 
 def fit_in_task(rows: DataFrame, fit: Callable[..., Any], *args) -> Any:
     """``fit(list of (text, label), *args)`` of a sample, as pickled by the task."""
-    small_batches(rows.sparkSession)
     made = rows.repartition(1).mapInArrow(fold_rows(_fit, fit, args), "model binary").collect()
     return pickle.loads(made[0]["model"]) if made else fit([], *args)

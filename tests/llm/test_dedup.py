@@ -102,6 +102,17 @@ def test_lines_of_odd_rows(odd, docs):
     assert got.where("doc_id is null and text is null").count() == 1
 
 
+def test_repeated_rows_gather_no_more_lines(spark):
+    """Starts are gathered once however often a row repeats its id and text."""
+    block = "\n".join(f"line {i} of a block" for i in range(10))
+    rows = [(1, block)] + [(2, block)] * 300 + [(None, "x\n" + block)] * 200
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.n_removed, r.text, r["count"]) for r in line_dedup.dedup_lines(frame).groupBy("doc_id", "n_removed", "text").count().collect()}
+    assert got == {(None, 0, "x\n" + block, 200), (1, 10, "", 1), (2, 10, "", 300)}
+    plan = line_dedup.dedup_lines(frame)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" in plan and "collect_list" not in plan
+
+
 def test_lines_use_no_python(docs):
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan

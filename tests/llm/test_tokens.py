@@ -24,9 +24,7 @@ RANKS, BYTES, WORDS = (P.path(n) for n in ("byte_bpe_50k.tiktoken", "byte_bpe_50
 
 
 def library(path):
-    made = Tokenizer.from_file(path)
-    made.encode_special_tokens = True
-    return made
+    return Tokenizer.from_file(path)
 
 
 def reference_bpe():
@@ -53,6 +51,46 @@ def test_ids_of_all_low_letters():
         assert Ids(path).of([text])[0].tolist() == library(path).encode(text, add_special_tokens=False).ids
 
 
+def thue_morse(n):
+    """Words of n letters that polynomial hashes modulo powers of two can't tell apart."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_words_are_told_apart_by_all_their_bytes(path):
+    words = [w for n in (8, 15, 16, 17, 64, 1024, 2048) for w in thue_morse(n)]
+    words += [w[:-1] + c for w in words for c in "ab"] + ["a" * n for n in range(1, 40)]
+    made, want = Ids(path), library(path)
+    for texts in ([" ".join(words)], words, words[::-1]):
+        assert [a.tolist() for a in made.of(texts)] == [e.ids for e in want.encode_batch(texts, add_special_tokens=False)]
+
+
+SPECIAL = ["<|endoftext|>", "a<|endoftext|>b c", "x <|startoftext|> y<|endoftext|>", "<|EndOfText|> <|startoftext|", "plain words"]
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+@pytest.mark.parametrize("special", ["tokens", "text"])
+def test_special_strings_follow_the_library(path, special):
+    want = library(path)
+    want.encode_special_tokens = special == "text"
+    got = [a.tolist() for a in Ids(path, special).of(SPECIAL)]
+    assert got == [e.ids for e in want.encode_batch(SPECIAL, add_special_tokens=False)]
+    ends = {BYTES: 50256, WORDS: 49407}[path]
+    assert (got[0] == [ends]) == (special == "tokens")
+
+
+def test_word_table_grows_and_finds():
+    """Many words of all sizes, in small batches, against the library."""
+    r = random.Random(3)
+    words = ["".join(r.choice("abcdeé'1,.") for _ in range(r.randrange(1, 24))) for _ in range(80_000)]
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    made, want = Ids(WORDS), library(WORDS)
+    for part in (texts[:7], texts[5:], texts[:20]):
+        assert [a.tolist() for a in made.of(part)] == [e.ids for e in want.encode_batch(part, add_special_tokens=False)]
+    assert made.words.bits > 16
+
+
 def test_memory_of_words_is_bounded(monkeypatch):
     from lexigrid.llm import tokenizers_io
 
@@ -117,6 +155,14 @@ def test_packing_places_every_id_once(docs, plain, length, most_open, slack):
     assert padding <= 0.05 * sum(map(len, want.values()))
 
 
+@pytest.mark.parametrize("fan_in", [1, 3])
+def test_packing_merges_in_rounds(docs, plain, fan_in):
+    want = {r[0]: [*e.ids, 1] for r, e in zip(plain, library(BYTES).encode_batch([r[1] or "" for r in plain], add_special_tokens=False), strict=True)}
+    rows = packing.pack(docs.repartition(6), BYTES, length=256, most_open=4, fan_in=fan_in + 1).collect()
+    assert len({r.sequence_id >> 58 for r in rows}) > 2
+    check_pieces(rows, want, 256)
+
+
 def test_packing_of_odd_rows(odd, none):
     rows = packing.pack(odd.withColumn("ids", F.lit("clash")), BYTES).collect()
     lengths = sum(r.length for r in rows)

@@ -5,14 +5,21 @@ probabilities of the earlier categories. So that these are as uncertain in train
 they will be on new texts, earlier probabilities of a training row come from models of
 other folds (out-of-fold), never from one that has seen the row.
 
-Features: the distinct words of a text and the first ``PREFIX`` letters of each, among
-those that ``MIN_TEXTS`` training texts have at least and that tell toxic ones apart; rare words
-never share a weight. Models are logistic regressions by AdaGrad steps with an L1 step.
+Only "toxic or not" is labelled. The earlier categories are found in the data: toxic
+training rows are dealt into ``GROUPS`` groups by the words that set them apart (spherical
+k-means), in order of size, and a category is "toxic, of this group". The last one is
+"toxic". For each fold, features are selected and groups are found on the other folds
+alone; all rows decide only which of a fold's groups gets which number.
+
+Features: the distinct words of a text and their beginnings of ``PREFIXES`` letters, among
+those that ``MIN_TEXTS`` training texts have at least and that tell toxic ones apart; rare
+words never share a weight. Models are logistic regressions by AdaGrad steps with an L1 step.
 
 Defined results
 * null and empty texts have no feature: probabilities are those of the intercepts.
 * without labelled rows, or of one class alone, that category's probability is the
-  smoothed share of its class. Repeated ids: one labelled row an id is learnt.
+  smoothed share of its class; groups that no toxic row is left for are such categories.
+  Repeated ids: one labelled row an id is learnt.
 * rows are scored one by one; other columns pass through, but for the added ones. An
   empty table gives an empty table.
 
@@ -25,6 +32,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
@@ -36,23 +44,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lexigrid.llm._shared import fold_rows
 from lexigrid.llm.training import fit_in_task, sample
 
-SAMPLE, VOCABULARY, MIN_TEXTS, PREFIX, FOLDS, EPOCHS = 12_000, 1 << 16, 4, 4, 3, 12
+SAMPLE, VOCABULARY, MIN_TEXTS, PREFIXES, FOLDS, EPOCHS = 12_000, 1 << 16, 3, (4, 5, 6, 7), 3, 12
+#: Categories before the last; features that groups are told apart by; rounds of k-means.
+GROUPS, GROUP_FEATURES, ROUNDS = 3, 512, 25
 RATE, L1, BATCH = 0.3, 2e-4, 512
 #: Standard deviations by which a feature's toxic texts differ at least; start of AdaGrad's sums.
 LEAST_EXCESS, DAMPING = 4.0, 1e-3
+THRESHOLD = 0.35
 REMEMBERED = 1 << 18
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
-#: Words that name a category where only "toxic or not" is labelled.
-CATEGORIES = {
-    "insult": ("idiot", "moron", "loser", "clown", "stupid"),
-    "contempt": ("scum", "trash", "worthless", "pathetic", "disgusting"),
-}
-
 
 def _names(token: str) -> tuple[str, ...]:
     word = _EDGE.sub("", token).lower()
-    return (word, word[:PREFIX] + "*") if word else ()
+    return (word, *[word[:n] + "*" for n in PREFIXES if n <= len(word)]) if word else ()
 
 
 def text_features(text: str) -> set[str]:
@@ -96,7 +101,10 @@ def _regress(rows: _Rows, extra: np.ndarray, y: np.ndarray, size: int) -> tuple[
     w, v, b = np.zeros(size), np.zeros(extra.shape[1]), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     if y.sum() in (0, len(y)):
         return w, v, b
-    seen_w, seen_v = np.full(size, DAMPING), np.full(len(v), DAMPING)
+    # About their means, earlier probabilities can't stand in for the intercept.
+    mean = extra.mean(axis=0)
+    extra = extra - mean
+    seen_w, seen_v, seen_b = np.full(size, DAMPING), np.full(len(v), DAMPING), DAMPING
     random, batch = np.random.default_rng(7), max(16, min(BATCH, len(y) // 16))
     for _ in range(EPOCHS):
         order = random.permutation(len(y))
@@ -110,40 +118,124 @@ def _regress(rows: _Rows, extra: np.ndarray, y: np.ndarray, size: int) -> tuple[
             met = g != 0
             w[met] -= step[met] * g[met]
             w[met] = np.sign(w[met]) * np.maximum(np.abs(w[met]) - L1 * step[met] * 0.01, 0)
-            gv = extra[mine].T @ wrong
+            gv, gb = extra[mine].T @ wrong, float(wrong.sum())
             seen_v += gv * gv
             v -= RATE / np.sqrt(seen_v) * gv
-    return w, v, b
+            seen_b += gb * gb
+            b -= RATE / np.sqrt(seen_b) * gb
+    return w, v, b - float(mean @ v)
+
+
+class Part:
+    """What some of the rows show: the features that tell toxic ones apart, and their groups."""
+
+    def __init__(self, data: _Rows, toxic: np.ndarray, rows: np.ndarray, size: int, groups: int) -> None:
+        self.data, self.rows = data, rows
+        mine, y = data.take(rows), toxic[rows]
+        seen = np.bincount(mine.ids, minlength=size)
+        bad = np.bincount(mine.ids, weights=np.repeat(y, np.diff(mine.ends)), minlength=size)
+        share = float(y.mean()) if len(y) else 0.0
+        # Words that toxic texts have about as often as others only add noise, and go.
+        excess = (bad - share * seen) / np.sqrt(seen * share * (1 - share) + 1e-9)
+        kept = np.flatnonzero((seen >= MIN_TEXTS) & (np.abs(excess) >= LEAST_EXCESS))
+        self.kept = kept[np.lexsort((kept, -np.abs(excess[kept])))][:VOCABULARY]
+        self.column = np.full(size, -1)
+        self.column[self.kept] = np.arange(len(self.kept))
+        telling = self.kept[excess[self.kept] > 0][:GROUP_FEATURES]
+        self.group = np.full(len(rows), -1)
+        of_toxic = np.flatnonzero(y)
+        self.group[of_toxic] = grouped(self._dense(rows[of_toxic], telling, seen), groups)
+        self.targets = [*[(self.group == k).astype(np.float64) for k in range(groups)], y]
+
+    def _dense(self, rows: np.ndarray, telling: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        at = np.full(len(self.column), -1)
+        at[telling] = np.arange(len(telling))
+        mine = self.data.take(rows)
+        row, col = np.repeat(np.arange(len(rows)), np.diff(mine.ends)), at[mine.ids]
+        out = np.zeros((len(rows), len(telling)))
+        out[row[col >= 0], col[col >= 0]] = 1
+        out /= np.sqrt(np.maximum(seen[telling], 1))
+        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
+    def take(self, rows: np.ndarray) -> _Rows:
+        """These rows, of the selected features."""
+        mine, out = self.data.take(rows), _Rows([])
+        columns = self.column[mine.ids]
+        out.ids = columns[columns >= 0]
+        out.ends = np.concatenate(([0], np.cumsum(columns >= 0)))[mine.ends]
+        return out
 
-def fit(rows: list[tuple[str, int]], categories: dict[str, tuple[str, ...]] | None = None, overall: str = "toxic") -> Chain:
-    """A chain over the categories, then the labelled one."""
-    categories = CATEGORIES if categories is None else categories
-    features = [text_features(t) for t, _ in rows]
+    def number_like(self, other: Part, groups: int) -> None:
+        """Number the groups so that most rows have the numbers that ``other`` gives them."""
+        theirs = np.full(len(self.data.ends) - 1, -1)
+        theirs[other.rows] = other.group
+        theirs = theirs[self.rows]
+        both = np.array([[np.sum((self.group == a) & (theirs == b)) for b in range(groups)] for a in range(groups)])
+        best = max(permutations(range(groups)), key=lambda p: sum(both[a, b] for a, b in enumerate(p)))
+        self.group = np.array([*best, -1])[self.group]
+        self.targets[:groups] = [(self.group == k).astype(np.float64) for k in range(groups)]
+
+
+def grouped(points: np.ndarray, groups: int) -> np.ndarray:
+    """Group of each row by spherical k-means, larger groups first; -1 for rows of zeros."""
+    out = np.full(len(points), -1)
+    some = np.flatnonzero(points.any(axis=1))
+    if not len(some):
+        return out
+    mine = points[some]
+    centres = mine[[int(np.argmax(mine @ mine.mean(axis=0)))]]
+    while len(centres) < groups:  # farthest first
+        centres = np.vstack([centres, mine[int(np.argmin((mine @ centres.T).max(axis=1)))]])
+    for _ in range(ROUNDS):
+        near = np.argmax(mine @ centres.T, axis=1)
+        sums = np.array([mine[near == k].sum(axis=0) for k in range(groups)])
+        now = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)
+        if np.array_equal(now, centres):
+            break
+        centres = now
+    order = np.argsort(-np.bincount(near, minlength=groups), kind="stable")
+    out[some] = np.argsort(order)[near]
+    return out
+
+
+def numbered(features: list[set[str]]) -> tuple[list[str], _Rows]:
+    """Names that enough texts have, and the texts as rows of their numbers."""
     counts = Counter(name for f in features for name in f)
-    kept = sorted((name for name, n in counts.items() if n >= MIN_TEXTS), key=lambda name: (-counts[name], name))
+    names = sorted(name for name, n in counts.items() if n >= MIN_TEXTS)
+    number = {name: i for i, name in enumerate(names)}
+    return names, _Rows([np.array(sorted(number[n] for n in f if n in number), np.int64) for f in features])
+
+
+def fit(rows: list[tuple[str, int]], groups: int = GROUPS, overall: str = "toxic") -> Chain:
+    """A chain over the groups of toxic rows, then the labelled category."""
+    names, data = numbered([text_features(t) for t, _ in rows])
     toxic = np.array([y for _, y in rows], np.float64)
-    # Words that toxic texts have about as often as others only add noise, and go.
-    bad, share = Counter(name for f, y in zip(features, toxic, strict=True) if y for name in f), float(toxic.mean()) if len(toxic) else 0.0
-    excess = {name: (bad[name] - share * counts[name]) / np.sqrt(counts[name] * share * (1 - share) + 1e-9) for name in kept}
-    kept = sorted((name for name in kept if abs(excess[name]) >= LEAST_EXCESS), key=lambda name: (-abs(excess[name]), name))[:VOCABULARY]
-    words = {name: i for i, name in enumerate(kept)}
-    data = _Rows([np.array(sorted(words[n] for n in f if n in words), np.int64) for f in features])
-    targets = [toxic * np.array([bool(f & set(listed)) for f in features], np.float64) for listed in categories.values()] + [toxic]
-    fold, before = np.arange(len(rows)) % FOLDS, np.empty((len(rows), 0))
-    weights, links, intercepts = [], np.zeros((len(targets), len(targets))), []
-    for k, y in enumerate(targets):
-        w, v, b = _regress(data, before, y, len(words))
+    fold = np.arange(len(rows)) % FOLDS
+    whole = Part(data, toxic, np.arange(len(rows)), len(names), groups)
+    parts = [Part(data, toxic, np.flatnonzero(fold != f), len(names), groups) for f in range(FOLDS)]
+    for part in parts:
+        part.number_like(whole, groups)
+    before, weights, links, intercepts = np.empty((len(rows), 0)), [], np.zeros((groups + 1, groups + 1)), []
+    learnt = whole.take(whole.rows)
+    for k in range(groups + 1):
+        w, v, b = _regress(learnt, before, whole.targets[k], len(whole.kept))
         weights.append(w)
         links[k, :k] = v
         intercepts.append(b)
-        unseen = np.zeros(len(rows))
-        for f in range(FOLDS) if k + 1 < len(targets) else ():
-            own, rest = np.flatnonzero(fold == f), np.flatnonzero(fold != f)
-            w, v, b = _regress(data.take(rest), before[rest], y[rest], len(words))
-            unseen[own] = _logistic(data.take(own).dot(w) + before[own] @ v + b)
-        before = np.column_stack([before, unseen])
-    return Chain([*categories, overall], words, np.array(weights, np.float32).reshape(len(targets), len(words)), links, np.array(intercepts))
+        if k < groups:
+            before = np.column_stack([before, out_of_fold(parts, fold, before, k)])
+    words = {names[i]: at for at, i in enumerate(whole.kept.tolist())}
+    return Chain([*[f"{overall}_{k + 1}" for k in range(groups)], overall], words, np.array(weights, np.float32).reshape(groups + 1, len(words)), links, np.array(intercepts))
+
+
+def out_of_fold(parts: list[Part], fold: np.ndarray, before: np.ndarray, k: int) -> np.ndarray:
+    """Probability of category ``k`` of each row, by the part that has not seen it."""
+    unseen = np.zeros(len(fold))
+    for f, part in enumerate(parts):
+        own = np.flatnonzero(fold == f)
+        w, v, b = _regress(part.take(part.rows), before[part.rows], part.targets[k], len(part.kept))
+        unseen[own] = _logistic(part.take(own).dot(w) + before[own] @ v + b)
+    return unseen
 
 
 class Scorer:
@@ -180,11 +272,11 @@ def _score(chain: Chain, threshold: float, text_index: int, schema: pa.Schema):
 
 
 def train(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> Chain:
-    """Learn ``labels.toxic`` and the categories from at most ``limit`` rows."""
+    """Learn ``labels.toxic`` and the groups before it from at most ``limit`` rows."""
     return fit_in_task(sample(docs, labels, F.col("toxic"), limit), fit)
 
 
-def score(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, chain: Chain, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with a probability ``p_<category>`` each, and ``predicted`` 1 where toxic."""
     added = [f"p_{n}" for n in chain.names]
     fields = [f for f in docs.schema.fields if f.name not in (*added, "predicted")]

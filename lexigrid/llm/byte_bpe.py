@@ -1,13 +1,16 @@
 """Byte-level BPE encoding and decoding, with overlapping chunks for long texts.
 
-A text of up to ``chunk`` characters is one chunk. A longer one is cut into chunks that
-overlap by ``overlap`` characters; chunks are rows of their own and are pre-tokenised
-apart, in parallel. Pre-token boundaries found in the middle of a word may be wrong at a
-chunk's ends, so neighbours are stitched where they resynchronise: at a boundary that
-both have inside their overlap. From there on both see the same text, so all later
-boundaries agree. Pieces, each one match of the pattern, are then encoded by the ranks.
-Where two chunks never agree (one pre-token as long as the overlap), the text is
-pre-tokenised from the last sure boundary on, until it meets the next chunk's boundaries.
+A text of up to ``chunk`` characters is one chunk, which is encoded where it is read. A
+longer one is cut into chunks that overlap by ``OVERLAP`` characters. Chunks are rows of
+their own, dealt to all tasks, and are pre-tokenised in parallel; what each tells is only
+the pre-token boundaries near its two ends. Neighbours are stitched, from these alone, at
+the first boundary inside their overlap that both have: from there on both see the same
+text, so all later boundaries agree. The pieces between two stitches, each one match of the
+pattern, are then encoded in parallel, chunk by chunk, and their ids are put in a row.
+
+Where neighbours never agree (one pre-token as long as the overlap), they are a run: its
+text is put together and pre-tokenised from the last stitch on. Should the next stitch not
+be one of its boundaries, as a pattern that counts could make it, the text is encoded whole.
 
 Decoding concatenates the ids' bytes; they need not be valid UTF-8 before they are joined.
 
@@ -15,11 +18,15 @@ Defined results
 * null and empty texts have no ids. Every character of a text is encoded, none is special.
 * lone surrogates cannot be stored in a Spark string and are not met.
 * rows are handled one by one: repeated rows give repeated results; other columns pass
-  through, but for ``ids`` which is replaced. An empty table gives an empty table.
-
-Scale: short texts are encoded where they are read, without a shuffle. Only texts longer
-than a chunk are shuffled, once, and a task streams their chunks in order, so it holds
-one text's pieces; the memo of pieces is bounded.
+  through, but for ``ids`` which is replaced. An empty table gives an empty table. Names
+  beginning ``_bb_`` are reserved, and refused.
+* a pattern must match everywhere, look ahead by less than ``MARGIN`` characters beyond
+  its match and not look behind.
+
+Scale: short texts are encoded where they are read, without a shuffle. Long ones are written
+once with a key; their chunks are shuffled once, spread by key and chunk number, so one
+giant text is the work of many tasks. By text only boundaries, then ids, are gathered.
+The memo of pieces is bounded.
 """
 
 from __future__ import annotations
@@ -37,9 +44,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexigrid.llm._shared import fold_rows
+from lexigrid.llm._shared import cut, fold_rows
 
-CHUNK, OVERLAP = 1 << 15, 1 << 10
+#: Characters of a chunk, those that neighbours share, and those at an end that are not trusted.
+CHUNK, OVERLAP, MARGIN = 1 << 13, 1 << 10, 16
 #: Pieces whose ids a task remembers.
 REMEMBERED = 1 << 17
 
@@ -110,48 +118,36 @@ class Codec:
         return self.tokens.joined(np.asarray(ids, np.int64)).tobytes()
 
 
-class Stitcher:
-    """Joins the pre-tokens of successive chunks of one text."""
-
-    def __init__(self, codec: Codec) -> None:
-        self.codec = codec
-        self.sure: list[str] = []  # pre-tokens that no later chunk can change
-        self.tail = ""  # text behind them, in absolute terms from self.at on
-        self.at = 0
-
-    def add(self, start: int, text: str, last: bool) -> None:
-        """The chunk at character ``start``; it overlaps the one before."""
-        pieces = self.codec.pieces(text)
-        if start == 0:
-            self._settle(pieces, text, 0, last)
-            return
-        # Boundaries of the earlier chunk behind the sure ones, and of this chunk.
-        known = self.codec.pieces(self.tail)
-        mine = np.cumsum([0, *map(len, pieces)]) + start
-        theirs = np.cumsum([0, *map(len, known)]) + self.at
-        both = np.intersect1d(mine, theirs[theirs < self.at + len(self.tail)])
+def chunk_starts(size: int, chunk: int) -> range:
+    """Where the chunks of a text begin; the last one reaches its end."""
+    stride = chunk - OVERLAP
+    return range(0, max(1, -(-(size - OVERLAP) // stride)) * stride, stride)
+
+
+def edges(codec: Codec, text: str, start: int) -> tuple[np.ndarray, np.ndarray]:
+    """Boundaries of a chunk that begins at ``start``: those its neighbours before and behind see too."""
+    ends = start + np.cumsum([0, *map(len, codec.pieces(text))])
+    last = start + len(text)
+    return ends[ends < start + OVERLAP], ends[(ends >= last - OVERLAP) & (ends <= last - MARGIN)]
+
+
+def stitch(heads: list[np.ndarray], tails: list[np.ndarray], size: int) -> list[tuple[int, int, int, int]]:
+    """(first chunk, last chunk, begin, end) of the parts of a text, from its chunks' edges."""
+    out, first, begin = [], 0, 0
+    for i in range(len(heads) - 1):
+        both = np.intersect1d(tails[i], heads[i + 1])
         if len(both):
-            meet = int(both[0])
-            self.sure += known[: int(np.searchsorted(theirs, meet))]
-            self._settle(pieces[int(np.searchsorted(mine, meet)) :], text[meet - start :], meet, last)
-        else:
-            fresh = max(0, self.at + len(self.tail) - start)
-            whole = self.tail + text[fresh:]
-            self._settle(self.codec.pieces(whole), whole, self.at, last)
-
-    def _settle(self, pieces: list[str], text: str, at: int, last: bool) -> None:
-        if last:
-            self.sure += pieces
-            self.tail = ""
-            return
-        # Pre-tokens that begin in the part that the next chunk sees again stay open.
-        keep, size = len(pieces), 0
-        while keep and size < OVERLAP:
-            keep -= 1
-            size += len(pieces[keep])
-        self.sure += pieces[:keep]
-        self.tail = text[len(text) - size :] if size else ""
-        self.at = at + len(text) - size
+            out.append((first, i, begin, int(both[0])))
+            first, begin = i + 1, int(both[0])
+    return [*out, (first, len(heads) - 1, begin, size)]
+
+
+def pieces_between(codec: Codec, text: str, start: int, begin: int, end: int) -> list[str] | None:
+    """Pre-tokens from ``begin`` to ``end``, of text from ``start`` on; none if ``end`` isn't a boundary."""
+    pieces = codec.pieces(text, begin - start)
+    stops = begin + np.cumsum([0, *map(len, pieces)])
+    at = int(np.searchsorted(stops, end))
+    return pieces[:at] if at < len(stops) and stops[at] == end else None
 
 
 def _with_ids(schema: pa.Schema, batch: pa.RecordBatch, ids: list[np.ndarray]) -> pa.RecordBatch:
@@ -170,55 +166,136 @@ def _encode_short(path: str, pattern: str, text_index: int, schema: pa.Schema):
     return run
 
 
-def _encode_chunks(path: str, pattern: str, text_col: str, schema: pa.Schema):
-    """Rows (row key, chunk number, start, chunk, last, other columns) in order."""
+_CHUNKS = "_bb_key long, _bb_at int, _bb_start long, _bb_size long, _bb_text string"
+_EDGES = "_bb_key long, _bb_at int, _bb_size long, _bb_head binary, _bb_tail binary"
+_SPANS = "_bb_key long, _bb_at int, _bb_first int, _bb_last int, _bb_begin long, _bb_end long"
+_PARTS = "_bb_key long, _bb_at int, _bb_ids binary"
+
+
+def _table(columns: str, rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    named = [c.split() for c in columns.split(", ")]
+    values = zip(*rows, strict=True) if rows else [()] * len(named)
+    return pa.RecordBatch.from_arrays([pa.array(v, kinds[k]) for v, (_, k) in zip(values, named, strict=True)], [n for n, _ in named])
+
+
+def _split(chunk: int):
+    """(key, text) -> a row for each chunk."""
+
+    def run(batches):
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                starts = chunk_starts(len(text), chunk)
+                for at in range(0, len(starts), 64):
+                    yield _table(_CHUNKS, [(key, at + i, start, len(text), text[start : start + chunk]) for i, start in enumerate(starts[at : at + 64])])
+
+    return run
+
+
+def _find_edges(path: str, pattern: str):
+    def run(batches):
+        codec = codec_of(path, pattern)
+        for batch in batches:
+            rows = []
+            for key, at, start, size, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                head, tail = edges(codec, text, start)
+                rows.append((key, at, size, head.astype("<i8").tobytes(), tail.astype("<i8").tobytes()))
+            yield _table(_EDGES, rows)
+
+    return run
+
+
+def _by_key(batches):
+    """(key, rows) of runs of equal first columns, in order."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[0] != key and rows:
+                yield key, rows
+                rows = []
+            key = row[0]
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _stitch():
+    def run(batches):
+        for key, rows in _by_key(batches):
+            heads, tails = ([np.frombuffer(r[i], "<i8") for r in rows] for i in (3, 4))
+            parts = stitch(heads, tails, rows[0][2])
+            yield _table(_SPANS, [(key, at, first, last, begin, end) for first, last, begin, end in parts for at in range(first, last + 1)])
+
+    return run
+
+
+def _encode_spans(path: str, pattern: str):
+    """Rows (key, chunk, start, text, first, last, begin, end); the chunks of a run follow each other."""
 
     def run(batches):
-        codec, stitch, parts, row = codec_of(path, pattern), None, [], None
+        codec, texts, since = codec_of(path, pattern), [], 0
         for batch in batches:
-            starts, texts, lasts = (batch.column(i).to_pylist() for i in (2, 3, 4))
-            for i, (start, text, last) in enumerate(zip(starts, texts, lasts, strict=True)):
-                if start == 0:
-                    stitch, parts, row = Stitcher(codec), [], batch.slice(i, 1)
-                stitch.add(start, text, last)
-                parts.append(text[OVERLAP:] if start else text)
-                if last:
-                    columns = {n: row.column(row.schema.get_field_index(f"_bb_col_{n}")) for n in schema.names if n not in ("ids", text_col)}
-                    columns[text_col] = pa.array(["".join(parts)], pa.string())
-                    yield _with_ids(schema, pa.RecordBatch.from_arrays(list(columns.values()), list(columns)), [np.array(codec.encode_pieces(stitch.sure), np.int32)])
+            out = []
+            for key, at, start, text, first, last, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at == first:
+                    texts, since = [text], start
+                else:
+                    texts.append(text[OVERLAP:])
+                if at == last:
+                    pieces = pieces_between(codec, "".join(texts), since, begin, end)
+                    out.append((key, at, None if pieces is None else np.array(codec.encode_pieces(pieces), "<i4").tobytes()))
+            yield _table(_PARTS, out)
 
     return run
 
 
+def _in_a_row():
+    """Rows (key, chunk, ids) -> the ids of each key; null if a part has none."""
+
+    def run(batches):
+        for key, rows in _by_key(batches):
+            whole = None if any(r[2] is None for r in rows) else np.frombuffer(b"".join(r[2] for r in rows), "<i4")
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([whole], pa.list_(pa.int32()))], ["_bb_key", "_bb_ids"])
+
+    return run
+
+
+def chunk_rows(keyed: DataFrame, text_col: str, chunk: int = CHUNK) -> DataFrame:
+    """The chunks of texts with a key ``_bb_key``, spread over tasks."""
+    rows = keyed.select("_bb_key", text_col).mapInArrow(fold_rows(_split, chunk), _CHUNKS)
+    return rows.repartition("_bb_key", "_bb_at")
+
+
+def _ids_of_chunks(chunks: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``_bb_key, _bb_ids`` of texts in chunks."""
+    found = chunks.mapInArrow(fold_rows(_find_edges, path, pattern), _EDGES)
+    spans = found.repartition("_bb_key").sortWithinPartitions("_bb_key", "_bb_at").mapInArrow(fold_rows(_stitch), _SPANS)
+    columns = ["_bb_key", "_bb_at", "_bb_start", "_bb_text", "_bb_first", "_bb_last", "_bb_begin", "_bb_end"]
+    placed = chunks.join(spans.hint("shuffle_hash"), ["_bb_key", "_bb_at"]).select(*columns)
+    alone = placed.where("_bb_first = _bb_last")
+    runs = placed.where("_bb_first < _bb_last").repartition("_bb_key", "_bb_first").sortWithinPartitions("_bb_key", "_bb_at")
+    parts = alone.mapInArrow(fold_rows(_encode_spans, path, pattern), _PARTS).unionByName(runs.mapInArrow(fold_rows(_encode_spans, path, pattern), _PARTS))
+    return parts.repartition("_bb_key").sortWithinPartitions("_bb_key", "_bb_at").mapInArrow(fold_rows(_in_a_row), "_bb_key long, _bb_ids array<int>")
+
+
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
     """``docs`` with ``ids array<int>`` of each text."""
+    if chunk < 2 * OVERLAP:
+        raise ValueError("a chunk is at least twice the overlap")
+    if any(c.startswith("_bb_") for c in docs.columns):
+        raise ValueError("names that begin with _bb_ are reserved")
     fields = [f for f in docs.schema.fields if f.name != "ids"]
     docs = docs.select(*[f.name for f in fields])
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     arrow = to_arrow_schema(schema)
     size = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    short = docs.where(size <= chunk).mapInArrow(fold_rows(_encode_short, path, pattern, docs.columns.index(text_col), arrow), schema)
-    stride = chunk - OVERLAP
-    others = [c for c in docs.columns if c != text_col]
-    start = F.col("_bb_at") * stride
-    chunks = (
-        docs.where(size > chunk)
-        .withColumn("_bb_row", F.monotonically_increasing_id())
-        .withColumn("_bb_size", size)
-        .withColumn("_bb_at", F.explode(F.sequence(F.lit(0), F.ceil((F.col("_bb_size") - OVERLAP) / stride).cast("int") - 1)))
-        .select(
-            "_bb_row",
-            "_bb_at",
-            start.alias("_bb_start"),
-            F.col(text_col).substr(start + 1, F.lit(chunk)).alias("_bb_text"),
-            (start + chunk >= F.col("_bb_size")).alias("_bb_last"),
-            *[F.col(c).alias(f"_bb_col_{c}") for c in others],
-        )
-        .repartition("_bb_row")
-        .sortWithinPartitions("_bb_row", "_bb_at")
-    )
-    long = chunks.mapInArrow(fold_rows(_encode_chunks, path, pattern, text_col, arrow), schema)
-    return short.unionByName(long)
+    whole = fold_rows(_encode_short, path, pattern, docs.columns.index(text_col), arrow)
+    short = docs.where(size <= chunk).mapInArrow(whole, schema)
+    long = cut(docs.where(size > chunk).withColumn("_bb_key", F.monotonically_increasing_id()), "long")
+    ids = cut(_ids_of_chunks(chunk_rows(long, text_col, chunk), path, pattern), "long-ids")
+    made = long.join(ids.where("_bb_ids is not null"), "_bb_key").select(*docs.columns, F.col("_bb_ids").alias("ids"))
+    rest = long.join(ids.where("_bb_ids is null"), "_bb_key", "left_semi").select(*docs.columns).mapInArrow(whole, schema)
+    return short.unionByName(made).unionByName(rest)
 
 
 def id_rows(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:

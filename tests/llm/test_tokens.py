@@ -101,7 +101,7 @@ def test_memory_of_words_is_bounded(monkeypatch):
         assert made.of([text])[0].tolist() == want.encode(text, add_special_tokens=False).ids
 
 
-@pytest.mark.parametrize("chunk", [1500, 3000, 1 << 15])
+@pytest.mark.parametrize("chunk", [2048, 3000, byte_bpe.CHUNK, 1 << 15])
 def test_byte_bpe_equals_tiktoken(docs, plain, chunk):
     want = {r[0]: reference_bpe().encode_ordinary(r[1] or "") for r in plain}
     got = byte_bpe.encode_texts(docs, RANKS, P.PATTERN, chunk=chunk)
@@ -110,21 +110,57 @@ def test_byte_bpe_equals_tiktoken(docs, plain, chunk):
     assert {r.doc_id: bytes(r.decoded) for r in back} == {r[0]: (r[1] or "").encode() for r in plain}
 
 
-@settings(max_examples=60, deadline=None)
+def stitched(codec, text, chunk):
+    """Pre-tokens of a text by its chunks; None where a run's end isn't one of its boundaries."""
+    starts = byte_bpe.chunk_starts(len(text), chunk)
+    chunks = [text[a : a + chunk] for a in starts]
+    assert "".join([chunks[0], *[c[byte_bpe.OVERLAP :] for c in chunks[1:]]]) == text
+    heads, tails = zip(*[byte_bpe.edges(codec, c, a) for c, a in zip(chunks, starts, strict=True)], strict=True)
+    out = []
+    for first, last, begin, end in byte_bpe.stitch(list(heads), list(tails), len(text)):
+        found = byte_bpe.pieces_between(codec, text[starts[first] : starts[last] + chunk], starts[first], begin, end)
+        if found is None:
+            return None
+        out += found
+    return out
+
+
+@settings(max_examples=80, deadline=None)
 @given(st.integers(0, 10**6))
 def test_stitching_resynchronises(seed):
     r = random.Random(seed)
-    text = "".join(r.choice(["word", " ", "  \n", "12", "!?", "'s", "é" * r.randrange(1, 1500), "\n" * r.randrange(1, 40)]) for _ in range(r.randrange(1, 400)))
+    kinds = ["word", " ", "  \n", "12", "!?", "'s", "'re", "'ll", "é" * r.randrange(1, 1500), "\n" * r.randrange(1, 40), "7" * r.randrange(1, 3000)]
+    text = "".join(r.choice(kinds) for _ in range(r.randrange(1, 500)))
     codec = _encoders.setdefault("codec", byte_bpe.Codec(RANKS, P.PATTERN))
-    chunk, stitch = 1500, byte_bpe.Stitcher(codec)
-    stride, start = chunk - byte_bpe.OVERLAP, 0
-    while True:
-        last = start + chunk >= len(text)
-        stitch.add(start, text[start : start + chunk], last)
-        if last:
-            break
-        start += stride
-    assert stitch.sure == codec.pieces(text)
+    assert stitched(codec, text, 2048) == codec.pieces(text)
+
+
+def test_a_pattern_that_counts_is_noticed():
+    """Threes of digits may be cut at other places in each chunk: never a wrong result."""
+    codec = byte_bpe.Codec(RANKS, r"\d{1,3}|\D")
+    texts = [("x" * k + "1" * n + "y") for k in range(3) for n in (1500, 4000, 4001, 9001)]
+    made = [stitched(codec, t, 2050) for t in texts]
+    assert all(m is None or m == codec.pieces(t) for m, t in zip(made, texts, strict=True))
+    assert any(m is None for m in made) and any(m is not None for m in made)
+
+
+def test_long_texts_of_a_pattern_that_counts(spark):
+    pattern = r"\d{1,3}|\D"
+    rows = [(i, "x" * i + "1" * n + "y " * 40) for i, n in enumerate((1500, 4000, 4001, 9001))]
+    got = byte_bpe.encode_texts(spark.createDataFrame(rows, "doc_id long, text string"), RANKS, pattern, chunk=2050).collect()
+    codec = byte_bpe.Codec(RANKS, pattern)
+    assert {r.doc_id: r.ids for r in got} == {i: codec.encode_pieces(codec.pieces(t)) for i, t in rows}
+
+
+def test_one_long_text_is_the_work_of_many_tasks(spark):
+    text = "several words, and 12 numbers. " * 20_000
+    keyed = spark.createDataFrame([(0, text)], "_bb_key long, text string")
+    tasks = byte_bpe.chunk_rows(keyed, "text").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 1 and sum(r["count"] for r in tasks) == len(byte_bpe.chunk_starts(len(text), byte_bpe.CHUNK))
+    got = byte_bpe.encode_texts(keyed.withColumnRenamed("_bb_key", "doc_id"), RANKS, P.PATTERN).collect()
+    assert got[0].ids == reference_bpe().encode_ordinary(text)
+    with pytest.raises(ValueError, match="reserved"):
+        byte_bpe.encode_texts(keyed, RANKS, P.PATTERN)
 
 
 def check_pieces(rows, ids, length=2048):

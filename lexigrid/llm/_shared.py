@@ -96,6 +96,12 @@ def _lengths(column: pa.Array) -> np.ndarray:
     return sizes * 8 if pa.types.is_list(column.type) else sizes
 
 
+def size_bytes(df: DataFrame) -> int:
+    """What the optimizer takes for the size of ``df``: of written tables, their files' bytes."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 56 else 0
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Bind ``value`` once for ``body``: a lambda variable is never evaluated again."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

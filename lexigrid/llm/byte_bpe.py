@@ -44,10 +44,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lexigrid.llm._shared import cut, fold_rows
+from lexigrid.llm._shared import cut, fold_rows, size_bytes
 
 #: Characters of a chunk, those that neighbours share, and those at an end that are not trusted.
 CHUNK, OVERLAP, MARGIN = 1 << 13, 1 << 10, 16
+#: Bytes, as written, of the long texts that a task of chunks has.
+TASK_BYTES = 8 << 20
 #: Pieces whose ids a task remembers.
 REMEMBERED = 1 << 17
 
@@ -263,7 +265,9 @@ def _in_a_row():
 def chunk_rows(keyed: DataFrame, text_col: str, chunk: int = CHUNK) -> DataFrame:
     """The chunks of texts with a key ``_bb_key``, spread over tasks."""
     rows = keyed.select("_bb_key", text_col).mapInArrow(fold_rows(_split, chunk), _CHUNKS)
-    return rows.repartition("_bb_key", "_bb_at")
+    # By number, so that few bytes, which are much work, are not put in one task again.
+    tasks = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size_bytes(keyed) // TASK_BYTES, 1 << 20))
+    return rows.repartition(tasks, "_bb_key", "_bb_at")
 
 
 def _ids_of_chunks(chunks: DataFrame, path: str, pattern: str) -> DataFrame:

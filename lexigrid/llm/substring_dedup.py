@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh3_128_digest
 
-from lexigrid.llm._shared import cut, delete_path, fold_rows, scratch_dir
+from lexigrid.llm._shared import cut, delete_path, fold_rows, scratch_dir, size_bytes
 
 WINDOW, GRAM, FANOUT = 20, 10, 2
 #: Selected grams, or windows, that a task gathers before it sends sorted chunks.
@@ -508,9 +508,7 @@ class SubstringIndex:
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3) -> DataFrame:
     """``docs`` through a new index in ``batches`` ranges of ids, in their order."""
     spark = docs.sparkSession
-    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    size = size if size < 1 << 56 else 0
-    index = SubstringIndex(spark, size)
+    index = SubstringIndex(spark, size_bytes(docs))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     bounds = docs.select(key.alias("k")).stat.approxQuantile("k", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     bounds = [None, *sorted({int(b) for b in bounds or []}), None]

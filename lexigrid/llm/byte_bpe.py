@@ -47,7 +47,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lexigrid.llm._shared import cut, fold_rows, size_bytes
 
 #: Characters of a chunk, those that neighbours share, and those at an end that are not trusted.
-CHUNK, OVERLAP, MARGIN = 1 << 13, 1 << 10, 16
+CHUNK, OVERLAP, MARGIN = 1 << 14, 1 << 10, 16
 #: Bytes, as written, of the long texts that a task of chunks has.
 TASK_BYTES = 8 << 20
 #: Pieces whose ids a task remembers.
@@ -99,6 +99,7 @@ class Codec:
         self.tokens = Strings([token for _, token in sorted((i, token) for token, i in ranks.items())])
         if sorted(ranks.values()) != list(range(len(ranks))):
             raise ValueError("ranks are not 0, 1, 2 ...")
+        self.packed = "<u2" if len(ranks) <= 1 << 16 else "<u4"  # ids between tasks
         self.memo: dict[str, list[int]] = {}
 
     def pieces(self, text: str, at: int = 0) -> list[str]:
@@ -245,18 +246,19 @@ def _encode_spans(path: str, pattern: str):
                     texts.append(text[OVERLAP:])
                 if at == last:
                     pieces = pieces_between(codec, "".join(texts), since, begin, end)
-                    out.append((key, at, None if pieces is None else np.array(codec.encode_pieces(pieces), "<i4").tobytes()))
+                    out.append((key, at, None if pieces is None else np.array(codec.encode_pieces(pieces), codec.packed).tobytes()))
             yield _table(_PARTS, out)
 
     return run
 
 
-def _in_a_row():
+def _in_a_row(path: str, pattern: str):
     """Rows (key, chunk, ids) -> the ids of each key; null if a part has none."""
 
     def run(batches):
+        packed = codec_of(path, pattern).packed
         for key, rows in _by_key(batches):
-            whole = None if any(r[2] is None for r in rows) else np.frombuffer(b"".join(r[2] for r in rows), "<i4")
+            whole = None if any(r[2] is None for r in rows) else np.frombuffer(b"".join(r[2] for r in rows), packed).astype(np.int32)
             yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([whole], pa.list_(pa.int32()))], ["_bb_key", "_bb_ids"])
 
     return run
@@ -279,7 +281,7 @@ def _ids_of_chunks(chunks: DataFrame, path: str, pattern: str) -> DataFrame:
     alone = placed.where("_bb_first = _bb_last")
     runs = placed.where("_bb_first < _bb_last").repartition("_bb_key", "_bb_first").sortWithinPartitions("_bb_key", "_bb_at")
     parts = alone.mapInArrow(fold_rows(_encode_spans, path, pattern), _PARTS).unionByName(runs.mapInArrow(fold_rows(_encode_spans, path, pattern), _PARTS))
-    return parts.repartition("_bb_key").sortWithinPartitions("_bb_key", "_bb_at").mapInArrow(fold_rows(_in_a_row), "_bb_key long, _bb_ids array<int>")
+    return parts.repartition("_bb_key").sortWithinPartitions("_bb_key", "_bb_at").mapInArrow(fold_rows(_in_a_row, path, pattern), "_bb_key long, _bb_ids array<int>")
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:

@@ -1,12 +1,14 @@
 """Media columns: payloads stored losslessly as 8-bit audio in archives, and read back.
 
 A payload is stored as a WAV file of 8-bit mono samples, one for each byte; a chunk of
-its own keeps the length before padding. Files are members of zip archives, written by
-tasks into one folder. ``MediaArchives`` is a Spark data source over such a folder: it
-plans partitions of archive and byte range from names and sizes alone. A task reads the
-archive's directory, takes the members that begin in its range, and streams them as
-Arrow batches. Each member is read at its offset, checked by its CRC, and on an error is
-read again by itself, from a file opened anew; members that were read are not repeated.
+its own keeps the length before padding. Files are members of zip archives, which tasks
+stream into one folder. ``MediaArchives`` is a Spark data source over such a folder: it
+plans partitions of byte ranges of archives. The manifest, a Parquet table beside them, has
+a row for each range, with the slice of the archive's directory that lists its members; a
+task reads that slice alone. Without a manifest ranges are planned from names and sizes,
+and a task reads the whole directory. Members are streamed as Arrow batches. Each is read
+at its offset, checked by its CRC, and on an error is read again by itself, from a file
+opened anew; members that were read are not repeated.
 
 Archives are named anew by every attempt, and the manifest says which count.
 
@@ -17,14 +19,13 @@ Defined results
 * a member that can't be read after ``RETRIES`` attempts fails the task, or, with the
   option ``onError=null``, is a row with null media and the error.
 
-Scale: archives have about ``ARCHIVE_BYTES``; a task holds one archive in writing and a
-batch of ``BATCH_BYTES`` in reading. The driver sees a name and a size an archive.
+Scale: archives have about ``ARCHIVE_BYTES`` and are never held; a task holds the names of
+one archive's members in writing and a batch of ``BATCH_BYTES`` in reading. The planner
+reads one manifest row for ``RANGE_BYTES`` of archives and passes nothing else on.
 """
 
 from __future__ import annotations
 
-import io
-import json
 import struct
 import time
 import uuid
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -45,9 +47,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lexigrid.llm._shared import cut, fold_rows, scratch_dir
 
 PAD, RATE = 64, 8000
-ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, RETRIES = 16 << 20, 8 << 20, 4 << 20, 3
-MANIFEST = "archive string, bytes long, members long"
+ARCHIVE_BYTES, RANGE_BYTES, BATCH_BYTES, RETRIES = 512 << 20, 64 << 20, 4 << 20, 3
+#: A row a byte range: where its members begin, and its slice of the archive's directory.
+MANIFEST = "archive string, begin long, end long, directory long, directory_bytes long, members long"
+_NAMES = [c.split()[0] for c in MANIFEST.split(", ")]
+#: A member's header, and its entry in an archive's directory.
 _LOCAL = struct.Struct("<4sHHHHHIIIHH")
+_ENTRY = struct.Struct("<4sHHHHHHIIIHHHHHII")
 
 
 def to_payload(text: str | None) -> tuple[bytes, int]:
@@ -85,28 +91,47 @@ def feature(payload: bytes) -> str:
     return f"mean={samples.mean():.4f};rms={rms:.4f};peak={int(np.abs(samples).max())};crossings={crossings}"
 
 
-def _write(folder: str, archive_bytes: int):
+class _Stream:
+    """A file that is only written to, never sought in."""
+
+    def __init__(self, out) -> None:
+        self.write, self.flush = out.write, lambda: None
+
+
+def _ranges(name: str, archive: zipfile.ZipFile, range_bytes: int) -> pa.RecordBatch:
+    """Manifest rows of a closed archive."""
+    rows, at = [], archive.start_dir
+    for info in archive.filelist:
+        size = _ENTRY.size + len(info.filename.encode()) + len(info.extra) + len(info.comment)
+        if not rows or info.header_offset - rows[-1][1] >= range_bytes:
+            rows.append([name, info.header_offset, info.header_offset, at, 0, 0])
+        rows[-1][2] = info.header_offset + 1
+        rows[-1][4] += size
+        rows[-1][5] += 1
+        at += size
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), *[pa.int64()] * 5), strict=True)], _NAMES)
+
+
+def _write(folder: str, archive_bytes: int, range_bytes: int):
     def run(batches):
         store, root = pafs.FileSystem.from_uri(folder)
-        part, buffer, archive, members = TaskContext.get().partitionId(), None, None, 0
+        part, out, archive, name = TaskContext.get().partitionId(), None, None, ""
 
         def close() -> pa.RecordBatch:
             archive.close()
-            name, data = f"media-{part:06d}-{uuid.uuid4().hex}.zip", buffer.getvalue()
-            store.create_dir(root, recursive=True)
-            with store.open_output_stream(f"{root}/{name}") as out:
-                out.write(data)
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(data)], pa.int64()), pa.array([members], pa.int64())], ["archive", "bytes", "members"])
+            out.close()
+            return _ranges(name, archive, range_bytes)
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if archive is None:
-                    buffer, members = io.BytesIO(), 0
-                    archive = zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED, compresslevel=1)
-                info = zipfile.ZipInfo(f"{members:08d}.{'' if doc is None else doc}.wav")
+                    store.create_dir(root, recursive=True)
+                    name = f"media-{part:06d}-{uuid.uuid4().hex}.zip"
+                    out = store.open_output_stream(f"{root}/{name}")
+                    archive = zipfile.ZipFile(_Stream(out), "w", zipfile.ZIP_DEFLATED, compresslevel=1)
+                info = zipfile.ZipInfo(f"{len(archive.filelist):08d}.{'' if doc is None else doc}.wav")
                 archive.writestr(info, to_media(*to_payload(text)), zipfile.ZIP_DEFLATED, 1)
-                members += 1
-                if buffer.tell() >= archive_bytes:
+                if archive.start_dir >= archive_bytes:
                     yield close()
                     archive = None
         if archive is not None:
@@ -115,22 +140,24 @@ def _write(folder: str, archive_bytes: int):
     return run
 
 
-def write_media(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES) -> tuple[str, DataFrame]:
-    """Store each text in archives under ``folder``; (folder, manifest of the archives)."""
+def write_media(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text", archive_bytes: int = ARCHIVE_BYTES, range_bytes: int = RANGE_BYTES) -> tuple[str, DataFrame]:
+    """Store each text in archives under ``folder``; (folder, the manifest beside them)."""
     spark = docs.sparkSession
     folder = folder or scratch_dir(spark, "media")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return folder, cut(rows.mapInArrow(fold_rows(_write, folder, archive_bytes), MANIFEST), "archives")
+    return folder, cut(rows.mapInArrow(fold_rows(_write, folder, archive_bytes, range_bytes), MANIFEST), "ranges", f"{folder}/manifest")
 
 
 class ByteRange(InputPartition):
-    def __init__(self, archive: str, begin: int, end: int) -> None:
-        self.archive, self.begin, self.end = archive, begin, end
+    """Members that begin in a range; ``directory``: (offset, bytes) of the slice that lists them, if known."""
+
+    def __init__(self, archive: str, begin: int, end: int, directory: tuple[int, int] | None = None) -> None:
+        self.archive, self.begin, self.end, self.directory = archive, begin, end, directory
 
 
 class MediaArchives(DataSource):
-    """``spark.read.format("media_archives")``; options: ``path``, ``archives`` (JSON of
-    [name, bytes] pairs; else all of the folder), ``rangeBytes``, ``retries``, ``onError``."""
+    """``spark.read.format("media_archives")``; options: ``path``, ``manifest`` (a Parquet
+    folder; else all archives of the path, in ranges of ``rangeBytes``), ``retries``, ``onError``."""
 
     @classmethod
     def name(cls) -> str:
@@ -146,17 +173,18 @@ class MediaArchives(DataSource):
 class MediaReader(DataSourceReader):
     def __init__(self, schema: T.StructType, options: dict) -> None:
         lower = {k.lower(): v for k, v in options.items()}
-        self.schema, self.folder, self.listed = schema, lower["path"], lower.get("archives")
+        self.schema, self.folder, self.manifest = schema, lower["path"], lower.get("manifest")
         self.range_bytes, self.retries = int(lower.get("rangebytes", RANGE_BYTES)), int(lower.get("retries", RETRIES))
         self.null_errors = lower.get("onerror", "fail") == "null"
 
     def partitions(self) -> list[ByteRange]:
-        if self.listed is not None:
-            archives = json.loads(self.listed)
-        else:
-            store, root = pafs.FileSystem.from_uri(self.folder)
-            found = store.get_file_info(pafs.FileSelector(root))
-            archives = sorted((f.base_name, f.size) for f in found if f.is_file and f.extension == "zip")
+        if self.manifest is not None:
+            store, root = pafs.FileSystem.from_uri(self.manifest)
+            rows = pq.ParquetDataset(root, filesystem=store).read(columns=_NAMES[:-1])
+            return [ByteRange(name, begin, end, (at, size)) for name, begin, end, at, size in sorted(zip(*(c.to_pylist() for c in rows.columns), strict=True))]
+        store, root = pafs.FileSystem.from_uri(self.folder)
+        found = store.get_file_info(pafs.FileSelector(root))
+        archives = sorted((f.base_name, f.size) for f in found if f.is_file and f.extension == "zip")
         return [ByteRange(name, at, min(at + self.range_bytes, size)) for name, size in archives for at in range(0, size, self.range_bytes)]
 
     def read(self, partition: ByteRange | None) -> Iterator[pa.RecordBatch]:
@@ -164,7 +192,7 @@ class MediaReader(DataSourceReader):
             return
         store, root = pafs.FileSystem.from_uri(self.folder)
         where, rows, size = f"{root}/{partition.archive}", [], 0
-        for offset, name, packed, crc, method in self._again(lambda: directory(store, where)):
+        for offset, name, packed, crc, method in self._again(lambda: directory(store, where, partition.directory)):
             if not partition.begin <= offset < partition.end:
                 continue
             media, error = None, None
@@ -197,10 +225,23 @@ class MediaReader(DataSourceReader):
                 time.sleep(0.05 * 2**attempt)
 
 
-def directory(store: pafs.FileSystem, where: str) -> list[tuple[int, str, int, int, int]]:
-    """(offset, name, packed bytes, crc, method) of each member of an archive."""
-    with store.open_input_file(where) as source, zipfile.ZipFile(source) as archive:
-        return [(i.header_offset, i.filename, i.compress_size, i.CRC, i.compress_type) for i in archive.infolist()]
+def directory(store: pafs.FileSystem, where: str, part: tuple[int, int] | None = None) -> list[tuple[int, str, int, int, int]]:
+    """(offset, name, packed bytes, crc, method) of each member, of a slice of the directory or of all."""
+    with store.open_input_file(where) as source:
+        if part is None:
+            with zipfile.ZipFile(source) as archive:
+                return [(i.header_offset, i.filename, i.compress_size, i.CRC, i.compress_type) for i in archive.infolist()]
+        data = source.read_at(part[1], part[0])
+    found, at = [], 0
+    if len(data) < part[1]:
+        raise ValueError("the directory is cut off")
+    while at < len(data):
+        magic, _, _, _, method, _, _, crc, packed, _, name, extra, comment, _, _, _, offset = _ENTRY.unpack_from(data, at)
+        if magic != b"PK\x01\x02":
+            raise ValueError(f"no directory entry at {part[0] + at}")
+        found.append((offset, data[at + _ENTRY.size : at + _ENTRY.size + name].decode(), packed, crc, method))
+        at += _ENTRY.size + name + extra + comment
+    return found
 
 
 def member(store: pafs.FileSystem, where: str, offset: int, packed: int, crc: int, method: int) -> bytes:
@@ -217,14 +258,14 @@ def member(store: pafs.FileSystem, where: str, offset: int, packed: int, crc: in
     return media
 
 
-def read_media(spark: SparkSession, folder: str, manifest: DataFrame | None = None, **options: str) -> DataFrame:
-    """``doc_id, archive, offset, media, error`` of a folder's archives."""
+def read_media(spark: SparkSession, folder: str, manifest: str | None = "manifest", **options: str) -> DataFrame:
+    """``doc_id, archive, offset, media, error`` of a folder's archives.
+
+    ``manifest``: its name in the folder; None takes all archives of the folder.
+    """
     spark.dataSource.register(MediaArchives)
     reader = spark.read.format("media_archives").option("path", folder).options(**options)
-    if manifest is not None:
-        listed = sorted((r["archive"], r["bytes"]) for r in manifest.select("archive", "bytes").collect())
-        reader = reader.option("archives", json.dumps(listed))
-    return reader.load()
+    return (reader.option("manifest", f"{folder}/{manifest}") if manifest else reader).load()
 
 
 def _decode(media_index: int, schema: pa.Schema):

@@ -34,8 +34,8 @@ def _bpe_digests():
 
 def op3_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as audio in archives, read back, with features of the samples."""
-    folder, manifest = media_source.write_media(documents(spark, sf_dir))
-    stored = media_source.read_media(spark, folder, manifest).select("doc_id", "media")
+    folder, _ = media_source.write_media(documents(spark, sf_dir))
+    stored = media_source.read_media(spark, folder).select("doc_id", "media")
     return media_source.decode_media(stored).select(
         "doc_id",
         "n_bytes",

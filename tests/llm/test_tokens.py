@@ -246,9 +246,10 @@ def test_coder_learns_and_notices_damage():
         mixing_coder.decode_block(block[:10])
 
 
-def test_media_round_trip(spark, docs, plain):
-    folder, manifest = media_source.write_media(docs, archive_bytes=20_000)
-    assert manifest.count() > 3
+@pytest.mark.parametrize("manifest", ["manifest", None])
+def test_media_round_trip(spark, docs, plain, manifest):
+    folder, ranges = media_source.write_media(docs, archive_bytes=20_000, range_bytes=5000)
+    assert ranges.select("archive").distinct().count() > 3 and ranges.count() > ranges.select("archive").distinct().count()
     got = media_source.decode_media(media_source.read_media(spark, folder, manifest, rangeBytes="5000")).collect()
     texts = {r[0]: (r[1] or "").encode() for r in plain}
     assert len(got) == len(texts)
@@ -259,12 +260,27 @@ def test_media_round_trip(spark, docs, plain):
         assert r.feature == media_source.feature(padded) and bytes(r.media) == media_source.to_media(padded, len(raw))
 
 
+def test_a_range_reads_its_slice_of_the_directory(docs):
+    folder, ranges = media_source.write_media(docs, range_bytes=5000)
+    reader = media_source.MediaReader(_schema(), {"path": folder, "manifest": f"{folder}/manifest"})
+    store, root = media_source.pafs.FileSystem.from_uri(folder)
+    listed = defaultdict(list)
+    for p in reader.partitions():
+        members = media_source.directory(store, f"{root}/{p.archive}", p.directory)
+        assert members and all(p.begin <= m[0] < p.end for m in members)
+        listed[p.archive] += members
+    assert len(reader.partitions()) == ranges.count() > len(listed)
+    assert all(found == media_source.directory(store, f"{root}/{name}") for name, found in listed.items())
+    with pytest.raises(ValueError):
+        media_source.directory(store, f"{root}/{p.archive}", (p.directory[0] + 1, p.directory[1] - 1))
+
+
 def test_media_of_odd_rows(spark, odd, none):
-    folder, manifest = media_source.write_media(odd.withColumn("media", F.lit("clash")))
-    got = media_source.read_media(spark, folder, manifest)
+    folder, _ = media_source.write_media(odd.withColumn("media", F.lit("clash")))
+    got = media_source.read_media(spark, folder)
     assert got.count() == odd.count() and got.where("doc_id is null").count() == 2
-    folder, manifest = media_source.write_media(none)
-    assert media_source.read_media(spark, folder, manifest).count() == 0
+    folder, _ = media_source.write_media(none)
+    assert media_source.read_media(spark, folder).count() == 0
 
 
 def test_members_are_retried_alone(tmp_path):
@@ -299,11 +315,11 @@ def _schema():
 
 
 def test_stray_files_do_not_count(spark, docs):
-    folder, manifest = media_source.write_media(docs.limit(3))
+    folder, _ = media_source.write_media(docs.limit(3))
     path = folder.removeprefix("file://")
     with open(os.path.join(path, "media-stray.zip"), "wb") as out:
         out.write(b"left by a lost attempt")
-    assert media_source.read_media(spark, folder, manifest).count() == 3
+    assert media_source.read_media(spark, folder).count() == 3
 
 
 def test_digests_follow_the_contract(spark, tmp_path, docs, plain):

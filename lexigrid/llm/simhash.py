@@ -13,6 +13,10 @@ bit of a half is therefore met at its home, and fingerprints are compared per an
 
 Equal fingerprints are one row before they are replicated, and what leaves an anchor is
 a spanning forest of its links, not its pairs; components of all forests are the groups.
+An anchor that is home to more than ``BLOCK`` fingerprints is split: its homes and all that
+are sent to it are dealt into n blocks, and each block of homes meets each block of the
+others in a cell of its own. A task holds the homes of an anchor, or cell, and a bounded
+number of the rows that are compared with them.
 
 Defined results
 * null and empty texts, and texts of white space: fingerprint 0, linked like any other.
@@ -36,6 +40,8 @@ from lexigrid.llm.components import components
 _BLOCK = 1 << 15
 #: Groups up to this size are compared by shifted rows, larger ones by a search.
 _SMALL = 48
+#: Homes of an anchor that are not split.
+BLOCK = 4096
 #: Rows of an anchor-sorted partition that are compared together.
 _ROWS = 1 << 17
 
@@ -162,18 +168,17 @@ class Forest:
         return [x for x, _ in kept], [r for _, r in kept]
 
 
-def _search(fps: np.ndarray, reps: np.ndarray, bits: int, forest: Forest) -> None:
-    """Links of one large group: each member looks once at those not yet reached."""
-    left = np.arange(len(fps))
-    while len(left):
-        stack, left = [left[0]], left[1:]
-        while stack and len(left):
-            at = stack.pop()
-            near = np.bitwise_count(fps[left] ^ fps[at]) <= bits
-            for other in left[near]:
-                forest.link(int(reps[at]), int(reps[other]))
-            stack.extend(left[near])
-            left = left[~near]
+def _search(fps: np.ndarray, reps: np.ndarray, home: np.ndarray, bits: int, forest: Forest) -> None:
+    """Links of one large group: each home looks at all members, and merges those it finds."""
+    label = np.arange(len(fps))
+    for at in np.flatnonzero(home).tolist():
+        near = np.flatnonzero(np.bitwise_count(fps ^ fps[at]) <= bits)
+        found = label[near]
+        least = int(found.min())
+        if (found != least).any():
+            label[np.isin(label, found)] = least
+    for at, to in zip(np.flatnonzero(label != np.arange(len(label))).tolist(), label[label != np.arange(len(label))].tolist(), strict=True):
+        forest.link(int(reps[at]), int(reps[to]))
 
 
 def link_anchors(anchor: np.ndarray, fps: np.ndarray, reps: np.ndarray, home: np.ndarray, bits: int, forest: Forest) -> None:
@@ -181,7 +186,7 @@ def link_anchors(anchor: np.ndarray, fps: np.ndarray, reps: np.ndarray, home: np
     starts = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
     sizes = np.diff(np.append(starts, len(anchor)))
     for at, n in zip(starts[sizes > _SMALL], sizes[sizes > _SMALL], strict=True):
-        _search(fps[at : at + n], reps[at : at + n], bits, forest)
+        _search(fps[at : at + n], reps[at : at + n], home[at : at + n], bits, forest)
     keep = np.repeat((sizes > 1) & (sizes <= _SMALL), sizes)
     anchor, fps, reps, home = anchor[keep], fps[keep], reps[keep], home[keep]
     for k in range(1, _SMALL):
@@ -194,28 +199,31 @@ def link_anchors(anchor: np.ndarray, fps: np.ndarray, reps: np.ndarray, home: np
             forest.link(a, b)
 
 
-def _links(bits: int):
+def _links(bits: int, rows: int = _ROWS):
+    """Rows sorted by anchor, homes first -> a spanning forest of their links."""
+
     def run(batches):
-        forest, held, rows = Forest(), [], 0
+        forest, held, n = Forest(), [], 0
 
         def flush(last: bool) -> int:
             table = pa.Table.from_batches(held)
             cols = [table.column(i).to_numpy() for i in range(4)]
             cols[1] = cols[1].view(np.uint64)
-            end = len(cols[0]) if last else int(np.searchsorted(cols[0], cols[0][-1]))
-            if end:
-                link_anchors(*[c[:end] for c in cols], bits, forest)
-            held[:] = [] if last else table.slice(end).combine_chunks().to_batches()
+            link_anchors(*cols, bits, forest)
+            # Of the anchor that may go on, its homes stay: who comes later is compared with them.
+            at = len(cols[0]) if last else int(np.searchsorted(cols[0], cols[0][-1]))
+            rest = table.slice(at)
+            held[:] = rest.filter(rest.column(3)).combine_chunks().to_batches()
             return sum(b.num_rows for b in held)
 
-        grow = _ROWS
+        grow = rows
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-                rows += batch.num_rows
-                if rows >= grow:
-                    rows = flush(False)
-                    grow = max(_ROWS, 2 * rows)
+                n += batch.num_rows
+                if n >= grow:
+                    n = flush(False)
+                    grow = max(rows, 2 * n)
         if held:
             flush(True)
         u, v = forest.edges()
@@ -229,13 +237,31 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return link_fingerprints(cut(fingerprints(docs, id_col, text_col, shingle), "simhash"), bits)
 
 
-def link_fingerprints(fps: DataFrame, bits: int = 3) -> DataFrame:
+def split_anchors(sent: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``sent`` with the rows of anchors that have many homes dealt to cells, each a key of its own.
+
+    A cell's key is a hash; should it equal another key, groups are compared that need not be.
+    """
+    homes = sent.where("home").groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    crowded = cut(homes.select(F.col("anchor").alias("_anchor"), F.ceil(F.col("n") / block).cast("int").alias("_n")), "crowded")
+    if crowded.isEmpty():
+        return sent
+    on = sent["anchor"] == crowded["_anchor"]
+    mine = sent.join(crowded, on).withColumn("_b", F.pmod(F.xxhash64("fp"), F.col("_n")).cast("int"))
+    line = F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_k")
+    as_home = mine.where("home").select("anchor", "fp", "rep", "home", F.col("_b").alias("_i"), line).withColumnRenamed("_k", "_j")
+    as_member = mine.select("anchor", "fp", "rep", F.lit(False).alias("home"), line, F.col("_b").alias("_j")).withColumnRenamed("_k", "_i")
+    cells = as_home.unionByName(as_member).select(F.xxhash64("anchor", "_i", "_j").alias("anchor"), "fp", "rep", "home")
+    return sent.join(crowded, on, "left_anti").unionByName(cells)
+
+
+def link_fingerprints(fps: DataFrame, bits: int = 3, block: int = BLOCK) -> DataFrame:
     """``near_groups`` of a written table ``doc_id, fp``."""
     if not 0 <= bits <= 3:
         raise ValueError("anchors cover links of at most 3 bits")
     distinct = fps.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     sent = distinct.mapInArrow(fold_rows(_replicate), "anchor long, fp long, rep long, home boolean")
-    met = sent.repartition("anchor").sortWithinPartitions("anchor")
+    met = split_anchors(sent, block).repartition("anchor").sortWithinPartitions("anchor", F.desc("home"))
     edges = cut(met.mapInArrow(fold_rows(_links, bits), "u long, v long"), "links")
     groups = components(edges)
     of_fp = distinct.join(groups, distinct["rep"] == groups["node"], "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "rep").alias("component"))

@@ -181,6 +181,41 @@ def test_large_anchor_groups_are_searched():
     assert {i: forest.root(i) for i in range(300)} == want
 
 
+@pytest.mark.parametrize("rows", [7, 100, 1 << 17])
+def test_links_are_found_in_slices(rows):
+    """However few rows are held at once, an anchor's homes meet all that are sent to it."""
+    import numpy as np
+    import pyarrow as pa
+
+    random = np.random.default_rng(8)
+    fps = np.unique(np.concatenate([random.integers(0, 1 << 63, 40, dtype=np.uint64) ^ (np.uint64(1) << random.integers(0, 64, 40).astype(np.uint64)) for _ in range(2)] + [np.arange(200, dtype=np.uint64) << np.uint64(3)]))
+    row, key, home = simhash.anchors(fps)
+    order = np.lexsort((~home, key))
+    columns = [key.view(np.int64)[order], fps.view(np.int64)[row][order], row[order], home[order]]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c[i : i + 50]) for c in columns], ["anchor", "fp", "rep", "home"]) for i in range(0, len(row), 50)]
+    forest = simhash.Forest()
+    for batch in simhash._links(3, rows)(batches):
+        for u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            forest.link(u, v)
+    assert {i: forest.root(i) for i in range(len(fps))} == brute_groups(dict(enumerate(fps.tolist())))
+
+
+def test_crowded_anchors_are_split(spark):
+    """One anchor with most fingerprints: in cells, with the same groups."""
+    import numpy as np
+
+    random = np.random.default_rng(5)
+    high = np.uint64(0x5A5A5A5A) << np.uint64(32)
+    fps = [int(high | np.uint64(x)) for x in random.choice(1 << 10, 300, replace=False)] + [int(x) for x in random.integers(0, 1 << 63, 200)]
+    rows = [(i, int(np.uint64(fp).view(np.int64))) for i, fp in enumerate(fps)]
+    table = spark.createDataFrame(rows, "doc_id long, fp long").repartition(3)
+    sent = table.withColumn("rep", F.col("doc_id")).select("fp", "rep").mapInArrow(simhash.fold_rows(simhash._replicate), "anchor long, fp long, rep long, home boolean")
+    most = [d.where("home").groupBy("anchor").count().agg(F.max("count")).first()[0] for d in (sent, simhash.split_anchors(sent, 40))]
+    assert most[0] == 300 and most[1] < 80
+    got = {r.doc_id: r.component for r in simhash.link_fingerprints(table, block=40).collect()}
+    assert got == brute_groups(dict(enumerate(fps)))
+
+
 def test_simhash_of_odd_rows(odd):
     got = simhash.near_groups(odd)
     assert got.count() == odd.count()

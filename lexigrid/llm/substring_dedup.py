@@ -7,15 +7,19 @@ on the input, not on what is left.
 
 The index. A window's selected gram is the one of its 11 grams of ``GRAM`` (10) words
 with the least hash (the leftmost of equals), so equal windows select equal grams at
-equal offsets, and about one gram in six is ever selected. Two sets of sorted runs:
-* gram runs: hashes of all selected grams with the place where they were first met;
-* window runs: 128-bit hashes of the windows whose selected gram is not unique.
-A batch is hashed to sorted chunks, which are merge-joined by hash range with the gram
-runs. Only windows whose gram was met elsewhere can repeat: they are hashed whole, and
-merge-joined with the window runs, where equality is verified by a second, independent
-64-bit hash. A history gram met for the first time wakes its own place, whose windows
-are then indexed too. The batch's chunks become new immutable runs; when ``FANOUT`` runs
-have gathered, the next batch first compacts them into one.
+equal offsets, and about one gram in six is ever selected. A run is immutable and has a
+sorted file for each hash range, of two kinds:
+* grams: hashes of selected grams with the place where they were first met;
+* windows: 128-bit digests of the windows whose selected gram is not unique.
+A batch is hashed to sorted chunks, which are dealt by hash range; the task of a range
+reads the range's files of all runs and merge-joins them with the chunks, so runs are never
+shuffled. Only windows whose gram was met elsewhere can repeat: those are digested from
+their words, and merge-joined with the window files. Equality is that of the 128-bit
+digests of the words. A history gram met for the first time wakes its own place, whose
+windows are then digested too. The tasks that join also write the batch's run. ``FANOUT``
+runs of a level are compacted into one of the next level, so a hash is rewritten once a
+level. The folder's latest manifest says what the index holds; a lost attempt's files are
+in no manifest. A new ``SubstringIndex`` on the folder goes on where the last one ended.
 
 Documents of a batch must come after those of earlier batches. Order of documents is
 (id, crc32 of the text), null ids first.
@@ -27,27 +31,36 @@ Defined results
 * an empty table gives an empty table. Other columns pass through, those named
   ``n_words, n_removed, kept_sha256`` are replaced; names beginning ``_sd_`` are reserved.
 
-Scale: hashes travel as packed sorted arrays, 24 or 32 bytes each. A task sends each gram
+Scale: hashes travel as packed sorted arrays, of the batch alone. A task sends each gram
 or window once however often it met it, so what a third of all documents share is summed
-before it is shuffled. Tasks hold one hash range or the places of one range of documents.
+before it is shuffled. Texts are shuffled only if they have a place to look at: up to
+``SENT`` such documents are counted and their keys sent along to leave out the rest, of
+history too; beyond that texts are joined by equality. Documents are joined by id and
+crc32, so rows that repeat one are a skewed key that adaptive execution splits.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh3_128_digest
+from pyspark.sql.pandas.types import to_arrow_schema
+from xxhash import xxh3_64_digest, xxh3_128_digest
 
 from lexigrid.llm._shared import cut, delete_path, fold_rows, scratch_dir, size_bytes
 
-WINDOW, GRAM, FANOUT = 20, 10, 2
+WINDOW, GRAM, FANOUT, FORMAT = 20, 10, 4, 1
+#: Documents whose keys are sent to all tasks at most, 16 bytes each.
+SENT = 1 << 20
 #: Selected grams, or windows, that a task gathers before it sends sorted chunks.
 FLUSH = 1 << 19
 #: Words whose hashes a task remembers.
@@ -55,25 +68,24 @@ REMEMBERED = 1 << 18
 #: The place of a null id; the bit of a gram that its task met more than once.
 NO_ID, OFTEN = -(1 << 63), np.uint32(1 << 31)
 #: Kinds of rows between steps.
-GRAMS, PLACES, WAKES, WINDOWS, COVERS, TEXT = range(6)
+GRAMS, PLACES, WAKES, WINDOWS, COVERS, FILES_OF_GRAMS, FILES_OF_WINDOWS = range(7)
 _ROWS = "_sd_kind int, _sd_b long, _sd_blob binary"
 _WORD = re.compile(rb"[^ \t-\r]+")
-#: Odd multipliers of the two rolling hashes.
-_M1, _M2 = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
-_MASK = (1 << 64) - 1
+#: Odd multiplier of the rolling hash.
+_M = 0x9E3779B97F4A7C15
 
 
 class _WordHashes(dict):
-    """Word -> 16 hash bytes, forgotten when there are too many."""
+    """Word -> 8 hash bytes, forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> bytes:
-        self[word] = made = xxh3_128_digest(word)
+        self[word] = made = xxh3_64_digest(word)
         return made
 
     def of(self, words: list[bytes]) -> np.ndarray:
         if len(self) > REMEMBERED:
             self.clear()
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64).reshape(-1, 2)
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64)
 
 
 def _rolled(a: np.ndarray, m: int) -> np.ndarray:
@@ -91,19 +103,23 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class _Hashed:
-    """Grams, windows and selections of one text of at least ``WINDOW`` words."""
+    """Grams and selections of one text of at least ``WINDOW`` words."""
 
     def __init__(self, keys: np.ndarray) -> None:
-        self.raw = [_rolled(np.ascontiguousarray(keys[:, i]), m) for i, m in enumerate((_M1, _M2))]
-        self.grams = _mixed(self.raw[0])
+        self.grams = _mixed(_rolled(keys, _M))
         value, at = self.grams, np.arange(len(self.grams), dtype=np.int64)
         for step in (1, 2, 4, 3):  # least of 2, 4, 8 and 11 grams
             right = value[step:] < value[:-step]
             value, at = np.where(right, value[step:], value[:-step]), np.where(right, at[step:], at[:-step])
         self.selected = at  # of each window
 
-    def window_keys(self, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(_mixed(g[starts] * np.uint64(pow(m, GRAM, 1 << 64)) + g[starts + GRAM]) for g, m in zip(self.raw, (_M1, _M2), strict=True))
+
+def window_digests(words: list[bytes], starts: np.ndarray) -> np.ndarray:
+    """The 128-bit digest of the words of each window, joined by one space, as two numbers."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    joined, stops = b" ".join(words), (ends[starts + WINDOW - 1] - 1).tolist()
+    begins = np.concatenate(([0], ends))[starts].tolist()
+    return np.frombuffer(b"".join([xxh3_128_digest(joined[a:b]) for a, b in zip(begins, stops, strict=True)]), np.uint64).reshape(-1, 2)
 
 
 def _pack(*columns: np.ndarray) -> bytes:
@@ -111,7 +127,8 @@ def _pack(*columns: np.ndarray) -> bytes:
 
 
 _GRAM_TYPES = (np.uint64, np.int64, np.uint32, np.uint32)  # hash, id, tag, at
-_WINDOW_TYPES = (np.uint64, np.uint64, np.int64, np.uint32, np.uint32)  # two hashes, id, tag, at
+_WINDOW_TYPES = (np.uint64, np.uint64, np.int64, np.uint32, np.uint32)  # digest, id, tag, at
+_KNOWN_TYPES = (np.uint64, np.uint64)  # digests in a run
 _PLACE_TYPES = (np.int64, np.uint32, np.uint32)
 
 
@@ -134,7 +151,7 @@ def _rows(kind: int, buckets: np.ndarray, columns: tuple) -> list[tuple[int, int
 
 
 def _place_rows(kind: int, doc_buckets: int, doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> list[tuple[int, int, bytes]]:
-    b = doc % doc_buckets
+    b = (doc % doc_buckets + tag.astype(np.int64) * 40503 % doc_buckets) % doc_buckets
     order = np.argsort(b, kind="stable")
     return _rows(kind, b[order], (doc[order], tag[order], at[order]))
 
@@ -242,64 +259,78 @@ def _groups(batches, columns: int):
         yield key, rows
 
 
-def _join_grams(doc_buckets: int):
-    """Rows (range, new, chunk) -> places of the batch's grams met elsewhere, history's to wake."""
+def _save(folder: str, kind: int, b: int, columns: tuple) -> tuple[int, int, bytes]:
+    """Write one file of a run; the row that names it."""
+    store, root = pafs.FileSystem.from_uri(folder)
+    store.create_dir(root, recursive=True)
+    name = f"{'grams' if kind == FILES_OF_GRAMS else 'windows'}-{b:08d}-{uuid.uuid4().hex}"
+    with store.open_output_stream(f"{root}/{name}") as out:
+        out.write(_pack(*columns))
+    return kind, b, f"{folder}/{name}".encode()
+
+
+def _load(paths: list[bytes], types: tuple) -> list[np.ndarray]:
+    blobs = []
+    for path in paths:
+        store, where = pafs.FileSystem.from_uri(path.decode())
+        with store.open_input_file(where) as source:
+            blobs.append(source.read())
+    return _unpack(blobs, types)
+
+
+def _join_grams(folder: str, doc_buckets: int):
+    """Rows (range, new, chunk or file) -> places of the batch's grams met elsewhere, history's to wake; the batch's run."""
 
     def run(batches):
-        for _, rows in _groups(batches, 3):
-            h, doc, tag, at = _unpack([r[1] for r in rows], _GRAM_TYPES)
-            new = np.repeat([bool(r[0]) for r in rows], [len(r[1]) // 24 for r in rows])
-            h, doc, tag, at, new = _by_key((h,), (doc, tag, at, new))
+        for b, rows in _groups(batches, 3):
+            chunks = [r[1] for r in rows if r[0]]
+            if not chunks:
+                continue
+            mine, known = _unpack(chunks, _GRAM_TYPES), _load([r[1] for r in rows if not r[0]], _GRAM_TYPES)
+            new = np.repeat([True, False], [len(mine[0]), len(known[0])])
+            h, doc, tag, at = (np.concatenate(c) for c in zip(mine, known, strict=True))
+            order = np.lexsort((at & ~OFTEN, tag, doc))
+            h, doc, tag, at, new = _by_key((h[order],), (doc[order], tag[order], at[order], new[order]))
             head = _heads(h)
             group = np.cumsum(head) - 1
-            size = np.bincount(group)
-            fresh = np.bincount(group, weights=new) > 0
-            single = (at & OFTEN) == 0
-            met = single & (size > 1)[group] & fresh[group]
-            for kind, mine in ((PLACES, met & new), (WAKES, met & ~new)):
-                yield from _sliced(_place_rows(kind, doc_buckets, doc[mine], tag[mine], at[mine]))
+            size, single = np.bincount(group), (at & OFTEN) == 0
+            old, fresh = np.bincount(group, weights=~new) > 0, np.bincount(group, weights=new) > 0
+            woken = np.bincount(group, weights=~new & ~single) > 0  # history's own place was woken before
+            met = single & (size > 1)[group]
+            yield from _sliced(_place_rows(PLACES, doc_buckets, *(c[met & new] for c in (doc, tag, at))))
+            wake = met & ~new & (fresh & ~woken)[group]
+            yield from _sliced(_place_rows(WAKES, doc_buckets, *(c[wake] for c in (doc, tag, at))))
+            often = (size > 1) | (np.bincount(group, weights=~single) > 0)
+            first = np.flatnonzero(new)[_heads(h[new])]  # of the batch
+            yield _batch([_save(folder, FILES_OF_GRAMS, b, (h[first], doc[first], tag[first], np.where(often[group[first]], at[first] | OFTEN, at[first])))])
 
     return run
 
 
-class _Places:
-    """Sorted places of one range of documents."""
-
-    def __init__(self, blobs: list[bytes]) -> None:
-        doc, tag, at = _unpack(blobs, _PLACE_TYPES)
-        order = np.lexsort((at, tag, doc))
-        self.doc, self.tag, self.at = doc[order], tag[order], at[order]
-
-    def of(self, doc: int, tag: int) -> np.ndarray:
-        a, b = np.searchsorted(self.doc, [doc, doc], side="left")[0], np.searchsorted(self.doc, doc, side="right")
-        tags = self.tag[a:b]
-        return self.at[a + np.searchsorted(tags, tag, side="left") : a + np.searchsorted(tags, tag, side="right")]
-
+def _per_document(kinds: tuple[int, ...]):
+    """Rows (document range, kind, chunk) -> a row for each document and group of kinds, with its distinct places."""
 
-def _beside_texts(batches, text_at: int):
-    """(places of the document range, batch of texts) from rows sorted by (range, kind).
+    def run(batches):
+        for _, rows in _groups(batches, 3):
+            for new in (True, False):
+                doc, tag, at = _unpack([r[1] for r in rows if (r[0] in kinds) == new], _PLACE_TYPES)
+                order = np.lexsort((at, tag, doc))
+                doc, tag, at = doc[order], tag[order], at[order] & ~OFTEN
+                some = _heads(doc, tag, at)
+                doc, tag, at = doc[some], tag[some], at[some]
+                edges = np.flatnonzero(_heads(doc, tag)).tolist() if len(doc) else []
+                for i in range(0, len(edges), 1024):
+                    part = edges[i : i + 1024]
+                    ends = [*edges[i + 1 : i + 1025], len(doc)][: len(part)]
+                    blobs = [at[x:y].astype("<u4").tobytes() for x, y in zip(part, ends, strict=True)]
+                    columns = [pa.array([new] * len(part), pa.bool_()), pa.array(doc[part]), pa.array(tag[part].astype(np.int64)), pa.array(blobs, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(columns, ["_sd_new", "_sd_id", "_sd_tag", "_sd_starts"])
 
-    Columns are kind, range, chunk, then those of the texts.
-    """
-    at, blobs, places = None, [], None
-    for batch in batches:
-        kinds = batch.column(0).to_numpy()
-        ranges = batch.column(1).to_numpy()
-        edges = [0, *(np.flatnonzero((np.diff(kinds) != 0) | (np.diff(ranges) != 0)) + 1).tolist(), len(kinds)]
-        for a, b in zip(edges, edges[1:], strict=False):
-            if a == b:
-                continue
-            if ranges[a] != at:
-                at, blobs, places = ranges[a], [], None
-            if kinds[a] != TEXT:
-                blobs += batch.column(2).slice(a, b - a).to_pylist()
-            else:
-                places = places or _Places(blobs)
-                yield places, batch.slice(a, b - a)
+    return run
 
 
 def _hash_windows(buckets: int, doc_buckets: int):
-    """Texts beside the places of their grams -> sorted chunks of windows; covers known here."""
+    """Texts with the places of their grams -> sorted chunks of windows; covers known here."""
 
     def run(batches):
         words, held = _WordHashes(), _Gathered()
@@ -313,19 +344,14 @@ def _hash_windows(buckets: int, doc_buckets: int):
             yield from _sliced(_place_rows(COVERS, doc_buckets, doc[later], tag[later], at[later]))
             yield from _sliced(_rows(WINDOWS, _range_of(k1[head], buckets), (k1[head], k2[head], doc[head], tag[head], at[head])))
 
-        for places, batch in _beside_texts(batches, 3):
-            if not len(places.doc):
-                continue
-            for new, doc, text in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
-                raw, doc = (text or "").encode("utf-8", "surrogatepass"), NO_ID if doc is None else doc
-                chosen = places.of(doc, _tag(raw))
-                if not len(chosen):
-                    continue
-                hashed = _Hashed(words.of(raw.split()))
+        for batch in batches:
+            for new, doc, tag, text, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                split = text.encode("utf-8", "surrogatepass").split()
+                hashed = _Hashed(words.of(split))
                 met = np.zeros(len(hashed.grams), bool)
-                met[chosen] = True
+                met[np.frombuffer(places, "<u4")] = True
                 starts = np.flatnonzero(met[hashed.selected])
-                held.add(doc, _tag(raw), starts, np.full(len(starts), new), *hashed.window_keys(starts))
+                held.add(doc, tag, starts, np.full(len(starts), new), *window_digests(split, starts).T)
                 if held.n >= FLUSH:
                     yield from flush()
         if held.n:
@@ -334,45 +360,76 @@ def _hash_windows(buckets: int, doc_buckets: int):
     return run
 
 
-def _join_windows(doc_buckets: int):
-    """Rows (range, new, chunk) -> covers of the batch; windows that history lacks."""
+def _join_windows(folder: str, doc_buckets: int):
+    """Rows (range, new, chunk or file) -> covers of the batch; the batch's run of windows that history lacks."""
 
     def run(batches):
         for b, rows in _groups(batches, 3):
-            k1, k2, doc, tag, at = _unpack([r[1] for r in rows], _WINDOW_TYPES)
-            new = np.repeat([bool(r[0]) for r in rows], [len(r[1]) // 32 for r in rows])
-            order = np.lexsort((new, at, tag, doc))
-            k1, k2, doc, tag, at, new = _by_key((k1[order], k2[order]), (doc[order], tag[order], at[order], new[order]))
+            chunks = [r[1] for r in rows if r[0]]
+            if not chunks:
+                continue
+            k1, k2, doc, tag, at = _unpack(chunks, _WINDOW_TYPES)
+            order = np.lexsort((at, tag, doc))
+            k1, k2, doc, tag, at = _by_key((k1[order], k2[order]), (doc[order], tag[order], at[order]))
             head = _heads(k1, k2)
-            group = np.cumsum(head) - 1
-            first = np.flatnonzero(head)[group]
-            later = new & ~((doc == doc[first]) & (tag == tag[first]) & (at == at[first]))
+            known = _in_runs(k1, k2, _load([r[1] for r in rows if not r[0]], _KNOWN_TYPES))
+            first = np.flatnonzero(head)[np.cumsum(head) - 1]
+            later = known | ~((doc == doc[first]) & (tag == tag[first]) & (at == at[first]))
             yield from _sliced(_place_rows(COVERS, doc_buckets, doc[later], tag[later], at[later]))
-            lacked = head & new & ~(np.bincount(group, weights=~new) > 0)[group]
+            lacked = head & ~known
             if lacked.any():
-                yield _batch([(WINDOWS, b, _pack(k1[lacked], k2[lacked], doc[lacked], tag[lacked], at[lacked]))])
+                yield _batch([_save(folder, FILES_OF_WINDOWS, b, (k1[lacked], k2[lacked]))])
 
     return run
 
 
-def _merge_runs(types: tuple, keys: int, kind: int):
-    """Rows (range, chunk) of several runs -> one sorted chunk of distinct hashes a range."""
+def _in_runs(k1: np.ndarray, k2: np.ndarray, runs: list[np.ndarray]) -> np.ndarray:
+    """Which digests are in the runs."""
+    a, b, new = np.concatenate((runs[0], k1)), np.concatenate((runs[1], k2)), np.repeat([0, 1], [len(runs[0]), len(k1)])
+    order = np.lexsort((new, b, a))
+    a, b = a[order], b[order]
+    head = _heads(a, b)
+    old = (new[order] == 0)[np.flatnonzero(head)][np.cumsum(head) - 1]  # old ones come first
+    out = np.empty(len(a), bool)
+    out[order] = old
+    return out[len(runs[0]) :]
+
+
+def _merge_files(folder: str):
+    """Rows (kind, range, file) of several runs -> one file of each kind and range."""
 
     def run(batches):
-        for b, rows in _groups(batches, 2):
-            columns = _unpack([r[0] for r in rows], types)
-            order = np.lexsort(columns[keys + 2 : keys - 1 : -1] if keys > 1 else (columns[3] & ~OFTEN, columns[2], columns[1]))
-            columns = _by_key(tuple(c[order] for c in columns[:keys]), tuple(c[order] for c in columns[keys:]))
-            head = _heads(*columns[:keys])
-            if keys == 1:
+        for (kind, b), rows in _groups(((_keyed(batch)) for batch in batches), 2):
+            if kind == FILES_OF_GRAMS:
+                h, doc, tag, at = _load([r[0] for r in rows], _GRAM_TYPES)
+                order = np.lexsort((at & ~OFTEN, tag, doc))
+                h, doc, tag, at = _by_key((h[order],), (doc[order], tag[order], at[order]))
+                head = _heads(h)
                 group = np.cumsum(head) - 1
-                often = (np.bincount(group) > 1) | (np.bincount(group, weights=(columns[3] & OFTEN) > 0) > 0)
-                columns[3] = np.where(often[group], columns[3] | OFTEN, columns[3])
-            yield _batch([(kind, b, _pack(*[c[head] for c in columns]))])
+                often = (np.bincount(group) > 1) | (np.bincount(group, weights=(at & OFTEN) > 0) > 0)
+                columns = tuple(c[head] for c in (h, doc, tag, np.where(often[group], at | OFTEN, at)))
+            else:
+                k1, k2 = _by_key(tuple(_load([r[0] for r in rows], _KNOWN_TYPES)), ())
+                head = _heads(k1, k2)
+                columns = (k1[head], k2[head])
+            yield _batch([_save(folder, kind, b, columns)])
 
     return run
 
 
+class _keyed:
+    """A batch (kind, range, file) whose first column is the pair of kind and range."""
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        self.batch = batch
+
+    def column(self, i: int):
+        return self if i == 0 else self.batch.column(2)
+
+    def to_pylist(self) -> list[tuple]:
+        return list(zip(self.batch.column(0).to_pylist(), self.batch.column(1).to_pylist(), strict=True))
+
+
 def _cut_out(raw: bytes, removed: np.ndarray) -> str:
     """The text without the removed words and the white space behind each."""
     spans = [m.span() for m in _WORD.finditer(raw)]
@@ -384,21 +441,22 @@ def _cut_out(raw: bytes, removed: np.ndarray) -> str:
     return b"".join([*out, raw[at:]]).decode("utf-8", "surrogatepass")
 
 
-def _remove(text_index: int, id_index: int, schema: pa.Schema):
-    """Texts beside their covers -> the texts without covered words."""
+def _remove(text_index: int, schema: pa.Schema):
+    """Texts with their covers (or null), as last column -> the texts without covered words."""
 
     def run(batches):
-        for places, batch in _beside_texts(batches, 3):
+        for batch in batches:
             texts, counts, gone, digests = [], [], [], []
-            for doc, text in zip(batch.column(3 + id_index).to_pylist(), batch.column(3 + text_index).to_pylist(), strict=True):
+            for text, starts in zip(batch.column(text_index).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
                 raw = (text or "").encode("utf-8", "surrogatepass")
-                words, starts = raw.split(), places.of(NO_ID if doc is None else doc, _tag(raw)) if len(places.doc) else ()
+                words = raw.split()
                 counts.append(len(words))
                 n = 0
-                if len(starts):
+                if starts:
+                    at = np.frombuffer(starts, "<u4").astype(np.int64)
                     steps = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(steps, starts, 1)
-                    np.add.at(steps, starts + WINDOW, -1)
+                    np.add.at(steps, at, 1)
+                    np.add.at(steps, at + WINDOW, -1)
                     removed = np.cumsum(steps[:-1]) > 0
                     n = int(removed.sum())
                     words = [words[i] for i in np.flatnonzero(~removed).tolist()]
@@ -407,108 +465,149 @@ def _remove(text_index: int, id_index: int, schema: pa.Schema):
                 gone.append(n)
                 digests.append(hashlib.sha256(b" ".join(words)).hexdigest())
             made = {"n_words": pa.array(counts, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
-            columns = {batch.schema.names[i]: batch.column(i) for i in range(3, batch.num_columns)}
-            columns[batch.schema.names[3 + text_index]] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([made[n] if n in made else columns[n] for n in schema.names], schema.names)
+            made[batch.schema.names[text_index]] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([made[n] if n in made else batch.column(batch.schema.get_field_index(n)) for n in schema.names], schema.names)
 
     return run
 
 
 class SubstringIndex:
-    """The log-structured index; ``dedup_batch`` is the way in.
+    """The log-structured index of a folder; ``dedup_batch`` is the way in.
 
+    ``folder``: where the index is, or is made; None makes one in the scratch folder.
     ``size_bytes``: rough bytes of all texts to come, which set how finely hashes and
-    documents are dealt out; any value gives the same result.
+    documents are dealt out; any value gives the same result. A folder keeps its own.
     """
 
-    def __init__(self, spark: SparkSession, size_bytes: int = 0, fanout: int = FANOUT) -> None:
-        self.spark, self.fanout = spark, fanout
-        self.buckets = max(256, size_bytes >> 25)
-        self.doc_buckets = max(256, size_bytes >> 21)
-        self.grams: list[DataFrame] = []
-        self.windows: list[DataFrame] = []
-        self.scratch: dict[int, str] = {}
-
-    def _cut(self, df: DataFrame, tag: str) -> DataFrame:
-        where = scratch_dir(self.spark, tag)
-        out = cut(df, tag, where)
-        self.scratch[id(out)] = where
-        return out
-
-    def _drop(self, *tables: DataFrame) -> None:
-        for t in tables:
-            delete_path(self.spark, self.scratch.pop(id(t)))
-
-    def _merge_join(self, runs: list[DataFrame], new: DataFrame, kind: int, make) -> DataFrame:
-        sides = [r.where(F.col("_sd_kind") == kind).select("_sd_b", F.lit(0).alias("_sd_new"), "_sd_blob") for r in runs]
+    def __init__(self, spark: SparkSession, folder: str | None = None, size_bytes: int = 0, fanout: int = FANOUT) -> None:
+        self.spark, self.folder, self.fanout = spark, (folder or scratch_dir(spark, "substrings")).rstrip("/"), fanout
+        self.buckets, self.doc_buckets = max(256, size_bytes >> 27), max(256, size_bytes >> 21)
+        self.version, self.runs = 0, []  # runs: [level, name]
+        self._open()
+
+    def _files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        return path, path(self.folder).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _open(self) -> None:
+        path, files = self._files()
+        if not files.exists(path(self.folder)):
+            return
+        names = sorted(f.getPath().getName() for f in files.listStatus(path(self.folder)))
+        found = [n for n in names if n.startswith("manifest-") and n.endswith(".json")]
+        if found:
+            held = json.loads(self.spark.sparkContext.wholeTextFiles(f"{self.folder}/{found[-1]}").values().first())
+            if (held["format"], held["window"], held["gram"]) != (FORMAT, WINDOW, GRAM):
+                raise ValueError(f"{self.folder} holds another kind of index: {held}")
+            self.version, self.runs = held["version"], held["runs"]
+            self.buckets, self.doc_buckets = held["buckets"], held["doc_buckets"]
+
+    def _publish(self, runs: list) -> None:
+        """A new manifest; written beside its name first, so it is whole or not there."""
+        path, files = self._files()
+        facts = {"format": FORMAT, "window": WINDOW, "gram": GRAM, "version": self.version + 1, "buckets": self.buckets, "doc_buckets": self.doc_buckets, "runs": runs}
+        made, named = (path(f"{self.folder}/{n}") for n in (f"_{uuid.uuid4().hex}", f"manifest-{self.version + 1:08d}.json"))
+        out = files.create(made)
+        out.write(bytearray(json.dumps(facts).encode()))
+        out.close()
+        if not files.rename(made, named):
+            raise RuntimeError(f"another writer has published {named}")
+        self.version, self.runs = self.version + 1, runs
+
+    def _run_files(self, runs: list) -> DataFrame:
+        return self.spark.read.schema(_ROWS).parquet(*[f"{self.folder}/{name}/files" for _, name in runs])
+
+    def _merge_join(self, new: DataFrame, kind: int, files: int, make, run: str) -> DataFrame:
         both = new.where(F.col("_sd_kind") == kind).select("_sd_b", F.lit(1).alias("_sd_new"), "_sd_blob")
-        for side in sides:
-            both = both.unionByName(side)
+        if self.runs:
+            both = both.unionByName(self._run_files(self.runs).where(F.col("_sd_kind") == files).select("_sd_b", F.lit(0).alias("_sd_new"), "_sd_blob"))
         dealt = both.repartition("_sd_b").sortWithinPartitions("_sd_b")
-        return dealt.mapInArrow(fold_rows(make, self.doc_buckets), _ROWS)
-
-    def _compact(self, runs: list[DataFrame], types: tuple, keys: int, kind: int) -> list[DataFrame]:
-        rows = runs[0].where(F.col("_sd_kind") == kind)
-        for r in runs[1:]:
-            rows = rows.unionByName(r.where(F.col("_sd_kind") == kind))
-        dealt = rows.select("_sd_b", "_sd_blob").repartition("_sd_b").sortWithinPartitions("_sd_b")
-        merged = self._cut(dealt.mapInArrow(fold_rows(_merge_runs, types, keys, kind), _ROWS), "run")
-        self._drop(*runs)
-        return [merged]
+        return dealt.mapInArrow(fold_rows(make, f"{self.folder}/{run}", self.doc_buckets), _ROWS)
 
     def compact(self) -> None:
-        """Merge the runs of each set into one."""
-        if len(self.grams) > 1:
-            self.grams = self._compact(self.grams, _GRAM_TYPES, 1, GRAMS)
-            self.windows = self._compact(self.windows, _WINDOW_TYPES, 2, WINDOWS)
-
-    def _dealt(self, texts: DataFrame, places: list[tuple[DataFrame, int]], columns: list[tuple[str, str]]) -> DataFrame:
-        """Places and texts by document range, places first."""
-        rows = texts.withColumns({"_sd_kind": F.lit(TEXT), "_sd_blob": F.lit(None).cast("binary")})
-        for table, kind in places:
-            rows = rows.unionByName(table.where(F.col("_sd_kind") == kind), allowMissingColumns=True)
-        rows = rows.select("_sd_kind", "_sd_b", "_sd_blob", *[c for c, _ in columns])
-        return rows.repartition("_sd_b").sortWithinPartitions("_sd_b", "_sd_kind")
-
-    def _bucket(self, id_col: str) -> Column:
-        return F.pmod(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.lit(self.doc_buckets).cast("long"))
+        """While a level has ``fanout`` runs, merge them into one of the next level."""
+        while full := [n for n in sorted({r[0] for r in self.runs}) if sum(r[0] == n for r in self.runs) >= self.fanout]:
+            mine, name = [r for r in self.runs if r[0] == full[0]], f"run-{uuid.uuid4().hex}"
+            dealt = self._run_files(mine).repartition("_sd_kind", "_sd_b").sortWithinPartitions("_sd_kind", "_sd_b")
+            cut(dealt.mapInArrow(fold_rows(_merge_files, f"{self.folder}/{name}"), _ROWS), "files", f"{self.folder}/{name}/files")
+            self._publish([r for r in self.runs if r not in mine] + [[full[0] + 1, name]])
+            for _, old in mine:
+                delete_path(self.spark, f"{self.folder}/{old}")
+
+    def _by_document(self, rows: DataFrame, tag: str) -> tuple[DataFrame, str, dict]:
+        """Places by document, ``_sd_new`` but for those to wake; where they are, and how many documents have any."""
+        dealt = rows.select("_sd_b", "_sd_kind", "_sd_blob").repartition("_sd_b").sortWithinPartitions("_sd_b")
+        where = scratch_dir(self.spark, tag)
+        found = cut(dealt.mapInArrow(fold_rows(_per_document, (PLACES, COVERS)), "_sd_new boolean, _sd_id long, _sd_tag long, _sd_starts binary"), tag, where)
+        return found, where, {r[0]: r[1] for r in found.groupBy("_sd_new").count().collect()}
+
+    @staticmethod
+    def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        return docs.withColumns({"_sd_id": F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), "_sd_tag": F.crc32(F.coalesce(F.col(text_col), F.lit("")))})
+
+    @staticmethod
+    def _beside(texts: DataFrame, places: DataFrame, n: int, how: str = "inner") -> DataFrame:
+        """Texts with the places of their documents; texts without any are not shuffled if few have."""
+        keys, places = ["_sd_id", "_sd_tag"], places.select("_sd_id", "_sd_tag", "_sd_starts")
+        if n > SENT:
+            return texts.join(places.hint("shuffle_hash"), keys, how)
+        sent = F.broadcast(places.select(*keys))
+        mine = texts.join(sent, keys, "left_semi").join(places.hint("shuffle_hash"), keys)
+        if how == "inner":
+            return mine
+        return mine.unionByName(texts.join(sent, keys, "left_anti").withColumn("_sd_starts", F.lit(None).cast("binary")))
 
     def dedup_batch(self, batch: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``batch`` without repeated windows; the index then holds the batch too.
 
         ``history``: the documents of all batches before, read again for woken places.
         """
-        if len(self.grams) >= self.fanout:
-            self.compact()
+        self.compact()
+        run, temporary = f"run-{uuid.uuid4().hex}", []
+
+        def keep(df: DataFrame, tag: str) -> DataFrame:
+            temporary.append(scratch_dir(self.spark, tag))
+            return cut(df, tag, temporary[-1])
+
         plain = batch.select(F.col(id_col).cast("long").alias("_sd_id"), F.col(text_col).alias("_sd_text"))
-        hashed = self._cut(plain.mapInArrow(fold_rows(_hash_batch, self.buckets, self.doc_buckets), _ROWS), "grams")
-        met = self._cut(self._merge_join(self.grams, hashed, GRAMS, _join_grams), "met")
-        texts = batch.select(F.lit(True).alias("_sd_new"), F.col(id_col).cast("long").alias("_sd_id"), F.col(text_col).alias("_sd_text"), self._bucket(id_col).alias("_sd_b"))
-        if history is not None and self.grams:
-            texts = texts.unionByName(history.select(F.lit(False).alias("_sd_new"), F.col(id_col).cast("long").alias("_sd_id"), F.col(text_col).alias("_sd_text"), self._bucket(id_col).alias("_sd_b")))
-        columns = [("_sd_new", ""), ("_sd_id", ""), ("_sd_text", "")]
-        beside = self._dealt(texts, [(hashed, PLACES), (met, PLACES), (met, WAKES)], columns)
-        found = self._cut(beside.mapInArrow(fold_rows(_hash_windows, self.buckets, self.doc_buckets), _ROWS), "windows")
-        joined = self._cut(self._merge_join(self.windows, found, WINDOWS, _join_windows), "covers")
+        hashed = keep(plain.mapInArrow(fold_rows(_hash_batch, self.buckets, self.doc_buckets), _ROWS), "grams")
+        met = keep(self._merge_join(hashed, GRAMS, FILES_OF_GRAMS, _join_grams, run), "met")
+        of_places = hashed.where(F.col("_sd_kind") == PLACES).unionByName(met.where(F.col("_sd_kind").isin(PLACES, WAKES)))
+        places, where, n = self._by_document(of_places, "places")
+        temporary.append(where)
+        texts = self._beside(self._keyed(batch, id_col, text_col), places.where("_sd_new"), n.get(True, 0)).withColumn("_sd_new", F.lit(True))
+        columns = ["_sd_new", "_sd_id", "_sd_tag", F.col(text_col).alias("_sd_text"), "_sd_starts"]
+        texts = texts.select(*columns)
+        if history is not None and n.get(False, 0):
+            woken = self._beside(self._keyed(history, id_col, text_col), places.where("not _sd_new"), n[False]).withColumn("_sd_new", F.lit(False))
+            texts = texts.unionByName(woken.select(*columns))
+        found = keep(texts.mapInArrow(fold_rows(_hash_windows, self.buckets, self.doc_buckets), _ROWS), "windows")
+        joined = keep(self._merge_join(found, WINDOWS, FILES_OF_WINDOWS, _join_windows, run), "covers")
+        covers, where, n = self._by_document(found.where(F.col("_sd_kind") == COVERS).unionByName(joined.where(F.col("_sd_kind") == COVERS)), "covered")
+        temporary.append(where)
 
         fields = [f for f in batch.schema.fields if f.name not in ("n_words", "n_removed", "kept_sha256")]
         added = T.StructType([*fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType())])
         names = [f.name for f in fields]
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        covered = self._dealt(batch.select(*names, self._bucket(id_col).alias("_sd_b")), [(found, COVERS), (joined, COVERS)], [(n, "") for n in names])
-        out = self._cut(covered.mapInArrow(fold_rows(_remove, names.index(text_col), names.index(id_col), to_arrow_schema(added)), added), "kept")
-        self._drop(met)
-        self.grams.append(hashed)
-        self.windows.append(joined)
-        self._drop(found)
+        beside = self._beside(self._keyed(batch.select(*names), id_col, text_col), covers, n.get(True, 0), "left").select(*names, "_sd_starts")
+        out = cut(beside.mapInArrow(fold_rows(_remove, names.index(text_col), to_arrow_schema(added)), added), "kept")
+        files = met.where(F.col("_sd_kind") == FILES_OF_GRAMS).unionByName(joined.where(F.col("_sd_kind") == FILES_OF_WINDOWS))
+        cut(files, "files", f"{self.folder}/{run}/files")
+        self._publish([*self.runs, [0, run]])
+        for where in temporary:
+            delete_path(self.spark, where)
         return out
 
+    def drop(self) -> None:
+        """Remove the index and its folder."""
+        delete_path(self.spark, self.folder)
+        self.runs = []
+
 
 def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", batches: int = 3) -> DataFrame:
     """``docs`` through a new index in ``batches`` ranges of ids, in their order."""
     spark = docs.sparkSession
-    index = SubstringIndex(spark, size_bytes(docs))
+    index = SubstringIndex(spark, size_bytes=size_bytes(docs))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     bounds = docs.select(key.alias("k")).stat.approxQuantile("k", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     bounds = [None, *sorted({int(b) for b in bounds or []}), None]
@@ -520,5 +619,5 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     done = outs[0]
     for out in outs[1:]:
         done = done.unionByName(out)
-    index._drop(*index.grams, *index.windows)
+    index.drop()
     return done

@@ -53,24 +53,67 @@ def test_substrings_of_odd_rows(odd):
         assert (r.n_words, r.n_removed, r.kept_sha256) == want[r.doc_id, r.was][:3]
 
 
-def test_index_compacts_and_still_knows(spark, docs, plain):
+def test_index_is_reopened_and_compacts_by_level(spark, docs, plain, tmp_path):
+    """A new object a batch, on one folder: what was indexed before is known."""
     want = {k[0]: v[:2] for k, v in brute_substrings(plain).items()}
-    index = substring_dedup.SubstringIndex(spark, fanout=2)
-    found, step = {}, 13
+    found, step, levels = {}, 13, []
     for low in range(0, len(plain), step):
+        index = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/index", fanout=2)
+        assert index.version >= len(levels) and (not levels or index.runs == levels[-1])
         batch = docs.where((F.col("doc_id") >= low) & (F.col("doc_id") < low + step))
         for r in index.dedup_batch(batch, docs.where(F.col("doc_id") < low)).collect():
             found[r.doc_id] = (r.n_words, r.n_removed)
-        assert len(index.grams) <= 2
+        levels.append(index.runs)
     assert found == want
+    assert max(level for runs in levels for level, _ in runs) >= 2 and max(map(len, levels)) <= 4
+    held = {p.name for p in (tmp_path / "index").iterdir() if p.name.startswith("run-")}
+    assert held == {name for _, name in levels[-1]}
+    index.drop()
+    assert not (tmp_path / "index").exists()
 
 
-def test_equal_gram_hashes_are_verified(monkeypatch):
+def test_history_is_not_shuffled(spark, docs, plain, monkeypatch):
+    """Texts of history that have no place to look at never reach a task of windows."""
+    seen = []
+    real = substring_dedup.SubstringIndex._beside
+
+    def spy(texts, places, n, how="inner"):
+        out = real(texts, places, n, how)
+        seen.append((how, texts.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(substring_dedup.SubstringIndex, "_beside", staticmethod(spy))
+    index = substring_dedup.SubstringIndex(spark)
+    index.dedup_batch(docs.where("doc_id < 64"))
+    index.dedup_batch(docs.where("doc_id >= 64"), docs.where("doc_id < 64"))
+    history = [s for s in seen if s[0] == "inner"][-1]
+    assert history[1] == 64 and history[2] < 10
+    index.drop()
+
+
+def test_many_documents_are_joined_instead_of_sent(docs, plain, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SENT", 0)
+    want = {k[0]: v[:3] for k, v in brute_substrings(plain).items()}
+    got = substring_dedup.dedup_substrings(docs, batches=2).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in got} == want
+
+
+def test_windows_are_digested_from_their_words():
+    import numpy as np
+
+    words = [b"w%d" % i for i in range(30)]
+    made = substring_dedup.window_digests(words, np.array([0, 3, 10]))
+    assert [m.tobytes() for m in made] == [xxhash.xxh3_128_digest(b" ".join(words[i : i + 20])) for i in (0, 3, 10)]
+
+
+def test_equal_first_halves_of_digests_are_told_apart():
     import numpy as np
 
     k1, k2 = np.array([7, 7, 7], np.uint64), np.array([1, 2, 1], np.uint64)
     a, b, at = substring_dedup._by_key((k1, k2), (np.array([10, 11, 12]),))
     assert at.tolist() == [10, 12, 11] and substring_dedup._heads(a, b).tolist() == [True, False, True]
+    runs = [np.array([7, 9], np.uint64), np.array([2, 1], np.uint64)]
+    assert substring_dedup._in_runs(k1, k2, runs).tolist() == [False, True, False]
 
 
 def brute_lines(rows, n=3):

@@ -20,6 +20,7 @@ SYSTEM_PROMPT = (
     "If the excerpts don't hold the answer, say that. End with a fenced json block: "
     '{"sources": [{"document": file, "page": number, "evidence": words of the excerpt}]}.'
 )
+#: How a fenced block and an inline source look.
 _FENCE = r"(?s)```json\s*(\{.*?\})\s*```"
 _INLINE = r"\(([^,]+),\s*p\.?(\d+)\)"
 

@@ -55,8 +55,11 @@ def stride_chunks(pages: DataFrame, size: int = 1000, overlap: int = 150) -> Dat
     """Windows of ``size`` characters every ``size - overlap``, for texts without a tokenizer."""
     step = max(1, size - overlap)
     rows = pages.withColumn("text", strip(F.col("text"))).where(F.length("text") > 0)
-    cut = rows.select("doc_name", "page_number", "corpus_ord", "text", F.posexplode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(step))).alias("idx", "at"))
-    piece = cut.withColumn("text", strip(F.substring(F.col("text"), F.col("at") + 1, F.lit(size)))).where(F.length("text") > 0)
+    starts = F.sequence(F.lit(0), F.length("text") - 1, F.lit(step))
+    # Pieces are cut before rows are made of them, so no row carries the whole text.
+    pieces = F.transform(starts, lambda at: F.struct(at.alias("at"), F.substring(F.col("text"), at + 1, F.lit(size)).alias("text")))
+    cut = rows.select("doc_name", "page_number", "corpus_ord", F.posexplode(pieces).alias("idx", "p"))
+    piece = cut.select("doc_name", "page_number", "corpus_ord", "idx", "p.at", strip(F.col("p.text")).alias("text")).where(F.length("text") > 0)
     return _finish(
         piece.select(
             _id("token_", F.col("idx")),
@@ -117,6 +120,32 @@ class WordEncoder:
         return [m.span() for m in re.finditer(r"\s*\S+|\s+$", text)]
 
 
+class BpeEncoder:
+    """Tokens of a rank file (base64 token, rank), by the ``tiktoken`` library.
+
+    Spans are of characters; a token that ends inside a character ends before it here.
+    """
+
+    def __init__(self, path: str, pattern: str) -> None:
+        import base64
+
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    def spans(self, text: str) -> list[tuple[int, int]]:
+        from itertools import accumulate
+
+        ends = list(accumulate(len(self.encoding.decode_single_token_bytes(t)) for t in self.encoding.encode_ordinary(text)))
+        before = list(accumulate((b & 0xC0 != 0x80 for b in text.encode()), initial=0))  # characters that begin before a byte
+        # An end inside a character is moved before it: that character has begun but is not over.
+        raw = text.encode()
+        places = [before[e] - (e < len(raw) and raw[e] & 0xC0 == 0x80) for e in ends]
+        return list(zip([0, *places], places, strict=False))
+
+
 def _tokens(make_encoder: Callable[[], object], longest: int, overlap: int, tail: str):
     encoder = make_encoder()
 
@@ -174,12 +203,12 @@ def first_by_id(chunks: DataFrame, order: str = "corpus_ord") -> DataFrame:
     return chunks.withColumn("_n", best).where("_n = 1").drop("_n")
 
 
-def chunk_all(pages: DataFrame, strategy: str = "token", config: EngineConfig | None = None, tail: str = "stop") -> DataFrame:
+def chunk_all(pages: DataFrame, strategy: str = "token", config: EngineConfig | None = None, tail: str = "stop", make_encoder: Callable[[], object] = WordEncoder) -> DataFrame:
     """``strategy``: "page", "token", "stride" or "sentence"; the first of equal ids stays."""
     config = config or EngineConfig()
     made = {
         "page": lambda: page_chunks(pages),
-        "token": lambda: token_chunks(pages, config, tail),
+        "token": lambda: token_chunks(pages, config, tail, make_encoder),
         "stride": lambda: stride_chunks(pages, config.CHUNK_SIZE, config.CHUNK_OVERLAP),
         "sentence": lambda: sentence_chunks(pages, config.CHUNK_SIZE, config.CHUNK_OVERLAP, tail),
     }

@@ -76,8 +76,13 @@ def merge_edges(edges: DataFrame) -> DataFrame:
 
 
 def merge_nodes(nodes: DataFrame) -> DataFrame:
-    """One row an id; of each attribute the last value in order of text."""
-    return nodes.groupBy("id").agg(*[F.max(c).alias(c) for c in NODE[1:]])
+    """One row an id; of each attribute the value added last, by ``seq`` where there is one.
+
+    Values that are null add nothing; of values added together the greatest stays.
+    """
+    if "seq" not in nodes.columns:
+        return nodes.groupBy("id").agg(*[F.max(c).alias(c) for c in NODE[1:]])
+    return nodes.groupBy("id").agg(*[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct("seq", c))).alias(c) for c in NODE[1:]])
 
 
 def documents_citing(edges: DataFrame, name: str | None = None) -> DataFrame:

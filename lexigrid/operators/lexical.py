@@ -8,6 +8,8 @@ Scale: only postings of query terms are exploded into scores; document frequenci
 partial aggregates over distinct terms of a chunk, so no (term, chunk) pair is shuffled
 for them. Corpus figures are one row. Up to ``SENT_TERMS`` counted query terms are sent
 along and filter tokens before they are exploded; larger sets are joined by equality.
+A built index has postings and figures of its own (``index_tables``): ``indexed_search``
+reads those of the asked terms, and neither the texts nor the vocabulary.
 """
 
 from __future__ import annotations
@@ -80,10 +82,47 @@ def bm25_scores(tokens: DataFrame, queries: DataFrame, stopwords: Sequence[str]
         weighted = wanted.join(idf, "term")
         hits = sized.select("chunk_id", "corpus_ord", "dl", F.explode("tokens").alias("term")).join(wanted.select("term").distinct(), "term", "left_semi")
         tf = hits.groupBy("term", "chunk_id", "corpus_ord", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return _summed(tf, weighted)
+
+
+def _summed(tf: DataFrame, weighted: DataFrame) -> DataFrame:
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return tf.join(weighted, "term").groupBy("question_id", "chunk_id", "corpus_ord").agg(F.sum(part).alias("score"))
 
 
+def index_tables(tokens: DataFrame) -> dict[str, DataFrame]:
+    """What a search of a persisted index reads: postings with lengths, term figures, corpus figures.
+
+    Postings and terms are dealt out by ranges of the term, so files hold few terms each and
+    a search of some terms reads only the row groups that may have them.
+    """
+    placed = tokens.select("chunk_id", "corpus_ord", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
+    found = placed.groupBy("term", "chunk_id", "corpus_ord", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
+    terms = term_stats(tokens)
+    return {"tokens": tokens, "postings": found.repartitionByRange("term"), "terms": terms.repartitionByRange("term"), "corpus": corpus_stats(tokens, terms)}
+
+
+def indexed_scores(index: dict[str, DataFrame], queries: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
+    """``bm25_scores`` from the tables of ``index_tables``: reads postings and figures of the asked terms alone."""
+    postings, terms, corpus = index["postings"], index["terms"], index["corpus"]
+    words = queries.select("question_id", F.explode(tokenize(F.col("question"), stopwords)).alias("term"))
+    wanted = words.groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    pairs = wanted.limit(SENT_TERMS + 1).collect()
+    few = len(pairs) <= SENT_TERMS
+    if few:
+        names = sorted({r["term"] for r in pairs})
+        wanted = postings.sparkSession.createDataFrame([tuple(r) for r in pairs], wanted.schema)
+        asked = F.col("term").isin(*names) if names else F.lit(False)
+        postings, terms = postings.where(asked), terms.where(asked)
+    idf = F.when(F.col("raw_idf") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw_idf"))
+    weighted = wanted.join(terms, "term").join(F.broadcast(corpus)).select("question_id", "term", "times", "avgdl", idf.alias("idf"))
+    return _summed(postings.select("term", "chunk_id", "corpus_ord", "dl", "tf"), F.broadcast(weighted) if few else weighted)
+
+
+def indexed_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 30, stopwords: Sequence[str] = (), digits: int | None = None) -> DataFrame:
+    return ranked(indexed_scores(index, queries, stopwords), k, digits)
+
+
 def ranked(scores: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """The best ``k`` of each question with ``rank`` from 1; of those, scores above 0."""
     score = F.round("score", digits) if digits is not None else F.col("score")

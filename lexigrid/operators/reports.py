@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -11,6 +11,21 @@ def corpus_counts(chunks: DataFrame, doc: str = "doc") -> DataFrame:
     return chunks.agg(F.countDistinct(doc).alias("documents"), F.count(F.lit(1)).alias("chunks"))
 
 
+def index_status(chunks: DataFrame, ready: bool, seconds: float | None) -> DataFrame:
+    """One row: ``ready, documents, chunks, build_seconds``; the seconds are null if nothing was timed."""
+    return corpus_counts(chunks).select(F.lit(ready).alias("ready"), "documents", "chunks", F.round(F.lit(seconds).cast("double"), 1).alias("build_seconds"))
+
+
+def success_count(rows: DataFrame, done: Column) -> DataFrame:
+    """One row: how many of all rows are done; null is not."""
+    return rows.agg(F.count_if(F.coalesce(done, F.lit(False))).alias("done"), F.count(F.lit(1)).alias("tried"))
+
+
+def first_pages(pages: DataFrame, n: int = 200) -> DataFrame:
+    """The first ``n`` pages in corpus order."""
+    return pages.orderBy("corpus_ord").limit(n)
+
+
 def bottleneck_report(timings: DataFrame, flag_above: float = 0.4, limit: float = 30.0) -> DataFrame:
     """Stages by seconds, their share of the total, who is flagged, and if over the limit.
 

@@ -58,6 +58,35 @@ def embed_texts(rows: DataFrame, id_col: str = "id", text_col: str = "text", dim
     return rows.select(F.col(id_col).alias("chunk_id"), made.alias("vec"))
 
 
+def batched_embedder(make: Callable[[], Callable[[list[str]], list]], size: int = 100, workers: int = 10) -> Callable[[Column], Column]:
+    """An embedder of a client that takes texts by the batch: ``size`` texts a call, ``workers`` calls at a time, in order.
+
+    ``make`` gives the client's function in the task; a failed call fails the task.
+    """
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    @pandas_udf("array<float>")
+    def embed(texts):
+        import pandas as pd
+        from concurrent.futures import ThreadPoolExecutor
+
+        call, rows = make(), [t or "" for t in texts]
+        with ThreadPoolExecutor(workers) as pool:
+            parts = pool.map(call, [rows[i : i + size] for i in range(0, len(rows), size)])
+            return pd.Series([np.asarray(v, np.float32) for part in parts for v in part])
+
+    return lambda column: embed(F.coalesce(column, F.lit("")))
+
+
+def select_embedder(adapters: dict[str, Callable], prefer_openai: bool = False) -> tuple[str, Callable | None]:
+    """(name, embedder): Gemini unless OpenAI is preferred and there, then OpenAI, then a local one; else the hashed counts."""
+    order = ("openai", "local") if prefer_openai else ("gemini", "local")
+    for name in order:
+        if name in adapters:
+            return name, adapters[name]
+    return "hashed", None
+
+
 def _best(query_ids: list, queries: np.ndarray, k: int, digits: int | None):
     """The partition's best ``k`` a query, kept from batch to batch and sent at its end."""
 

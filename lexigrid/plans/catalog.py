@@ -425,3 +425,25 @@ def pages_sorted(spark, sf_dir):
 def event_counts(spark, sf_dir):
     found = ingest.event_counts(table(spark, sf_dir, "events"))
     return found.select(F.col("window.start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@query
+def index_status(spark, sf_dir):
+    return reports.index_status(chunking.page_chunks(pages(spark, sf_dir)), True, 12.345)
+
+
+@query
+def success_count(spark, sf_dir):
+    return reports.success_count(table(spark, sf_dir, "documents"), F.length("text") > 500)
+
+
+@query
+def first_pages(spark, sf_dir):
+    return reports.first_pages(pages(spark, sf_dir)).select("doc_name", "corpus_ord")
+
+
+@query
+def bm25_indexed(spark, sf_dir):
+    """The search of a built index: from its postings and figures, not from the texts."""
+    index = lexical.index_tables(tokens(spark, sf_dir))
+    return lexical.indexed_search(index, asked(spark), 30, digits=6).select("question_id", "chunk_id", "score", "rank")

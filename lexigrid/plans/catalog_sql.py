@@ -222,6 +222,10 @@ ORACLE_SQL: dict[str, str] = {
     "corpus_counts": f"SELECT count(DISTINCT doc) AS documents, count(*) AS chunks FROM ({_STRIDE})",
     "bottleneck_report": """WITH s AS (SELECT event_type AS stage, sum(value) AS seconds FROM events GROUP BY 1), t AS (SELECT sum(seconds) AS total FROM s)
         SELECT stage, round(seconds, 3) AS seconds, round(100 * seconds / greatest(total, 0.001), 3) AS percent, seconds > 0.4 * total AS flagged, row_number() OVER (ORDER BY seconds DESC, stage)::INT AS priority, total > 30 AS over_limit FROM s, t""",
+    "index_status": f"SELECT true AS ready, count(DISTINCT doc) AS documents, count(*) AS chunks, 12.3::DOUBLE AS build_seconds FROM ({_PAGE})",
+    "success_count": "SELECT count(*) FILTER (WHERE length(text) > 500) AS done, count(*) AS tried FROM documents",
+    "first_pages": "SELECT doc_id::VARCHAR AS doc_name, doc_id AS corpus_ord FROM documents ORDER BY doc_id LIMIT 200",
+    "bm25_indexed": f"WITH {_bm25(30)} SELECT question_id, chunk_id, score, rank FROM sparse",
     "pages_sorted": "SELECT source AS doc_name, doc_id AS page_number FROM documents ORDER BY source, doc_id",
     "event_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }

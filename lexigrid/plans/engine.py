@@ -6,6 +6,7 @@ quotes the best excerpt; it makes no claim to a model's answers.
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -88,17 +89,41 @@ def generate_answers(contexts: DataFrame, make: Callable[[], Generator] = Excerp
 
 
 class Engine:
-    """One index folder. ``build`` is skipped where a manifest says it is built."""
-
-    def __init__(self, spark: SparkSession, index: str, config: EngineConfig | None = None, make_generator: Callable[[], Generator] = ExcerptGenerator, stopwords: tuple[str, ...] = ()) -> None:
+    """One index folder. ``build`` is skipped where a manifest says it is built.
+
+    ``extractors``: kind of file -> ``bytes -> [(text, tables)]``, beside or instead of the
+    own ones (a PDF reader, with OCR and tables, goes here). ``embedder``: column of texts ->
+    column of vectors, known to the embedding cache by the name ``model``. ``make_encoder``:
+    the encoder of token chunks.
+    """
+
+    def __init__(
+        self,
+        spark: SparkSession,
+        index: str,
+        config: EngineConfig | None = None,
+        make_generator: Callable[[], Generator] = ExcerptGenerator,
+        stopwords: tuple[str, ...] = (),
+        extractors: dict | None = None,
+        embedder: Callable | None = None,
+        model: str = "hashed",
+        make_encoder: Callable[[], object] = chunking.WordEncoder,
+    ) -> None:
+        if (embedder is None) != (model == "hashed"):
+            raise ValueError("an embedder has a model name of its own")
+        self.extractors, self.embedder, self.model, self.make_encoder = extractors, embedder, model, make_encoder
+        self.building = threading.Lock()
+        self.told: list[str] = []
         self.spark, self.index, self.config = spark, index.rstrip("/"), config or EngineConfig()
         self.make_generator, self.stopwords = make_generator, stopwords
         self.timings: list[tuple[str, float]] = []
 
     def _timed(self, stage: str, work: Callable):
+        self.told.append(f"{stage} ...")
         began = time.perf_counter()
         out = work()
         self.timings.append((stage, time.perf_counter() - began))
+        self.told.append(f"{stage}: {self.timings[-1][1]:.1f} s")
         return out
 
     def _parts(self, kind: str) -> dict[str, DataFrame]:
@@ -108,30 +133,86 @@ class Engine:
         return all(store.read_manifest(self.spark, f"{self.index}/{kind}") for kind in ("corpus", "lexical", "dense"))
 
     def build(self, folder: str, strategy: str = "page", force: bool = False, fast: bool = False) -> dict:
-        """Pages, chunks, postings, embeddings and the graph of a folder."""
+        """Pages, chunks, postings, embeddings and the graph of a folder; refused while another build runs."""
         if not force and self.ready():
             return self.status()
+        if not self.building.acquire(blocking=False):
+            raise RuntimeError("a build is already running")
+        self.told = []
+        try:
+            self._build(folder, strategy, fast)
+            self.told.append("__DONE__")
+        except BaseException as error:
+            self.told += [f"{type(error).__name__}: {error}", "__ERROR__"]
+            raise
+        finally:
+            self.building.release()
+        return self.status()
+
+    def _build(self, folder: str, strategy: str, fast: bool) -> None:
         began = time.perf_counter()
-        pages, bad = files.ingest(self.spark, folder, self.config)
+        pages, bad = files.ingest(self.spark, folder, self.config, self.extractors)
         self._timed("ingestion", lambda: store.save_tables(f"{self.index}/pages", "pages", {"pages": pages, "quarantine": bad}))
         pages = self._parts("pages")["pages"]
-        chunks = chunking.chunk_all(pages, strategy, self.config)
+        chunks = chunking.chunk_all(pages, strategy, self.config, make_encoder=self.make_encoder)
         self._timed("chunking", lambda: store.save_tables(f"{self.index}/corpus", "corpus", {"chunks": chunks}, strategy=strategy))
         chunks = self._parts("corpus")["chunks"]
         tokens = lexical.token_table(chunks, self.stopwords)
-        self._timed("bm25_index", lambda: store.save_tables(f"{self.index}/lexical", "lexical", {"tokens": tokens, "postings": lexical.postings(tokens)}, stopwords=list(self.stopwords)))
+        self._timed("bm25_index", lambda: store.save_tables(f"{self.index}/lexical", "lexical", lexical.index_tables(tokens), stopwords=list(self.stopwords)))
         if not fast:
-            vectors = vector.embed_texts(chunks, dim=self.config.EMBEDDING_DIM)
-            self._timed("vector_index", lambda: store.save_tables(f"{self.index}/dense", "dense", {"embeddings": vectors}, model="hashed", dim=self.config.EMBEDDING_DIM, seconds=time.perf_counter() - began))
+            self._timed("vector_index", lambda: self._embed(chunks, began))
         nodes, edges = graph.citation_graph(pages, number="page_number")
-        self._timed("graph", lambda: store.save_tables(f"{self.index}/graph", "graph", {"nodes": nodes, "edges": edges}))
-        return self.status()
+        tables = {"nodes": graph.merge_nodes(nodes), "edges": graph.merge_edges(edges)}
+        self._timed("graph", lambda: store.save_tables(f"{self.index}/graph", "graph", tables))
+
+    def _embed(self, chunks: DataFrame, began: float) -> None:
+        """Vectors of all chunks, in a folder of their own, so what the cache has is read while they are written."""
+        dense, version, cached = f"{self.index}/dense", 0, None
+        held = store.read_manifest(self.spark, dense)
+        if held:
+            version, cached = held["version"] + 1, self._dense()
+        made = store.cached_embeddings(chunks, cached, self.model, lambda rows: vector.embed_texts(rows, dim=self.config.EMBEDDING_DIM, embedder=self.embedder))
+        store.save_tables(f"{dense}/v{version}", "vectors", {"embeddings": made}, model=self.model)
+        facts = self.spark.createDataFrame([(version, self.model)], "version int, model string")
+        store.save_tables(dense, "dense", {"versions": facts}, version=version, model=self.model, dim=self.config.EMBEDDING_DIM, seconds=time.perf_counter() - began)
+
+    def _dense(self) -> DataFrame:
+        version = store.read_manifest(self.spark, f"{self.index}/dense")["version"]
+        return store.load_tables(self.spark, f"{self.index}/dense/v{version}", "vectors")["embeddings"]
+
+    def build_events(self, folder: str, every: float = 0.2, ping: float = 30.0, **options) -> Iterator[str]:
+        """Runs a build and tells its progress, line by line, with pings while it is silent; the last line is ``__DONE__`` or ``__ERROR__``."""
+        if self.building.locked():
+            raise RuntimeError("a build is already running")
+        worker, at, quiet = threading.Thread(target=self._quietly, args=(folder, options), daemon=True), 0, time.monotonic()
+        self.told = []
+        worker.start()
+        while worker.is_alive() or at < len(self.told):
+            if at < len(self.told):
+                line, at, quiet = self.told[at], at + 1, time.monotonic()
+                yield line
+                if line in ("__DONE__", "__ERROR__"):
+                    return
+            elif time.monotonic() - quiet >= ping:
+                yield "__PING__"
+                quiet = time.monotonic()
+            else:
+                worker.join(every)
+        yield "__DONE__"  # there was nothing to build
+
+    def _quietly(self, folder: str, options: dict) -> None:
+        try:
+            self.build(folder, **options)
+        except Exception:  # the last line says so
+            if not self.told or self.told[-1] != "__ERROR__":
+                self.told.append("__ERROR__")
 
     def status(self) -> dict:
         dense = store.read_manifest(self.spark, f"{self.index}/dense")
         built = store.read_manifest(self.spark, f"{self.index}/corpus")
-        counts = reports.corpus_counts(self._parts("corpus")["chunks"]).first().asDict() if built else {"documents": 0, "chunks": 0}
-        return {"ready": self.ready(), **counts, "build_seconds": round(dense["seconds"], 1) if dense else None}
+        if not built:
+            return {"ready": False, "documents": 0, "chunks": 0, "build_seconds": None}
+        return reports.index_status(self._parts("corpus")["chunks"], self.ready(), dense["seconds"] if dense else None).first().asDict()
 
     def documents(self, folder: str) -> DataFrame:
         return files.list_documents(self.spark, folder, self.config)
@@ -139,12 +220,12 @@ class Engine:
     def retrieve(self, questions: DataFrame, fast: bool = False) -> DataFrame:
         """Ranked chunks of ``question_id, question``; ``fast`` asks the lexical index alone."""
         chunks = self._parts("corpus")["chunks"]
-        tokens = self._parts("lexical")["tokens"]
+        index = self._parts("lexical")
         if fast or not store.read_manifest(self.spark, f"{self.index}/dense"):
-            return fusion.fetch_chunks(lexical.bm25_search(tokens, questions, self.config.FINAL_TOPK, self.stopwords), chunks.drop("corpus_ord"))
-        asked = vector.embed_texts(questions, "question_id", "question", self.config.EMBEDDING_DIM).select(F.col("chunk_id").alias("question_id"), F.col("vec").alias("query_vec"))
-        dense = vector.vector_search(self._parts("dense")["embeddings"], asked, self.config.ANN_TOPK, "chunk_id", "vec")
-        sparse = lexical.bm25_search(tokens, questions, self.config.BM25_TOPK, self.stopwords)
+            return fusion.fetch_chunks(lexical.indexed_search(index, questions, self.config.FINAL_TOPK, self.stopwords), chunks.drop("corpus_ord"))
+        asked = vector.embed_texts(questions, "question_id", "question", self.config.EMBEDDING_DIM, self.embedder).select(F.col("chunk_id").alias("question_id"), F.col("vec").alias("query_vec"))
+        dense = vector.vector_search(self._dense().select("chunk_id", "vec"), asked, self.config.ANN_TOPK, "chunk_id", "vec")
+        sparse = lexical.indexed_search(index, questions, self.config.BM25_TOPK, self.stopwords)
         return fusion.hybrid_retrieve(sparse, dense.withColumnRenamed("vec_id", "chunk_id"), chunks.drop("corpus_ord"), self.config.RRF_K, self.config.FINAL_TOPK)
 
     def ask(self, questions: DataFrame, fast: bool = False, scorer: Callable | None = fusion.overlap_score, mode: str = "v2") -> DataFrame:

@@ -45,3 +45,16 @@ def ship_package(spark: SparkSession) -> None:
                     out.write(full, os.path.relpath(full, os.path.dirname(_PACKAGE)))
     sc.addPyFile(target)
     sc._lexigrid_shipped = True
+
+
+#: SQL functions of a session; bodies are expressions, so the optimizer sees through them.
+FUNCTIONS = {
+    "lexigrid_tokenize(t STRING) RETURNS ARRAY<STRING>": r"filter(split(regexp_replace(lower(t), '[^a-z0-9]', ' '), ' +'), x -> x <> '')",
+    "lexigrid_clean_text(t STRING) RETURNS STRING": r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\r\n|\r', '\n'), '[ \t]+', ' '), '\n{3,}', '\n\n'), '^[\\s\\x1c-\\x1f\\x85\\p{Z}]+|[\\s\\x1c-\\x1f\\x85\\p{Z}]+$', '')",
+}
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Make the text functions known to SQL of this session."""
+    for signature, body in FUNCTIONS.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURN {body}")

@@ -54,7 +54,10 @@ def detect_type(path: Column, head: Column | None = None) -> Column:
 
 
 def scan(spark: SparkSession, folder: str, config: EngineConfig | None = None) -> DataFrame:
-    """Supported files of a folder, in order of path: ``path, modificationTime, length, content``."""
+    """Supported files of a folder: ``path, modificationTime, length, content``.
+
+    Contents are not sorted; pages get their order in ``with_corpus_order``, lists in ``list_documents``.
+    """
     config = config or EngineConfig()
     files = spark.read.format("binaryFile").load(folder).select("path", "modificationTime", "length", "content")
     return files.where(suffix(F.col("path")).isin(*config.extensions))

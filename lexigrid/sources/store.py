@@ -43,6 +43,18 @@ def cache_key(text: str = "text"):
     return F.sha2(F.col(text), 256)
 
 
+def cached_embeddings(chunks: DataFrame, cached: DataFrame | None, model: str, embed) -> DataFrame:
+    """``chunk_id, vec, text_sha, model`` of all chunks; ``embed`` is given only those the cache lacks."""
+    keyed = chunks.select(F.col("id").alias("chunk_id"), "text", cache_key().alias("text_sha"))
+    if cached is None:
+        missing, known = chunks, None
+    else:
+        missing = embedding_misses(chunks, cached, model)
+        known = cached.where(F.col("model") == model).join(keyed.select("chunk_id", "text_sha"), ["chunk_id", "text_sha"], "left_semi").dropDuplicates(["chunk_id", "text_sha"])
+    made = embed(missing).join(keyed.select("chunk_id", "text_sha"), "chunk_id").withColumn("model", F.lit(model)).select("chunk_id", "vec", "text_sha", "model")
+    return made if known is None else made.unionByName(known.select("chunk_id", "vec", "text_sha", "model"))
+
+
 def embedding_misses(chunks: DataFrame, cached: DataFrame, model: str, id_col: str = "id") -> DataFrame:
     """Chunks whose id, text and model have no cached embedding: only these are embedded.
 

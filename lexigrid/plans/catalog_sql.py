@@ -117,6 +117,15 @@ def _sources(mode: str) -> str:
     return f"WITH {_RAW}, found AS (SELECT conv_id, turn, {_PARSED[mode]} AS s FROM raws) SELECT conv_id, turn, len(s) AS n, coalesce(array_to_string(s, ';'), '') AS sources FROM found"
 
 
+#: Windows of 600 words with the white space before them, every 540 words.
+_TOKEN_CHUNKS = rf"""WITH texts AS (SELECT doc_id, {_strip('text')} AS whole FROM documents WHERE text IS NOT NULL),
+split AS (SELECT doc_id, whole, regexp_extract_all(whole, '\s*\S+') AS words FROM texts),
+numbered AS (SELECT *, unnest(range(0, 1 + greatest(0, ceil((len(words) - 600) / 540.0))::BIGINT)) AS i FROM split WHERE len(words) > 0),
+pieces AS (SELECT doc_id, whole, i, {_strip("array_to_string(words[i * 540 + 1 : i * 540 + 600], '')")} AS piece FROM numbered),
+placed AS (SELECT *, strpos(whole, left(piece, 40)) - 1 AS place FROM pieces)
+SELECT doc_id || '_p1_token_' || i AS id, doc_id::VARCHAR AS doc, 1 AS page, place::INT AS start_offset, (place + len(piece))::INT AS end_offset, piece AS text,
+  'token' AS chunk_type, doc_id AS corpus_ord, {_count('piece')}::INT AS token_count FROM placed"""
+
 _LEGAL = r"""
 legal AS MATERIALIZED (SELECT l_orderkey, l_linenumber, 'Under ' || l_linenumber || ' U.S.C. § ' || l_suppkey || ' and § ' || l_partkey || '(b), Smith v. Jones, ' || l_linenumber || ' F. ' || l_suppkey
   || ' held; see Rule ' || l_linenumber || ' and ' || l_linenumber || ' U.S.C. § ' || l_suppkey || '.' AS text FROM lineitem)"""
@@ -183,6 +192,7 @@ ORACLE_SQL: dict[str, str] = {
     "preview": "SELECT doc_id, CASE WHEN len(text) > 300 THEN left(text, 300) || '...' ELSE text END AS preview, CASE WHEN len(text) > 200 THEN left(text, 200) || '…' ELSE text END AS short FROM documents",
     "chunk_page": _PAGE,
     "chunk_stride": _STRIDE,
+    "chunk_token": _TOKEN_CHUNKS,
     "chunk_dedupe": f"SELECT id, corpus_ord, end_offset, token_count FROM ({_PAGE})",
     "bm25_stats": f"WITH {_bm25(30)} SELECT n, round(avgdl, 6) AS avgdl, (SELECT round(avg(x), 6) FROM idfs) AS avg_idf, (SELECT count(*) FROM idfs) AS n_terms FROM stats",
     "term_stats": f"WITH {_bm25(30)} SELECT term, df, round(x, 6) AS raw_idf FROM raw JOIN idfs USING (term)",

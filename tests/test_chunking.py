@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from lexigrid.config import EngineConfig
 from lexigrid.operators import chunking as K
@@ -35,6 +37,44 @@ def test_sentence_windows_end_at_breaks(spark):
     assert next(iter(K.sentence_windows(text)))[1] == 902
 
 
+def plain_sentences(text, size, overlap):
+    """Break by break: white space behind a sentence's end, in the last fifth of a window."""
+    start, out = 0, []
+    while start < len(text):
+        end = min(start + size, len(text))
+        if end < len(text):
+            at, found = end - size // 5, None
+            while at < end:
+                if text[at].isspace() and at > start and text[at - 1] in ".!?\n":
+                    found = at
+                    while at < end and text[at].isspace():
+                        at += 1
+                else:
+                    at += 1
+            end = end if found is None else found + 1
+        out.append((start, end))
+        if end >= len(text):
+            break
+        start = max(end - overlap, start + 1)
+    return out
+
+
+@given(st.text("ab.!? \n", max_size=400), st.integers(5, 60), st.integers(0, 20))
+def test_sentence_windows_equal_a_plain_version(text, size, overlap):
+    assert list(K.sentence_windows(text, size, overlap)) == plain_sentences(text, size, overlap)
+
+
+@given(st.text("ab \n\té", max_size=300), st.integers(2, 9), st.integers(1, 1))
+def test_token_windows_equal_a_plain_version(text, longest, overlap):
+    words, want, start = text.split(), [], 0
+    while start < len(words):
+        want.append(words[start : start + longest])
+        if start + longest >= len(words):
+            break
+        start += longest - overlap
+    assert [piece.split() for *_, piece in K._tokens(K.WordEncoder, longest, overlap, "stop")(text)] == want
+
+
 def test_page_and_stride_chunks(spark):
     rows = pages(spark, "  hello world ", "   ", "x" * 2410)
     found = K.page_chunks(rows).orderBy("corpus_ord").collect()

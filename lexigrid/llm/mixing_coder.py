@@ -4,13 +4,14 @@ A block of ids is independent of all others. It is dealt to lanes of successive
 every lane has a range coder of its own, and all lanes share one model, which is updated
 after each step of one id a lane. The model mixes three predictions of an id:
 
-* order 0: adaptive frequencies, rebuilt after 1, 2, 4 ... steps and then at every 64th;
-* order 1: the id that last followed the previous id, with a confidence;
+* order 0: adaptive frequencies of ids;
+* order 1: adaptive frequencies of all ids that have followed the previous one;
 * order 2: the id that last followed the previous two, with a confidence.
 
-The mixture is linear: with ``C0`` the cumulative order-0 frequencies, ids at or above a
-predicted one are shifted by its mass. Masses follow how often a prediction of equal
-confidence was right so far. All arithmetic is in integers.
+Frequencies are rebuilt after 1, 2, 4 ... steps and at every 32nd. The mixture is linear:
+with ``C0`` the cumulative order-0 frequencies, ids at or above a predicted one are shifted
+by its mass. Orders 1 and 2 weigh as much as predictions of equal confidence were right so
+far. All arithmetic is in integers.
 
 Block: header, directory (zlib), lane lengths, 16-bit code words; a crc32 of everything
 behind the header and one of the ids, both checked when a block is read.
@@ -23,9 +24,12 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"CMR1"
+MAGIC = b"CMR2"
 _HEAD = struct.Struct("<4sIIIIIIII")  # magic, ids, documents, ids' top, lanes, directory bytes, body bytes, crc of rest, crc of ids
 MAX_LANES, LANE_IDS, LEVELS = 8192, 128, 16
+#: Steps between rebuilt frequencies; order 1 has at most 2^MOST times the mass of order 0.
+REBUILD, MOST = 32, 5
+_POWERS = 1 << np.arange(LEVELS - 1)
 _U = np.uint64
 _TOP, _LOW32 = _U(1) << _U(32), _U(0xFFFFFFFF)
 
@@ -35,99 +39,163 @@ def _words(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+class _Pairs:
+    """How often each id followed each other one, in order of the pairs' keys.
+
+    The encoder knows all pairs of a block and names them by place; the decoder has those it
+    has met. A context's level tells how often it had each of its ids, by powers of two; its
+    mass follows how often ids behind contexts of that level were among theirs.
+    """
+
+    def __init__(self, top: int, keys: np.ndarray | None = None) -> None:
+        self.size, self.all = top, keys is not None
+        self.keys = np.empty(0, np.int64) if keys is None else keys
+        self.counts = np.zeros(len(self.keys), np.int64)
+        self.level, self.of_context = np.zeros(top, np.int64), np.zeros(top, np.int64)
+        self._group()
+
+    def _group(self) -> None:
+        if len(self.keys):
+            self.context = self.keys // self.size
+            self.id = self.keys - self.context * self.size
+            self.firsts = np.concatenate(([0], np.flatnonzero(np.diff(self.context)) + 1))
+            self.rank = np.repeat(np.arange(len(self.firsts)), np.diff(np.concatenate((self.firsts, [len(self.keys)]))))
+            self.names = self.context[self.firsts]
+        self.below, self.mass = np.zeros(len(self.keys) + 1, np.int64), np.zeros(len(self.keys) + 1, np.int64)
+
+    def rebuild(self, met: list[np.ndarray], total: int, odds: np.ndarray) -> None:
+        if met and self.all:
+            self.counts += np.bincount(np.concatenate(met), minlength=len(self.keys))
+        elif met:
+            more, times = np.unique(np.concatenate(met), return_counts=True)
+            at = np.searchsorted(self.keys, more)
+            old = self.keys.take(at, mode="clip") == more if len(self.keys) else np.zeros(len(more), bool)
+            self.counts[at[old]] += times[old]
+            self.keys, self.counts = np.insert(self.keys, at[~old], more[~old]), np.insert(self.counts, at[~old], times[~old])
+            self._group()
+        if not len(self.keys):
+            return
+        seen, kinds = np.add.reduceat(self.counts, self.firsts), np.add.reduceat((self.counts > 0).astype(np.int64), self.firsts)
+        level = np.searchsorted(_POWERS, seen // np.maximum(kinds, 1), side="right")
+        self.level[self.names] = level
+        mass = (self.counts * ((total * odds.take(level)) >> 10).take(self.rank)) // np.maximum(seen, 1).take(self.rank)
+        sums = np.cumsum(mass)
+        before = sums - mass
+        self.below[:-1] = before - before.take(self.firsts).take(self.rank)
+        self.mass[:-1] = mass
+        self.of_context[self.names] = np.add.reduceat(mass, self.firsts)
+
+    def values(self, cum: np.ndarray) -> None:
+        """Where the span of each pair begins, for :meth:`last_at`."""
+        if len(self.keys):
+            self.start = (self.context << 40) + cum.take(self.id) + self.below[:-1]
+
+    def of(self, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(mass of the context's smaller ids, own mass)."""
+        if not len(self.keys):
+            return np.zeros_like(ids), np.zeros_like(ids)
+        wanted = context * self.size + ids
+        at = np.searchsorted(self.keys, wanted)
+        there = self.keys.take(at, mode="clip") == wanted
+        same = self.context.take(at, mode="clip") == context
+        same &= at < len(self.keys)
+        there &= same
+        below = np.where(same, self.below.take(at), self.of_context.take(context))
+        return below, self.mass.take(at) * there
+
+    def last_at(self, context: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Last pair of the context whose span begins at a value or below: (found, id, below, mass)."""
+        if not len(self.keys):
+            none = np.zeros_like(value)
+            return none.astype(bool), none, none, none
+        at = np.searchsorted(self.start, (context << 40) + value, side="right") - 1
+        found = (at >= 0) & (self.context.take(at, mode="clip") == context)
+        return found, self.id.take(at, mode="clip"), self.below.take(at, mode="clip") * found, self.mass.take(at, mode="clip") * found
+
+
 class _Model:
-    """The three predictions; an entry of order 1 or 2 is id * LEVELS + confidence."""
+    """The three predictions; an entry of order 2 is id * LEVELS + confidence."""
 
-    def __init__(self, top: int) -> None:
+    def __init__(self, top: int, keys: np.ndarray | None = None) -> None:
         self.size = top
         self.total = 1 << max(18, (4 * top - 1).bit_length())
         self.counts = np.zeros(top, np.int64)
+        self.pairs = _Pairs(top, keys)
         self.waiting: list[np.ndarray] = []
-        self.first, self.second = np.zeros(top, np.int64), np.zeros(1 << 18, np.int64)
-        # Of predictions by order and confidence: how many were wrong and right.
-        self.seen = np.tile(np.array([1, 0], np.int64), (2, LEVELS))
-        self.masses: tuple[np.ndarray, np.ndarray] | None = None  # of order 1, of both
+        self.met: list[np.ndarray] = []
+        self.second = np.zeros(1 << 18, np.int64)
+        # Of predictions of order 1, by level, and 2, by confidence: how many were wrong and right.
+        self.seen = np.stack((np.ones(2 * LEVELS, np.int64), np.tile(np.array([1, 0], np.int64), LEVELS)))
         self.step = 0
         self._rebuild()
 
     def _rebuild(self) -> None:
         if self.waiting:
             self.counts += np.bincount(np.concatenate(self.waiting), minlength=self.size)
-        self.waiting = []
         seen = int(self.counts.sum())
         share = 1 + (self.counts * (self.total - self.size)) // max(1, seen)
         share[0] += self.total - int(share.sum())
         self.cum = np.concatenate(([0], np.cumsum(share)))
         self.after = self.cum[1:]
         self.lookup = None
+        self.pairs.rebuild(self.met, self.total, np.minimum((self.seen[0, 1::2] << 10) // self.seen[0, ::2], 1 << (10 + MOST)))
+        self.waiting, self.met = [], []
 
     def at(self) -> np.ndarray:
         """Order-0 value -> id."""
         if self.lookup is None:
             self.lookup = np.repeat(np.arange(self.size), np.diff(self.cum))
+            self.pairs.values(self.cum)
         return self.lookup
 
     def predict(self, last: np.ndarray, before: np.ndarray) -> None:
-        self.slot1 = last
-        self.slot2 = ((last * 0x9E3779B1 + before * 0x85EBCA77) >> 7) & 0x3FFFF
-        self.entry1, self.entry2 = self.first.take(last), self.second.take(self.slot2)
-        self.id1, self.id2 = self.entry1 >> 4, self.entry2 >> 4
-        self.conf1, self.conf2 = self.entry1 & 15, self.entry2 & 15
-        if self.masses is None:
-            odds = np.minimum((self.seen[:, 1::2] << 10) // self.seen[:, ::2], 1 << 16)
-            odds[:, 0] = 0
-            mass1 = np.minimum((odds[0] * self.total) >> 10, self.total << 4)
-            self.masses = mass1, np.minimum((odds[1][:, None] * (mass1 + self.total)) >> 10, self.total << 6).ravel()
-        self.mass1 = self.masses[0].take(self.conf1)
-        self.mass2 = self.masses[1].take(self.conf2 * LEVELS + self.conf1)
-        self.sum = self.mass1 + self.mass2 + self.total
-
-    def span(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(cumulative mass below, mass) of each id; notes which predictions are right."""
+        self.last = last
+        self.slot = ((last * 0x9E3779B1 + before * 0x85EBCA77) >> 7) & 0x3FFFF
+        self.entry = self.second.take(self.slot)
+        self.id2, self.conf = self.entry >> 4, self.entry & 15
+        odds = np.minimum((self.seen[1, 1::2] << 10) // self.seen[1, ::2], 1 << 16)
+        odds[0] = 0
+        both = self.pairs.of_context.take(last) + self.total
+        self.mass2 = np.minimum((odds.take(self.conf) * both) >> 10, self.total << 6)
+        self.sum = both + self.mass2
+
+    def span(self, ids: np.ndarray, order1: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(cumulative mass below, mass) of each id; ``order1`` is what order 1 adds, if it is known."""
+        below, mass = order1 or self.pairs.of(self.last, ids)
         low = self.cum.take(ids)
         size = self.after.take(ids) - low
-        low += self.mass1 * (self.id1 < ids)
-        low += self.mass2 * (self.id2 < ids)
-        self.hit1, self.hit2 = self.id1 == ids, self.id2 == ids
-        size += self.mass1 * self.hit1
-        size += self.mass2 * self.hit2
+        self.hit, self.hit1 = self.id2 == ids, mass > 0
+        low += below + self.mass2 * (self.id2 < ids)
+        size += mass + self.mass2 * self.hit
         return low, size
 
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """Id in whose span a value lies: without the masses below it, the value is order 0's."""
-        at, cum, after = self.at(), self.cum, self.after
-        a, b = np.minimum(self.id1, self.id2), np.maximum(self.id1, self.id2)
-        swap = self.id2 < self.id1
-        mass_a, mass_b = np.where(swap, self.mass2, self.mass1), np.where(swap, self.mass1, self.mass2)
-        both = a == b
-        mass_a += mass_b * both
-        mass_b *= ~both
-        past = value - mass_a  # value if it lies above a
-        inside_a = past < after.take(a)
-        low_a = value < cum.take(a)
-        beyond = past - mass_b
-        inside_b = beyond < after.take(b)
-        low_b = past < cum.take(b)
-        plain = np.where(low_a, value, np.where(low_b, past, beyond))
-        found = at.take(plain, mode="clip")
-        found = np.where(inside_b & ~low_b & ~low_a, b, found)
-        return np.where(inside_a & ~low_a, a, found)
-
-    def learn(self, ids: np.ndarray) -> None:
-        """Order 2 is judged on all ids, order 1 where order 2 was wrong."""
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+        """Id (and what order 1 adds to it) in whose span a value lies: without the masses below, the value is order 0's."""
+        at = self.at()
+        below2, own2 = np.zeros_like(value), np.zeros_like(value)
+        some = np.flatnonzero(self.mass2)
+        below2[some], own2[some] = self.pairs.of(self.last.take(some), self.id2.take(some))
+        low2 = self.cum.take(self.id2) + below2
+        under = value < low2
+        inside = ~under & (self.mass2 > 0) & (value < self.after.take(self.id2) + below2 + own2 + self.mass2)
+        rest = np.where(under, value, value - self.mass2)
+        found, name, below, own = self.pairs.last_at(self.last, rest)
+        past = found & (rest >= self.after.take(name) + below + own)
+        below, own = below + own * past, own * ~past
+        ids = np.where(found & ~past, name, at.take(rest - below, mode="clip"))
+        return np.where(inside, self.id2, ids), (np.where(inside, below2, below), np.where(inside, own2, own))
+
+    def learn(self, ids: np.ndarray, pairs: np.ndarray | None = None) -> None:
+        """``pairs``: their places, if the model was given all keys."""
         self.waiting.append(ids)
-        hit1, hit2 = self.hit1, self.hit2
-        self.seen[1] += np.bincount(2 * self.conf2 + hit2, minlength=2 * LEVELS)
-        key = 2 * self.conf1 + hit1
-        key[hit2 & (self.conf2 > 0)] = 0
-        self.seen[0] += np.bincount(key, minlength=2 * LEVELS)
-        self.masses = None
-        fresh = (ids << 4) + 1
-        for slot, entry, conf, hit, table in ((self.slot1, self.entry1, self.conf1, hit1, self.first), (self.slot2, self.entry2, self.conf2, hit2, self.second)):
-            kept = np.where(conf > 1, entry - conf + (conf >> 1), fresh)
-            table[slot] = np.where(hit, entry + (conf < LEVELS - 1), kept)
+        self.met.append(self.last * self.size + ids if pairs is None else pairs)
+        self.seen[0] += np.bincount(2 * self.pairs.level.take(self.last) + self.hit1, minlength=2 * LEVELS)
+        hit, conf = self.hit, self.conf
+        self.seen[1] += np.bincount(2 * conf + hit, minlength=2 * LEVELS)
+        kept = np.where(conf > 1, self.entry - conf + (conf >> 1), (ids << 4) + 1)
+        self.second[self.slot] = np.where(hit, self.entry + (conf < LEVELS - 1), kept)
         self.step += 1
-        if self.step & (self.step - 1) == 0 or self.step % 64 == 0:
+        if self.step & (self.step - 1) == 0 or self.step % REBUILD == 0:
             self._rebuild()
 
 
@@ -142,7 +210,12 @@ def _encode_lanes(ids: np.ndarray, top: int) -> tuple[int, bytes]:
     grid = np.zeros(lanes * steps, np.int64)
     grid[:n] = ids
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model = _Model(top)
+    keys = grid.copy()
+    keys[1:] += grid[:-1] * top
+    known, pairs = np.unique(keys, return_inverse=True)
+    pairs = pairs.reshape(grid.shape)
+    model = _Model(top, known)
+    table = model.pairs
     low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)
     wide = 2 * steps + 4
     flat, used = np.zeros(lanes * wide, np.uint32), np.arange(lanes) * wide  # words, next word of each lane
@@ -151,7 +224,8 @@ def _encode_lanes(ids: np.ndarray, top: int) -> tuple[int, bytes]:
         m = _active(n, steps, t)
         now = grid[t, :m]
         model.predict(last[:m], before[:m])
-        start, size = model.span(now)
+        pair = pairs[t, :m]
+        start, size = model.span(now, (table.below.take(pair), table.mass.take(pair)))
         part = span[:m] // model.sum.view(_U)
         low[:m] += part * start.view(_U)
         np.multiply(part, size.view(_U), out=span[:m])
@@ -168,7 +242,7 @@ def _encode_lanes(ids: np.ndarray, top: int) -> tuple[int, bytes]:
             grown = span.take(small) << _U(16)
             span[small] = grown
             small = small[grown < _TOP]
-        model.learn(now)
+        model.learn(now, pair)
         before, last = last, grid[t]
     flat[used] = (low + _LOW32) >> _U(32)  # a value of the span that ends in zeros, which aren't kept
     used += 1
@@ -196,8 +270,8 @@ def _decode_lanes(body: bytes, n: int, lanes: int, top: int) -> np.ndarray:
         model.predict(last[:m], before[:m])
         total = model.sum.view(_U)
         part = span[:m] // total
-        now = model.find(np.minimum(left[:m] // part, total - _U(1)).view(np.int64))
-        start, size = model.span(now)
+        now, order1 = model.find(np.minimum(left[:m] // part, total - _U(1)).view(np.int64))
+        start, size = model.span(now, order1)
         left[:m] -= part * start.view(_U)
         np.multiply(part, size.view(_U), out=span[:m])
         small = np.flatnonzero(span[:m] < _TOP)

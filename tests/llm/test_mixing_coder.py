@@ -15,3 +15,45 @@ def test_every_step_is_learnt():
         model.learn(ids)
         assert model.seen[1].sum() == was + 64, step
         last, before = ids, last
+
+
+def _markov(n: int) -> np.ndarray:
+    """Ids of which most follow from the two before, in 300 ways, or else from the one before."""
+    rng = np.random.default_rng(5)
+    nexts, ids = rng.integers(0, 500, (500, 8)), [1, 2]
+    for draw, pick, odd in zip(rng.random(n), rng.integers(0, 8, n), rng.integers(0, 500, n), strict=True):
+        by_two = (ids[-1] * 7 + ids[-2] * 13) % 500
+        ids.append(int(by_two if draw < 0.4 else nexts[ids[-1], pick] if draw < 0.95 else odd))
+    return np.array(ids, np.uint32)
+
+
+def test_each_order_saves_bytes(monkeypatch):
+    ids = _markov(200_000)
+    whole = len(mixing_coder.encode_block([1], [ids]))
+    shares = np.bincount(ids) / len(ids)
+    assert whole < 0.8 * len(ids) * -np.sum(shares[shares > 0] * np.log2(shares[shares > 0])) / 8
+
+    predict = mixing_coder._Model.predict
+
+    def without_two(self, last, before):
+        predict(self, last, before)
+        self.sum, self.mass2 = self.sum - self.mass2, self.mass2 * 0
+
+    with monkeypatch.context() as patch:
+        patch.setattr(mixing_coder._Model, "predict", without_two)
+        block = mixing_coder.encode_block([1], [ids])
+        assert len(block) > 1.01 * whole
+        np.testing.assert_array_equal(mixing_coder.decode_block(block)[1][0], ids)
+    with monkeypatch.context() as patch:
+        patch.setattr(mixing_coder._Pairs, "rebuild", lambda self, met, total, odds: None)
+        patch.setattr(mixing_coder._Pairs, "values", lambda self, cum: None)
+        block = mixing_coder.encode_block([1], [ids])
+        assert len(block) > 1.1 * whole
+        np.testing.assert_array_equal(mixing_coder.decode_block(block)[1][0], ids)
+
+
+def test_few_and_wide_ids():
+    rng = np.random.default_rng(3)
+    for ids in ([7], [0, 0, 0], [0] * 5000, rng.integers(0, 49408, 9000), rng.integers(0, 120_000, 3000), np.arange(4000) % 3):
+        ids = np.array(ids, np.uint32)
+        np.testing.assert_array_equal(mixing_coder.decode_block(mixing_coder.encode_block([1], [ids]))[1][0], ids)

@@ -178,12 +178,15 @@ class _Model:
         low2 = self.cum.take(self.id2) + below2
         under = value < low2
         inside = ~under & (self.mass2 > 0) & (value < self.after.take(self.id2) + below2 + own2 + self.mass2)
-        rest = np.where(under, value, value - self.mass2)
-        found, name, below, own = self.pairs.last_at(self.last, rest)
+        left = np.flatnonzero(~inside)
+        rest = np.where(under, value, value - self.mass2).take(left)
+        found, name, below, own = self.pairs.last_at(self.last.take(left), rest)
         past = found & (rest >= self.after.take(name) + below + own)
         below, own = below + own * past, own * ~past
-        ids = np.where(found & ~past, name, at.take(rest - below, mode="clip"))
-        return np.where(inside, self.id2, ids), (np.where(inside, below2, below), np.where(inside, own2, own))
+        ids = self.id2.copy()
+        ids[left] = np.where(found & ~past, name, at.take(rest - below, mode="clip"))
+        below2[left], own2[left] = below, own
+        return ids, (below2, own2)
 
     def learn(self, ids: np.ndarray, pairs: np.ndarray | None = None) -> None:
         """``pairs``: their places, if the model was given all keys."""

@@ -13,7 +13,9 @@ Defined results
 * null and empty texts are one end id. Rows are packed one by one: rows that repeat an
   id, null ids too, are documents of their own.
 * extra columns are not read; an empty table gives no piece.
-* each id lies in exactly one piece; offsets of a sequence have no gaps.
+* each id lies in exactly one piece; offsets of a sequence have no gaps. Where documents
+  are cut, and which share a sequence, depends on how the rows are dealt to partitions:
+  rows read from other files may be packed otherwise. Ids and counts of documents don't.
 
 Scale: the state of a task is its open windows; pieces are written once, and only
 leftovers, at most ``OPEN`` windows of a partition, are shuffled. A merging round has tasks

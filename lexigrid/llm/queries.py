@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexigrid.llm import byte_bpe, line_dedup, media_source, packing, quality_classifier, quality_rules, simhash, sql, substring_dedup, token_files, toxicity
+from lexigrid.llm import byte_bpe, decontamination, divergence, line_dedup, media_source, packing, quality_classifier, quality_rules, simhash, sql, substring_dedup, token_files, toxicity
 from lexigrid.llm._shared import documents, fold_rows
 
 
@@ -109,6 +109,25 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language lie apart, and the terms that set each of them off."""
+    return divergence.audit_sources(documents(spark, sf_dir))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that stand in ten-word windows of benchmark items."""
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    found = decontamination.find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     "op3_media": op3_media,
     "op4_token_files": op4_token_files,
@@ -120,9 +139,13 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_quality_rules": op9_quality_rules,
     "op10_simhash": op10_simhash,
+    "op11_divergence": op11_divergence,
+    "op12_decontamination": op12_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_substring_dedup": sql.OP2_SUBSTRING_DEDUP,
     "op7_line_dedup": sql.OP7_LINE_DEDUP,
+    "op11_divergence": sql.OP11_DIVERGENCE,
+    "op12_decontamination": sql.OP12_DECONTAMINATION,
 }

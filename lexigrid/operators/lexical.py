@@ -47,11 +47,28 @@ def corpus_stats(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame
     return sizes.join(F.broadcast(idf))
 
 
+def row_postings(tokens: DataFrame) -> DataFrame:
+    """``term, chunk_id, corpus_ord, dl, tf, positions``, made inside each row: nothing is shuffled.
+
+    A chunk's (term, place) pairs are sorted once; a term's places lie side by side then.
+    """
+    pair = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+    # Elements are taken one by one: a field of the whole array would be copied out for each.
+    pairs = tokens.where(F.size("tokens") > 0).select("chunk_id", "corpus_ord", F.size("tokens").alias("dl"), F.sort_array(pair).alias("s"))
+    first = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"]))
+    heads = pairs.select("*", first.alias("heads"))
+
+    def group(at: Column, j: Column) -> Column:
+        n = F.coalesce(F.get("heads", j + 1), F.col("dl")) - at
+        return F.struct(F.get("s", at)["term"].alias("term"), n.alias("tf"), F.transform(F.slice("s", at + 1, n), lambda x: x["pos"]).alias("positions"))
+
+    made = heads.select("chunk_id", "corpus_ord", "dl", F.explode(F.transform("heads", group)).alias("p"))
+    return made.select("p.term", "chunk_id", "corpus_ord", "dl", "p.tf", "p.positions")
+
+
 def postings(tokens: DataFrame) -> DataFrame:
     """``term, chunk_id, corpus_ord, tf, positions``: the inverted index."""
-    placed = tokens.select("chunk_id", "corpus_ord", F.posexplode("tokens").alias("pos", "term"))
-    grouped = placed.groupBy("term", "chunk_id", "corpus_ord").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.select("term", "chunk_id", "corpus_ord", "tf", "positions")
+    return row_postings(tokens).drop("dl")
 
 
 def bm25_scores(tokens: DataFrame, queries: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
@@ -94,12 +111,11 @@ def index_tables(tokens: DataFrame) -> dict[str, DataFrame]:
     """What a search of a persisted index reads: postings with lengths, term figures, corpus figures.
 
     Postings and terms are dealt out by ranges of the term, so files hold few terms each and
-    a search of some terms reads only the row groups that may have them.
+    a search of some terms reads only the row groups that may have them. A term of very many
+    chunks is split by these.
     """
-    placed = tokens.select("chunk_id", "corpus_ord", F.size("tokens").alias("dl"), F.posexplode("tokens").alias("pos", "term"))
-    found = placed.groupBy("term", "chunk_id", "corpus_ord", "dl").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    terms = term_stats(tokens)
-    return {"tokens": tokens, "postings": found.repartitionByRange("term"), "terms": terms.repartitionByRange("term"), "corpus": corpus_stats(tokens, terms)}
+    found, terms = row_postings(tokens), term_stats(tokens)
+    return {"tokens": tokens, "postings": found.repartitionByRange("term", "chunk_id"), "terms": terms.repartitionByRange("term"), "corpus": corpus_stats(tokens, terms)}
 
 
 def indexed_scores(index: dict[str, DataFrame], queries: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
@@ -126,7 +142,7 @@ def indexed_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 30,
 def ranked(scores: DataFrame, k: int, digits: int | None = None) -> DataFrame:
     """The best ``k`` of each question with ``rank`` from 1; of those, scores above 0."""
     score = F.round("score", digits) if digits is not None else F.col("score")
-    best = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), "corpus_ord"))
+    best = F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("score"), "corpus_ord", "chunk_id"))
     return scores.withColumn("score", score).withColumn("rank", best).where(F.col("rank") <= k).where("score > 0")
 
 

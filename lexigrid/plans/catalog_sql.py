@@ -160,6 +160,9 @@ _STRIDE = f"""SELECT doc_id || '_p1_token_' || pos // 850 AS id, doc_id::VARCHAR
   {_count('piece')} AS token_count, doc_id AS corpus_ord
   FROM (SELECT doc_id, pos, {_strip('substring(t, pos + 1, 1000)')} AS piece FROM (SELECT doc_id, t, unnest(range(0, len(t), 850)) AS pos FROM (SELECT doc_id, {_strip('text')} AS t FROM documents))) WHERE len(piece) > 0"""
 
+#: The same for the jobs' SQL.
+STRIDE, tokens_sql, strip_sql = _STRIDE, _tokens, _strip
+
 _MESSY = r"chr(10) || chr(9) || ' ' || replace(text, chr(10), chr(13) || chr(10) || chr(10) || ' ' || chr(9) || chr(10) || chr(10)) || chr(13) || ' '"
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -26,6 +27,22 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder name under ``spark.checkpoint.dir``; where that is unset, a local session gets one.
+
+    The folder is left to its user.
+    """
+    sc = spark.sparkContext
+    given = sc._jsc.sc().getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or (given.get() if given.isDefined() else None)
+    if not root:
+        if sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
+        sc.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors once for each application.
 

@@ -58,7 +58,7 @@ def refresh(spark: SparkSession, config: Config) -> list[dict]:
 
     def take(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(F.col(config.id).cast("string").alias("doc"), F.col(config.id).cast("long").alias("corpus_ord"), F.col(config.text).alias("text"))
-        reports.append(incremental.add_batch(rows, config.out, batch_id, 0, config.strategy, config.stopwords))
+        reports.append(incremental.add_batch(spark, rows, config.out, batch_id, 0, config.strategy, config.stopwords))
 
     # As a pattern a source may be a folder or one file.
     parent, _, name = config.source.rpartition("/")

@@ -37,18 +37,18 @@ def table(spark: SparkSession, out: str, name: str) -> DataFrame:
     return spark.read.schema(f"{TABLES[name]}, batch long").option("basePath", f"{out}/{name}").parquet(f"{out}/{name}")
 
 
-def _put(rows: DataFrame, out: str, name: str, batch_id: int) -> DataFrame:
+def _put(spark: SparkSession, rows: DataFrame, out: str, name: str, batch_id: int) -> DataFrame:
     where = f"{out}/{name}/batch={batch_id}"
     rows.write.mode("overwrite").parquet(where)
-    return rows.sparkSession.read.schema(TABLES[name]).parquet(where)
+    return spark.read.schema(TABLES[name]).parquet(where)
 
 
-def add_batch(rows: DataFrame, out: str, batch_id: int, first: int = 0, strategy: str = "page", stopwords: Sequence[str] = ()) -> dict:
+def add_batch(spark: SparkSession, rows: DataFrame, out: str, batch_id: int, first: int = 0, strategy: str = "page", stopwords: Sequence[str] = ()) -> dict:
     """Take the documents (``doc string, corpus_ord long, text string``) that are new; returns what was written.
 
     ``first``: the number of the first batch of this folder. Rows without an id are left out.
+    ``spark`` reads back what was written: a stream's own session has no adaptive execution.
     """
-    spark = rows.sparkSession
     once = rows.where(F.col("doc").isNotNull()).groupBy("doc").agg(F.min(F.struct(F.xxhash64("text").alias("text_hash"), "corpus_ord", "text")).alias("r")).select("doc", "r.*")
     if batch_id > first:
         known = table(spark, out, "documents").where(F.col("batch") < batch_id).select("doc")
@@ -57,18 +57,18 @@ def add_batch(rows: DataFrame, out: str, batch_id: int, first: int = 0, strategy
     # Texts are read once for the chunks; all else comes from what was written.
     pages = pages.persist()
     try:
-        taken = _put(pages.select(F.col("doc_name").alias("doc"), "corpus_ord", "text_hash"), out, "documents", batch_id)
+        taken = _put(spark, pages.select(F.col("doc_name").alias("doc"), "corpus_ord", "text_hash"), out, "documents", batch_id)
         made = chunking.stride_chunks(pages) if strategy == "stride" else chunking.page_chunks(pages)
-        chunks = _put(made.select(*[c.split()[0] for c in TABLES["chunks"].split(", ")]), out, "chunks", batch_id)
+        chunks = _put(spark, made.select(*[c.split()[0] for c in TABLES["chunks"].split(", ")]), out, "chunks", batch_id)
     finally:
         pages.unpersist()
     tokens = lexical.token_table(chunks, stopwords)
     found = lexical.row_postings(tokens).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
-    postings = _put(found, out, "postings", batch_id)
-    terms = _put(postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term"), out, "terms", batch_id)
+    postings = _put(spark, found, out, "postings", batch_id)
+    terms = _put(spark, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term"), out, "terms", batch_id)
     sizes = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("tokens"))
     counts = chunks.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(sizes)).join(F.broadcast(taken.agg(F.count(F.lit(1)).alias("documents"))))
-    figures = _put(counts.select("n", "tokens", "documents"), out, "figures", batch_id).first().asDict()
+    figures = _put(spark, counts.select("n", "tokens", "documents"), out, "figures", batch_id).first().asDict()
     report = {"batch": batch_id, "documents": figures["documents"], "chunks": figures["n"], "tokens": figures["tokens"], "terms": terms.count()}
     LOG.info("batch %(batch)d: wrote %(documents)d documents, %(chunks)d chunks, %(tokens)d tokens, %(terms)d terms", report)
     return report

@@ -119,5 +119,12 @@ def fold_rows(make: Callable, *args) -> Callable[[Iterable], Iterator]:
     return run
 
 
+def refuse_reserved(df: DataFrame, prefix: str) -> None:
+    """Raise where a column has a name that an operator uses between its steps."""
+    taken = [c for c in df.columns if c.startswith(prefix)]
+    if taken:
+        raise ValueError(f"names that begin with {prefix} are reserved: {taken}")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

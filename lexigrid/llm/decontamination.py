@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lexigrid.llm._shared import cut, fold_rows
+from lexigrid.llm._shared import cut, fold_rows, refuse_reserved
 from lexigrid.llm.byte_words import Words, byte_class, mixed
 
 WINDOW, GRAM = 10, 5
@@ -185,8 +185,7 @@ def item_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "tex
 
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM, sent_windows: int = SENT_WINDOWS, sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``docs`` with ``n_words, n_hit, items`` (sorted ids) and ``spans`` (of hit words, ends excluded)."""
-    if any(c.startswith("_dc_") for c in docs.columns):
-        raise ValueError("names that begin with _dc_ are reserved")
+    refuse_reserved(docs, "_dc_")
     spark, made = docs.sparkSession, StructType.fromDDL(_MADE)
     keep = [i for i, c in enumerate(docs.columns) if c not in made.names]
     schema = StructType([*(docs.schema[i] for i in keep), *made.fields])

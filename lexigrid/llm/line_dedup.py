@@ -11,7 +11,7 @@ Defined results
 * documents come in the order of (id, hash of the text), null ids first; rows that
   repeat id and text are one document, each of them returned with the same result.
 * an empty table gives an empty table; columns besides id and text pass through. Names
-  beginning with ``_ld_`` are reserved.
+  beginning with ``_ld_`` are refused.
 
 Scale: windows travel as two 64-bit hashes and a place, never as text. The first place
 of each window is a partially aggregated minimum, so a line block shared by a third of
@@ -26,6 +26,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexigrid.llm._shared import refuse_reserved
+
 
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
@@ -60,6 +62,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Adds ``n_lines`` and ``n_removed`` (long).
     """
+    refuse_reserved(docs, "_ld_")
     place = F.struct("_ld_id", "_ld_hash", "_ld_at")
     windows = line_windows(docs, id_col, text_col, width)
     first = windows.groupBy("_ld_h1", "_ld_h2").agg(F.min(place).alias("_ld_first"), F.count(F.lit(1)).alias("_ld_n")).where("_ld_n > 1").drop("_ld_n")

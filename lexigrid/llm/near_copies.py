@@ -8,7 +8,8 @@ Candidates: SimHash groups (3 bits, by anchors) and, as the fingerprints of most
 of ``BANDS`` bands in 1 of 2,800 cases, a pair at 0.85 in 1 of 55,000. Every link is then
 verified by the sets themselves, so no group is held together by a smaller similarity.
 
-Equal sets are one row before they are compared. In each bucket (a band's value or a SimHash
+Equal sets are one row before they are compared (with the least of their fingerprints, which
+differ where shingles are repeated). In each bucket (a band's value or a SimHash
 group) all members are compared with one hub, another in each bucket. Buckets whose members
 are in more than one group after that are searched as a whole, each by one task with the
 sets at hand, so what a hub misses is not lost; what leaves a bucket is a spanning forest of
@@ -167,7 +168,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(texts.mapInArrow(fold_rows(_describe), "doc_id long, fp long, sid binary, n long, bands array<long>"), "described")
     first = rows.where("doc_id is not null").groupBy("sid")
-    reps = cut(first.agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("bands").alias("bands")), "sets")
+    reps = cut(first.agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.min("n").alias("n"), F.min("bands").alias("bands")), "sets")
 
     # Buckets with more than one set, each with the order that its hub is chosen by.
     groups = simhash.link_fingerprints(reps.select(F.col("rep").alias("doc_id"), "fp")).select("fp", "component").distinct()

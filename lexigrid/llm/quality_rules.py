@@ -8,7 +8,8 @@ texts. A text's posterior probability of being good then replaces "all rules mus
 Words are ``[^\\x20\\x09-\\x0D]+``. Defined results
 * null and empty texts have no words, and all counts are 0.
 * rows are judged one by one, so repeated rows get equal results and clashing names of
-  other columns are kept where they don't equal a name of ``COUNTS`` or of the verdict.
+  other columns are kept where they don't equal a name of ``COUNTS`` or of the verdict;
+  names that begin with ``_qr_`` are refused.
 * an empty table gives an empty table (the model is then the prior).
 
 Scale: counts are expressions over one row, without a shuffle; what is gathered is the
@@ -23,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexigrid.llm._shared import cut, let
+from lexigrid.llm._shared import cut, let, refuse_reserved
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]"
@@ -70,6 +71,7 @@ STOPS = "the of and to in is that for it a de la le et les des en que el los las
 
 def with_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the columns of ``COUNTS`` (long); one pass, no shuffle."""
+    refuse_reserved(docs, "_qr_")
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = F.col("_qr_words")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))

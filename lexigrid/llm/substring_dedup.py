@@ -21,15 +21,17 @@ runs of a level are compacted into one of the next level, so a hash is rewritten
 level. The folder's latest manifest says what the index holds; a lost attempt's files are
 in no manifest. A new ``SubstringIndex`` on the folder goes on where the last one ended.
 
-Documents of a batch must come after those of earlier batches. Order of documents is
-(id, crc32 of the text), null ids first.
+Documents of a batch must come after those of earlier batches: the manifest keeps the last
+one's key, and a batch that begins before it is refused. Order of documents is
+(id, crc32 of the text), null ids first. A batch after the first is refused without the
+history, whose woken places have to be read.
 
 Defined results
 * null and empty texts and texts of less than 20 words: nothing removed; null stays null.
 * rows that repeat id and text are one document, each returned with the same result;
   rows that share an id but not a text are different documents.
 * an empty table gives an empty table. Other columns pass through, those named
-  ``n_words, n_removed, kept_sha256`` are replaced; names beginning ``_sd_`` are reserved.
+  ``n_words, n_removed, kept_sha256`` are replaced; names beginning ``_sd_`` are refused.
 
 Scale: hashes travel as packed sorted arrays, of the batch alone. A task sends each gram
 or window once however often it met it, so what a third of all documents share is summed
@@ -56,7 +58,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 from xxhash import xxh3_64_digest, xxh3_128_digest
 
-from lexigrid.llm._shared import cut, delete_path, fold_rows, scratch_dir, size_bytes
+from lexigrid.llm._shared import cut, delete_path, fold_rows, refuse_reserved, scratch_dir, size_bytes
 
 WINDOW, GRAM, FANOUT, FORMAT = 20, 10, 4, 1
 #: Documents whose keys are sent to all tasks at most, 16 bytes each.
@@ -483,6 +485,7 @@ class SubstringIndex:
         self.spark, self.folder, self.fanout = spark, (folder or scratch_dir(spark, "substrings")).rstrip("/"), fanout
         self.buckets, self.doc_buckets = max(256, size_bytes >> 27), max(256, size_bytes >> 21)
         self.version, self.runs = 0, []  # runs: [level, name]
+        self.last: list[int] | None = None  # id and crc32 of the last document
         self._open()
 
     def _files(self):
@@ -500,12 +503,12 @@ class SubstringIndex:
             if (held["format"], held["window"], held["gram"]) != (FORMAT, WINDOW, GRAM):
                 raise ValueError(f"{self.folder} holds another kind of index: {held}")
             self.version, self.runs = held["version"], held["runs"]
-            self.buckets, self.doc_buckets = held["buckets"], held["doc_buckets"]
+            self.buckets, self.doc_buckets, self.last = held["buckets"], held["doc_buckets"], held.get("last")
 
     def _publish(self, runs: list) -> None:
         """A new manifest; written beside its name first, so it is whole or not there."""
         path, files = self._files()
-        facts = {"format": FORMAT, "window": WINDOW, "gram": GRAM, "version": self.version + 1, "buckets": self.buckets, "doc_buckets": self.doc_buckets, "runs": runs}
+        facts = {"format": FORMAT, "window": WINDOW, "gram": GRAM, "version": self.version + 1, "buckets": self.buckets, "doc_buckets": self.doc_buckets, "last": self.last, "runs": runs}
         made, named = (path(f"{self.folder}/{n}") for n in (f"_{uuid.uuid4().hex}", f"manifest-{self.version + 1:08d}.json"))
         out = files.create(made)
         out.write(bytearray(json.dumps(facts).encode()))
@@ -557,11 +560,31 @@ class SubstringIndex:
             return mine
         return mine.unionByName(texts.join(sent, keys, "left_anti").withColumn("_sd_starts", F.lit(None).cast("binary")))
 
+    def _last_key(self, batch: DataFrame, id_col: str, text_col: str) -> list[int] | None:
+        """The key of the batch's last document; refuses a batch that doesn't come after the index.
+
+        Texts are read for it only where ids alone don't tell.
+        """
+        ids = batch.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("tag"))
+        ends = ids.agg(F.min("id").alias("low"), F.max("id").alias("high")).first()
+        if ends["low"] is None:
+            return self.last
+        if self.last and ends["low"] <= self.last[0]:
+            same = ids.where(F.col("id") == self.last[0]).agg(F.min("tag").alias("tag")).first()["tag"]
+            if ends["low"] < self.last[0] or same <= self.last[1]:
+                raise ValueError(f"the batch begins with document {ends['low']}, which does not come after {self.last} of the index")
+        return [ends["high"], ids.where(F.col("id") == ends["high"]).agg(F.max("tag").alias("tag")).first()["tag"]]
+
     def dedup_batch(self, batch: DataFrame, history: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """``batch`` without repeated windows; the index then holds the batch too.
 
-        ``history``: the documents of all batches before, read again for woken places.
+        ``history``: the documents of all batches before, read again for woken places; an
+        index that holds any can't do without.
         """
+        refuse_reserved(batch, "_sd_")
+        if self.runs and history is None:
+            raise ValueError("the index holds earlier batches: their documents are needed as history")
+        last = self._last_key(batch, id_col, text_col)
         self.compact()
         run, temporary = f"run-{uuid.uuid4().hex}", []
 
@@ -593,6 +616,7 @@ class SubstringIndex:
         out = cut(beside.mapInArrow(fold_rows(_remove, names.index(text_col), to_arrow_schema(added)), added), "kept")
         files = met.where(F.col("_sd_kind") == FILES_OF_GRAMS).unionByName(joined.where(F.col("_sd_kind") == FILES_OF_WINDOWS))
         cut(files, "files", f"{self.folder}/{run}/files")
+        self.last = last
         self._publish([*self.runs, [0, run]])
         for where in temporary:
             delete_path(self.spark, where)

@@ -277,3 +277,34 @@ def test_empty_tables(none):
     assert substring_dedup.dedup_substrings(none).count() == 0
     assert line_dedup.dedup_lines(none).count() == 0
     assert simhash.near_groups(none).count() == 0
+
+
+def test_a_batch_needs_its_history_and_its_order(spark, tmp_path):
+    """Nothing is lost in silence: a batch without history, or out of order, is refused."""
+    words = " ".join(f"w{i}" for i in range(40))
+
+    def rows(*found):
+        return spark.createDataFrame(found, "doc_id long, text string")
+
+    index = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/index")
+    first = rows((1, words), (5, "a few words"))
+    index.dedup_batch(first).collect()
+    again = substring_dedup.SubstringIndex(spark, f"file://{tmp_path}/index")
+    with pytest.raises(ValueError, match="history"):
+        again.dedup_batch(rows((9, words)))
+    for early in ((2, words), (5, "a few words"), (None, words)):
+        with pytest.raises(ValueError, match="come after"):
+            again.dedup_batch(rows(early, (9, words)), first)
+    later = [t for t in (f"other text {i}" for i in range(9)) if zlib.crc32(t.encode()) > zlib.crc32(b"a few words")][0]
+    assert {r.doc_id: r.n_removed for r in again.dedup_batch(rows((5, later), (9, words)), first).collect()} == {5: 0, 9: 40}
+    assert again.dedup_batch(rows(), first).count() == 0 and again.last[0] == 9
+    with pytest.raises(ValueError, match="come after"):
+        again.dedup_batch(rows((9, words)), first)
+    again.drop()
+
+
+@pytest.mark.parametrize("name", ["_ld_lines", "_ld_doc", "_sd_id", "_sd_starts"])
+def test_reserved_names_are_refused(docs, name):
+    run = line_dedup.dedup_lines if name.startswith("_ld") else substring_dedup.dedup_substrings
+    with pytest.raises(ValueError, match="reserved"):
+        run(docs.withColumn(name, F.lit("clash")), batches=1) if name.startswith("_sd") else run(docs.withColumn(name, F.lit("clash")))

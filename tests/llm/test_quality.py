@@ -324,3 +324,8 @@ def test_toxic_texts_of_the_tables_are_found(spark, learnt):
     rows = toxicity.score(docs, chain).join(labels.where(f"doc_id % 2 <> {learnt}"), "doc_id").collect()
     assert sum(r.predicted and not r.toxic for r in rows) <= 0.01 * len(rows)
     assert sum(r.predicted and r.toxic for r in rows) >= 0.9 * sum(r.toxic for r in rows)
+
+
+def test_reserved_names_of_rules_are_refused(docs):
+    with pytest.raises(ValueError, match="reserved"):
+        quality_rules.judge(docs.withColumn("_qr_words", F.lit("clash")))

@@ -1,6 +1,7 @@
 """BM25, boolean and proximity search over a table of tokenised chunks.
 
-``tokens`` tables have ``chunk_id, corpus_ord, tokens``; ``corpus_ord`` breaks all ties.
+``tokens`` tables have ``chunk_id, corpus_ord, tokens``; ``corpus_ord`` breaks ties, then the
+id. Stored indexes also have ``number``, a long of each chunk's own.
 Scores are Okapi BM25 with k1 1.5, b 0.75; a negative idf becomes ``EPSILON`` times the
 mean idf of all distinct terms, taken before it is replaced.
 
@@ -8,8 +9,9 @@ Scale: only postings of query terms are exploded into scores; document frequenci
 partial aggregates over distinct terms of a chunk, so no (term, chunk) pair is shuffled
 for them. Corpus figures are one row. Up to ``SENT_TERMS`` counted query terms are sent
 along and filter tokens before they are exploded; larger sets are joined by equality.
-A built index has postings and figures of its own (``index_tables``): ``indexed_search``
-reads those of the asked terms, and neither the texts nor the vocabulary.
+A built index has postings and figures of its own (``index_tables``): ``indexed_search``,
+``indexed_boolean`` and ``indexed_proximity`` read those of the asked terms by a pushed-down
+filter, and neither the texts nor the vocabulary.
 """
 
 from __future__ import annotations
@@ -29,8 +31,10 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 SENT_TERMS = 10_000
 
 
-def token_table(chunks: DataFrame, stopwords: Sequence[str] = (), id_col: str = "id", order: str = "corpus_ord") -> DataFrame:
-    return chunks.select(F.col(id_col).alias("chunk_id"), F.col(order).cast("long").alias("corpus_ord"), tokenize(F.col("text"), stopwords).alias("tokens"))
+def token_table(chunks: DataFrame, stopwords: Sequence[str] = (), id_col: str = "id", order: str = "corpus_ord", number: str | None = None) -> DataFrame:
+    """``chunk_id, corpus_ord, tokens``, and ``number`` if a column of chunk numbers is named."""
+    own = [F.col(number).cast("long").alias("number")] if number else []
+    return chunks.select(F.col(id_col).alias("chunk_id"), F.col(order).cast("long").alias("corpus_ord"), *own, tokenize(F.col("text"), stopwords).alias("tokens"))
 
 
 def term_stats(tokens: DataFrame) -> DataFrame:
@@ -48,13 +52,14 @@ def corpus_stats(tokens: DataFrame, terms: DataFrame | None = None) -> DataFrame
 
 
 def row_postings(tokens: DataFrame) -> DataFrame:
-    """``term, chunk_id, corpus_ord, dl, tf, positions``, made inside each row: nothing is shuffled.
+    """``term, chunk_id, corpus_ord, dl, tf, positions`` (and ``number``), made inside each row: nothing is shuffled.
 
     A chunk's (term, place) pairs are sorted once; a term's places lie side by side then.
     """
     pair = F.transform("tokens", lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
     # Elements are taken one by one: a field of the whole array would be copied out for each.
-    pairs = tokens.where(F.size("tokens") > 0).select("chunk_id", "corpus_ord", F.size("tokens").alias("dl"), F.sort_array(pair).alias("s"))
+    own = ["number"] if "number" in tokens.columns else []
+    pairs = tokens.where(F.size("tokens") > 0).select("chunk_id", "corpus_ord", *own, F.size("tokens").alias("dl"), F.sort_array(pair).alias("s"))
     first = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("s", i)["term"] != F.get("s", i - 1)["term"]))
     heads = pairs.select("*", first.alias("heads"))
 
@@ -62,13 +67,13 @@ def row_postings(tokens: DataFrame) -> DataFrame:
         n = F.coalesce(F.get("heads", j + 1), F.col("dl")) - at
         return F.struct(F.get("s", at)["term"].alias("term"), n.alias("tf"), F.transform(F.slice("s", at + 1, n), lambda x: x["pos"]).alias("positions"))
 
-    made = heads.select("chunk_id", "corpus_ord", "dl", F.explode(F.transform("heads", group)).alias("p"))
-    return made.select("p.term", "chunk_id", "corpus_ord", "dl", "p.tf", "p.positions")
+    made = heads.select("chunk_id", "corpus_ord", *own, "dl", F.explode(F.transform("heads", group)).alias("p"))
+    return made.select("p.term", "chunk_id", "corpus_ord", "dl", "p.tf", "p.positions", *own)
 
 
 def postings(tokens: DataFrame) -> DataFrame:
     """``term, chunk_id, corpus_ord, tf, positions``: the inverted index."""
-    return row_postings(tokens).drop("dl")
+    return row_postings(tokens).drop("dl", "number")
 
 
 def bm25_scores(tokens: DataFrame, queries: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
@@ -112,27 +117,37 @@ def index_tables(tokens: DataFrame) -> dict[str, DataFrame]:
 
     Postings and terms are dealt out by ranges of the term, so files hold few terms each and
     a search of some terms reads only the row groups that may have them. A term of very many
-    chunks is split by these.
+    chunks is split by these. ``directory`` has each chunk's number, which is ``corpus_ord``
+    where no other is given; it has to differ from chunk to chunk.
     """
+    if "number" not in tokens.columns:
+        tokens = tokens.withColumn("number", F.col("corpus_ord"))
     found, terms = row_postings(tokens), term_stats(tokens)
-    return {"tokens": tokens, "postings": found.repartitionByRange("term", "chunk_id"), "terms": terms.repartitionByRange("term"), "corpus": corpus_stats(tokens, terms)}
+    directory = tokens.select("number", "chunk_id", "corpus_ord").repartitionByRange("number")
+    return {"tokens": tokens, "directory": directory, "postings": found.repartitionByRange("term", "chunk_id"), "terms": terms.repartitionByRange("term"), "corpus": corpus_stats(tokens, terms)}
 
 
-def indexed_scores(index: dict[str, DataFrame], queries: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
-    """``bm25_scores`` from the tables of ``index_tables``: reads postings and figures of the asked terms alone."""
-    postings, terms, corpus = index["postings"], index["terms"], index["corpus"]
+def weighted_terms(terms: DataFrame, corpus: DataFrame, queries: DataFrame, stopwords: Sequence[str] = ()) -> tuple[DataFrame, bool, list[str]]:
+    """``question_id, term, times, avgdl, idf`` of the asked terms; whether they are few, and their names if so."""
     words = queries.select("question_id", F.explode(tokenize(F.col("question"), stopwords)).alias("term"))
     wanted = words.groupBy("question_id", "term").agg(F.count(F.lit(1)).alias("times"))
     pairs = wanted.limit(SENT_TERMS + 1).collect()
-    few = len(pairs) <= SENT_TERMS
+    few, names = len(pairs) <= SENT_TERMS, []
     if few:
         names = sorted({r["term"] for r in pairs})
-        wanted = postings.sparkSession.createDataFrame([tuple(r) for r in pairs], wanted.schema)
-        asked = F.col("term").isin(*names) if names else F.lit(False)
-        postings, terms = postings.where(asked), terms.where(asked)
+        wanted = terms.sparkSession.createDataFrame([tuple(r) for r in pairs], wanted.schema)
+        terms = terms.where(F.col("term").isin(*names) if names else F.lit(False))
     idf = F.when(F.col("raw_idf") < 0, EPSILON * F.col("avg_idf")).otherwise(F.col("raw_idf"))
-    weighted = wanted.join(terms, "term").join(F.broadcast(corpus)).select("question_id", "term", "times", "avgdl", idf.alias("idf"))
-    return _summed(postings.select("term", "chunk_id", "corpus_ord", "dl", "tf"), F.broadcast(weighted) if few else weighted)
+    return wanted.join(terms, "term").join(F.broadcast(corpus)).select("question_id", "term", "times", "avgdl", idf.alias("idf")), few, names
+
+
+def indexed_scores(index: dict[str, DataFrame], queries: DataFrame, stopwords: Sequence[str] = ()) -> DataFrame:
+    """``bm25_scores`` from the tables of ``index_tables``: reads postings and figures of the asked terms alone."""
+    weighted, few, names = weighted_terms(index["terms"], index["corpus"], queries, stopwords)
+    postings = index["postings"].select("term", "chunk_id", "corpus_ord", "dl", "tf")
+    if few:
+        postings = postings.where(F.col("term").isin(*names) if names else F.lit(False))
+    return _summed(postings, F.broadcast(weighted) if few else weighted)
 
 
 def indexed_search(index: dict[str, DataFrame], queries: DataFrame, k: int = 30, stopwords: Sequence[str] = (), digits: int | None = None) -> DataFrame:
@@ -159,15 +174,23 @@ def _words(text: str, stopwords: Sequence[str]) -> list[str]:
     return sorted({w for w in words if w not in stopwords})
 
 
-def boolean_predicate(tokens: Column, query: str, stopwords: Sequence[str] = ()) -> Column:
+def boolean_groups(query: str, stopwords: Sequence[str] = ()) -> list[list[tuple[list[str], list[str]]]]:
     """AND of ORs of "all of these, none of those"; NOT's second operand is the last read.
 
     An operand without words before NOT asks for nothing, so the empty query is true.
     """
 
-    def held(operand: str) -> Column:
-        sides = _operands(operand, "NOT")
-        need, bar = _words(sides[0], stopwords), _words(sides[1], stopwords) if len(sides) > 1 else []
+    def operand(text: str) -> tuple[list[str], list[str]]:
+        sides = _operands(text, "NOT")
+        return _words(sides[0], stopwords), _words(sides[1], stopwords) if len(sides) > 1 else []
+
+    return [[operand(o) for o in _operands(group, "OR")] for group in _operands(query.strip(), "AND")]
+
+
+def boolean_predicate(tokens: Column, query: str, stopwords: Sequence[str] = ()) -> Column:
+    """``boolean_groups`` over a column of token lists."""
+
+    def held(need: list[str], bar: list[str]) -> Column:
         found = F.lit(True)
         for word in need:
             found = found & F.array_contains(tokens, word)
@@ -176,10 +199,10 @@ def boolean_predicate(tokens: Column, query: str, stopwords: Sequence[str] = ())
         return found
 
     whole = F.lit(True)
-    for group in _operands(query.strip(), "AND"):
+    for group in boolean_groups(query, stopwords):
         either = F.lit(False)
-        for operand in _operands(group, "OR"):
-            either = either | held(operand)
+        for operand in group:
+            either = either | held(*operand)
         whole = whole & either
     return whole
 
@@ -189,18 +212,76 @@ def boolean_search(tokens: DataFrame, query: str, stopwords: Sequence[str] = ())
     return tokens.where(boolean_predicate(F.col("tokens"), query, stopwords)).select("chunk_id", "corpus_ord")
 
 
+def indexed_boolean(index: dict[str, DataFrame], query: str, stopwords: Sequence[str] = ()) -> DataFrame:
+    """``boolean_search`` by set algebra on bitmaps of chunks, from the postings of the asked terms.
+
+    64 chunk numbers are a word of bits; of each word, every asked term has its bits in a
+    column of its own, summed on the map side, and the query is bit operations on these.
+    Only an operand that needs no term reads the directory for the bits of all chunks.
+    """
+    groups = boolean_groups(query, stopwords)
+    terms = sorted({w for group in groups for operand in group for side in operand for w in side})
+    bit = F.expr("shiftleft(1L, CAST(number & 63 AS INT))")
+    named = {term: f"b{i}" for i, term in enumerate(terms)}
+    asked = F.col("term").isin(*terms) if terms else F.lit(False)
+    placed = index["postings"].where(asked).select("term", F.shiftright("number", 6).alias("word"), bit.alias("bit"))
+    nothing = F.lit(0).cast("long")
+    words = placed.groupBy("word").agg(F.lit(None).cast("long").alias("none"), *[F.bit_or(F.when(F.col("term") == term, F.col("bit"))).alias(b) for term, b in named.items()])
+    if any(not need for group in groups for need, _ in group):
+        every = index["directory"].select(F.shiftright("number", 6).alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("all"))
+        words = every.join(words, "word", "left")
+    else:
+        words = words.withColumn("all", F.lit(-1).cast("long"))
+    bits = {term: F.coalesce(F.col(b), nothing) for term, b in named.items()}
+    whole = F.col("all")
+    for group in groups:
+        either = nothing
+        for need, bar in group:
+            held = F.col("all")
+            for term in need:
+                held = held.bitwiseAND(bits[term])
+            for term in bar:
+                held = held.bitwiseAND(F.bitwise_not(bits[term]))
+            either = either.bitwiseOR(held)
+        whole = whole.bitwiseAND(either)
+    kept = words.select("word", whole.alias("whole")).where("whole <> 0")
+    numbers = kept.select(F.expr("explode(transform(filter(sequence(0, 63), i -> (shiftrightunsigned(whole, i) & 1L) = 1L), i -> word * 64 + i))").alias("number"))
+    return index["directory"].join(numbers, "number").select("chunk_id", "corpus_ord")
+
+
+def _lead(term: str, stopwords: Sequence[str]) -> str | None:
+    words = [w for w in re.sub(r"[^a-z0-9\s]", " ", term.lower()).split() if w not in stopwords]
+    return words[0] if words else None
+
+
+def indexed_proximity(index: dict[str, DataFrame], first: str, second: str, distance: int = 10, stopwords: Sequence[str] = ()) -> DataFrame:
+    """``proximity_search`` from the positions that the postings of the two words hold.
+
+    Two sorted lists are merged: their least distance lies between neighbours of different lists.
+    """
+    a, b = _lead(first, stopwords), _lead(second, stopwords)
+    if a is None or b is None:
+        return index["postings"].where("false").select("chunk_id", "corpus_ord")
+    asked = index["postings"].where(F.col("term").isin(a, b))
+    # A word has one posting a chunk, so the greatest list is the only one.
+    lists = asked.groupBy("chunk_id", "corpus_ord").agg(*[F.max(F.when(F.col("term") == w, F.col("positions"))).alias(p) for w, p in ((a, "p1"), (b, "p2"))])
+    both = lists.where(F.col("p1").isNotNull() & F.col("p2").isNotNull())
+
+    def marked(places: str, side: int) -> Column:
+        return F.transform(places, lambda i: F.struct(i.alias("at"), F.lit(side).alias("side")))
+
+    merged = both.select("chunk_id", "corpus_ord", F.sort_array(F.concat(marked("p1", 0), marked("p2", 1))).alias("m"))
+    near = F.exists(F.sequence(F.lit(1), F.size("m") - 1), lambda i: (F.get("m", i)["side"] != F.get("m", i - 1)["side"]) & (F.get("m", i)["at"] - F.get("m", i - 1)["at"] <= distance))
+    return merged.where(near).select("chunk_id", "corpus_ord")
+
+
 def proximity_search(tokens: DataFrame, first: str, second: str, distance: int = 10, stopwords: Sequence[str] = ()) -> DataFrame:
     """Chunks in which the first word of each term lie within ``distance`` tokens.
 
     Places count tokens that are left after stop words. One pass: a word's places and the
     other's meet only where both occur.
     """
-
-    def lead(term: str) -> str | None:
-        words = [w for w in re.sub(r"[^a-z0-9\s]", " ", term.lower()).split() if w not in stopwords]
-        return words[0] if words else None
-
-    a, b = lead(first), lead(second)
+    a, b = _lead(first, stopwords), _lead(second, stopwords)
     if a is None or b is None:
         return tokens.where("false").select("chunk_id", "corpus_ord")
 

@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from lexigrid.functions import answers as A
 from lexigrid.functions import citations as C
 from lexigrid.functions import text as X
-from lexigrid.operators import chunking, clauses, fusion, graph, lexical, reports, vector
+from lexigrid.operators import blocks, cells, chunking, clauses, fusion, graph, lexical, reports, vector
 from lexigrid.plans import engine
 from lexigrid.plans.catalog_sql import BOOLEAN, ORACLE_SQL, QUESTIONS  # noqa: F401  (ORACLE_SQL is read from here)
+from lexigrid.session import shared_folder
 from lexigrid.sources import files, questions, store
 from lexigrid.streaming import ingest
 
@@ -42,6 +43,13 @@ def tokens(spark: SparkSession, sf_dir: str, stopwords=()) -> DataFrame:
     return lexical.token_table(docs, stopwords)
 
 
+def stored(spark: SparkSession, kind: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The tables of an index, written and opened again as a search would find them."""
+    folder = shared_folder(spark, kind, keep=False)
+    store.save_tables(folder, kind, tables)
+    return store.load_tables(spark, folder, kind)
+
+
 def asked(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(enumerate(QUESTIONS, 1)), "question_id int, question string")
 
@@ -442,8 +450,50 @@ def first_pages(spark, sf_dir):
     return reports.first_pages(pages(spark, sf_dir)).select("doc_name", "corpus_ord")
 
 
+# Searches of stored indexes
+
+
 @query
 def bm25_indexed(spark, sf_dir):
     """The search of a built index: from its postings and figures, not from the texts."""
     index = lexical.index_tables(tokens(spark, sf_dir))
+    index = stored(spark, "lexical", {name: index[name] for name in ("postings", "terms", "corpus")})
     return lexical.indexed_search(index, asked(spark), 30, digits=6).select("question_id", "chunk_id", "score", "rank")
+
+
+@query
+def bm25_blocks(spark, sf_dir):
+    """The same, from blocks of postings, without those that can't reach the best 30."""
+    index = stored(spark, "blocks", blocks.index_tables(tokens(spark, sf_dir)))
+    return blocks.search(index, asked(spark), 30, digits=6).select("question_id", "chunk_id", "score", "rank")
+
+
+def _positions(spark, sf_dir) -> dict[str, DataFrame]:
+    index = lexical.index_tables(tokens(spark, sf_dir))
+    return stored(spark, "lexical", {name: index[name] for name in ("postings", "directory")})
+
+
+def _indexed_boolean(name: str, text: str) -> None:
+    def run(spark, sf_dir):
+        return lexical.indexed_boolean(_positions(spark, sf_dir), text)
+
+    run.__name__ = f"{name}_indexed"
+    query(run)
+
+
+for _name, (_text, _) in BOOLEAN.items():
+    _indexed_boolean(_name, _text)
+
+
+@query
+def proximity_indexed(spark, sf_dir):
+    return lexical.indexed_proximity(_positions(spark, sf_dir), "under", "licensed text", 2)
+
+
+@query
+def vector_topk_cells(spark, sf_dir):
+    """Exact search of a vector index of cells, by bounds."""
+    rows = table(spark, sf_dir, "embeddings")
+    wanted = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("query_vec"))
+    index = stored(spark, "cells", cells.index_tables(rows))
+    return cells.search(index, wanted, 30).select("question_id", "vec_id", "score", "rank")

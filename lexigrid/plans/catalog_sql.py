@@ -242,3 +242,11 @@ ORACLE_SQL: dict[str, str] = {
     "pages_sorted": "SELECT source AS doc_name, doc_id AS page_number FROM documents ORDER BY source, doc_id",
     "event_counts": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 }
+
+#: Searches of stored indexes give what those of plain tables do.
+ORACLE_SQL |= {
+    "bm25_blocks": ORACLE_SQL["bm25_topk"],
+    "proximity_indexed": ORACLE_SQL["proximity"],
+    "vector_topk_cells": ORACLE_SQL["vector_topk"],
+    **{f"{name}_indexed": ORACLE_SQL[name] for name in BOOLEAN},
+}

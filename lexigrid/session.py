@@ -27,10 +27,10 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
-def shared_folder(spark: SparkSession, tag: str) -> str:
+def shared_folder(spark: SparkSession, tag: str, keep: bool = True) -> str:
     """A new folder name under ``spark.checkpoint.dir``; where that is unset, a local session gets one.
 
-    The folder is left to its user.
+    The folder is left to its user, or removed when the driver's JVM ends.
     """
     sc = spark.sparkContext
     given = sc._jsc.sc().getCheckpointDir()
@@ -40,7 +40,11 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="lexigrid-")
         sc.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    made = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    if not keep:
+        path = spark._jvm.org.apache.hadoop.fs.Path(made)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return made
 
 
 def ship_package(spark: SparkSession) -> None:

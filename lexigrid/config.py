@@ -29,6 +29,12 @@ class EngineConfig:
     RRF_K: int = field(default_factory=lambda: _env("RRF_K", 60))
     LLM_CONCURRENCY: int = field(default_factory=lambda: _env("LLM_CONCURRENCY", 5))
     LLM_CONTEXT_PASSAGES: int = field(default_factory=lambda: _env("LLM_CONTEXT_PASSAGES", 3))
+    #: 0: every vector is compared; -1: a cell index with the root of their number of cells; else so many cells.
+    VECTOR_CELLS: int = field(default_factory=lambda: _env("VECTOR_CELLS", 0))
+    #: 0: exact; else cells that a query is compared with.
+    VECTOR_PROBES: int = field(default_factory=lambda: _env("VECTOR_PROBES", 0))
+    #: 1: ranked searches skip blocks of postings that can't reach the best.
+    BLOCK_SEARCH: int = field(default_factory=lambda: _env("BLOCK_SEARCH", 0))
     RUNTIME_LIMIT_SECONDS: float = field(default_factory=lambda: _env("RUNTIME_LIMIT_SECONDS", 30.0))
 
     def token_overlap(self) -> int:

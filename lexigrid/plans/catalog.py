@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions import answers as A
 from lexigrid.functions import citations as C
 from lexigrid.functions import text as X
-from lexigrid.operators import blocks, cells, chunking, clauses, fusion, graph, lexical, reports, vector
+from lexigrid.operators import blocks, cells, chunking, clauses, fusion, graph, graph_store, lexical, reports, vector
 from lexigrid.plans import engine
 from lexigrid.plans.catalog_sql import BOOLEAN, ORACLE_SQL, QUESTIONS  # noqa: F401  (ORACLE_SQL is read from here)
 from lexigrid.session import shared_folder
@@ -409,6 +409,28 @@ def graph_summary(spark, sf_dir):
     return graph.summary(*legal_graph(spark, sf_dir))
 
 
+@query
+def graph_upserts(spark, sf_dir):
+    """Nodes of a kept graph: lines name parts with changing texts, in batches that come late and again."""
+    lines = table(spark, sf_dir, "lineitem")
+    seq = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    said = lines.select(
+        graph.entity_id(F.concat(F.lit("Part "), F.col("l_partkey").cast("string"))).alias("id"),
+        F.lit("entity").alias("kind"),
+        F.lit(None).cast("string").alias("name"),
+        F.when(F.col("l_linenumber") <= 2, F.concat(F.lit("o"), F.col("l_orderkey").cast("string"))).alias("doc"),
+        F.col("l_quantity").cast("int").alias("number"),
+        F.when(F.col("l_returnflag") != "N", F.concat(F.lit("Part "), F.col("l_partkey").cast("string"), F.lit(" "), F.col("l_returnflag"))).alias("text"),
+        F.when(F.col("l_linestatus") == "F", "part").alias("entity_type"),
+        seq.alias("seq"),
+    )
+    store_ = graph_store.GraphStore(spark, shared_folder(spark, "graph", keep=False), 16)
+    late = F.col("seq") % 3 == 1
+    for batch_id, rows in enumerate((said.where("seq % 3 <> 1"), said.where(late), said.where("seq % 3 = 2"))):
+        store_.add(batch_id, nodes=rows)
+    return store_.nodes()
+
+
 # Reports, order, streams
 
 
@@ -437,7 +459,11 @@ def event_counts(spark, sf_dir):
 
 @query
 def index_status(spark, sf_dir):
-    return reports.index_status(chunking.page_chunks(pages(spark, sf_dir)), True, 12.345)
+    """Status of an index as its manifest and tables tell it."""
+    folder = shared_folder(spark, "status", keep=False)
+    store.save_tables(folder, "corpus", {"chunks": chunking.page_chunks(pages(spark, sf_dir))}, seconds=12.345)
+    manifest = store.read_manifest(spark, folder)
+    return reports.index_status(store.load_tables(spark, folder, "corpus")["chunks"], manifest is not None, manifest["seconds"])
 
 
 @query

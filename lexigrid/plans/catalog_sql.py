@@ -235,6 +235,10 @@ ORACLE_SQL: dict[str, str] = {
     "corpus_counts": f"SELECT count(DISTINCT doc) AS documents, count(*) AS chunks FROM ({_STRIDE})",
     "bottleneck_report": """WITH s AS (SELECT event_type AS stage, sum(value) AS seconds FROM events GROUP BY 1), t AS (SELECT sum(seconds) AS total FROM s)
         SELECT stage, round(seconds, 3) AS seconds, round(100 * seconds / greatest(total, 0.001), 3) AS percent, seconds > 0.4 * total AS flagged, row_number() OVER (ORDER BY seconds DESC, stage)::INT AS priority, total > 30 AS over_limit FROM s, t""",
+    "graph_upserts": """WITH said AS (SELECT 'entity:part ' || l_partkey AS id, l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_linenumber <= 2 THEN 'o' || l_orderkey END AS doc, l_quantity::INT AS number,
+          CASE WHEN l_returnflag <> 'N' THEN 'Part ' || l_partkey || ' ' || l_returnflag END AS text, CASE WHEN l_linestatus = 'F' THEN 'part' END AS entity_type FROM lineitem)
+        SELECT id, 'entity' AS kind, NULL::VARCHAR AS name, arg_max(doc, (seq, doc)) FILTER (WHERE doc IS NOT NULL) AS doc, arg_max(number, (seq, number)) AS number,
+          arg_max(text, (seq, text)) FILTER (WHERE text IS NOT NULL) AS text, arg_max(entity_type, (seq, entity_type)) FILTER (WHERE entity_type IS NOT NULL) AS entity_type FROM said GROUP BY id""",
     "index_status": f"SELECT true AS ready, count(DISTINCT doc) AS documents, count(*) AS chunks, 12.3::DOUBLE AS build_seconds FROM ({_PAGE})",
     "success_count": "SELECT count(*) FILTER (WHERE length(text) > 500) AS done, count(*) AS tried FROM documents",
     "first_pages": "SELECT doc_id::VARCHAR AS doc_name, doc_id AS corpus_ord FROM documents ORDER BY doc_id LIMIT 200",

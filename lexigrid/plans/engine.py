@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from lexigrid.config import EngineConfig
 from lexigrid.functions import answers as A
 from lexigrid.functions.text import preview
-from lexigrid.operators import chunking, fusion, graph, lexical, reports, vector
+from lexigrid.operators import blocks, cells, chunking, fusion, graph, lexical, reports, vector
 from lexigrid.sources import files, store
 
 RAW = "question_id int, question string, context string, raw string, error string"
@@ -94,7 +94,8 @@ class Engine:
     ``extractors``: kind of file -> ``bytes -> [(text, tables)]``, beside or instead of the
     own ones (a PDF reader, with OCR and tables, goes here). ``embedder``: column of texts ->
     column of vectors, known to the embedding cache by the name ``model``. ``make_encoder``:
-    the encoder of token chunks.
+    the encoder of token chunks. ``adapters``: embedders by name ("gemini", "openai", "local"),
+    of which one is chosen where no ``embedder`` is given; its name is the model's.
     """
 
     def __init__(
@@ -108,7 +109,11 @@ class Engine:
         embedder: Callable | None = None,
         model: str = "hashed",
         make_encoder: Callable[[], object] = chunking.WordEncoder,
+        adapters: dict[str, Callable] | None = None,
+        prefer_openai: bool = False,
     ) -> None:
+        if embedder is None and adapters:
+            model, embedder = vector.select_embedder(adapters, prefer_openai)
         if (embedder is None) != (model == "hashed"):
             raise ValueError("an embedder has a model name of its own")
         self.extractors, self.embedder, self.model, self.make_encoder = extractors, embedder, model, make_encoder
@@ -155,10 +160,13 @@ class Engine:
         self._timed("ingestion", lambda: store.save_tables(f"{self.index}/pages", "pages", {"pages": pages, "quarantine": bad}))
         pages = self._parts("pages")["pages"]
         chunks = chunking.chunk_all(pages, strategy, self.config, make_encoder=self.make_encoder)
-        self._timed("chunking", lambda: store.save_tables(f"{self.index}/corpus", "corpus", {"chunks": chunks}, strategy=strategy))
+        self._timed("chunking", lambda: store.save_tables(f"{self.index}/corpus", "corpus", {"chunks": chunks.withColumn("number", F.monotonically_increasing_id())}, strategy=strategy))
         chunks = self._parts("corpus")["chunks"]
-        tokens = lexical.token_table(chunks, self.stopwords)
-        self._timed("bm25_index", lambda: store.save_tables(f"{self.index}/lexical", "lexical", lexical.index_tables(tokens), stopwords=list(self.stopwords)))
+        tokens = lexical.token_table(chunks, self.stopwords, number="number")
+        tables = lexical.index_tables(tokens)
+        if self.config.BLOCK_SEARCH:
+            tables["blocks"] = blocks.block_table(tokens)
+        self._timed("bm25_index", lambda: store.save_tables(f"{self.index}/lexical", "lexical", tables, stopwords=list(self.stopwords)))
         if not fast:
             self._timed("vector_index", lambda: self._embed(chunks, began))
         nodes, edges = graph.citation_graph(pages, number="page_number")
@@ -173,13 +181,31 @@ class Engine:
             version, cached = held["version"] + 1, self._dense()
         made = store.cached_embeddings(chunks, cached, self.model, lambda rows: vector.embed_texts(rows, dim=self.config.EMBEDDING_DIM, embedder=self.embedder))
         store.save_tables(f"{dense}/v{version}", "vectors", {"embeddings": made}, model=self.model)
+        if self.config.VECTOR_CELLS:
+            made = cells.index_tables(self._dense(version).select("chunk_id", "vec"), "chunk_id", "vec", max(0, self.config.VECTOR_CELLS) or None)
+            store.save_tables(f"{dense}/v{version}/cells", "cells", made, model=self.model)
         facts = self.spark.createDataFrame([(version, self.model)], "version int, model string")
-        store.save_tables(dense, "dense", {"versions": facts}, version=version, model=self.model, dim=self.config.EMBEDDING_DIM, seconds=time.perf_counter() - began)
+        store.save_tables(dense, "dense", {"versions": facts}, version=version, model=self.model, dim=self.config.EMBEDDING_DIM, cells=bool(self.config.VECTOR_CELLS), seconds=time.perf_counter() - began)
+        if version > 1:  # searches that began before this build may still read the last one
+            store.remove(self.spark, f"{dense}/v{version - 2}")
 
-    def _dense(self) -> DataFrame:
-        version = store.read_manifest(self.spark, f"{self.index}/dense")["version"]
+    def _dense(self, version: int | None = None) -> DataFrame:
+        if version is None:
+            version = store.read_manifest(self.spark, f"{self.index}/dense")["version"]
         return store.load_tables(self.spark, f"{self.index}/dense/v{version}", "vectors")["embeddings"]
 
+    def _sparse_hits(self, questions: DataFrame, k: int) -> DataFrame:
+        index = self._parts("lexical")
+        search = blocks.search if "blocks" in index else lexical.indexed_search
+        return search(index, questions, k, self.stopwords)
+
+    def _dense_hits(self, asked: DataFrame, k: int) -> DataFrame:
+        held = store.read_manifest(self.spark, f"{self.index}/dense")
+        if not held.get("cells"):
+            return vector.vector_search(self._dense().select("chunk_id", "vec"), asked, k, "chunk_id", "vec")
+        index = store.load_tables(self.spark, f"{self.index}/dense/v{held['version']}/cells", "cells")
+        return cells.search(index, asked, k, probes=self.config.VECTOR_PROBES or None)
+
     def build_events(self, folder: str, every: float = 0.2, ping: float = 30.0, **options) -> Iterator[str]:
         """Runs a build and tells its progress, line by line, with pings while it is silent; the last line is ``__DONE__`` or ``__ERROR__``."""
         if self.building.locked():
@@ -219,14 +245,12 @@ class Engine:
 
     def retrieve(self, questions: DataFrame, fast: bool = False) -> DataFrame:
         """Ranked chunks of ``question_id, question``; ``fast`` asks the lexical index alone."""
-        chunks = self._parts("corpus")["chunks"]
-        index = self._parts("lexical")
+        chunks = self._parts("corpus")["chunks"].drop("corpus_ord", "number")
         if fast or not store.read_manifest(self.spark, f"{self.index}/dense"):
-            return fusion.fetch_chunks(lexical.indexed_search(index, questions, self.config.FINAL_TOPK, self.stopwords), chunks.drop("corpus_ord"))
+            return fusion.fetch_chunks(self._sparse_hits(questions, self.config.FINAL_TOPK), chunks)
         asked = vector.embed_texts(questions, "question_id", "question", self.config.EMBEDDING_DIM, self.embedder).select(F.col("chunk_id").alias("question_id"), F.col("vec").alias("query_vec"))
-        dense = vector.vector_search(self._dense().select("chunk_id", "vec"), asked, self.config.ANN_TOPK, "chunk_id", "vec")
-        sparse = lexical.indexed_search(index, questions, self.config.BM25_TOPK, self.stopwords)
-        return fusion.hybrid_retrieve(sparse, dense.withColumnRenamed("vec_id", "chunk_id"), chunks.drop("corpus_ord"), self.config.RRF_K, self.config.FINAL_TOPK)
+        dense, sparse = self._dense_hits(asked, self.config.ANN_TOPK), self._sparse_hits(questions, self.config.BM25_TOPK)
+        return fusion.hybrid_retrieve(sparse, dense.withColumnRenamed("vec_id", "chunk_id"), chunks, self.config.RRF_K, self.config.FINAL_TOPK)
 
     def ask(self, questions: DataFrame, fast: bool = False, scorer: Callable | None = fusion.overlap_score, mode: str = "v2") -> DataFrame:
         """Answers with sources; a question whose text is blank is refused."""
@@ -237,10 +261,10 @@ class Engine:
         return generate_answers(questions.join(context, "question_id", "left"), self.make_generator, self.config.LLM_CONCURRENCY, mode)
 
     def boolean(self, query: str) -> DataFrame:
-        return lexical.boolean_search(self._parts("lexical")["tokens"], query, self.stopwords).orderBy("corpus_ord")
+        return lexical.indexed_boolean(self._parts("lexical"), query, self.stopwords).orderBy("corpus_ord")
 
     def proximity(self, first: str, second: str, distance: int = 10) -> DataFrame:
-        return lexical.proximity_search(self._parts("lexical")["tokens"], first, second, distance, self.stopwords).orderBy("corpus_ord")
+        return lexical.indexed_proximity(self._parts("lexical"), first, second, distance, self.stopwords).orderBy("corpus_ord")
 
     def answer_events(self, question: str, fast: bool = False) -> Iterator[dict]:
         """What a client of one question is told, in order; retrieval runs once."""

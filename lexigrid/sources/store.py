@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FORMAT_VERSION = 1
+FORMAT_VERSION = 2
 
 
 def save_tables(folder: str, kind: str, tables: dict[str, DataFrame], **facts) -> None:
@@ -39,6 +39,11 @@ def load_tables(spark: SparkSession, folder: str, kind: str) -> dict[str, DataFr
     return {name: spark.read.parquet(f"{folder}/{name}") for name in manifest["tables"]}
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cache_key(text: str = "text"):
     return F.sha2(F.col(text), 256)
 

@@ -383,6 +383,17 @@ def clause_rows(spark, sf_dir):
     return clauses.extract_clauses(table(spark, sf_dir, "documents"), "doc_id")
 
 
+@query
+def clause_texts(spark, sf_dir):
+    """Clauses of a text with headings for each order."""
+    key, word = F.col("o_orderkey"), lambda c: F.col(c).cast("string")
+    text = F.concat(
+        F.lit("opening words\nLEASE TERMS\nbody of "), word("o_custkey"), F.lit("\n"), (key % 9 + 1).cast("string"), F.lit(".2 Payment Terms\nsums, and when they are due\nSection "), (key % 5 + 1).cast("string"),
+        F.lit(": Notice Periods\nbody, with words\n"), F.repeat(F.lit("more words, "), (key % 80).cast("int")), F.when(key % 3 == 0, F.lit("\nSECTION 4: AB\nx.")).otherwise(F.lit("\nEND OF FILE")),
+    )
+    return clauses.extract_clauses(table(spark, sf_dir, "orders").select(key.alias("doc_id"), text.alias("text")), "doc_id")
+
+
 @query
 def graph_edges(spark, sf_dir):
     return legal_graph(spark, sf_dir)[1].select("src", "dst", "relation")

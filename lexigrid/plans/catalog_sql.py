@@ -178,7 +178,27 @@ def _html_text() -> str:
     return _strip(rf"regexp_replace(regexp_replace({text}, '[ \t]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
 
 
+_HEADINGS = (
+    r"'(?m)^([A-Z][A-Z\s\d\.]+[:—\-]?\s*[A-Z\s]*)$'",
+    r"'(?m)^(\d+(?:\.\d+)*\.?\s+[A-Z][A-Za-z\s]{3,})$'",
+    r"'(?mi)^(Section\s+\d+[a-z]?[:.\s]+[A-Z][A-Za-z\s]{2,})$'",
+)
+
+
+def _clauses(texts: str) -> str:
+    """Headings by pattern, placed by what lies before them, each up to the next."""
+    sides = " UNION ALL ".join(f"SELECT doc, text, {n} AS n, regexp_extract_all(text, {p}) AS found, string_split_regex(text, {p}) AS gaps FROM texts" for n, p in enumerate(_HEADINGS))
+    return f"""WITH texts AS MATERIALIZED ({texts}), sides AS MATERIALIZED ({sides}),
+        marks AS (SELECT doc, text, n, found[i] AS found, (len(array_to_string(gaps[1:i], '')) + len(array_to_string(found[1:i - 1], '')))::INT AS start FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM sides)),
+        ends AS (SELECT *, coalesce(lead(start) OVER (PARTITION BY doc ORDER BY start, n), len(text))::INT AS "end" FROM marks)
+        SELECT doc, {_strip('found')} AS heading, start, "end", {_strip('substring(text, start + 1, least("end" - start, 500))')} AS snippet FROM ends"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "clause_rows": _clauses("SELECT doc_id::VARCHAR AS doc, coalesce(text, '') AS text FROM documents"),
+    "clause_texts": _clauses("""SELECT o_orderkey::VARCHAR AS doc, 'opening words' || chr(10) || 'LEASE TERMS' || chr(10) || 'body of ' || o_custkey || chr(10) || o_orderkey % 9 + 1 || '.2 Payment Terms' || chr(10)
+        || 'sums, and when they are due' || chr(10) || 'Section ' || o_orderkey % 5 + 1 || ': Notice Periods' || chr(10) || 'body, with words' || chr(10) || repeat('more words, ', o_orderkey % 80)
+        || CASE WHEN o_orderkey % 3 = 0 THEN chr(10) || 'SECTION 4: AB' || chr(10) || 'x.' ELSE chr(10) || 'END OF FILE' END AS text FROM orders"""),
     "html_extract": f"SELECT * FROM (SELECT page_id, {_html_text()} AS text FROM pages) WHERE text <> ''",
     "detect_type": """SELECT page_id, CASE page_id % 10 WHEN 0 THEN 'html' WHEN 1 THEN 'html' WHEN 2 THEN 'pdf' WHEN 3 THEN 'docx' WHEN 4 THEN 'docx' WHEN 5 THEN 'txt' WHEN 6 THEN 'csv' WHEN 7 THEN 'xlsx' WHEN 8 THEN 'unknown'
         ELSE coalesce(CASE regexp_extract(url, '\\.([a-z]+)$', 1) WHEN 'html' THEN 'html' WHEN 'htm' THEN 'html' WHEN 'txt' THEN 'txt' WHEN 'pdf' THEN 'pdf' END, 'unknown') END AS type FROM pages""",

@@ -20,18 +20,23 @@ def test_raw_citations_keep_repeats(spark):
     assert row(spark, C.raw_citations) == ["15 U.S.C. § 1234", "§ 1234", "§ 3(c)", "§ 3(c)"]
 
 
+def clauses_of(spark, text):
+    rows = spark.createDataFrame([("d", text)], "doc_name string, text string")
+    return [(r.heading, r.start, r.end, r.snippet) for r in clauses.extract_clauses(rows).collect()]
+
+
 def test_clauses_run_to_the_next_heading(spark):
     text = "intro\nTERMS OF USE\nbody one\n12.3 Payment Terms\nbody two\nSection 4: Background\nend"
-    assert [(h, s) for h, *_, s in clauses.clauses_of(text)] == [
+    assert [(h, s) for h, *_, s in clauses_of(spark, text)] == [
         ("TERMS OF USE", "TERMS OF USE\nbody one"),
         ("12.3 Payment Terms\nbody two", "12.3 Payment Terms\nbody two"),
         ("Section 4: Background\nend", "Section 4: Background\nend"),
     ]
-    assert clauses.clauses_of("no heading") == [] and clauses.clauses_of("") == []
+    assert clauses_of(spark, "no heading") == [] and clauses_of(spark, "") == [] and clauses_of(spark, None) == []
 
 
-def test_two_headings_at_one_place_leave_an_empty_snippet():
-    found = clauses.clauses_of("SECTION 4: AB\nx")
+def test_two_headings_at_one_place_leave_an_empty_snippet(spark):
+    found = clauses_of(spark, "SECTION 4: AB\nx")
     assert [s for *_, s in found] == ["", "SECTION 4: AB\nx"]
 
 

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import base64
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexigrid.config import EngineConfig
 from lexigrid.operators import chunking, clauses, graph, lexical, reports, vector
 from lexigrid.plans.engine import Engine
 from lexigrid.session import register_functions
@@ -77,6 +80,28 @@ def test_embedders_are_chosen_in_order():
     assert vector.select_embedder({"local": 3}, True) == ("local", 3) and vector.select_embedder({}) == ("hashed", None)
 
 
+def test_engine_with_cells_blocks_and_adapters(spark, tmp_path):
+    """The same answers, from the other structures; and rebuilt three times, old vectors are removed."""
+    (tmp_path / "docs").mkdir()
+    for i in range(12):
+        (tmp_path / "docs" / f"{i}.txt").write_text(f"paragraph {i} on rent and notice {'deposit ' * (i % 4)}")
+    asked = spark.createDataFrame([(1, "deposit notice"), (2, "paragraph 7")], "question_id int, question string")
+
+    def hits(engine):
+        return sorted((r.question_id, r["rank"], r.chunk_id, r.score) for r in engine.retrieve(asked).collect())
+
+    plain = Engine(spark, str(tmp_path / "a"))
+    plain.build(str(tmp_path / "docs"))
+    adapters = {"local": lambda texts: vector._hashed(384)(vector.tokenize(texts))}
+    other = Engine(spark, str(tmp_path / "b"), EngineConfig(VECTOR_CELLS=-1, BLOCK_SEARCH=1), adapters=adapters)
+    assert other.model == "local"
+    for _ in range(3):
+        other.build(str(tmp_path / "docs"), force=True)
+    assert hits(other) == hits(plain)
+    assert {p.name for p in (tmp_path / "b" / "dense").iterdir() if p.name.startswith("v") and p.name[1:].isdigit()} == {"v1", "v2"}
+    assert {"blocks", "postings", "directory"} <= {p.name for p in (tmp_path / "b" / "lexical").iterdir()} and (tmp_path / "b" / "dense" / "v2" / "cells").exists()
+
+
 def test_engine_reads_pdfs_by_a_given_extractor(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs" / "a.pdf").write_bytes(b"%PDF-1.4")
@@ -155,7 +180,7 @@ def brute_clauses(text):
     """Headings found by starting at every line, one pattern after the other."""
     found = []
     for n, heading in enumerate(clauses.HEADINGS):
-        at = 0
+        at, heading = 0, re.compile(heading, re.MULTILINE | (re.IGNORECASE if n == 2 else 0))
         while at <= len(text):
             m = heading.search(text, at)
             if m is None:
@@ -170,6 +195,8 @@ def brute_clauses(text):
 def test_clauses_of_texts_with_headings(spark):
     body = "\n".join(f"words of line {i} go on" for i in range(40))
     rows = [(i, f"LEASE TERMS\n{body}\n{i}.2 Payment Terms\nshort\nSection {i}: Notice Periods\n{body * i}\nEND") for i in range(6)]
+    r = random.Random(1)
+    rows += [(i, "".join(r.choice(["A", "B ", "C", "\n", "\n\n", "\r\n", "\u00a0", "\u2028", "1", "2.3", ".", ":", "—", "x", "yz ", "Section 4", "section 5: ", " ", "É", "😀", "٣"]) for _ in range(r.randrange(60)))) for i in range(6, 400)]
     got = clauses.extract_clauses(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()
     want = [(str(i), *c) for i, t in rows for c in brute_clauses(t)]
     assert sorted(tuple(r) for r in got) == sorted(want) and len(want) >= 18

@@ -48,6 +48,31 @@ def overlap_score(question: Column, text: Column) -> Column:
     return F.when(F.size(asked) == 0, 0.0).otherwise(F.size(F.array_intersect(asked, tokenize(text))) / F.size(asked))
 
 
+def batched_scorer(make: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], size: int = 64) -> Callable[[Column, Column], Column]:
+    """A scorer of a model that takes (question, text) pairs by the batch.
+
+    ``make`` loads the model, once for a partition; its function is called with ``size`` pairs
+    at a time, of as many questions as there are. A failed call fails the task.
+    """
+    from pyspark.sql.pandas.functions import pandas_udf
+
+    def score(batches):
+        import pandas as pd
+
+        model = make()
+        for questions, texts in batches:
+            pairs = list(zip(questions.fillna(""), texts.fillna(""), strict=True))
+            scores = [float(s) for i in range(0, len(pairs), size) for s in model(pairs[i : i + size])]
+            yield pd.Series(scores, dtype="float64")
+
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    score.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return pandas_udf(score, "double")
+
+
 def rerank(hits: DataFrame, questions: DataFrame, top: int = 10, scorer: Callable[[Column, Column], Column] | None = overlap_score, digits: int = 9) -> DataFrame:
     """The best ``top`` by ``scorer(question, text)``; equal scores keep their order.
 

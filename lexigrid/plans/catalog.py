@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions import answers as A
 from lexigrid.functions import citations as C
 from lexigrid.functions import text as X
+from lexigrid.functions.tables import register_table_functions
 from lexigrid.operators import blocks, cells, chunking, clauses, fusion, graph, graph_store, lexical, reports, vector
 from lexigrid.plans import engine
 from lexigrid.plans.catalog_sql import BOOLEAN, ORACLE_SQL, QUESTIONS  # noqa: F401  (ORACLE_SQL is read from here)
@@ -188,6 +189,28 @@ def chunk_token(spark, sf_dir):
     return chunking.token_chunks(pages(spark, sf_dir))
 
 
+@query
+def chunk_token_sql(spark, sf_dir):
+    """Token chunks by a table function in SQL."""
+    register_table_functions(spark)
+    return spark.sql(
+        "SELECT concat(d.doc_id, '_p1_token_', c.idx) AS id, string(d.doc_id) AS doc, 1 AS page, c.start_offset, c.end_offset, c.text, 'token' AS chunk_type, d.doc_id AS corpus_ord "
+        "FROM {docs} d, LATERAL lexigrid_token_chunks(d.text, 600, 60, 'stop') c",
+        docs=table(spark, sf_dir, "documents"),
+    )
+
+
+@query
+def chunk_sentence_sql(spark, sf_dir):
+    """Sentence chunks by a table function in SQL."""
+    register_table_functions(spark)
+    return spark.sql(
+        "SELECT concat(d.doc_id, '_p1_c', c.idx) AS id, string(d.doc_id) AS doc, 1 AS page, c.start_offset, c.end_offset, c.text, 'token' AS chunk_type, d.doc_id AS corpus_ord "
+        "FROM {docs} d, LATERAL lexigrid_sentence_chunks(d.text, 1000, 150, 'stop') c",
+        docs=table(spark, sf_dir, "documents"),
+    )
+
+
 @query
 def chunk_dedupe(spark, sf_dir):
     once = pages(spark, sf_dir)

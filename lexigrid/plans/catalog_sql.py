@@ -126,6 +126,19 @@ placed AS (SELECT *, strpos(whole, left(piece, 40)) - 1 AS place FROM pieces)
 SELECT doc_id || '_p1_token_' || i AS id, doc_id::VARCHAR AS doc, 1 AS page, place::INT AS start_offset, (place + len(piece))::INT AS end_offset, piece AS text,
   'token' AS chunk_type, doc_id AS corpus_ord, {_count('piece')}::INT AS token_count FROM placed"""
 
+#: Windows of 1000 characters that end behind the last break in their last 200, one after the other.
+_SENTENCE_CHUNKS = rf"""WITH RECURSIVE texts AS MATERIALIZED (SELECT doc_id, text FROM documents WHERE text IS NOT NULL AND len(text) > 0),
+spans AS (
+  SELECT doc_id, -1::BIGINT AS start, 0::BIGINT AS next, 0::BIGINT AS stop, false AS over FROM texts
+  UNION ALL
+  SELECT doc_id, start, greatest(stop - 150, start + 1), stop, stop >= n FROM (
+    SELECT doc_id, start, n, CASE WHEN full_end >= n OR len(matches) = 0 THEN least(full_end, n) ELSE full_end - 201 + len(tail) - len(gaps[-1]) - len(matches[-1]) + 2 END AS stop FROM (
+      SELECT *, regexp_extract_all(tail, '[.!?\n]\s+') AS matches, string_split_regex(tail, '[.!?\n]\s+') AS gaps FROM (
+        SELECT s.doc_id, s.next AS start, len(t.text) AS n, s.next + 1000 AS full_end, substring(t.text, s.next + 800, 201) AS tail FROM spans s JOIN texts t USING (doc_id) WHERE NOT s.over)))
+), pieces AS (SELECT doc_id, start, {_strip('substring(text, start + 1, stop - start)')} AS piece FROM spans JOIN texts USING (doc_id) WHERE start >= 0),
+kept AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS i FROM pieces WHERE piece <> '')
+SELECT doc_id || '_p1_c' || i AS id, doc_id::VARCHAR AS doc, 1 AS page, start::INT AS start_offset, (start + len(piece))::INT AS end_offset, piece AS text, 'token' AS chunk_type, doc_id AS corpus_ord FROM kept"""
+
 _LEGAL = r"""
 legal AS MATERIALIZED (SELECT l_orderkey, l_linenumber, 'Under ' || l_linenumber || ' U.S.C. § ' || l_suppkey || ' and § ' || l_partkey || '(b), Smith v. Jones, ' || l_linenumber || ' F. ' || l_suppkey
   || ' held; see Rule ' || l_linenumber || ' and ' || l_linenumber || ' U.S.C. § ' || l_suppkey || '.' AS text FROM lineitem)"""
@@ -216,6 +229,9 @@ ORACLE_SQL: dict[str, str] = {
     "chunk_page": _PAGE,
     "chunk_stride": _STRIDE,
     "chunk_token": _TOKEN_CHUNKS,
+    "chunk_token_sql": f"SELECT * EXCLUDE (token_count) FROM ({_TOKEN_CHUNKS})",
+    "chunk_sentence": f"SELECT *, {_count('text')}::INT AS token_count FROM ({_SENTENCE_CHUNKS})",
+    "chunk_sentence_sql": _SENTENCE_CHUNKS,
     "chunk_dedupe": f"SELECT id, corpus_ord, end_offset, token_count FROM ({_PAGE})",
     "bm25_stats": f"WITH {_bm25(30)} SELECT n, round(avgdl, 6) AS avgdl, (SELECT round(avg(x), 6) FROM idfs) AS avg_idf, (SELECT count(*) FROM idfs) AS n_terms FROM stats",
     "term_stats": f"WITH {_bm25(30)} SELECT term, df, round(x, 6) AS raw_idf FROM raw JOIN idfs USING (term)",

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexigrid.sources.store import numbered
+
 #: Default questions, about what contracts usually settle.
 DEFAULTS = (
     "Which sums are due, when, and how are they paid?",
@@ -28,9 +29,9 @@ DEFAULTS = (
 
 def load_questions(rows: DataFrame, column: str = "Question", order: str | None = None) -> DataFrame:
     """``question_id`` from 1 in input order, ``question``; missing questions go."""
-    kept = rows.where(F.col(column).isNotNull())
     key = F.col(order) if order else F.monotonically_increasing_id()
-    return kept.withColumn("_o", key).select(F.row_number().over(W.orderBy("_o")).alias("question_id"), F.col(column).alias("question"))
+    kept = rows.select(key.alias("_o"), F.col(column).alias("question")).where(F.col("question").isNotNull())
+    return numbered(kept, "_o", "question_id", 1).select(F.col("question_id").cast("int").alias("question_id"), "question")
 
 
 def read_questions(spark: SparkSession, paths: list[str] | tuple[str, ...] = ()) -> DataFrame:

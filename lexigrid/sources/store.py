@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrid.session import shared_folder
+
 FORMAT_VERSION = 2
 
 
@@ -39,6 +41,27 @@ def load_tables(spark: SparkSession, folder: str, kind: str) -> dict[str, DataFr
     return {name: spark.read.parquet(f"{folder}/{name}") for name in manifest["tables"]}
 
 
+def numbered(rows: DataFrame, order: str, name: str, first: int = 0) -> DataFrame:
+    """``rows`` with a number from ``first`` in the order of a column, however many there are.
+
+    Rows are written by ranges of the column, each with its place in its range; the counts of
+    the ranges, one number for each, then say where a range begins. ``_part`` and ``_nth`` are used
+    between. Rows of equal ``order`` come in any order.
+    """
+    spark = rows.sparkSession
+    marked = rows.repartitionByRange(order).sortWithinPartitions(order)
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    folder = shared_folder(spark, "numbered", keep=False)
+    marked.select("*", F.spark_partition_id().alias("_part"), nth.alias("_nth")).write.parquet(folder)
+    held = spark.read.parquet(folder)
+    starts, at = [], first
+    for r in held.groupBy("_part").count().orderBy("_part").collect():
+        starts.append((r["_part"], at))
+        at += r["count"]
+    offsets = spark.createDataFrame(starts, "_part int, _start long")
+    return held.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_start") + F.col("_nth")).drop("_part", "_nth", "_start")
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

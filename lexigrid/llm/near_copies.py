@@ -13,7 +13,8 @@ differ where shingles are repeated). In each bucket (a band's value or a SimHash
 group) all members are compared with one hub, another in each bucket. Buckets whose members
 are in more than one group after that are searched as a whole, each by one task with the
 sets at hand, so what a hub misses is not lost; what leaves a bucket is a spanning forest of
-its links, not its pairs.
+its links, not its pairs. Of a bucket with over ``CROWD`` members, blocks are searched
+pairwise in tasks of their own, so that no task holds it all.
 
 Defined results
 * null and empty texts, and texts of white space, are copies of each other.
@@ -37,6 +38,8 @@ from lexigrid.llm.components import components
 WORDS, BANDS, ROWS = 5, 20, 5
 #: Links have ``LEAST[0] / LEAST[1]`` of both sets' shingles in common.
 LEAST = (4, 5)
+#: Members of a bucket that one task searches, about; it holds their sets.
+CROWD = 4096
 #: Shingles that are permuted at a time.
 _BLOCK = 1 << 13
 _SEEDS = np.random.default_rng(11).integers(0, 1 << 63, (2, BANDS * ROWS, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -156,6 +159,20 @@ def _search_buckets():
     return run
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """``key, sid, rep`` of buckets that one task can search: larger ones are cut to blocks that meet pairwise.
+
+    Any two members are together in some pair of blocks, so no link is lost; each pair of blocks
+    is a bucket of its own, of about ``CROWD`` members at most.
+    """
+    blocks = F.ceil(F.col("members") / (CROWD // 2)).cast("int")
+    whole = F.col("members") <= CROWD
+    own = F.pmod(F.xxhash64("rep"), F.when(whole, 1).otherwise(blocks)).cast("int")
+    met = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(whole, 0).otherwise(blocks - 1))))
+    pair = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
+    return met.select(F.when(whole, F.col("key")).otherwise(pair).alias("key"), "sid", "rep")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``u, v`` of those ``a, b, u, v`` whose sets are similar."""
     found = pairs.join(sets.select(F.col("sid").alias("a"), F.col("hashes").alias("x")), "a")
@@ -191,8 +208,8 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     stars = components(links)
     # What hubs leave apart: members of one bucket whose groups differ.
     named = crowded.where("not is_hub").join(stars, crowded["rep"] == stars["node"], "left").select("key", "sid", "rep", F.coalesce("component", "rep").alias("c"))
-    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    apart = named.join(mixed, "key", "left_semi").join(sets, "sid").select("key", "rep", "hashes")
+    mixed = named.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("members")).where("low < high")
+    apart = _dealt(named.join(mixed.select("key", "members"), "key")).join(sets, "sid").select("key", "rep", "hashes")
     met = apart.repartition("key").sortWithinPartitions("key")
     more = cut(met.mapInArrow(fold_rows(_search_buckets), "u long, v long"), "apart")
     groups = components(links.unionByName(more))

@@ -2,6 +2,9 @@ from __future__ import annotations
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from lexigrid.llm import near_copies, simhash
 from tests.llm.conftest import SCHEMA, prose
@@ -41,7 +44,9 @@ def edited():
     return list(enumerate(texts))
 
 
-def test_stage_keeps_one_of_each_group_and_links_no_others(spark):
+@pytest.mark.parametrize("crowd", [4096, 6])
+def test_stage_keeps_one_of_each_group_and_links_no_others(spark, monkeypatch, crowd):
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
     rows = edited()
     want = brute_components(rows)
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA).repartition(4)
@@ -55,8 +60,10 @@ def test_groups_equal_brute_force(spark, docs, plain):
     assert got == brute_components([r[:2] for r in plain])
 
 
-def test_what_hubs_leave_apart_is_compared(spark):
+@pytest.mark.parametrize("crowd", [4096, 4])
+def test_what_hubs_leave_apart_is_compared(spark, monkeypatch, crowd):
     """A chain of texts, each similar to the next only."""
+    monkeypatch.setattr(near_copies, "CROWD", crowd)
     r = random.Random(4)
     words = [f"w{r.randrange(10**6)}" for _ in range(1200)]
     rows = [(i, " ".join(words[40 * i : 40 * i + 400])) for i in range(20)]
@@ -87,3 +94,17 @@ def test_large_bucket_is_searched_and_not_squared(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {x.doc_id: x.component for x in near_copies.copy_groups(docs).collect()}
     assert got == brute_components(rows) and set(got.values()) == {0}
+
+
+def test_crowded_buckets_are_many_tasks(spark, monkeypatch):
+    """50,000 members of one bucket are dealt to pairs of blocks; any two of them meet."""
+    members = spark.range(50_000).select(F.lit(7).cast("long").alias("key"), F.col("id").cast("string").cast("binary").alias("sid"), F.col("id").alias("rep"), F.lit(50_000).cast("long").alias("members"))
+    dealt = near_copies._dealt(members).groupBy("key").count().collect()
+    assert len(dealt) == 25 * 26 // 2 and max(r["count"] for r in dealt) < 1.1 * near_copies.CROWD
+    few = near_copies._dealt(members.where("rep < 9").withColumn("members", F.lit(9).cast("long"))).collect()
+    assert {r.key for r in few} == {7} and len(few) == 9
+    monkeypatch.setattr(near_copies, "CROWD", 4)
+    met = {}
+    for r in near_copies._dealt(members.where("rep < 9").withColumn("members", F.lit(9).cast("long"))).collect():
+        met.setdefault(r.key, set()).add(r.rep)
+    assert {(a, b) for group in met.values() for a in group for b in group} == {(a, b) for a in range(9) for b in range(9)}

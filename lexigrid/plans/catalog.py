@@ -18,7 +18,7 @@ from lexigrid.functions.tables import register_table_functions
 from lexigrid.operators import blocks, cells, chunking, clauses, fusion, graph, graph_store, lexical, reports, vector
 from lexigrid.plans import engine
 from lexigrid.plans.catalog_sql import BOOLEAN, ORACLE_SQL, QUESTIONS  # noqa: F401  (ORACLE_SQL is read from here)
-from lexigrid.session import shared_folder
+from lexigrid.session import shared_folder, spread
 from lexigrid.sources import files, questions, store
 from lexigrid.streaming import ingest
 
@@ -35,13 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return docs.select(F.col("doc_id").cast("string").alias("doc_name"), F.lit(1).alias("page_number"), "text", F.col("doc_id").alias("corpus_ord"))
 
 
 def tokens(spark: SparkSession, sf_dir: str, stopwords=()) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("corpus_ord"), "text")
-    return lexical.token_table(docs, stopwords)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lexical.token_table(docs.select(F.col("doc_id").alias("id"), F.col("doc_id").alias("corpus_ord"), "text"), stopwords)
 
 
 def stored(spark: SparkSession, kind: str, tables: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -7,7 +7,7 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
 
@@ -27,6 +27,16 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
     )
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table as it is read; of fewer partitions than cores, its rows dealt out to all of them.
+
+    A file of one row group is one task whatever follows. Larger inputs have a partition for
+    every core, and are never shuffled by this.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def shared_folder(spark: SparkSession, tag: str, keep: bool = True) -> str:
     """A new folder name under ``spark.checkpoint.dir``; where that is unset, a local session gets one.
 

@@ -28,7 +28,6 @@ SUFFIXES = {".pdf": "pdf", ".docx": "docx", ".doc": "docx", ".html": "html", ".h
 PARAGRAPHS_A_PAGE = 30
 #: Subtrees of a web page that are not its text.
 _SKIPPED = {"script", "style", "nav", "footer", "header"}
-_VOID = set("area base br col embed hr img input link meta source track wbr".split())
 _SPACED = re.compile(r"[ \t]+")
 _GAPS = re.compile(r"\n{3,}")
 
@@ -152,6 +151,14 @@ def format_table(rows: Column) -> Column:
     return F.array_join(F.transform(full, lambda r: F.array_join(r, "\t")), "\n")
 
 
+def _as_text(table: str | list) -> str:
+    """A table of a page: text as it is, or rows of cells as ``format_table`` writes them."""
+    if isinstance(table, str):
+        return table
+    rows = ("\t".join(str(cell) for cell in row if cell is not None and cell != "") for row in table)
+    return "\n".join(row for row in rows if row)
+
+
 def _txt(content: bytes) -> list[tuple[str, list[str]]]:
     return [(clean(content.decode("utf-8", "replace")), [])]
 
@@ -193,7 +200,8 @@ def _extract(extractors: dict):
                     rows.append((name, None, None, None, None, f"no extractor for {kind}"))
                     continue
                 try:
-                    pages = [(name, n + 1, n, text, tables, None) for n, (text, tables) in enumerate(reader(content)) if text or tables]
+                    read = [(text, [t for t in map(_as_text, tables) if t]) for text, tables in reader(content)]
+                    pages = [(name, n + 1, n, text, tables, None) for n, (text, tables) in enumerate(read) if text or tables]
                 except Exception as error:  # one bad file must not end the run
                     pages = [(name, None, None, None, None, f"{type(error).__name__}: {error}")]
                 rows += pages
@@ -205,7 +213,10 @@ def _extract(extractors: dict):
 
 
 def extract(files: DataFrame, extractors: dict | None = None) -> DataFrame:
-    """Pages and quarantine rows of files ``path, content``; a page's offset is its index."""
+    """Pages and quarantine rows of files ``path, content``; a page's offset is its index.
+
+    An extractor gives a page's tables as text or as rows of cells; tables without a cell go.
+    """
     kind = detect_type(F.col("path"), F.col("content"))
     return files.select("path", kind.alias("kind"), "content").mapInArrow(_extract({**EXTRACTORS, **(extractors or {})}), PAGES)
 

@@ -105,11 +105,11 @@ def test_engine_with_cells_blocks_and_adapters(spark, tmp_path):
 def test_engine_reads_pdfs_by_a_given_extractor(spark, tmp_path):
     (tmp_path / "docs").mkdir()
     (tmp_path / "docs" / "a.pdf").write_bytes(b"%PDF-1.4")
-    pages = [("page of a scan", []), ("", ["x\ty"])]
+    pages = [("page of a scan", []), ("", ["x\ty"]), ("", [[["", None], []]]), ("of cells", [[["a", None, "b"], [None, ""], ["", 3]], [[]], "as text"])]
     engine = Engine(spark, str(tmp_path / "index"), extractors={"pdf": lambda content: pages})
     engine.build(str(tmp_path / "docs"), fast=True)
     rows = engine._parts("pages")["pages"].orderBy("page_number").collect()
-    assert [(r.page_number, r.text, r.tables) for r in rows] == [(1, "page of a scan", []), (2, "", ["x\ty"])]
+    assert [(r.page_number, r.text, r.tables) for r in rows] == [(1, "page of a scan", []), (2, "", ["x\ty"]), (4, "of cells", ["a\tb\n3", "as text"])]
     assert [r.chunk_id for r in engine.boolean("scan").collect()] == ["a.pdf_p1_page_0"]
 
 

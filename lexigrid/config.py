@@ -29,6 +29,8 @@ class EngineConfig:
     RRF_K: int = field(default_factory=lambda: _env("RRF_K", 60))
     LLM_CONCURRENCY: int = field(default_factory=lambda: _env("LLM_CONCURRENCY", 5))
     LLM_CONTEXT_PASSAGES: int = field(default_factory=lambda: _env("LLM_CONTEXT_PASSAGES", 3))
+    #: Larger files are not read, and go to quarantine: a reader holds a file whole.
+    MAX_FILE_BYTES: int = field(default_factory=lambda: _env("MAX_FILE_BYTES", 256 << 20))
     #: 0: every vector is compared; -1: a cell index with the root of their number of cells; else so many cells.
     VECTOR_CELLS: int = field(default_factory=lambda: _env("VECTOR_CELLS", 0))
     #: 0: exact; else cells that a query is compared with.

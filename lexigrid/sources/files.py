@@ -231,9 +231,15 @@ def with_corpus_order(pages: DataFrame) -> DataFrame:
 
 
 def ingest(spark: SparkSession, folder: str, config: EngineConfig | None = None, extractors: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(pages in corpus order, quarantine ``doc_name, error``) of a folder."""
-    found = extract(scan(spark, folder, config), extractors)
-    return with_corpus_order(found.where("error is null").drop("error")), found.where("error is not null").select("doc_name", "error")
+    """(pages in corpus order, quarantine ``doc_name, error``) of a folder.
+
+    Files over ``MAX_FILE_BYTES`` are told by their length, which the scan filters before it
+    opens a file, and are quarantined unread.
+    """
+    limit, every = (config or EngineConfig()).MAX_FILE_BYTES, scan(spark, folder, config)
+    found = extract(every.where(F.col("length") <= limit), extractors)
+    large = every.where(F.col("length") > limit).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("doc_name"), F.lit(f"larger than {limit} bytes").alias("error"))
+    return with_corpus_order(found.where("error is null").drop("error")), found.where("error is not null").select("doc_name", "error").unionByName(large)
 
 
 def paragraph_pages(rows: DataFrame, id_col: str = "doc_name", text_col: str = "text", size: int = PARAGRAPHS_A_PAGE) -> DataFrame:

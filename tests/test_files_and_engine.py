@@ -6,6 +6,7 @@ import zipfile
 
 import pytest
 
+from lexigrid.config import EngineConfig
 from lexigrid.plans.engine import Engine
 from lexigrid.sources import files, questions, sinks, store
 from lexigrid.streaming import ingest
@@ -46,6 +47,16 @@ def folder(tmp_path_factory):
     return str(top)
 
 
+def test_large_files_are_quarantined_unread(spark, folder):
+    config = EngineConfig(MAX_FILE_BYTES=100)
+    pages, bad = files.ingest(spark, folder, config)
+    names = {r.doc_name for r in pages.collect()}
+    assert {"note.txt", "data.csv"} <= names and "lease.html" not in names
+    assert {r.doc_name: r.error for r in bad.where("error like 'larger%'").collect()} == {n: "larger than 100 bytes" for n in ("lease.html", "long.docx")}
+    plan = pages._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,100)" in plan
+
+
 def test_ingest_isolates_bad_files(spark, folder):
     pages, bad = files.ingest(spark, folder)
     got = {(r.doc_name, r.page_number): r for r in pages.collect()}

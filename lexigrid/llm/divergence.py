@@ -41,7 +41,7 @@ LEAST_DOCS, TOP_TERMS = 10, 10
 #: Sources and terms of a tile.
 GROUPS, TERMS = 128, 1024
 #: Rows and bytes of a slice that is counted at once, and counted rows that a task holds.
-SLICE_ROWS, SLICE_BYTES, HELD = 4096, 8 << 20, 1 << 18
+SLICE_ROWS, SLICE_BYTES, HELD = 4096, 2 << 20, 1 << 17
 #: Cells of the differences that are computed at once.
 CELLS = 1 << 20
 

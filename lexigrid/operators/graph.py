@@ -28,11 +28,11 @@ def entity_id(text: Column) -> Column:
     return F.concat(F.lit("entity:"), F.lower(text))
 
 
-def _node(rows: DataFrame, id_: Column, kind: str, **attributes: Column) -> DataFrame:
+def _node(rows: DataFrame, id_: Column, kind: str, keep: tuple[str, ...] = (), **attributes: Column) -> DataFrame:
     given = {"kind": F.lit(kind), **attributes}
     kinds = {"number": "int"}
     columns = [given.get(c, F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in NODE[1:]]
-    return rows.select(id_.alias("id"), *columns)
+    return rows.select(id_.alias("id"), *columns, *keep)
 
 
 def _edge(rows: DataFrame, src: Column, dst: Column, relation: str, seq: Column | None = None) -> DataFrame:
@@ -61,12 +61,26 @@ def add_references(rows: DataFrame, doc: str = "doc", entity: str = "entity", nu
     return _edge(rows, entity_id(F.col(entity)), page_id(F.col(doc), number if number is not None else F.lit(0)), "appears_on", seq)
 
 
-def citation_graph(pages: DataFrame, doc: str = "doc_name", number: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of the citations in pages; ``number``: the page column, else page 0."""
-    page = F.col(number) if number else F.lit(0)
-    found = pages.select(F.col(doc).alias("doc"), page.alias("page"), F.posexplode(raw_citations(F.col("text"))).alias("seq", "entity"))
-    nodes = add_documents(pages, doc).unionByName(_node(found, entity_id(F.col("entity")), "entity", text=F.col("entity"), entity_type=F.lit("legal_citation")))
-    return nodes, add_references(found, number=F.col("page"), seq=F.col("seq"))
+def citation_graph(pages: DataFrame, doc: str = "doc_name", number: str | None = None, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the citations in pages; ``number``: the page column, else page 0.
+
+    With ``order``, the pages' order, nodes have a ``seq`` (page and place in it), so that what
+    was said last of a node stays when they are merged.
+    """
+    page, at = F.col(number) if number else F.lit(0), F.col(order).cast("long") if order else F.lit(0).cast("long")
+    found = pages.select(F.col(doc).alias("doc"), page.alias("page"), at.alias("at"), F.posexplode(raw_citations(F.col("text"))).alias("seq", "entity"))
+    edges = add_references(found, number=F.col("page"), seq=F.col("seq"))
+    of_entity = {"text": F.col("entity"), "entity_type": F.lit("legal_citation")}
+    if not order:
+        return add_documents(pages, doc).unionByName(_node(found, entity_id(F.col("entity")), "entity", **of_entity)), edges
+    # A node's columns are made by name, so its time rides along as one more.
+    said = found.withColumn("_seq", F.struct("at", "seq"))
+    docs = pages.withColumn("_seq", F.struct(at.alias("at"), F.lit(-1).alias("seq")))
+    timed = [
+        _node(docs, doc_id(F.col(doc)), "doc", keep=("_seq",), name=F.col(doc)),
+        _node(said, entity_id(F.col("entity")), "entity", keep=("_seq",), **of_entity),
+    ]
+    return timed[0].unionByName(timed[1]).withColumnRenamed("_seq", "seq"), edges
 
 
 def merge_edges(edges: DataFrame) -> DataFrame:

@@ -169,7 +169,7 @@ class Engine:
         self._timed("bm25_index", lambda: store.save_tables(f"{self.index}/lexical", "lexical", tables, stopwords=list(self.stopwords)))
         if not fast:
             self._timed("vector_index", lambda: self._embed(chunks, began))
-        nodes, edges = graph.citation_graph(pages, number="page_number")
+        nodes, edges = graph.citation_graph(pages, number="page_number", order="corpus_ord")
         tables = {"nodes": graph.merge_nodes(nodes), "edges": graph.merge_edges(edges)}
         self._timed("graph", lambda: store.save_tables(f"{self.index}/graph", "graph", tables))
 

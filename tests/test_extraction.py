@@ -40,6 +40,15 @@ def test_two_headings_at_one_place_leave_an_empty_snippet(spark):
     assert [s for *_, s in found] == ["", "SECTION 4: AB\nx"]
 
 
+def test_what_was_said_last_of_a_cited_entity_stays(spark):
+    pages = spark.createDataFrame([("a", 1, "see § 3(a)", 5), ("b", 1, "see § 3(A) and § 4", 7), ("a", 2, "then § 3(B), § 3(b)", 6), ("b", 2, None, 9)], "doc_name string, page_number int, text string, corpus_ord long")
+    nodes, edges = graph.citation_graph(pages, number="page_number", order="corpus_ord")
+    merged = {r.id: (r.kind, r.text) for r in graph.merge_nodes(nodes).collect()}
+    assert merged == {"doc:a": ("doc", None), "doc:b": ("doc", None), "entity:§ 3(a)": ("entity", "§ 3(A)"), "entity:§ 4": ("entity", "§ 4"), "entity:§ 3(b)": ("entity", "§ 3(b)")}
+    plain, same = graph.citation_graph(pages, number="page_number")
+    assert "seq" not in plain.columns and sorted(map(str, same.collect())) == sorted(map(str, edges.collect()))
+
+
 def test_graph_questions(spark):
     docs = spark.createDataFrame([("a", "Acme"), ("b", "ACME"), ("c", "Other")], "doc string, party string")
     nodes, edges = graph.add_parties(docs)

@@ -39,6 +39,14 @@ def _words(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
+def _search(values: np.ndarray, wanted: np.ndarray, side: str = "left") -> np.ndarray:
+    """``np.searchsorted`` in the order of what is wanted, which stays near in memory."""
+    order = np.argsort(wanted)
+    at = np.empty(len(wanted), np.int64)
+    at[order] = np.searchsorted(values, wanted.take(order), side)
+    return at
+
+
 class _Pairs:
     """How often each id followed each other one, in order of the pairs' keys.
 
@@ -95,7 +103,7 @@ class _Pairs:
         if not len(self.keys):
             return np.zeros_like(ids), np.zeros_like(ids)
         wanted = context * self.size + ids
-        at = np.searchsorted(self.keys, wanted)
+        at = _search(self.keys, wanted)
         there = self.keys.take(at, mode="clip") == wanted
         same = self.context.take(at, mode="clip") == context
         same &= at < len(self.keys)
@@ -108,7 +116,7 @@ class _Pairs:
         if not len(self.keys):
             none = np.zeros_like(value)
             return none.astype(bool), none, none, none
-        at = np.searchsorted(self.start, (context << 40) + value, side="right") - 1
+        at = _search(self.start, (context << 40) + value, "right") - 1
         found = (at >= 0) & (self.context.take(at, mode="clip") == context)
         return found, self.id.take(at, mode="clip"), self.below.take(at, mode="clip") * found, self.mass.take(at, mode="clip") * found
 

@@ -26,8 +26,7 @@ def clean_text(text: Column) -> Column:
 
 def tokenize(text: Column, stopwords: Sequence[str] = ()) -> Column:
     """Lower-case runs of ``[a-z0-9]``, in order, without the stop words."""
-    spaced = F.regexp_replace(F.lower(text), "[^a-z0-9]", " ")
-    tokens = F.filter(F.split(spaced, " +"), lambda t: t != "")
+    tokens = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda t: t != "")
     return F.filter(tokens, lambda t: ~t.isin(*stopwords)) if stopwords else tokens
 
 

@@ -32,14 +32,17 @@ def rrf_fuse(lexical: DataFrame, dense: DataFrame, k: int = 60, top: int | None
     return out if top is None else out.where(F.col("rank") <= top)
 
 
-def fetch_chunks(hits: DataFrame, chunks: DataFrame, id_col: str = "id") -> DataFrame:
-    """Hits with their chunks' columns; hits without a chunk go."""
-    return hits.join(chunks.withColumnRenamed(id_col, "chunk_id"), "chunk_id")
+def fetch_chunks(hits: DataFrame, chunks: DataFrame, id_col: str = "id", few: bool = False) -> DataFrame:
+    """Hits with their chunks' columns; hits without a chunk go.
+
+    ``few``: the hits are of a known, short list of questions; they are sent to the chunks, which stay where they are.
+    """
+    return (F.broadcast(hits) if few else hits).join(chunks.withColumnRenamed(id_col, "chunk_id"), "chunk_id")
 
 
-def hybrid_retrieve(lexical: DataFrame, dense: DataFrame, chunks: DataFrame, k: int = 60, top: int = 10, id_col: str = "id") -> DataFrame:
+def hybrid_retrieve(lexical: DataFrame, dense: DataFrame, chunks: DataFrame, k: int = 60, top: int = 10, id_col: str = "id", few: bool = False) -> DataFrame:
     """The first ``top`` of the fusion, and only then those that have a chunk."""
-    return fetch_chunks(rrf_fuse(lexical, dense, k, top), chunks, id_col)
+    return fetch_chunks(rrf_fuse(lexical, dense, k, top), chunks, id_col, few)
 
 
 def overlap_score(question: Column, text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +13,20 @@ from lexigrid.session import shared_folder
 FORMAT_VERSION = 2
 
 
-def save_tables(folder: str, kind: str, tables: dict[str, DataFrame], **facts) -> None:
+def save_tables(folder: str, kind: str, tables: dict[str, DataFrame | Callable[[dict[str, DataFrame]], DataFrame]], **facts) -> None:
     """Write tables, then the manifest: a folder without one is not an index.
 
+    A table may be a function of those that were written before it.
+
     Postings and embeddings are sorted within files by their first column, so that
     Parquet statistics prune what a query doesn't ask for.
     """
     spark = next(iter(tables.values())).sparkSession
+    saved: dict[str, DataFrame] = {}
     for name, table in tables.items():
+        table = table(saved) if callable(table) else table
         table.sortWithinPartitions(table.columns[0]).write.mode("overwrite").parquet(f"{folder}/{name}")
+        saved[name] = spark.read.schema(table.schema).parquet(f"{folder}/{name}")
     manifest = {"format": FORMAT_VERSION, "kind": kind, "tables": sorted(tables), **facts}
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
 

@@ -123,3 +123,17 @@ def test_rerank_is_stable_and_optional(spark):
     asked = ask(spark, "red fox")
     assert [r.chunk_id for r in fusion.rerank(hits, asked).orderBy("rank").collect()] == ["b", "c", "a"]
     assert [r.chunk_id for r in fusion.rerank(hits, asked, 2, None).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_tasks_keep_their_best_chunks_alone(spark, monkeypatch):
+    from lexigrid.operators import termwork
+
+    monkeypatch.setattr(termwork, "STEP", 8)
+    rows = spark.createDataFrame([(f"c{i % 50:02}", None if i == 3 else i // 4, ["same words", "rent same", "rent rent due", ""][i % 4]) for i in range(200)], "id string, corpus_ord long, text string").repartition(3)
+    tokens, questions = lexical.token_table(rows), ask(spark, "rent", "same rent rent", "", "due")
+    found = lexical.bm25_search(tokens, questions, 7, digits=6)
+    want = lexical.ranked(lexical.bm25_scores(tokens, questions), 7, 6)
+    columns = ("question_id", "rank", "chunk_id", "corpus_ord", "score")
+    assert sorted(map(str, found.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+    # Nothing but a task's best is sent on: no sum over questions and chunks.
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()

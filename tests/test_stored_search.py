@@ -164,3 +164,12 @@ def test_odd_vectors(spark, vectors):
     named = vectors.select(F.concat(F.lit("v"), "vec_id").alias("vec_id"), "embedding")
     asked = queries_of(vectors, "vec_id in (100, 2000)")
     assert shown(cells.search(cells.index_tables(named), asked, 7), *COLUMNS) == shown(vector.vector_search(named, asked, 7), *COLUMNS)
+
+
+def test_stored_postings_and_blocks_are_not_shuffled(tokens):
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    made = lexical.index_tables(tokens)
+    assert "rangepartitioning" not in plan(made["postings"]) and "rangepartitioning" not in plan(made["directory"])
+    assert plan(blocks.block_table(tokens, 64)).count("Exchange hashpartitioning(span") == 1 and "rangepartitioning" not in plan(blocks.block_table(tokens, 64))

@@ -26,25 +26,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexigrid.operators import lexical
+from lexigrid.operators import lexical, termwork
 
 SPAN = 1024
 
 
 def block_table(tokens: DataFrame, span: int = SPAN) -> DataFrame:
-    """``term, span, n, max_tf, min_dl, entries`` from tokens with a ``number``, or a ``corpus_ord`` of each chunk's own."""
+    """``term, span, n, max_tf, min_dl, entries`` from tokens with a ``number``, or a ``corpus_ord`` of each chunk's own.
+
+    Chunks are dealt out by their span, so all blocks of a span are made in one place and none is shuffled.
+    """
     if "number" not in tokens.columns:
         tokens = tokens.withColumn("number", F.col("corpus_ord"))
-    rows = lexical.row_postings(tokens).withColumn("span", F.floor(F.col("number") / span))
-    entry = F.struct("chunk_id", "corpus_ord", "dl", "tf")
-    made = rows.groupBy("term", "span").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.collect_list(entry).alias("entries"))
-    return made.repartitionByRange("term", "span")
-
-
-def index_tables(tokens: DataFrame, span: int = SPAN) -> dict[str, DataFrame]:
-    """What ``search`` reads: blocks, term figures and corpus figures."""
-    terms = lexical.term_stats(tokens)
-    return {"blocks": block_table(tokens, span), "terms": terms.repartitionByRange("term"), "corpus": lexical.corpus_stats(tokens, terms)}
+    sized = tokens.select("chunk_id", "corpus_ord", F.floor(F.col("number") / span).alias("span"), F.size("tokens").alias("dl"), "tokens").where("dl > 0")
+    kind = dict(tokens.dtypes)["chunk_id"]
+    entry = f"struct<chunk_id: {kind}, corpus_ord: bigint, dl: int, tf: int>"
+    return sized.groupBy("span").applyInArrow(termwork.span_blocks, f"term string, span long, n long, max_tf int, min_dl int, entries array<{entry}>")
+
+
+def index_tables(tokens: DataFrame, span: int = SPAN) -> dict:
+    """What ``search`` reads: blocks, term figures and corpus figures, for ``store.save_tables`` as those of ``lexical``."""
+    return {
+        "blocks": block_table(tokens, span),
+        "sizes": lexical.corpus_sizes(tokens),
+        "terms": lambda saved: lexical.term_figures(saved["blocks"].groupBy("term").agg(F.sum("n").alias("df")), saved["sizes"]),
+        "corpus": lambda saved: lexical.corpus_figures(saved["sizes"], saved["terms"]),
+    }
 
 
 def _part(tf: str, dl: str) -> Column:

@@ -25,7 +25,12 @@ _FLAGS = ("(?mdU)", "(?mdU)", "(?mdUi)")
 def _marks(text: Column, n: int) -> Column:
     """``start, n, heading`` of each match of a pattern."""
     pattern = _FLAGS[n] + HEADINGS[n]
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"), F.split(text, pattern, -1).alias("gaps"))
+    # As the element of an array they are made once, however often they are named below.
+    return F.flatten(F.transform(F.array(both), lambda x: _placed(x["found"], x["gaps"], n)))
+
+
+def _placed(found: Column, gaps: Column, n: int) -> Column:
     sizes = F.zip_with(F.transform(gaps, lambda g: F.length(g)), F.transform(found, lambda m: F.length(m)), lambda g, m: F.struct(g.alias("gap"), F.coalesce(m, F.lit(0)).alias("size")))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
     placed = F.aggregate(
@@ -42,7 +47,8 @@ def extract_clauses(rows: DataFrame, doc_col: str = "doc_name", text_col: str =
     """``doc, heading, start, end, snippet``; two patterns may match at one place, then the first is empty."""
     texts = rows.select(F.col(doc_col).cast("string").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     marked = F.sort_array(F.concat(*[_marks(F.col("text"), n) for n in range(len(HEADINGS))]))
-    marks = texts.select("doc", "text", marked.alias("marks")).where(F.size("marks") > 0)
+    # Rows without a mark go when marks are exploded; a filter on them would find them all a second time.
+    marks = texts.select("doc", "text", marked.alias("marks"))
 
     def clause(mark: Column, i: Column) -> Column:
         end = F.coalesce(F.get("marks", i + 1)["start"], F.length("text"))

@@ -88,3 +88,9 @@ def test_bottleneck_report(spark):
 def test_references_in_web_pages_end_with_a_semicolon():
     assert files.html_text("<h1>that&amp;&amp</h1><p>&copy 1 &ampx; &amp;lt; &#65; &#66 &lt;i&gt; a & b</p>") == "that&&amp\n&copy 1 &ampx; &lt; A &#66 <i> a & b"
     assert files.html_text("<p>﷐ &amp</p><xmp>x &b</xmp>") == "﷐ &amp\nx &b"
+
+
+def test_headings_are_found_once_a_row(spark):
+    rows = spark.createDataFrame([("d", "TERMS OF USE\nbody")], "doc_name string, text string").repartition(2)
+    plan = clauses.extract_clauses(rows)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == len(clauses.HEADINGS) and plan.count("split(") == len(clauses.HEADINGS)

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from lexigrid.functions.citations import distinct_citations
 from lexigrid.functions.text import preview
 from lexigrid.operators import chunking, fusion, lexical
+from lexigrid.session import spread
 
 LOG = logging.getLogger("evidence_sheets")
 
@@ -48,19 +49,26 @@ class Config:
 
 def write_sheet(spark: SparkSession, config: Config) -> dict:
     """Rank, rerank and write the sheet; returns what was read and written."""
-    docs = spark.read.parquet(config.source)
+    docs = spread(spark.read.parquet(config.source))
     asked = spark.read.parquet(config.questions)
     asked = asked.select(F.col(config.question_id).cast("long").alias("question_id"), F.col(config.question).alias("question")).where("question_id is not null and question is not null")
     pages = docs.where("doc_id is not null").select(F.col("doc_id").cast("string").alias("doc_name"), F.lit(1).alias("page_number"), "text", F.col("doc_id").cast("long").alias("corpus_ord"))
     chunks = chunking.stride_chunks(pages, config.size, config.overlap)
     tokens = lexical.token_table(chunks, config.stopwords)
     hits = lexical.bm25_search(tokens, asked, config.candidates, config.stopwords, digits=6)
+    # Only documents with a hit are cut and read again; Spark knows the size of kept hits, and sends them if they are few.
+    hits = hits.persist()
+    hits.count()
+    placed = hits.select("corpus_ord").distinct()
+    chunks = chunking.stride_chunks(pages.join(placed, "corpus_ord", "left_semi"), config.size, config.overlap)
     found = fusion.fetch_chunks(hits, chunks.drop("corpus_ord"))
     best = fusion.rerank(found, asked, config.top)
-    origin = docs.select(F.col("doc_id").cast("string").alias("doc"), F.coalesce("lang", F.lit("")).alias("lang"), "source").dropDuplicates(["doc"])
+    holders = docs.join(placed, F.col("doc_id").cast("long") == placed["corpus_ord"], "left_semi")
+    origin = holders.select(F.col("doc_id").cast("string").alias("doc"), F.coalesce("lang", F.lit("")).alias("lang"), "source").dropDuplicates(["doc"])
     rows = best.join(origin, "doc").join(asked, "question_id").withColumn("evidence", preview(F.col("text"))).withColumn("citations", distinct_citations(F.col("text")))
     folder = f"{config.out}/sheet={config.sheet}"
     rows.select(*[c.split()[0] for c in COLUMNS.split(", ")]).write.mode("overwrite").partitionBy("lang").parquet(folder)
+    hits.unpersist()
     written = output(spark, config.out).where(F.col("sheet") == config.sheet)
     counts = written.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("question_id").alias("answered"), F.countDistinct("doc").alias("documents")).first().asDict()
     report = {"sheet": config.sheet, "questions": asked.count(), "read": docs.count(), **counts}

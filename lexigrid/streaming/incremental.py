@@ -63,7 +63,7 @@ def add_batch(spark: SparkSession, rows: DataFrame, out: str, batch_id: int, fir
     finally:
         pages.unpersist()
     tokens = lexical.token_table(chunks, stopwords)
-    found = lexical.row_postings(tokens).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+    found = lexical.row_postings(tokens).sortWithinPartitions("term", "chunk_id")
     postings = _put(spark, found, out, "postings", batch_id)
     terms = _put(spark, postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).sortWithinPartitions("term"), out, "terms", batch_id)
     sizes = postings.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("tokens"))

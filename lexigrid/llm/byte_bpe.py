@@ -32,6 +32,7 @@ The memo of pieces is bounded.
 from __future__ import annotations
 
 import base64
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import chain
 
@@ -310,7 +311,7 @@ def id_rows(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.flatten()).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def _decode(path: str, pattern: str, ids_index: int, schema: pa.Schema):
+def _decode(path: str, pattern: str, ids_index: int, schema: pa.Schema, then: Callable | None):
     def run(batches):
         codec = codec_of(path, pattern)
         for batch in batches:
@@ -319,12 +320,17 @@ def _decode(path: str, pattern: str, ids_index: int, schema: pa.Schema):
             made = pa.array([b if k else None for b, k in zip(codec.tokens.joined_rows(numbers, offsets), known, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([made if n == "decoded" else batch.column(batch.schema.get_field_index(n)) for n in schema.names], schema=schema)
 
-    return run
+    return run if then is None else lambda batches: then()(run(batches))
+
 
+def decode_ids(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", then: tuple[Callable, str] | None = None) -> DataFrame:
+    """``rows`` with ``decoded binary``: the bytes of the ids, joined. Null ids stay null.
 
-def decode_ids(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids") -> DataFrame:
-    """``rows`` with ``decoded binary``: the bytes of the ids, joined. Null ids stay null."""
+    ``then``: what makes a function of these rows' batches, and the columns that it makes of
+    them, in the same worker: one Python process a task less, and no bytes go back and forth.
+    """
     fields = [f for f in rows.schema.fields if f.name != "decoded"]
     rows = rows.select(*[f.name for f in fields])
     schema = T.StructType([*fields, T.StructField("decoded", T.BinaryType())])
-    return rows.mapInArrow(fold_rows(_decode, path, pattern, rows.columns.index(ids_col), to_arrow_schema(schema)), schema)
+    made, columns = then or (None, schema)
+    return rows.mapInArrow(fold_rows(_decode, path, pattern, rows.columns.index(ids_col), to_arrow_schema(schema), made), columns)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrid.llm import byte_bpe, decontamination, divergence, line_dedup, media_source, packing, quality_classifier, quality_rules, simhash, sql, substring_dedup, token_files, toxicity
-from lexigrid.llm._shared import documents, fold_rows
+from lexigrid.llm._shared import documents
 
 
 def _bpe_digests():
@@ -60,7 +60,7 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = documents(spark, sf_dir).select("doc_id", "text")
     encoded = byte_bpe.encode_texts(docs, path, pattern).select("doc_id", "ids")
-    return byte_bpe.decode_ids(encoded, path, pattern).mapInArrow(fold_rows(_bpe_digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return byte_bpe.decode_ids(encoded, path, pattern, then=(_bpe_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -163,6 +163,22 @@ def test_one_long_text_is_the_work_of_many_tasks(spark):
         byte_bpe.encode_texts(keyed, RANKS, P.PATTERN)
 
 
+def test_tasks_hold_few_python_processes(spark, tmp_path, docs):
+    """Of Python steps in one stage each has a process of its own: two, with two tasks at once, is what an executor's memory allows."""
+    from lexigrid.llm import queries as Q
+
+    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = str(Q.op5_byte_bpe(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString())
+    above, most = [], 0
+    for line in plan.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        above = [x for x in above if x[0] < depth]
+        steps = 0 if "Exchange" in line else (above[-1][1] if above else 0) + ("MapInArrow" in line)
+        above.append((depth, steps))
+        most = max(most, steps)
+    assert 1 <= most <= 2
+
+
 def check_pieces(rows, ids, length=2048):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:

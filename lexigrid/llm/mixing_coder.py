@@ -26,7 +26,7 @@ import numpy as np
 
 MAGIC = b"CMR2"
 _HEAD = struct.Struct("<4sIIIIIIII")  # magic, ids, documents, ids' top, lanes, directory bytes, body bytes, crc of rest, crc of ids
-MAX_LANES, LANE_IDS, LEVELS = 8192, 128, 16
+MAX_LANES, LANE_IDS, LEVELS = 8192, 128, 16  # lanes: a power of two
 #: Steps between rebuilt frequencies; order 1 has at most 2^MOST times the mass of order 0.
 REBUILD, MOST = 32, 5
 _POWERS = 1 << np.arange(LEVELS - 1)
@@ -39,12 +39,28 @@ def _words(n: int) -> tuple[int, int]:
     return lanes, -(-n // lanes)
 
 
-def _search(values: np.ndarray, wanted: np.ndarray, side: str = "left") -> np.ndarray:
-    """``np.searchsorted`` in the order of what is wanted, which stays near in memory."""
-    order = np.argsort(wanted)
-    at = np.empty(len(wanted), np.int64)
-    at[order] = np.searchsorted(values, wanted.take(order), side)
-    return at
+def _in_order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Places of up to ``MAX_LANES`` pairs, smallest first (of equal ``first``, about): sorting numbers is faster than sorting places."""
+    bits = max(0, 50 - int(first.max()).bit_length())
+    more = max(0, int(second.max()).bit_length() - bits)
+    both = (((first << bits) | (second >> more)) * MAX_LANES) | np.arange(len(first))
+    both.sort()
+    return both & (MAX_LANES - 1)
+
+
+def _distinct(keys: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, of 0 to ``most``, in order, and the place among them of each one."""
+    bits = (keys.size - 1).bit_length()
+    if most >> (63 - bits):
+        known, places = np.unique(keys, return_inverse=True)
+        return known, places.reshape(keys.shape)
+    both = (keys.ravel() << bits) | np.arange(keys.size)
+    both.sort()
+    names = both >> bits
+    new = np.concatenate(([True], names[1:] != names[:-1]))
+    places = np.empty(keys.size, np.int64)
+    places[both & ((1 << bits) - 1)] = np.cumsum(new) - 1
+    return names[new], places.reshape(keys.shape)
 
 
 class _Pairs:
@@ -57,6 +73,7 @@ class _Pairs:
 
     def __init__(self, top: int, keys: np.ndarray | None = None) -> None:
         self.size, self.all = top, keys is not None
+        self.kind = np.int32 if top < 1 << 20 else np.int64  # of masses and ids: what is read all over stays small
         self.keys = np.empty(0, np.int64) if keys is None else keys
         self.counts = np.zeros(len(self.keys), np.int64)
         self.level, self.of_context = np.zeros(top, np.int64), np.zeros(top, np.int64)
@@ -64,12 +81,12 @@ class _Pairs:
 
     def _group(self) -> None:
         if len(self.keys):
-            self.context = self.keys // self.size
-            self.id = self.keys - self.context * self.size
-            self.firsts = np.concatenate(([0], np.flatnonzero(np.diff(self.context)) + 1))
+            context = self.keys // self.size
+            self.context, self.id = context.astype(self.kind), (self.keys - context * self.size).astype(self.kind)
+            self.firsts = np.concatenate(([0], np.flatnonzero(np.diff(context)) + 1))
             self.rank = np.repeat(np.arange(len(self.firsts)), np.diff(np.concatenate((self.firsts, [len(self.keys)]))))
             self.names = self.context[self.firsts]
-        self.below, self.mass = np.zeros(len(self.keys) + 1, np.int64), np.zeros(len(self.keys) + 1, np.int64)
+        self.below, self.mass = np.zeros(len(self.keys) + 1, self.kind), np.zeros(len(self.keys) + 1, self.kind)
 
     def rebuild(self, met: list[np.ndarray], total: int, odds: np.ndarray) -> None:
         if met and self.all:
@@ -96,14 +113,14 @@ class _Pairs:
     def values(self, cum: np.ndarray) -> None:
         """Where the span of each pair begins, for :meth:`last_at`."""
         if len(self.keys):
-            self.start = (self.context << 40) + cum.take(self.id) + self.below[:-1]
+            self.start = (self.context.astype(np.int64) << 40) + cum.take(self.id) + self.below[:-1]
 
     def of(self, context: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(mass of the context's smaller ids, own mass)."""
         if not len(self.keys):
             return np.zeros_like(ids), np.zeros_like(ids)
         wanted = context * self.size + ids
-        at = _search(self.keys, wanted)
+        at = np.searchsorted(self.keys, wanted)
         there = self.keys.take(at, mode="clip") == wanted
         same = self.context.take(at, mode="clip") == context
         same &= at < len(self.keys)
@@ -116,7 +133,7 @@ class _Pairs:
         if not len(self.keys):
             none = np.zeros_like(value)
             return none.astype(bool), none, none, none
-        at = _search(self.start, (context << 40) + value, "right") - 1
+        at = np.searchsorted(self.start, (context << 40) + value, "right") - 1
         found = (at >= 0) & (self.context.take(at, mode="clip") == context)
         return found, self.id.take(at, mode="clip"), self.below.take(at, mode="clip") * found, self.mass.take(at, mode="clip") * found
 
@@ -131,7 +148,8 @@ class _Model:
         self.pairs = _Pairs(top, keys)
         self.waiting: list[np.ndarray] = []
         self.met: list[np.ndarray] = []
-        self.second = np.zeros(1 << 18, np.int64)
+        self.kind = np.int32 if top < 1 << 27 else np.int64  # of tables that are read all over
+        self.second = np.zeros(1 << 18, self.kind)
         # Of predictions of order 1, by level, and 2, by confidence: how many were wrong and right.
         self.seen = np.stack((np.ones(2 * LEVELS, np.int64), np.tile(np.array([1, 0], np.int64), LEVELS)))
         self.step = 0
@@ -152,7 +170,7 @@ class _Model:
     def at(self) -> np.ndarray:
         """Order-0 value -> id."""
         if self.lookup is None:
-            self.lookup = np.repeat(np.arange(self.size), np.diff(self.cum))
+            self.lookup = np.repeat(np.arange(self.size, dtype=self.kind), np.diff(self.cum))
             self.pairs.values(self.cum)
         return self.lookup
 
@@ -181,12 +199,13 @@ class _Model:
         """Id (and what order 1 adds to it) in whose span a value lies: without the masses below, the value is order 0's."""
         at = self.at()
         below2, own2 = np.zeros_like(value), np.zeros_like(value)
-        some = np.flatnonzero(self.mass2)
+        order = _in_order(self.last, value)  # so that searches stay near in memory
+        some = order[self.mass2.take(order) > 0]
         below2[some], own2[some] = self.pairs.of(self.last.take(some), self.id2.take(some))
         low2 = self.cum.take(self.id2) + below2
         under = value < low2
         inside = ~under & (self.mass2 > 0) & (value < self.after.take(self.id2) + below2 + own2 + self.mass2)
-        left = np.flatnonzero(~inside)
+        left = order[~inside.take(order)]
         rest = np.where(under, value, value - self.mass2).take(left)
         found, name, below, own = self.pairs.last_at(self.last.take(left), rest)
         past = found & (rest >= self.after.take(name) + below + own)
@@ -223,8 +242,7 @@ def _encode_lanes(ids: np.ndarray, top: int) -> tuple[int, bytes]:
     grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
     keys = grid.copy()
     keys[1:] += grid[:-1] * top
-    known, pairs = np.unique(keys, return_inverse=True)
-    pairs = pairs.reshape(grid.shape)
+    known, pairs = _distinct(keys, top * top - 1)
     model = _Model(top, known)
     table = model.pairs
     low, span = np.zeros(lanes, _U), np.full(lanes, 1 << 48, _U)

@@ -63,13 +63,15 @@ class Ids:
         self.words: WordTable | None = None
         if spec["model"].get("end_of_word_suffix") and self._drops_space(spec):
             self.words = WordTable()
-            self.split = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+            pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            self.split = regex.compile(pattern)
+            self.split_lines = regex.compile(f"(?:{pattern})|\n")
             self.letters = {b: letter for letter, b in _byte_letters().items()}
-            self.ends = self._with_ends(spec)
+            self.ends, self.line_end = self._with_ends(spec), spec["model"]["vocab"].get(self.letters[ord("\n")])
 
     @staticmethod
     def _with_ends(spec: dict) -> tiktoken.CoreBPE | None:
-        """The same merges on bytes, with a zero byte for a word's end.
+        """The same merges on bytes, with a zero byte for a word's end; lines' ends stand alone.
 
         Holds for files whose ids are bytes, bytes at an end, then merges in their order;
         texts with a zero byte don't come here.
@@ -85,7 +87,7 @@ class Ids:
             return bytes(letters[c] for c in body) + tail
 
         ranks = {raw(t): vocab[t] for c in letters for t in (c, c + end)} | {raw(t): 512 + i for i, t in enumerate(joined)}
-        return tiktoken.Encoding("ends", pat_str=".", mergeable_ranks=ranks, special_tokens={})._core_bpe
+        return tiktoken.Encoding("ends", pat_str="\n|[^\n\0]+\0", mergeable_ranks=ranks, special_tokens={})._core_bpe
 
     @staticmethod
     def _drops_space(spec: dict) -> bool:
@@ -135,21 +137,26 @@ class Ids:
         begins, ends = word_spans(blob)
         if self.words.n > REMEMBERED:
             self.words.clear()
-        slots = self.words.entries(blob, begins, ends, self._ids_of)
+        slots = self.words.entries(blob, begins, ends, self._ids_of_words)
         ids, sizes = self.words.ids(slots)
         limits = np.cumsum([len(b) + 1 for b in blobs])
         stops = np.concatenate(([0], np.cumsum(sizes)))[np.searchsorted(begins, limits)]
         return np.split(ids, stops[:-1])
 
+    def _ids_of_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in a row, how many each has); words are lines to the library's parts."""
+        if not self.ends:
+            made = [self._ids_of(word) for word in words]
+            counts = np.fromiter(map(len, made), np.int64, len(made))
+            return np.fromiter((i for ids in made for i in ids), np.uint32, int(counts.sum())), counts
+        parts = self.split_lines.findall("\n".join(words) + "\n")
+        ids = np.array(self.ends.encode_ordinary(("\0".join(parts) + "\0").replace("\n\0", "\n")), np.uint32)
+        lines = ids == self.line_end
+        return ids[~lines], np.diff(np.flatnonzero(lines), prepend=-1) - 1
+
     def _ids_of(self, word: str) -> list[int]:
-        made = []
-        for part in self.split.findall(word):
-            raw = part.encode()
-            if self.ends:
-                made += self.ends.encode_single_piece(raw + b"\0")
-            else:
-                made += [t.id for t in self.library.model.tokenize(raw.decode("latin-1").translate(self.letters))]
-        return made
+        parts = (part.encode().decode("latin-1").translate(self.letters) for part in self.split.findall(word))
+        return [t.id for part in parts for t in self.library.model.tokenize(part)]
 
 
 _IS_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -225,28 +232,27 @@ class WordTable:
             slot = (slot[on] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def _store(self, ids: list[list[int]]) -> int:
+    def _store(self, ids: np.ndarray, counts: np.ndarray) -> int:
         """Keep the ids of new entries; the first one's number."""
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        total, first = int(counts.sum()), self.n
+        total, first = len(ids), self.n
         while self.used + total > len(self.store):
             self.store = np.concatenate((self.store, np.zeros_like(self.store)))
-        while self.n + len(ids) > len(self.starts):
+        while self.n + len(counts) > len(self.starts):
             self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
-        self.store[self.used : self.used + total] = [i for x in ids for i in x]
-        self.starts[first : first + len(ids)] = self.used + np.cumsum(counts) - counts
-        self.sizes[first : first + len(ids)] = counts
-        self.n, self.used = self.n + len(ids), self.used + total
+        self.store[self.used : self.used + total] = ids
+        self.starts[first : first + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.sizes[first : first + len(counts)] = counts
+        self.n, self.used = self.n + len(counts), self.used + total
         return first
 
-    def entries(self, blob: bytes, begins: np.ndarray, ends: np.ndarray, ids_of_word: Callable[[str], list[int]]) -> np.ndarray:
+    def entries(self, blob: bytes, begins: np.ndarray, ends: np.ndarray, ids_of_words: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         """Entry of each word of a blob; new words are added."""
         out = np.empty(len(begins), np.int64)
         is_long = ends - begins > _KEY
         for i in np.flatnonzero(is_long).tolist():
             word = blob[begins[i] : ends[i]]
             if word not in self.long:
-                self.long[word] = self._store([ids_of_word(word.decode())])
+                self.long[word] = self._store(*ids_of_words([word.decode()]))
             out[i] = self.long[word]
         some = np.flatnonzero(~is_long)
         begins, ends = (begins, ends) if len(some) == len(begins) else (begins[some], ends[some])
@@ -259,7 +265,7 @@ class WordTable:
             head = np.ones(len(order), bool)
             head[1:] = (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])
             first = order[head]
-            made = self._store([ids_of_word(blob[a:b].decode()) for a, b in zip(begins[first].tolist(), ends[first].tolist(), strict=True)])
+            made = self._store(*ids_of_words([blob[a:b].decode() for a, b in zip(begins[first].tolist(), ends[first].tolist(), strict=True)]))
             self._add(low[first], high[first], np.arange(made, made + len(first), dtype=np.int32))
             found[order] = made + np.cumsum(head) - 1
         out[some] = found

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+import pytest
 
 from lexigrid.llm import mixing_coder
 
@@ -57,3 +60,32 @@ def test_few_and_wide_ids():
     for ids in ([7], [0, 0, 0], [0] * 5000, rng.integers(0, 49408, 9000), rng.integers(0, 120_000, 3000), np.arange(4000) % 3):
         ids = np.array(ids, np.uint32)
         np.testing.assert_array_equal(mixing_coder.decode_block(mixing_coder.encode_block([1], [ids]))[1][0], ids)
+
+
+def _squares(n: int, top: int) -> np.ndarray:
+    return ((np.arange(n, dtype=np.int64) ** 2 // 7) % top).astype(np.uint32)
+
+
+def test_searches_follow_one_order(monkeypatch):
+    """A step sorts its contexts once, as numbers; places are not sorted for each search, nor for the pairs of a block."""
+    monkeypatch.setattr(np, "argsort", None)
+    ids = _squares(70_000, 500)
+    np.testing.assert_array_equal(mixing_coder.decode_block(mixing_coder.encode_block([1], [ids]))[1][0], ids)
+    monkeypatch.setattr(np, "unique", None)
+    mixing_coder._encode_lanes(ids.astype(np.int64), 500)
+
+
+@pytest.mark.parametrize(("n", "top"), [(1, 1), (2, 1), (5000, 3), (70_000, 500), (4096, 1 << 26), (4097, 1 << 31)])
+def test_distinct_keys(n, top):
+    keys = (_squares(n, top).astype(np.int64) * top + _squares(n, 3)).reshape(1, -1)
+    known, places = mixing_coder._distinct(keys, top * top + 2)
+    np.testing.assert_array_equal(known, np.unique(keys))
+    np.testing.assert_array_equal(known[places], keys)
+
+
+def test_coded_bytes_stay():
+    """Blocks that were written stay readable: their bytes are those of the first coder of this kind."""
+    assert [zlib.crc32(mixing_coder._encode_lanes(_squares(n, top).astype(np.int64), top)[1]) for n, top in ((1, 1), (9000, 40), (70_000, 500), (30_001, 50_000))] == CODED
+
+
+CODED = [2057204230, 3439836596, 2927095990, 3844777799]

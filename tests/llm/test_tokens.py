@@ -91,6 +91,15 @@ def test_word_table_grows_and_finds():
     assert made.words.bits > 16
 
 
+@pytest.mark.parametrize("joined", [True, False])
+def test_new_words_are_encoded_together(joined):
+    made, want = Ids(WORDS), library(WORDS)
+    made.ends = made.ends if joined else None
+    for words in (["don't", "x1y22", "é", "a" * 700, "...", "can't've", "½"], ["one"]):
+        ids, counts = made._ids_of_words(words)
+        assert [a.tolist() for a in np.split(ids, np.cumsum(counts)[:-1])] == [e.ids for e in want.encode_batch(words, add_special_tokens=False)]
+
+
 def test_memory_of_words_is_bounded(monkeypatch):
     from lexigrid.llm import tokenizers_io
 

@@ -24,13 +24,15 @@ Defined results
   empty table gives an empty table.
 
 Scale: fitting sees at most ``SAMPLE`` labelled rows and keeps at most ``VOCABULARY``
-features; scoring is one pass over the table with that model sent along.
+features. Of a row it holds four bytes a feature, not the names, and sums over all rows are
+made by pieces of ``PIECE`` features. Scoring is one pass over the table with that model
+sent along.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import permutations
 
@@ -52,6 +54,8 @@ RATE, L1, BATCH = 0.3, 2e-4, 512
 LEAST_EXCESS, DAMPING = 4.0, 1e-3
 THRESHOLD = 0.35
 REMEMBERED = 1 << 18
+#: Features of rows that are gathered at once.
+PIECE = 1 << 18
 _EDGE = re.compile(r"^[\W\d_]+|[\W\d_]+$")
 
 
@@ -81,7 +85,7 @@ class _Rows:
     """Sparse binary rows, one behind the other."""
 
     def __init__(self, rows: list[np.ndarray]) -> None:
-        self.ids = np.concatenate(rows) if rows else np.empty(0, np.int64)
+        self.ids = np.concatenate(rows) if rows else np.empty(0, np.int32)
         self.ends = np.cumsum([0, *map(len, rows)])
 
     def take(self, rows: np.ndarray) -> _Rows:
@@ -91,6 +95,14 @@ class _Rows:
         out.ids = self.ids[np.repeat(self.ends[rows] - out.ends[:-1], sizes) + np.arange(out.ends[-1])]
         return out
 
+    def pieces(self, rows: np.ndarray) -> Iterator[tuple[slice, _Rows]]:
+        """These rows by ``PIECE`` features, or one larger row, and where they stand in ``rows``."""
+        sums, at = np.cumsum(np.diff(self.ends)[rows]), 0
+        while at < len(rows):
+            end = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PIECE, side="right")))
+            yield slice(at, end), self.take(rows[at:end])
+            at = end
+
     def dot(self, weights: np.ndarray) -> np.ndarray:
         sums = np.concatenate(([0.0], np.cumsum(weights[self.ids])))
         return sums[self.ends[1:]] - sums[self.ends[:-1]]
@@ -131,15 +143,16 @@ class Part:
 
     def __init__(self, data: _Rows, toxic: np.ndarray, rows: np.ndarray, size: int, groups: int) -> None:
         self.data, self.rows = data, rows
-        mine, y = data.take(rows), toxic[rows]
-        seen = np.bincount(mine.ids, minlength=size)
-        bad = np.bincount(mine.ids, weights=np.repeat(y, np.diff(mine.ends)), minlength=size)
+        y, seen, bad = toxic[rows], np.zeros(size, np.int64), np.zeros(size)
+        for at, mine in data.pieces(rows):
+            seen += np.bincount(mine.ids, minlength=size)
+            bad += np.bincount(mine.ids, weights=np.repeat(y[at], np.diff(mine.ends)), minlength=size)
         share = float(y.mean()) if len(y) else 0.0
         # Words that toxic texts have about as often as others only add noise, and go.
         excess = (bad - share * seen) / np.sqrt(seen * share * (1 - share) + 1e-9)
         kept = np.flatnonzero((seen >= MIN_TEXTS) & (np.abs(excess) >= LEAST_EXCESS))
         self.kept = kept[np.lexsort((kept, -np.abs(excess[kept])))][:VOCABULARY]
-        self.column = np.full(size, -1)
+        self.column = np.full(size, -1, np.int32)
         self.column[self.kept] = np.arange(len(self.kept))
         telling = self.kept[excess[self.kept] > 0][:GROUP_FEATURES]
         self.group = np.full(len(rows), -1)
@@ -150,19 +163,23 @@ class Part:
     def _dense(self, rows: np.ndarray, telling: np.ndarray, seen: np.ndarray) -> np.ndarray:
         at = np.full(len(self.column), -1)
         at[telling] = np.arange(len(telling))
-        mine = self.data.take(rows)
-        row, col = np.repeat(np.arange(len(rows)), np.diff(mine.ends)), at[mine.ids]
         out = np.zeros((len(rows), len(telling)))
-        out[row[col >= 0], col[col >= 0]] = 1
+        for where, mine in self.data.pieces(rows):
+            row, col = np.repeat(np.arange(where.start, where.stop), np.diff(mine.ends)), at[mine.ids]
+            out[row[col >= 0], col[col >= 0]] = 1
         out /= np.sqrt(np.maximum(seen[telling], 1))
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        out /= np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+        return out
 
     def take(self, rows: np.ndarray) -> _Rows:
         """These rows, of the selected features."""
-        mine, out = self.data.take(rows), _Rows([])
-        columns = self.column[mine.ids]
-        out.ids = columns[columns >= 0]
-        out.ends = np.concatenate(([0], np.cumsum(columns >= 0)))[mine.ends]
+        found, sizes = [], [np.zeros(1, np.int64)]
+        for _, mine in self.data.pieces(rows):
+            columns = self.column[mine.ids]
+            found.append(columns[columns >= 0])
+            sizes.append(np.diff(np.concatenate(([0], np.cumsum(columns >= 0)))[mine.ends]))
+        out = _Rows(found)
+        out.ends = np.cumsum(np.concatenate(sizes))
         return out
 
     def number_like(self, other: Part, groups: int) -> None:
@@ -198,17 +215,28 @@ def grouped(points: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
-def numbered(features: list[set[str]]) -> tuple[list[str], _Rows]:
-    """Names that enough texts have, and the texts as rows of their numbers."""
-    counts = Counter(name for f in features for name in f)
-    names = sorted(name for name, n in counts.items() if n >= MIN_TEXTS)
-    number = {name: i for i, name in enumerate(names)}
-    return names, _Rows([np.array(sorted(number[n] for n in f if n in number), np.int64) for f in features])
+def numbered(features: Iterable[set[str]]) -> tuple[list[str], _Rows]:
+    """Names that enough texts have, and the texts as rows of their numbers.
+
+    Sets are taken one by one and not kept: as sets of names, a sample takes over a GB.
+    """
+    first: dict[str, int] = {}
+    rows = [np.array([first.setdefault(name, len(first)) for name in f], np.int32) for f in features]
+    counts = np.zeros(len(first), np.int32)
+    for row in rows:
+        counts[row] += 1
+    names = sorted(name for name, i in first.items() if counts[i] >= MIN_TEXTS)
+    number = np.full(len(first), -1, np.int32)
+    number[[first[name] for name in names]] = np.arange(len(names))
+    for i, row in enumerate(rows):
+        now = number[row]
+        rows[i] = np.sort(now[now >= 0])
+    return names, _Rows(rows)
 
 
 def fit(rows: list[tuple[str, int]], groups: int = GROUPS, overall: str = "toxic") -> Chain:
     """A chain over the groups of toxic rows, then the labelled category."""
-    names, data = numbered([text_features(t) for t, _ in rows])
+    names, data = numbered(text_features(t) for t, _ in rows)
     toxic = np.array([y for _, y in rows], np.float64)
     fold = np.arange(len(rows)) % FOLDS
     whole = Part(data, toxic, np.arange(len(rows)), len(names), groups)

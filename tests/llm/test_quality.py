@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -283,6 +284,40 @@ def test_chain_equals_a_plain_version():
         assert toxicity.Scorer(chain).of(text) == pytest.approx(made)
 
 
+def test_fitting_holds_numbers_and_not_names():
+    """A sample's features as sets of names took over a GB of the task that fits."""
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghij") for _ in range(9)) for _ in range(3000)]
+    rows = [(" ".join(r.sample(words, 300)) + " scum" * (i % 4 == 0), int(i % 4 == 0)) for i in range(400)]
+    held = sum(len(toxicity.text_features(t)) for t, _ in rows)
+    tracemalloc.start()
+    try:
+        chain = toxicity.fit(rows)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert "scum" in chain.words and held > 400_000 and peak < 40 * held
+
+
+@pytest.mark.parametrize("piece", [1, 7, 1 << 18])
+def test_rows_in_pieces_are_the_same_rows(monkeypatch, piece):
+    monkeypatch.setattr(toxicity, "PIECE", piece)
+    sets = [set(), {"a", "b"}, {"b", "c", "a"}, set(), {"c", "b"}, {"a", "once"}, {"b", "c"}]
+    names, data = toxicity.numbered(iter(sets))
+    assert names == ["a", "b", "c"]
+    want = [sorted(names.index(n) for n in s if n in names) for s in sets]
+    assert [data.ids[a:b].tolist() for a, b in zip(data.ends, data.ends[1:])] == want
+    rows = np.array([6, 2, 0, 1, 3])
+    found = [(rows[at].tolist(), [part.ids[a:b].tolist() for a, b in zip(part.ends, part.ends[1:])]) for at, part in data.pieces(rows)]
+    assert [i for ids, _ in found for i in ids] == rows.tolist() and [x for _, xs in found for x in xs] == [want[i] for i in rows]
+    assert all(len(xs) == 1 or sum(map(len, xs)) <= piece for _, xs in found)
+    part = toxicity.Part(data, np.array([0, 1, 1, 0, 1, 0, 0.0]), rows, len(names), 2)
+    part.column = np.array([-1, 0, 1], np.int32)
+    mine = part.take(rows)
+    assert [mine.ids[a:b].tolist() for a, b in zip(mine.ends, mine.ends[1:])] == [[n - 1 for n in want[i] if n] for i in rows]
+    assert part.take(rows[:0]).ends.tolist() == [0] and toxicity.numbered([])[0] == []
+
+
 def test_a_fold_is_not_seen_by_its_own_models():
     """Other labels in a fold change nothing of what its rows are told by the other folds."""
     rows, groups = toxic_rows(), 3

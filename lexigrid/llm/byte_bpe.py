@@ -25,15 +25,17 @@ Defined results
 
 Scale: short texts are encoded where they are read, without a shuffle. Long ones are written
 once with a key; their chunks are shuffled once, spread by key and chunk number, so one
-giant text is the work of many tasks. By text only boundaries, then ids, are gathered.
-The memo of pieces is bounded.
+giant text is the work of many tasks. By text only boundaries, then ids, are gathered: ids
+are written and shuffled by chunk, packed, and made a list of numbers only in the worker that
+puts them in a row (Spark's Parquet reader holds thousands of rows at once, and for each
+number of a list its levels too). The memo of pieces is bounded.
 """
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Callable
-from functools import lru_cache
+from collections.abc import Callable, Sequence
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -161,17 +163,21 @@ def _with_ids(schema: pa.Schema, batch: pa.RecordBatch, ids: list[np.ndarray]) -
     return pa.RecordBatch.from_arrays([made.cast(schema.field(n).type) if n == "ids" else batch.column(batch.schema.get_field_index(n)) for n in schema.names], schema=schema)
 
 
-def _encode_short(path: str, pattern: str, text_index: int, schema: pa.Schema):
+def _followed(run: Callable, then: Callable | None) -> Callable:
+    return run if then is None else lambda batches: then()(run(batches))
+
+
+def _encode_short(path: str, pattern: str, text_index: int, schema: pa.Schema, then: Callable | None):
     def run(batches):
         codec = codec_of(path, pattern)
         for batch in batches:
             yield _with_ids(schema, batch, [codec.encode(t or "") for t in batch.column(text_index).to_pylist()])
 
-    return run
+    return _followed(run, then)
 
 
-_CHUNKS = "_bb_key long, _bb_at int, _bb_start long, _bb_size long, _bb_text string"
-_EDGES = "_bb_key long, _bb_at int, _bb_size long, _bb_head binary, _bb_tail binary"
+_CHUNKS = "_bb_key long, _bb_at int, _bb_start long, _bb_text string"
+_EDGES = "_bb_key long, _bb_at int, _bb_stop long, _bb_head binary, _bb_tail binary"
 _SPANS = "_bb_key long, _bb_at int, _bb_first int, _bb_last int, _bb_begin long, _bb_end long"
 _PARTS = "_bb_key long, _bb_at int, _bb_ids binary"
 
@@ -191,7 +197,7 @@ def _split(chunk: int):
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 starts = chunk_starts(len(text), chunk)
                 for at in range(0, len(starts), 64):
-                    yield _table(_CHUNKS, [(key, at + i, start, len(text), text[start : start + chunk]) for i, start in enumerate(starts[at : at + 64])])
+                    yield _table(_CHUNKS, [(key, at + i, start, text[start : start + chunk]) for i, start in enumerate(starts[at : at + 64])])
 
     return run
 
@@ -201,9 +207,9 @@ def _find_edges(path: str, pattern: str):
         codec = codec_of(path, pattern)
         for batch in batches:
             rows = []
-            for key, at, start, size, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, at, start, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 head, tail = edges(codec, text, start)
-                rows.append((key, at, size, head.astype("<i8").tobytes(), tail.astype("<i8").tobytes()))
+                rows.append((key, at, start + len(text), head.astype("<i8").tobytes(), tail.astype("<i8").tobytes()))
             yield _table(_EDGES, rows)
 
     return run
@@ -227,7 +233,7 @@ def _stitch():
     def run(batches):
         for key, rows in _by_key(batches):
             heads, tails = ([np.frombuffer(r[i], "<i8") for r in rows] for i in (3, 4))
-            parts = stitch(heads, tails, rows[0][2])
+            parts = stitch(heads, tails, rows[-1][2])
             yield _table(_SPANS, [(key, at, first, last, begin, end) for first, last, begin, end in parts for at in range(first, last + 1)])
 
     return run
@@ -253,56 +259,77 @@ def _encode_spans(path: str, pattern: str):
     return run
 
 
-def _in_a_row(path: str, pattern: str):
-    """Rows (key, chunk, ids) -> the ids of each key; null if a part has none."""
+def _in_a_row(path: str, pattern: str, schema: pa.Schema, then: Callable | None):
+    """Rows of texts, each followed by those of its parts -> texts with their ids; without texts of which a part has none."""
 
     def run(batches):
-        packed = codec_of(path, pattern).packed
-        for key, rows in _by_key(batches):
-            whole = None if any(r[2] is None for r in rows) else np.frombuffer(b"".join(r[2] for r in rows), packed).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([whole], pa.list_(pa.int32()))], ["_bb_key", "_bb_ids"])
+        packed, text, parts = codec_of(path, pattern).packed, None, []
 
-    return run
+        def whole():
+            if text is not None and None not in parts:
+                yield _with_ids(schema, text, [np.frombuffer(b"".join(parts), packed)])
+
+        for batch in batches:
+            places, ids = (batch.column(batch.schema.get_field_index(n)).to_pylist() for n in ("_bb_at", "_bb_ids"))
+            for i, (at, part) in enumerate(zip(places, ids, strict=True)):
+                if at < 0:
+                    yield from whole()
+                    text, parts = batch.slice(i, 1), []
+                else:
+                    parts.append(part)
+        yield from whole()
+
+    return _followed(run, then)
 
 
 def chunk_rows(keyed: DataFrame, text_col: str, chunk: int = CHUNK) -> DataFrame:
     """The chunks of texts with a key ``_bb_key``, spread over tasks."""
-    rows = keyed.select("_bb_key", text_col).mapInArrow(fold_rows(_split, chunk), _CHUNKS)
+    # The filter is that of a join by these columns, which would else shuffle the chunks again.
+    rows = keyed.select("_bb_key", text_col).mapInArrow(fold_rows(_split, chunk), _CHUNKS).where("_bb_key is not null and _bb_at is not null")
     # By number, so that few bytes, which are much work, are not put in one task again.
     tasks = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(size_bytes(keyed) // TASK_BYTES, 1 << 20))
     return rows.repartition(tasks, "_bb_key", "_bb_at")
 
 
-def _ids_of_chunks(chunks: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``_bb_key, _bb_ids`` of texts in chunks."""
+def _parts_of_chunks(chunks: DataFrame, path: str, pattern: str) -> DataFrame:
+    """``_bb_key, _bb_at, _bb_ids`` of texts in chunks: packed ids of a part each, null where it can't be told apart."""
     found = chunks.mapInArrow(fold_rows(_find_edges, path, pattern), _EDGES)
     spans = found.repartition("_bb_key").sortWithinPartitions("_bb_key", "_bb_at").mapInArrow(fold_rows(_stitch), _SPANS)
     columns = ["_bb_key", "_bb_at", "_bb_start", "_bb_text", "_bb_first", "_bb_last", "_bb_begin", "_bb_end"]
     placed = chunks.join(spans.hint("shuffle_hash"), ["_bb_key", "_bb_at"]).select(*columns)
     alone = placed.where("_bb_first = _bb_last")
     runs = placed.where("_bb_first < _bb_last").repartition("_bb_key", "_bb_first").sortWithinPartitions("_bb_key", "_bb_at")
-    parts = alone.mapInArrow(fold_rows(_encode_spans, path, pattern), _PARTS).unionByName(runs.mapInArrow(fold_rows(_encode_spans, path, pattern), _PARTS))
-    return parts.repartition("_bb_key").sortWithinPartitions("_bb_key", "_bb_at").mapInArrow(fold_rows(_in_a_row, path, pattern), "_bb_key long, _bb_ids array<int>")
+    return alone.mapInArrow(fold_rows(_encode_spans, path, pattern), _PARTS).unionByName(runs.mapInArrow(fold_rows(_encode_spans, path, pattern), _PARTS))
 
 
-def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
-    """``docs`` with ``ids array<int>`` of each text."""
+def encode_texts(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = CHUNK, carry: Sequence[str] | None = None, then: tuple[Callable, str] | None = None) -> DataFrame:
+    """``docs`` with ``ids array<int>`` of each text; of its columns those of ``carry``, if given.
+
+    ``then``: what makes a function of these rows' batches, and the columns that it makes of
+    them, in the same worker: one Python process a task less, and no ids go back and forth.
+    """
     if chunk < 2 * OVERLAP:
         raise ValueError("a chunk is at least twice the overlap")
     if any(c.startswith("_bb_") for c in docs.columns):
         raise ValueError("names that begin with _bb_ are reserved")
     fields = [f for f in docs.schema.fields if f.name != "ids"]
     docs = docs.select(*[f.name for f in fields])
-    schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    kept = [f for f in fields if carry is None or f.name in carry]
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))])
     arrow = to_arrow_schema(schema)
+    after, columns = then or (None, schema)
     size = F.length(F.coalesce(F.col(text_col), F.lit("")))
-    whole = fold_rows(_encode_short, path, pattern, docs.columns.index(text_col), arrow)
-    short = docs.where(size <= chunk).mapInArrow(whole, schema)
+    whole = fold_rows(_encode_short, path, pattern, docs.columns.index(text_col), arrow, after)
+    short = docs.where(size <= chunk).mapInArrow(whole, columns)
     long = cut(docs.where(size > chunk).withColumn("_bb_key", F.monotonically_increasing_id()), "long")
-    ids = cut(_ids_of_chunks(chunk_rows(long, text_col, chunk), path, pattern), "long-ids")
-    made = long.join(ids.where("_bb_ids is not null"), "_bb_key").select(*docs.columns, F.col("_bb_ids").alias("ids"))
-    rest = long.join(ids.where("_bb_ids is null"), "_bb_key", "left_semi").select(*docs.columns).mapInArrow(whole, schema)
-    return short.unionByName(made).unionByName(rest)
+    parts = cut(_parts_of_chunks(chunk_rows(long, text_col, chunk), path, pattern), "long-parts")
+    texts = long.select("_bb_key", F.lit(-1).alias("_bb_at"), *[f.name for f in kept])
+    rows = texts.unionByName(parts, allowMissingColumns=True).repartition("_bb_key").sortWithinPartitions("_bb_key", "_bb_at")
+    made = short.unionByName(rows.mapInArrow(fold_rows(_in_a_row, path, pattern, arrow, after), columns))
+    untold = parts.where("_bb_ids is null").select("_bb_key")
+    if untold.isEmpty():
+        return made
+    return made.unionByName(long.join(untold, "_bb_key", "left_semi").select(*docs.columns).mapInArrow(whole, columns))
 
 
 def id_rows(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
@@ -320,7 +347,13 @@ def _decode(path: str, pattern: str, ids_index: int, schema: pa.Schema, then: Ca
             made = pa.array([b if k else None for b, k in zip(codec.tokens.joined_rows(numbers, offsets), known, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([made if n == "decoded" else batch.column(batch.schema.get_field_index(n)) for n in schema.names], schema=schema)
 
-    return run if then is None else lambda batches: then()(run(batches))
+    return _followed(run, then)
+
+
+def decoding(path: str, pattern: str, schema: T.StructType, then: Callable) -> Callable:
+    """For ``encode_texts``: what makes ``then`` of its rows, which are of ``schema``, with their ``decoded`` bytes."""
+    made = to_arrow_schema(schema.add("decoded", T.BinaryType()))
+    return partial(_decode, path, pattern, schema.names.index("ids"), made, then)
 
 
 def decode_ids(rows: DataFrame, path: str, pattern: str, ids_col: str = "ids", then: tuple[Callable, str] | None = None) -> DataFrame:

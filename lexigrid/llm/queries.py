@@ -8,6 +8,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrid.llm import byte_bpe, decontamination, divergence, line_dedup, media_source, packing, quality_classifier, quality_rules, simhash, sql, substring_dedup, token_files, toxicity
 from lexigrid.llm._shared import documents
@@ -59,8 +60,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded to ids and decoded again."""
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    encoded = byte_bpe.encode_texts(docs, path, pattern).select("doc_id", "ids")
-    return byte_bpe.decode_ids(encoded, path, pattern, then=(_bpe_digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    digests = byte_bpe.decoding(path, pattern, T.StructType.fromDDL("doc_id long, ids array<int>"), _bpe_digests)
+    return byte_bpe.encode_texts(docs, path, pattern, carry=["doc_id"], then=(digests, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -188,6 +188,26 @@ def test_tasks_hold_few_python_processes(spark, tmp_path, docs):
     assert 1 <= most <= 2
 
 
+def test_ids_of_long_texts_are_packed_between_tasks(spark, tmp_path, docs):
+    """Lists of numbers in a table take many times their bytes of Spark's Parquet reader; a task of op5 has one Python process."""
+    from lexigrid.llm import queries as Q
+
+    got = byte_bpe.encode_texts(docs, RANKS, P.PATTERN, chunk=2048)
+    read = [x for x in str(got._jdf.queryExecution().executedPlan().toString()).splitlines() if "ReadSchema" in x]
+    assert read and not [x for x in read if "array<" in x.partition("ReadSchema")[2]]
+    docs.coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
+    plan = str(Q.op5_byte_bpe(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString())
+    assert plan.count("MapInArrow") == 2 and "Union" in plan.splitlines()[0]
+
+
+def test_columns_that_are_carried(spark):
+    rows = [(1, "a", "one two " * 600, "x"), (2, None, "three", None), (3, "c", None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string, source string")
+    got = byte_bpe.encode_texts(docs, RANKS, P.PATTERN, chunk=2048, carry=["source", "doc_id"])
+    assert got.columns == ["doc_id", "source", "ids"]
+    assert {(r.doc_id, r.source, tuple(r.ids)) for r in got.collect()} == {(i, s, tuple(reference_bpe().encode_ordinary(t or ""))) for i, _, t, s in rows}
+
+
 def check_pieces(rows, ids, length=2048):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:

@@ -17,6 +17,11 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^{_SPACE}+|{_SPACE}+$", "")
 
 
+def has_text(text: Column) -> Column:
+    """Whether ``strip`` leaves anything of it."""
+    return text.rlike(_SPACE.replace("[", "[^", 1))
+
+
 def clean_text(text: Column) -> Column:
     """Line ends made ``\\n``, runs of spaces and tabs one space, at most one blank line."""
     one_end = F.regexp_replace(text, "\r\n|\r", "\n")

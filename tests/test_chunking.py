@@ -90,5 +90,14 @@ def test_token_chunks_and_first_of_equal_ids(spark):
     assert found[0].token_count == 600 and found[1].text.startswith("w540 ") and found[1].corpus_ord == 0
 
 
+def test_pages_without_text_are_not_repeated(spark, tmp_path):
+    from lexigrid.plans import catalog
+
+    texts = ["one two", "", " \n\t ", "\r\f", None, " three ", "\u00a0\u2003"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalog.QUERIES["chunk_dedupe"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, found)) == [("0_p1_page_0", 0, 7, 2), ("5_p1_page_0", 5, 5, 1)]
+
+
 def test_empty_table(spark):
     assert K.chunk_all(spark.createDataFrame([], PAGES), "sentence").count() == 0
